@@ -79,3 +79,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     for r in rows.where(F.col("text").isNotNull()).collect():
         got[r["doc_id"]] = (r["doc_id"], r["text"], r["label_"])
     return [got[k] for k in sorted(got)]
+
+
+def class_shares(labels: DataFrame, label: str) -> dict[int, float]:
+    """Share of each label among the rows that may be learnt from."""
+    rows = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 1)).groupBy(F.col(label).alias("label_")).count().collect()
+    total = sum(r["count"] for r in rows) or 1
+    return {r["label_"]: r["count"] / total for r in rows}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, tokenbin
+from . import bpe, langid, neardup, packing, quality, tokenbin, toxicity
 
 
 def _tokenizer(name: str) -> tuple[str, str]:
@@ -19,6 +19,30 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return langid.identify(langid.document_columns(docs), langid.fit(docs))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return langid.identify(langid.page_columns(pages), langid.fit(_documents(spark, sf_dir)), key="page_id")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)), threshold=0.7)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, _labels(spark, sf_dir)), threshold=0.5)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -31,8 +55,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), size=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op6_token_binary, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_byte_bpe, op6_token_binary, op8_best_fit_packing, op9_minhash_near_dedup, language_id_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
