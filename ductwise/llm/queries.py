@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, packing, quality, tokenbin, toxicity
+from . import bpe, langid, media, neardup, packing, quality, rules, secrets, tokenbin, toxicity
 
 
 def _tokenizer(name: str) -> tuple[str, str]:
@@ -47,10 +48,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.load(*media.store(_documents(spark, sf_dir)))
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(tokenbin.write_tokens(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
@@ -59,9 +68,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), size=2, percent=80)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir), threshold=0.5).withColumn("candidate", F.sha2("candidate", 256))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_byte_bpe, op6_token_binary, op8_best_fit_packing, op9_minhash_near_dedup, language_id_pages)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_byte_bpe, op5_media_chunks, op6_token_binary, op7_quality_rules, op8_best_fit_packing, op9_minhash_near_dedup, op10_secret_scan, language_id_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": rules.sql()}
