@@ -1,3 +1,72 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: quality, language, near duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is
+written as Parquet and read again for the next.  All but the last return the columns of documents.  Decisions reach the texts by anti joins with
+the rejected ids, so rows with a null doc_id stay and a short list needs no shuffle of the texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ductwise.llm import langid, neardup, packing, quality, secrets
+from ductwise.llm._runtime import materialise
+
+#: No SQL expresses a stage; the tests compare with brute force.
 ORACLE_SQL = None
+
+
+def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    ids = materialise(rejected.select(F.col("doc_id").alias("rejected_")).where("rejected_ IS NOT NULL").distinct(), name)
+    return docs.join(ids, F.col("doc_id") == F.col("rejected_"), "left_anti")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier doesn't reject."""
+    return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a posterior of at least one half."""
+    found = langid.identify(langid.document_columns(docs), langid.fit(docs))
+    return _without(docs, found.where("NOT accepted"), "unidentified")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), and one row of each doc_id."""
+    kept = _without(docs, neardup.near_duplicates(docs, size=5, percent=80).where("NOT kept"), "duplicates")
+    again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    once = kept.join(again, "doc_id").select(*docs.columns).withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")))
+    return _without(kept, again, "repeated").select(*docs.columns).unionByName(once.where("nth_ = 1").select(*docs.columns))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found replaced by a mark."""
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2, capacity=1024)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("language", keep_identified),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{name}")
+    return docs

@@ -117,3 +117,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
     return docs.select("doc_id", "text", held_out).mapInArrow(run, SCORED)
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text isn't rejected; texts of less than ``SHORT`` bytes hold too little evidence to reject."""
+    tune(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            score, _ = model.scores(texts)
+            short = np.array([len((t or "").encode("utf-8", "replace")) < SHORT for t in texts], bool)
+            yield batch.filter(pa.array((score >= threshold) | short, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

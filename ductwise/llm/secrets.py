@@ -126,6 +126,8 @@ def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = Non
 
 def redact(docs: DataFrame, path: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``. Documents with the same doc_id share their secrets."""
-    secrets = scan(docs, path).where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("secrets_"))
+    found = scan(docs, path).where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("secrets_"))
+    found = materialise(found.withColumnRenamed("doc_id", "holder_"), "secrets")
     text = F.aggregate("secrets_", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    return docs.join(secrets, "doc_id", "left").withColumn("text", F.when(F.col("secrets_").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("holder_")), "left")
+    return rows.withColumn("text", F.when(F.col("secrets_").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
