@@ -70,7 +70,7 @@ def glob_pattern(pattern: Column) -> Column:
 def resolve_globs(patterns: DataFrame, nodes: DataFrame) -> DataFrame:
     """(pattern, node_id): the first node by id whose name matches, else one whose name contains the pattern's bare text."""
     bare = F.lower(F.regexp_replace("pattern", r"[*?]", ""))
-    kind = F.when(F.col("name").rlike(glob_pattern(F.col("pattern"))), 0).when((bare != "") & F.contains(F.lower("name"), bare), 1)
+    kind = F.when(F.regexp_like(F.col("name"), glob_pattern(F.col("pattern"))), 0).when((bare != "") & F.contains(F.lower("name"), bare), 1)
     hit = nodes.join(F.broadcast(patterns.select("pattern").distinct()), kind.isNotNull())  # a fixed list of templates
     return hit.groupBy("pattern").agg(F.min(F.struct(kind.alias("k"), "node_id")).alias("b")).select("pattern", F.col("b.node_id").alias("node_id"), F.col("b.k").alias("kind"))
 
