@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import maths as M
-from ..operators import datasets, evidence, graph, matching, metrics, potential, statistics
+from ..operators import datasets, evidence, graph, matching, metrics, models, potential, scenarios, statistics, tools, visible_state
 from ..operators import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -495,3 +495,90 @@ def validator_rules(spark, sf_dir):
 @query("SELECT kind, count(*) AS n_examples, round(avg(n), 6) AS avg_turns FROM (SELECT conv_id, count(*) AS n, max(role) AS kind FROM conversations GROUP BY conv_id) GROUP BY kind")
 def dataset_summary(spark, sf_dir):
     return rounded(datasets.dataset_summary(table(spark, sf_dir, "conversations").select("conv_id", "role"), "conv_id", "role"), "avg_turns")
+
+
+# --- more of the surface -----------------------------------------------------------------------------------------
+@query(f"WITH {_OBS}, y AS (SELECT episode_id, split_part(node_id, '::', 1) AS system_id, sum(p * 0.75) AS score FROM s GROUP BY 1, 2) SELECT episode_id, system_id, round(exp(score) / sum(exp(score)) OVER (PARTITION BY episode_id), 6) AS belief FROM y WHERE score > 0")
+def system_belief(spark, sf_dir):
+    b = evidence.belief(evidence.system_scores(observations(spark, sf_dir)))
+    return b.select("episode_id", "system_id", F.round("belief", 6).alias("belief"))
+
+
+@query(f"""WITH {_OBS}, y AS (SELECT episode_id, split_part(node_id, '::', 1) AS system_id, sum(p * 0.75) AS score FROM s GROUP BY 1, 2),
+b AS (SELECT episode_id, system_id, exp(score) / sum(exp(score)) OVER (PARTITION BY episode_id) AS belief FROM y WHERE score > 0),
+k AS (SELECT DISTINCT episode_id, node_id, split_part(node_id, '::', 1) AS system_id FROM o), ck AS (SELECT DISTINCT episode_id, node_id FROM o WHERE status = 'fault')
+SELECT episode_id, node_id, round(sc, 6) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY round(sc, 9) DESC, node_id) AS r FROM (
+SELECT k.episode_id, k.node_id, 0.5 * coalesce(belief, 0) + 0.35::DOUBLE * (1 - 0.35::DOUBLE * (ck.node_id IS NOT NULL)::INT) AS sc FROM k LEFT JOIN b ON b.episode_id = k.episode_id AND b.system_id = k.system_id LEFT JOIN ck ON ck.episode_id = k.episode_id AND ck.node_id = k.node_id)) WHERE r <= 5""")
+def suggested_actions(spark, sf_dir):
+    o = observations(spark, sf_dir)
+    c = o.select("episode_id", "node_id", "system_id").distinct().withColumn("position", F.col("node_id"))
+    b = evidence.belief(evidence.system_scores(o)).withColumn("belief", F.round("belief", 9))
+    out = evidence.next_actions(c, b, o.where("status = 'fault'"))
+    return out.select("episode_id", "node_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""SELECT 'sys' || (event_id % 3) AS system_id, count(*) AS n_nodes, count(*) FILTER (event_type = 'error') AS n_fault, count(*) FILTER (event_type = 'signup') AS n_warning, count(*) FILTER (event_type = 'purchase') AS n_abnormal FROM events GROUP BY 1""")
+def node_status_summary(spark, sf_dir):
+    return tools.status_summary(observations(spark, sf_dir))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'Fault' WHEN event_type = 'error' THEN 'Abnormal' WHEN event_type = 'view' THEN 'unknown' ELSE 'Normal' END AS status FROM events")
+def oracle_routing(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    label = F.when(F.col("event_type") == "error", "fan_stuck").otherwise("Normal")
+    status = tools.route(label, F.when(F.col("event_id") % 3 == 0, "n0").otherwise("n1"), F.lit("n0"), F.col("event_type") != "view")
+    return e.select("event_id", status.alias("status"))
+
+
+@query("""SELECT event_id, round(score, 6) AS score, CASE WHEN score > 0.5 THEN 'alert' WHEN score > 0.2 THEN 'warning' ELSE 'normal' END AS health FROM (SELECT event_id, 1 - floor(value / 50) / 10 AS score FROM events)""")
+def system_health(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", tools.anomaly(F.create_map(F.lit("Normal"), F.floor(F.col("value") / 50) / 10)).alias("a"))
+    return e.select("event_id", F.round("a.score", 6).alias("score"), F.col("a.health").alias("health"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders) WHERE k <= CASE o_orderpriority WHEN '1-URGENT' THEN 7 WHEN '5-LOW' THEN 3 ELSE 0 END""")
+def target_cap(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return datasets.target_cap(o, "o_orderpriority", {"1-URGENT": 7, "5-LOW": 3}, [F.col("o_orderkey")])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size >= 50 THEN 'easy' WHEN p_size >= 20 THEN 'medium' ELSE 'hard' END AS difficulty FROM part""")
+def difficulty_rules(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return p.select("p_partkey", L.difficulty(F.concat(F.col("p_size").cast("string"), F.lit("%"))).alias("difficulty"))
+
+
+@query("""SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events""")
+def parse_json_objects(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k BIGINT").getField("k").alias("k"))
+
+
+@query()
+def visible_state_fold(spark, sf_dir):
+    _, calls = episodes(spark, sf_dir)
+    return visible_state.fold(calls.select(F.col("episode_id").alias("conv_id"), F.col("i").alias("turn"), "tool", "node_id", "status", "fault_type", "targets"))
+
+
+@query()
+def tool_calls(spark, sf_dir):
+    nodes, edges = graph.order_graph(spark, sf_dir)
+    asked = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    kinds = F.array(*map(F.lit, ("get_node_children", "get_downstream_nodes", "get_upstream_nodes", "get_system_overview", "no_such_tool")))
+    calls = asked.select(F.col("o_orderkey").alias("call_id"), F.get(kinds, (F.floor(F.col("o_orderkey") / 50) % 5).cast("int")).alias("tool"), F.concat(F.lit("nation::"), (F.col("o_custkey") % 30).cast("string")).alias("node_id"), F.lit(None).cast("string").alias("system_id"))
+    seen = spark.createDataFrame([], "node_id string, status string, fault_type string, confidence double")
+    return tools.execute(calls, nodes, edges, seen)
+
+
+@query()
+def scenario_generation(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    files = e.groupBy("event_type").agg(F.count("*").cast("int").alias("n_rows")).select(F.col("event_type").alias("system_id"), F.concat("event_type", F.lit(".csv")).alias("file"), F.when(F.col("event_type") == "view", "normal").otherwise("fan_stuck").alias("fault_type"), F.lit("50").alias("fault_intensity"), F.concat("event_type", F.lit("::n0")).alias("node_id"), "n_rows")
+    base = scenarios.single_system(files)
+    return base.unionByName(scenarios.derived(base))
+
+
+@query()
+def forest_on_windows(spark, sf_dir):
+    w = W.window_stats(W.count_windows(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value"), BY, ORDER), BY)
+    got = models.train(w, ["mean", "std", "min", "max", "range", "slope"], "event_type", F.col("window_id"), trees=10, depth=4)
+    return got["scored"].select("event_type", "window_id", "is_val", models.verdict(models.calibrated(F.col("probabilities"), 1.5), got["labels"]).alias("verdict"))
