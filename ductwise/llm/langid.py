@@ -27,7 +27,7 @@ from .toxicity import words
 PER_LANGUAGE = 400
 LANGUAGES = 200
 BUCKETS = 1 << 16
-CACHE_WORDS = 700_000
+CACHE_WORDS = 200_000
 #: Trigrams after which further text adds less and less evidence.
 EVIDENCE = 200.0
 #: Weight of a level's parent, in rows.

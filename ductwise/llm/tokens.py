@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct units that a worker keeps before it starts its cache anew.
-CACHE_UNITS = 1_200_000
+CACHE_UNITS = 400_000
 _SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 _RUNS = _SPACE + _SPACE + r"|\x00"
 #: Full stops and commas that may belong to a longer match; where none are, each is a unit of its own.

@@ -34,7 +34,7 @@ FIELD_TEXTS = 500
 BUCKETS = 1 << 18
 #: G statistic from which a feature counts as toxic evidence, and the least share of its documents that are toxic.
 EVIDENCE, PRECISION = 25.0, 0.95
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 BLOCK = 64
 TOKEN = r"[\p{L}\p{N}]+"
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_toxic_tokens long, spans array<struct<start:int,end:int>>"
