@@ -130,6 +130,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", threshold: floa
             logs, n = shared.value.evidence(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * size, pa.int32()), pa.array(logs.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), lists, pa.array(n > 0)], [key, "host", "suffix", "declared", "logs", "worded"])
+        shared.value._clear()  # a worker that goes on to other operators needs the room
 
     rows = columns.mapInArrow(run, f"`{key}` {kind}, host string, suffix string, declared string, logs array<double>, worded boolean")
     rows = materialise(rows.select("*", _softmax(F.col("logs")).alias("own")), "languages")

@@ -19,7 +19,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct units that a worker keeps before it starts its cache anew.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 700_000
+#: Pattern matches kept apart from their units (punctuation, numbers).
+CACHE_MATCHES = 50_000
 _SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 _RUNS = _SPACE + _SPACE + r"|\x00"
 #: Full stops and commas that may belong to a longer match; where none are, each is a unit of its own.
@@ -110,6 +112,8 @@ class BatchEncoder:
         """(row of each unit, number of units of each text) of an Arrow array of strings."""
         if len(self.index) > self.cache_units:
             self._reset()
+        if len(self.words) > CACHE_MATCHES:
+            self.words.clear()
         texts = pc.fill_null(texts, "")
         runs = pc.match_substring_regex(texts, _RUNS)
         odd = np.flatnonzero(runs.to_numpy(zero_copy_only=False))
