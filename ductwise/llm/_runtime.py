@@ -41,14 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[0].name}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
+def materialise(df: DataFrame, name: str, codec: str = "zstd", tasks: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
+
+    ``tasks`` merges the partitions of a table whose size is known, so that few rows don't become many files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ductwise/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", codec)
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,3 +86,9 @@ def class_shares(labels: DataFrame, label: str) -> dict[int, float]:
     rows = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 1)).groupBy(F.col(label).alias("label_")).count().collect()
     total = sum(r["count"] for r in rows) or 1
     return {r["label_"]: r["count"] / total for r in rows}
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this package from the shared folder, once results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ductwise")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,8 @@ probability 2 * (1 - 0.8 ** ROWS) ** TABLES, about one in 800.
 1. Texts become sorted sets of 64-bit shingle hashes; equal sets form a class, represented by its smallest doc_id.
 2. A half key that only one representative has can't lead to a pair; the tensor product is formed of the others.
 3. In every table the smallest representative is the centre.  Each representative is compared with its smallest centre;
-   then the other centres and at last all pairs of a table are compared, as long as the two are not yet connected.
+   then, in tables that still hold several components, with the table's centre; and at last those pairs of like
+   size that are in no component together.
 4. Links join into components by alternating large and small stars on tables of edges.
 
 Defined results: a document without words (null or empty text) has n_shingles 0 and is linked with
@@ -28,6 +29,10 @@ from ._runtime import materialise, tune
 
 TABLES = 14
 ROWS = 4
+#: Comparisons in a bucket up to which its open pairs are made rows, and shingles of a slice of a larger bucket.
+PAIRED = 4000
+SLICE = 400_000
+EDGES_PER_TASK = 1_000_000
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, first array<long>, second array<long>"
 
 #: Odd multipliers of a 64-bit mixing function.
@@ -162,20 +167,67 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge (a, b) reaches. Nodes without an edge are not returned."""
     current = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
+    tasks = 8 + current.count() // EDGES_PER_TASK
     while True:
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
+        # done when every node has one smaller neighbour, which has none
+        several = current.groupBy("a").count().where("count > 1").select("a")
+        inner = current.select(F.col("b").alias("a")).join(current.select("a"), "a", "left_semi")
+        if several.unionByName(inner).isEmpty():
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = state
         # large star: larger neighbours move to the smallest neighbour
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = materialise(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        large = materialise(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges", tasks=tasks)
         # small star: smaller neighbours and the node move to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = materialise(moved.where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        current = materialise(moved.where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges", tasks=tasks)
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket with different components, like sizes and a shared half key of the other side."""
+    left = rows.where("component <> major").select("u", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "vs")))
+    right = rows.select("u", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "vs")))
+    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & F.arrays_overlap("vs_a", "vs_b")
+    return left.join(right, "u").where((F.col("component_a") != F.col("component_b")) & near).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the same pairs in large buckets, found without making rows of pairs.
+
+    A bucket's members are dealt to slices and its queries (outside the largest component) to blocks of about ``SLICE``
+    shingles; each slice meets each block in a task of its own, whose memory is bounded so.
+    """
+
+    def compare(group):
+        import pandas as pd
+
+        members, queries = group[~group["query"]], group[group["query"]]
+        links = []
+        if len(members) and len(queries):
+            grams = [np.frombuffer(x, np.uint64) for x in members["grams"]]
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            vocabulary, ids = np.unique(np.concatenate(grams), return_inverse=True)
+            starts, reps, own = np.cumsum(sizes) - sizes, members["rep"].to_numpy(), members["component"].to_numpy()
+            for rep, component, data in zip(queries["rep"].tolist(), queries["component"].tolist(), queries["grams"]):
+                x = np.frombuffer(data, np.uint64)
+                at = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
+                known = np.zeros(len(vocabulary), np.int32)
+                known[at[vocabulary[at] == x]] = 1
+                both = np.add.reduceat(known[ids], starts)
+                hit = (100 * both >= percent * (sizes + len(x) - both)) & (own != component)
+                links += [(max(rep, r), min(rep, r)) for r in reps[hit].tolist()]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    deal = lambda n: F.pmod(F.xxhash64("rep"), n)
+    rows = rows.select("u", "rep", "component", (F.col("component") != F.col("major")).alias("asks"), F.ceil(F.col("weight") / SLICE).cast("int").alias("slices"))
+    numbers = F.sequence(F.lit(0), F.col("slices") - 1)
+    members = rows.select("u", "rep", "component", F.lit(False).alias("query"), deal(F.col("slices")).cast("int").alias("slice"), F.explode(numbers).alias("block"))
+    queries = rows.where("asks").select("u", "rep", "component", F.lit(True).alias("query"), F.explode(numbers).alias("slice"), deal(F.col("slices")).cast("int").alias("block"))
+    # blocks without a query need no members
+    asked = queries.select("u", "block").distinct()
+    dealt = members.join(asked, ["u", "block"]).select(*queries.columns).unionByName(queries)
+    return dealt.join(sets, "rep").groupBy("u", "slice", "block").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tables: int = TABLES, rows: int = ROWS) -> DataFrame:
@@ -184,46 +236,48 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tables: i
     signs = materialise(signatures(docs, size, tables, rows), "signatures")
     worded = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(worded.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = worded.select("doc_id", "set_key", "first", "second").join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"])
+    nodes = worded.select("doc_id", "set_key", "n_shingles", "first", "second").join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"])
 
-    halves = nodes.select(F.col("doc_id").alias("rep"), F.explode(F.concat("first", "second")).alias("key"))
-    halves = materialise(halves, "halves")
+    halves = materialise(nodes.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode(F.concat("first", "second")).alias("key")), "halves")
     shared = halves.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
-    useful = halves.join(shared, "key").groupBy("rep").agg(F.collect_set("key").alias("keys"))  # at most 2 * tables keys
-    sides = useful.select("rep", F.filter("keys", lambda k: k.bitwiseAND(1) == 0).alias("side0"), F.filter("keys", lambda k: k.bitwiseAND(1) == 1).alias("side1"))
-    tensor = sides.select("rep", F.explode("side0").alias("u"), "side1").select("rep", "u", F.explode("side1").alias("v"))
+    useful = halves.join(shared, "key").groupBy("rep").agg(F.max("n").alias("n"), F.collect_set("key").alias("keys"))  # at most 2 * tables keys
+    sides = useful.select("rep", "n", F.filter("keys", lambda k: k.bitwiseAND(1) == 0).alias("us"), F.filter("keys", lambda k: k.bitwiseAND(1) == 1).alias("vs"))
+    sides = materialise(sides.where("size(us) > 0 AND size(vs) > 0"), "sides")
+    tensor = sides.select("rep", F.explode("us").alias("u"), "vs").select("rep", "u", F.explode("vs").alias("v"))
     entries = materialise(tensor.select("rep", F.xxhash64("u", "v").alias("key")), "tables")
 
+    # the smallest centre of each representative
     centres = entries.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).where("b <> high").select("key", "b")
-    stars = materialise(entries.join(centres, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "stars")
-    candidates = stars.select("a").unionByName(stars.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "rep")
-    wanted = candidates.join(classes, "rep")
+    met = entries.join(centres, "key").groupBy("rep").agg(F.min("b").alias("b"))
+    first = materialise(met.select(F.col("rep").alias("a"), "b"), "centres")
+    wanted = first.select(F.col("a").alias("rep")).join(classes, "rep")
     sets = materialise(_sets(docs, wanted, size), "sets", codec="none")
-
-    first = stars.groupBy("a").agg(F.min("b").alias("b"))
-    links = materialise(_confirm(first, sets, percent), "links")
+    links = materialise(_confirm(first.where("a <> b"), sets, percent), "links")
     found = components(links)
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs that no path of links connects so far."""
-        for side in ("a", "b"):
-            labels = found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-            pairs = pairs.join(labels, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-        return pairs.where("of_a <> of_b").select("a", "b")
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    more = materialise(_confirm(apart(stars.join(first, ["a", "b"], "left_anti")), sets, percent), "links")
+    # tables that still hold several components: each entry meets the smallest of another component
+    placed = materialise(labelled(entries), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("b")).where("low <> high")
+    centre = mixed.join(placed.select("key", F.col("rep").alias("b"), F.col("component").alias("of_b")), ["key", "b"]).select("key", "b", "of_b")
+    apart = placed.join(centre, "key").where("component <> of_b").select(F.col("rep").alias("a"), "b").distinct()
+    more = materialise(_confirm(apart, sets, percent), "links")
     links = links.unionByName(more)
     found = components(links)
 
-    # whole tables: only entries of tables that still hold several components
-    labels = found.select(F.col("node").alias("rep"), "component")
-    placed = entries.join(candidates, "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    placed = materialise(placed.join(split, "key"), "placed")
-    other = placed.select("key", F.col("rep").alias("b"), F.col("component").alias("of_b"))
-    rest = placed.select("key", F.col("rep").alias("a"), F.col("component").alias("of_a")).join(other, "key").where("a > b AND of_a <> of_b").select("a", "b").distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    last = materialise(_confirm(rest, sets, percent), "links")
+    # what is left: in buckets of one half key that hold several components, the representatives outside of the
+    # bucket's largest component against all of its representatives; any other pair is in one component already
+    open_ = mixed.select("key").join(placed, "key").select("rep").distinct()
+    rows = materialise(labelled(sides.join(open_, "rep")).select("rep", "n", "component", "vs", F.explode("us").alias("u")), "rest")
+    parts = rows.groupBy("u", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    buckets = parts.groupBy("u").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("largest"), F.sum("c").alias("size"), F.sum("n").alias("weight"))
+    buckets = buckets.where("size > largest").withColumn("work", F.col("size") * (F.col("size") - F.col("largest")))
+    buckets = materialise(buckets, "buckets")
+    few = _pairs(rows.join(buckets.where(F.col("work") <= PAIRED).select("u", "major"), "u"), percent)
+    many = _in_blocks(rows.join(buckets.where(F.col("work") > PAIRED).select("u", "major", "weight"), "u"), sets, percent)
+    last = materialise(_confirm(few, sets, percent).unionByName(many), "links")
     found = components(links.unionByName(last))
 
     whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
