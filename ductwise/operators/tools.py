@@ -71,14 +71,15 @@ def execute(calls: DataFrame, nodes: DataFrame, edges: DataFrame, predictions: D
         "get_upstream_nodes": graph.upstream(nodes, edges).select("node_id", item(F.col("source"), F.col("relation")).alias("x")),
         "diagnose_node": predictions.select("node_id", item(F.coalesce("fault_type", F.lit("None")), F.concat_ws(" ", "status", F.round("confidence", 4).cast("string"))).alias("x")),
     }
-    found = None
+    answers = None  # a list for each tool and node, made once however many calls ask for it
     for tool, table in lists.items():
-        part = c.where(F.col("tool") == tool).select("call_id", "node_id").join(table, "node_id").groupBy("call_id").agg(F.array_sort(F.collect_list("x")).alias("items"))
-        found = part if found is None else found.unionByName(part)
+        part = table.groupBy(F.lit(tool).alias("tool"), F.col("node_id").alias("about_")).agg(F.array_sort(F.collect_list("x")).alias("items"))
+        answers = part if answers is None else answers.unionByName(part)
     related = graph.related_systems(nodes, edges).select("system_id", item(F.col("other_system"), F.concat_ws(" ", "direction", "connected_via", "target_component")).alias("x"))
-    found = found.unionByName(c.where("tool = 'get_related_systems'").select("call_id", "system_id").join(related, "system_id").groupBy("call_id").agg(F.array_sort(F.collect_list("x")).alias("items")))
+    answers = answers.unionByName(related.groupBy(F.lit("get_related_systems").alias("tool"), F.col("system_id").alias("about_")).agg(F.array_sort(F.collect_list("x")).alias("items")))
     systems = nodes.where("level = 1").agg(F.array_sort(F.collect_list(item(F.col("node_id"), F.col("name")))).alias("systems_"))
-    out = c.join(found, "call_id", "left").join(F.broadcast(systems))  # one row, as long as there are systems
+    about = F.when(F.col("tool") == "get_related_systems", F.col("system_id")).when(F.col("tool").isin(*lists), F.col("node_id"))
+    out = c.withColumn("about_", about).join(answers, ["tool", "about_"], "left").join(F.broadcast(systems))  # one row, as long as there are systems
     needs_node = F.col("tool").isin(*lists)
     error = F.when(~F.col("tool").isin(*allowed), F.concat(F.lit("unknown tool: "), F.col("tool"))).when(needs_node & F.col("known_").isNull(), F.concat(F.lit("node not found: "), F.coalesce("node_id", F.lit(""))))
     items = F.when(F.col("tool") == "get_system_overview", F.col("systems_")).otherwise(F.coalesce("items", F.array().cast("array<struct<id:string,info:string>>")))

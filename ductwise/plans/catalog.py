@@ -559,13 +559,29 @@ def visible_state_fold(spark, sf_dir):
     return visible_state.fold(calls.select(F.col("episode_id").alias("conv_id"), F.col("i").alias("turn"), "tool", "node_id", "status", "fault_type", "targets"))
 
 
+def tool_world(spark, sf_dir):
+    """(nodes, edges, predictions) that calls are answered from: the order graph, nations with a sensor for each event type of their users, an edge between systems for each nation, and a nation's last observation as its prediction."""
+    nodes, edges = graph.order_graph(spark, sf_dir)
+    nation = lambda c: F.concat(F.lit("nation::"), (F.col(c) % 25).cast("string"))
+    e = table(spark, sf_dir, "events").select(nation("user_id").alias("src"), "event_type").distinct()
+    sensor = F.concat_ws("::", "src", "event_type")
+    nodes = nodes.unionByName(e.select(sensor.alias("node_id"), F.lit(3).alias("level"), F.lit("nation").alias("system_id"), F.col("event_type").alias("name")))
+    edges = edges.unionByName(e.select("src", sensor.alias("dst"), F.lit("has_sensor").alias("relation"), F.lit("").alias("medium"), F.lit(4).cast("long").alias("seq")))
+    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n")).agg(F.concat(F.lit("supplier::"), F.min("s_suppkey").cast("string")).alias("src"))
+    customers = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n")).agg(F.concat(F.lit("customer::"), F.min("c_custkey").cast("string")).alias("dst"))
+    edges = edges.unionByName(suppliers.join(customers, "n").select("src", "dst", F.lit("cross_system").alias("relation"), F.lit("goods").alias("medium"), F.lit(5).cast("long").alias("seq")))
+    seen = observations(spark, sf_dir).groupBy(nation("episode_id").alias("node_id")).agg(F.max_by(F.struct("status", "fault_type", "confidence"), "step").alias("p"))
+    return nodes, edges, seen.select("node_id", "p.*")
+
+
 @query()
 def tool_calls(spark, sf_dir):
-    nodes, edges = graph.order_graph(spark, sf_dir)
-    asked = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
-    kinds = F.array(*map(F.lit, ("get_node_children", "get_downstream_nodes", "get_upstream_nodes", "get_system_overview", "no_such_tool")))
-    calls = asked.select(F.col("o_orderkey").alias("call_id"), F.get(kinds, (F.floor(F.col("o_orderkey") / 50) % 5).cast("int")).alias("tool"), F.concat(F.lit("nation::"), (F.col("o_custkey") % 30).cast("string")).alias("node_id"), F.lit(None).cast("string").alias("system_id"))
-    seen = spark.createDataFrame([], "node_id string, status string, fault_type string, confidence double")
+    nodes, edges, seen = tool_world(spark, sf_dir)
+    kinds = (*tools.AGENT_TOOLS, "no_such_tool")
+    systems = F.array(*map(F.lit, ("region", "nation", "supplier", "customer", "part")))
+    tool = F.get(F.array(*map(F.lit, kinds)), (F.col("o_orderkey") % len(kinds)).cast("int"))
+    node = F.concat(F.lit("nation::"), (F.col("o_custkey") % 30).cast("string"))
+    calls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), tool.alias("tool"), node.alias("node_id"), F.get(systems, (F.col("o_custkey") % 5).cast("int")).alias("system_id"))
     return tools.execute(calls, nodes, edges, seen)
 
 

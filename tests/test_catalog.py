@@ -41,3 +41,13 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_every_order_is_a_tool_call(spark):
+    out = catalog.QUERIES["tool_calls"](spark, SF).collect()
+    assert len(out) == spark.read.parquet(f"{SF}/orders.parquet").count() == len({r.call_id for r in out})
+    answered = {t: [r for r in out if r.tool == t and r["items"]] for t in catalog.tools.AGENT_TOOLS}
+    assert {r.tool for r in out} == {*catalog.tools.AGENT_TOOLS, "no_such_tool"}
+    assert all(answered[t] for t in ("get_system_overview", "get_node_children", "get_node_sensors", "get_related_systems", "diagnose_node"))
+    assert all(len(r["items"]) == 1 for r in answered["diagnose_node"])
+    assert {r.status for r in out if r.tool == "no_such_tool"} == {"error"}
