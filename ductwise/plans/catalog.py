@@ -321,8 +321,9 @@ def mutual_substring(spark, sf_dir):
 @query("""WITH b AS (SELECT DISTINCT substr(text, 1, 40) AS needle FROM benchmark WHERE text <> '')
 SELECT needle, min(doc_id) AS doc_id, count(*) AS n_matches FROM documents JOIN b ON contains(text, needle) GROUP BY needle""")
 def theta_substring_link(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 40).alias("needle"))
-    return matching.substring_links(b, "needle", table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+    b = table(spark, sf_dir, "benchmark").select(F.col("text").alias("whole"))  # the whole passage is matched; its first 40 characters only name it
+    found = matching.substring_links(b, "whole", table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+    return found.select(F.substring("whole", 1, 40).alias("needle"), "doc_id", "n_matches")
 
 
 @query("""WITH l AS (SELECT p_partkey, replace(lower(p_type), ' ', '_') AS label FROM part), t AS (SELECT DISTINCT split_part(lower(p_type), ' ', 1) AS template FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT replace(lower(p_type), ' ', '_') FROM part WHERE p_partkey % 50 = 0)
