@@ -18,16 +18,20 @@ def wide_features(stats: DataFrame, by: list[str], sensor: str, sensors: list[st
 
 
 def train(features: DataFrame, columns: list[str], label: str, key: Column, cap: int = 2500, val_share: float = 0.15, trees: int = 40, depth: int = 8, seed: int = 42) -> dict:
-    """Cap classes, renumber labels, split by class, weight classes, fit a forest. Returns the model, its labels and both parts with predictions."""
-    rows = class_cap(dense_labels(features, label), label, [F.xxhash64(key, F.lit(seed)), key], cap)
-    rows = Imputer(inputCols=columns, outputCols=columns, strategy="median").fit(rows).transform(rows)
-    rows = stratified_split(rows, label, key, val_share, seed)
-    weights = class_weights(rows.where("NOT is_val"), label).select(label, "weight")
-    rows = VectorAssembler(inputCols=columns, outputCol="features_", handleInvalid="keep").transform(rows.join(F.broadcast(weights), label))  # a row for each class
+    """Renumber labels, split by class, cap the classes of the part to fit, weight classes, fit a forest. Returns the model, its labels and all rows with predictions.
+
+    The cap holds for fitting alone. ``is_val`` is null for rows whose label is not learnt; they are scored too.
+    """
+    rows = dense_labels(features, label, how="left")
+    rows = Imputer(inputCols=columns, outputCols=columns, strategy="median").fit(rows.where("class_id IS NOT NULL")).transform(rows)
+    rows = stratified_split(rows, label, key, val_share, seed).withColumn("is_val", F.when(F.col("class_id").isNotNull(), F.col("is_val")))
+    rows = VectorAssembler(inputCols=columns, outputCol="features_", handleInvalid="keep").transform(rows)
+    fitted = class_cap(rows.where("NOT is_val"), label, [F.xxhash64(key, F.lit(seed)), key], cap)
+    weights = class_weights(fitted, label).select(label, "weight")
     forest = RandomForestClassifier(featuresCol="features_", labelCol="class_id", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="probability_", rawPredictionCol="raw_", predictionCol="prediction_")
-    model = forest.fit(rows.where("NOT is_val"))
+    model = forest.fit(fitted.join(F.broadcast(weights), label))  # a row for each class
     scored = model.transform(rows)
-    names = [r[label] for r in rows.select("class_id", label).distinct().orderBy("class_id").collect()]
+    names = [r[label] for r in rows.where("class_id IS NOT NULL").select("class_id", label).distinct().orderBy("class_id").collect()]
     return {"model": model, "labels": names, "feature_cols": columns, "scored": scored.select(*[c for c in rows.columns if c != "features_"], vector_to_array("probability_").alias("probabilities"))}
 
 

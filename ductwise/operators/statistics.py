@@ -20,11 +20,11 @@ def class_cap(df: DataFrame, label: str, order: list[Column], cap: int) -> DataF
     return df.withColumn("rank_", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("rank_") <= cap).drop("rank_")
 
 
-def dense_labels(df: DataFrame, label: str, least: int = 2) -> DataFrame:
-    """Labels with at least ``least`` rows, renumbered from 0 without gaps."""
+def dense_labels(df: DataFrame, label: str, least: int = 2, how: str = "inner") -> DataFrame:
+    """Labels with at least ``least`` rows, renumbered from 0 without gaps; a left join keeps the rows of others, without a number."""
     kept = df.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     ids = kept.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).alias("class_id"))  # a row for each label
-    return df.join(ids, label)
+    return df.join(ids, label, how)
 
 
 def calibration_bins(df: DataFrame, confidence: str, correct: str, bins: int = 15) -> DataFrame:

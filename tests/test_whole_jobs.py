@@ -16,3 +16,13 @@ def test_links_need_the_whole_passage(spark, tmp_path):
     write(spark, tmp_path, "documents", [(1, start + "only the opening"), (2, f"x {a} y"), (3, f"{b} {a}")], "doc_id long, text string")
     out = catalog.QUERIES["theta_substring_link"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.n_matches) for r in out) == [(2, 2), (3, 1)] and {r.needle for r in out} == {start}
+
+
+def test_cap_of_fitting_leaves_no_row_unscored(spark):
+    from ductwise.operators import models
+
+    rows = [(i, f"c{i % 3}", float(i % 3), float(i)) for i in range(300)] + [(999, "rare", 0.0, 0.0)]
+    got = models.train(spark.createDataFrame(rows, "id int, label string, a double, b double"), ["a", "b"], "label", F.col("id"), cap=20, trees=3, depth=3)
+    scored = got["scored"].collect()
+    assert sorted(r.id for r in scored) == [r[0] for r in rows] and all(len(r.probabilities) == 3 for r in scored)
+    assert got["labels"] == ["c0", "c1", "c2"] and sum(r.is_val is True for r in scored) == 45
