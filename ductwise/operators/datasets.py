@@ -40,8 +40,12 @@ def sample_by_type(df: DataFrame, kind: str, key: Column, wanted: int, seed: int
     return df.withColumn("rank_", rank).where(F.col("rank_") <= limit).drop("rank_")
 
 
-def assign_groups(sizes: list[tuple[str, dict[str, int]]], shares: dict[str, float]) -> dict[str, str]:
-    """Greedy split of whole groups: largest first, to the split that 0.75 size and 0.25 type balance favour; over target costs five times."""
+def assign_groups(sizes: list[tuple[str, dict[str, int]]], shares: dict[str, float], members: dict[str, int] | None = None) -> dict[str, str]:
+    """Greedy split of whole groups: largest first, to the split that 0.75 size and 0.25 type balance favour; over target costs five times.
+
+    With ``members`` an entry stands for so many groups; entries go by the size of one of their groups.
+    """
+    members = members or {}
     total = sum(sum(t.values()) for _, t in sizes)
     kinds: dict[str, int] = defaultdict(int)
     for _, t in sizes:
@@ -55,7 +59,7 @@ def assign_groups(sizes: list[tuple[str, dict[str, int]]], shares: dict[str, flo
         return -(target - now) / target if now <= target else 5 * (now - target) / target
 
     out = {}
-    for group, t in sorted(sizes, key=lambda x: (-sum(x[1].values()), x[0])):
+    for group, t in sorted(sizes, key=lambda x: (-sum(x[1].values()) // members.get(x[0], 1), x[0])):
         n = sum(t.values())
 
         def score(s: str) -> float:
@@ -70,25 +74,22 @@ def assign_groups(sizes: list[tuple[str, dict[str, int]]], shares: dict[str, flo
     return out
 
 
-def grouped_split(df: DataFrame, group: str, kind: str, shares: dict[str, float] | None = None, hot: int = 100_000) -> DataFrame:
+def grouped_split(df: DataFrame, group: str, kind: str, shares: dict[str, float] | None = None, hot: int = 1024) -> DataFrame:
     """Adds ``split``; no group is in two splits.
 
-    Up to ``hot`` groups are placed greedily on the driver from their counts; more groups are placed by a hash of the group.
+    Groups with the same counts by type are dealt by hash to at most ``hot`` blocks, which are placed greedily, whatever their number.
     """
     shares = shares or {"train": 0.8, "val": 0.1, "test": 0.1}
     counts = df.groupBy(group, kind).agg(F.count("*").alias("n"))
-    if counts.select(group).distinct().limit(hot + 1).count() > hot:
-        place, cut, out = F.pmod(F.xxhash64(group), F.lit(10_000)) / 10_000, 0.0, None
-        for s, share in shares.items():
-            cut += share
-            out = F.when(place < cut, s) if out is None else out.when(place < cut, s)
-        return df.withColumn("split", out.otherwise(next(iter(shares))))
-    by: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counts.collect():
-        by[r[group]][r[kind]] = r["n"]
-    placed = assign_groups(list(by.items()), shares)
-    table = df.sparkSession.createDataFrame(list(placed.items()) or [], f"`{group}` {dict(df.dtypes)[group]}, split string")
-    return df.join(F.broadcast(table), group, "left") if placed else df.withColumn("split", F.lit(None).cast("string"))  # at most `hot` groups
+    groups = counts.groupBy(F.col(group).alias("g_")).agg(F.array_sort(F.collect_list(F.struct(F.col(kind).alias("kind"), "n"))).alias("shape_"))
+    groups = groups.withColumn("block_", F.concat_ws("/", F.pmod(F.xxhash64("g_"), F.lit(hot)).cast("string"), F.sha2(F.to_json("shape_", {"ignoreNullFields": "false"}), 256)))
+    blocks = groups.groupBy("block_").agg(F.first("shape_").alias("shape"), F.count("*").alias("m")).collect()  # at most `hot` for each different shape
+    placed = assign_groups([(r.block_, {x.kind: x.n * r.m for x in r["shape"]}) for r in blocks], shares, {r.block_: r.m for r in blocks})
+    if not placed:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    table = df.sparkSession.createDataFrame(list(placed.items()), "block_ string, split string")
+    table = groups.join(table, "block_").select("g_", "split")
+    return df.join(table, F.col(group).eqNullSafe(F.col("g_")), "left").drop("g_")
 
 
 def target_cap(df: DataFrame, kind: str, targets: dict[str, int], order: list[Column]) -> DataFrame:

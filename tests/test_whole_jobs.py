@@ -26,3 +26,15 @@ def test_cap_of_fitting_leaves_no_row_unscored(spark):
     scored = got["scored"].collect()
     assert sorted(r.id for r in scored) == [r[0] for r in rows] and all(len(r.probabilities) == 3 for r in scored)
     assert got["labels"] == ["c0", "c1", "c2"] and sum(r.is_val is True for r in scored) == 45
+
+
+def test_split_holds_shares_by_rows_at_any_number_of_groups(spark):
+    from ductwise.operators import datasets
+
+    many = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("g"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("k"))
+    rows = many.unionByName(spark.range(1500).select(F.lit("big").alias("g"), F.lit("a").alias("k")))
+    for hot in (1024, 50):
+        out = datasets.grouped_split(rows, "g", "k", hot=hot)
+        n = {(r.split, r.k): r["count"] for r in out.groupBy("split", "k").count().collect()}
+        assert out.where("g = 'big'").select("split").distinct().collect()[0].split == "train"
+        assert sum(n.values()) == 4500 and all(abs(n[s, k] - w * t) <= 60 for s, w in (("train", 0.8), ("val", 0.1), ("test", 0.1)) for k, t in (("a", 3000), ("b", 1500)))
