@@ -313,7 +313,7 @@ def fault_family_rules(spark, sf_dir):
 @query("WITH s AS (SELECT DISTINCT source FROM documents), l AS (SELECT DISTINCT source FROM documents WHERE doc_id < 40) SELECT l.source AS part, s.source AS whole FROM l, s WHERE contains(s.source, l.source) OR contains(l.source, s.source)")
 def mutual_substring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    part = docs.where("doc_id < 40").select(F.upper("source").alias("p")).distinct()
+    part = docs.select(F.upper("source").alias("p")).distinct()
     found = docs.select("source").distinct().join(part, L.mutual_substring(F.col("source"), F.col("p")))
     return found.select(F.lower("p").alias("part"), F.col("source").alias("whole"))
 

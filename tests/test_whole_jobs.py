@@ -38,3 +38,9 @@ def test_split_holds_shares_by_rows_at_any_number_of_groups(spark):
         n = {(r.split, r.k): r["count"] for r in out.groupBy("split", "k").count().collect()}
         assert out.where("g = 'big'").select("split").distinct().collect()[0].split == "train"
         assert sum(n.values()) == 4500 and all(abs(n[s, k] - w * t) <= 60 for s, w in (("train", 0.8), ("val", 0.1), ("test", 0.1)) for k, t in (("a", 3000), ("b", 1500)))
+
+
+def test_a_source_that_first_comes_late_is_matched(spark, tmp_path):
+    write(spark, tmp_path, "documents", [(1, "web"), (99, "webnews")], "doc_id long, source string")
+    out = catalog.QUERIES["mutual_substring"](spark, str(tmp_path)).collect()
+    assert sorted((r.part, r.whole) for r in out) == [("web", "web"), ("web", "webnews"), ("webnews", "web"), ("webnews", "webnews")]
