@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so batches are small.
 ARROW_ROWS = 500
+#: Characters of a labelled text that is learnt from at most.
+LONGEST = 100_000
 
 _own_dirs: list[tempfile.TemporaryDirectory] = []
 
@@ -58,11 +60,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[int, str, int]]:
-    """At most ``per_class`` labelled documents for each value of ``label``, never of the held-out fold.
+    """At most ``per_class`` labelled documents for each value of ``label``, never of the held-out fold, in hash order.
 
-    The sample is the rows with the smallest hash of doc_id, so it is the same in every run.
-    Rows without text or label are left out; repeated labels of a document count once.
-    Only this bounded sample reaches the driver.
+    The sample is the rows with the smallest hash of doc_id, so it is the same in every run.  Rows without text or
+    label and texts of more than ``LONGEST`` characters are left out; repeated labels of a document count once, with the larger label,
+    and a repeated doc_id has the least of its texts.  Only this sample, bounded in rows and bytes, reaches the driver.
     """
     ids = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
@@ -74,11 +76,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         part = ids.where(F.col("label_") == value).orderBy("order_", "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * per_class ids: small enough to send to every executor
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "label_")), "doc_id")
-    got = {}
-    for r in rows.where(F.col("text").isNotNull()).collect():
-        got[r["doc_id"]] = (r["doc_id"], r["text"], r["label_"])
-    return [got[k] for k in sorted(got)]
+    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "label_", "order_").agg(F.min("text").alias("text"))
+    return [(r["doc_id"], r["text"], r["label_"]) for r in sorted(rows.collect(), key=lambda r: (r["order_"], r["doc_id"]))]
 
 
 def class_shares(labels: DataFrame, label: str) -> dict[int, float]:

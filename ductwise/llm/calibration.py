@@ -28,7 +28,11 @@ class Logistic:
         return np.column_stack([(x - self.centre) / self.scale, np.ones(len(x))])
 
     def __call__(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._inputs(np.asarray(features, float)) @ self.weights, -30, 30)))
+        # column by column, so that a row's rounding doesn't depend on its place
+        total = np.zeros(len(features))
+        for column, weight in zip(self._inputs(np.asarray(features, float)).T, self.weights.tolist()):
+            total = total + column * weight
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def class_weights(labels: np.ndarray, shares: dict[int, float]) -> np.ndarray:

@@ -6,8 +6,8 @@ clean ones; all tokens of clean documents are clean.  The field has hashed word,
 between the tags, fitted by gradient steps on the exact likelihood.  Forward-backward marginals of all tokens give
 the expected number of toxic tokens, which is calibrated to the document's score, and the offending spans.
 
-All documents of a batch form one chain: a document's first token has a transition that forgets what came before.  The
-chain is run in blocks side by side, joined by the blocks' transition products, which is exact.
+Documents are run side by side in blocks of tokens; a document starts a block of its own and its blocks are joined by their
+transition products, which is exact.  No number of a document depends on its neighbours in a batch.
 
 Defined results: null and empty texts have no tokens and get the lowest evidence, so a low score; equal texts get
 equal scores; other columns are ignored; without both labels the score is the share of label 1, 0.5 without any.
@@ -29,7 +29,7 @@ from .calibration import Logistic, class_weights
 
 #: Labelled texts of each class that are learnt from at most.
 PER_CLASS = 1500
-#: Texts of each class that the field itself is fitted on at most.
+#: Texts of each class that the field itself is fitted on at most: those of least hash.
 FIELD_TEXTS = 500
 BUCKETS = 1 << 18
 #: G statistic from which a feature counts as toxic evidence, and the least share of its documents that are toxic.
@@ -69,35 +69,47 @@ class Field:
         self.start = np.array([0.99, 0.01])
 
     def _factors(self, e: np.ndarray, first: np.ndarray):
-        """Transition factors of each token, (block place, block)."""
-        blocks = -(-len(e) // BLOCK)
-        pad = blocks * BLOCK - len(e)
-        up = np.exp(np.clip(np.concatenate([e, np.zeros(pad)]), -30, 30)).reshape(blocks, BLOCK).T
-        head = np.concatenate([first, np.ones(pad, bool)]).reshape(blocks, BLOCK).T
-        pick = lambda a, b: np.ascontiguousarray(np.where(head, self.start[b], self.trans[a, b]) * (up if b else 1.0))
-        return pick(0, 0), pick(0, 1), pick(1, 0), pick(1, 1)
+        """Transition factors (block place, block), whether a block begins a chain, place of each token."""
+        begin = np.flatnonzero(first)
+        sizes = np.diff(begin, append=len(e))
+        blocks = -(-sizes // BLOCK)
+        head = np.zeros(int(blocks.sum()), bool)
+        head[np.cumsum(blocks) - blocks] = True
+        place = np.arange(len(e)) + np.repeat((np.cumsum(blocks) - blocks) * BLOCK - begin, sizes)
+        up = np.ones(len(head) * BLOCK)
+        up[place] = np.exp(np.clip(e, -30, 30))
+        real = np.zeros(len(up), bool)
+        real[place] = True
+        up, real = np.ascontiguousarray(up.reshape(-1, BLOCK).T), np.ascontiguousarray(real.reshape(-1, BLOCK).T)
+        heads = np.zeros_like(real)
+        heads[0] = head
+
+        def pick(a: int, b: int) -> np.ndarray:
+            factor = np.where(heads, self.start[b], self.trans[a, b]) * (up if b else 1.0)
+            return np.where(real, factor, float(a == b))  # what fills a chain's last block changes nothing
+
+        return pick(0, 0), pick(0, 1), pick(1, 0), pick(1, 1), head, place
 
     def chain(self, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(odds of toxic given what precedes, given what follows, marginal probability) of each token."""
-        n = len(e)
-        if not n:
+        """(odds of toxic given what precedes, given what follows, marginal probability) of each token; ``first`` marks where chains begin."""
+        if not len(e):
             return e, e, e
-        m00, m01, m10, m11 = self._factors(e, first)
+        m00, m01, m10, m11, head, place = self._factors(e, first)
         blocks = m00.shape[1]
         a, b, c, d = np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks)
         for t in range(BLOCK):
             a, b, c, d = a * m00[t] + b * m10[t], a * m01[t] + b * m11[t], c * m00[t] + d * m10[t], c * m01[t] + d * m11[t]
             scale = 1 / (a + b + c + d)
             a, b, c, d = a * scale, b * scale, c * scale, d * scale
-        into, out = np.empty(blocks), np.empty(blocks)
-        product, r, q = list(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())), 1.0, 1.0
+        into, out = np.ones(blocks), np.ones(blocks)
+        product, begins, r, q = list(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())), head.tolist(), 1.0, 1.0
         for k, (w, x, y, z) in enumerate(product):
-            into[k] = r
+            into[k] = r = 1.0 if begins[k] else r
             r = (x + r * z) / (w + r * y)
         for k in range(blocks - 1, -1, -1):
             out[k] = q
             w, x, y, z = product[k]
-            q = (y + z * q) / (w + x * q)
+            q = 1.0 if begins[k] else (y + z * q) / (w + x * q)
         ahead, behind = np.empty_like(m00), np.empty_like(m00)
         r, q = into, out
         for t in range(BLOCK):
@@ -106,7 +118,7 @@ class Field:
         for t in range(BLOCK - 1, -1, -1):
             behind[t] = q
             q = (m10[t] + m11[t] * q) / (m00[t] + m01[t] * q)
-        ahead, behind = ahead.T.ravel()[:n], behind.T.ravel()[:n]
+        ahead, behind = ahead.T.ravel()[place], behind.T.ravel()[place]
         odds = ahead * behind
         return ahead, behind, odds / (1 + odds)
 
@@ -120,7 +132,7 @@ class Field:
     def fit(self, buckets: np.ndarray, index: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int = 60, rate: float = 0.4, ridge: float = 1e-3) -> None:
         """Adaptive gradient steps on the penalised log likelihood. ``buckets`` has a row for each distinct word."""
         log_trans, log_start = np.log(self.trans), np.log(self.start)
-        size, n = np.full(BUCKETS, 1e-3), max(len(index), 1)
+        size = np.full(BUCKETS, 1e-3)
         rest = np.flatnonzero(~first)
         seen = np.bincount(tags[rest - 1] * 2 + tags[rest], minlength=4).reshape(2, 2)
         begun = np.bincount(tags[first], minlength=2)
@@ -205,8 +217,8 @@ class Model:
 
     def evidence(self, names: list[str], index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(features of each text, toxic marginal of each token)."""
-        first = np.zeros(len(index), bool)
         starts = np.cumsum(counts) - counts
+        first = np.zeros(len(index), bool)
         first[starts] = True
         _, _, p = self.field.chain(self._emissions(names)[index], first)
         if not len(counts):
