@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ ARROW_ROWS = 500
 LONGEST = 100_000
 
 _own_dirs: list[tempfile.TemporaryDirectory] = []
+_scratch: list[str] = []
 
 
 def tune(spark: SparkSession) -> None:
@@ -32,24 +34,45 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, local mode) a temporary folder is made and set.
+    Only in local mode, and only where the session has none, a temporary folder is made; on a cluster a missing setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dirs:
         _own_dirs.append(tempfile.TemporaryDirectory(prefix="ductwise-"))
         atexit.register(_own_dirs[0].cleanup)
     return f"file://{_own_dirs[0].name}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd", tasks: int | None = None) -> DataFrame:
+def _folder(spark: SparkSession) -> str:
+    """The folder of the innermost ``scratch``, or else that of this package."""
+    return _scratch[-1] if _scratch else f"{shared_dir(spark)}/ductwise"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written within are deleted at the end, once what outlives them is written ``under`` the folder that this gives."""
+    outer = _folder(spark)
+    _scratch.append(f"{outer}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield outer
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd", tasks: int | None = None, under: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
     ``tasks`` merges the partitions of a table whose size is known, so that few rows don't become many files.
+    ``under`` is another folder than the innermost one.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ductwise/{name}-{uuid.uuid4().hex}"
+    path = f"{under or _folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df if tasks is None else df.coalesce(tasks)).write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -86,9 +109,3 @@ def class_shares(labels: DataFrame, label: str) -> dict[int, float]:
     rows = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 1)).groupBy(F.col(label).alias("label_")).count().collect()
     total = sum(r["count"] for r in rows) or 1
     return {r["label_"]: r["count"] / total for r in rows}
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this package from the shared folder, once results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ductwise")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

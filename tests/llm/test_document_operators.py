@@ -196,6 +196,37 @@ def test_near_duplicates(spark, odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs, size=2).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b + " fifteen"), (9, a.upper()), (11, "x y z"), (11, "x y w"), (12, ""), (12, " "), (None, a)]
+    docs = spark.createDataFrame([(t, i, k) for k, (i, t) in enumerate(rows)], "text string, doc_id long, extra int")
+    want, _ = brute_components([r for r in rows if r[0] is not None], 2, 80)
+    out = neardup.near_duplicates(docs, size=2, percent=80).collect()
+    got = defaultdict(set)
+    for r in out:
+        got[r.doc_id].add((r.component_id, r.kept))
+    assert len(out) == len(rows) and got.pop(None) == {(None, True)}
+    assert dict(got) == {i: {(want[i], want[i] == i)} for i in want}
+    # by texts: each text of a group once, unlike texts and rows without words or id all stay
+    kept = neardup.one_of_each(docs, size=2, percent=80)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, a), (5, b), (11, "x y z"), (11, "x y w"), (12, ""), (12, " "), (None, a)])
+
+
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(w if rng.random() > 0.08 else f"x{rng.randrange(99)}" for w in base)) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want, _ = brute_components(docs, 2, 80)
+    for paired, slice_ in ((10**9, neardup.SLICE), (0, 500)):
+        monkeypatch.setattr(neardup, "PAIRED", paired)
+        monkeypatch.setattr(neardup, "SLICE", slice_)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame, size=2, percent=80, rows=1).collect()} == want
+
+
 def test_near_duplicates_of_a_table(spark):
     docs = rows_of(spark.read.parquet(f"{SF}/documents.parquet"))
     want, _ = brute_components(docs, 2, 80)
