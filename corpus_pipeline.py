@@ -7,11 +7,11 @@ the rejected ids, so rows with a null doc_id stay and a short list needs no shuf
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ductwise.llm import langid, neardup, packing, quality, secrets
-from ductwise.llm._runtime import materialise
+from ductwise.llm._runtime import materialise, scratch
 
 #: No SQL expresses a stage; the tests compare with brute force.
 ORACLE_SQL = None
@@ -34,11 +34,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8), and one row of each doc_id."""
-    kept = _without(docs, neardup.near_duplicates(docs, size=5, percent=80).where("NOT kept"), "duplicates")
-    again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = kept.join(again, "doc_id").select(*docs.columns).withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")))
-    return _without(kept, again, "repeated").select(*docs.columns).unionByName(once.where("nth_ = 1").select(*docs.columns))
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8); unlike texts stay, whatever their ids."""
+    return neardup.one_of_each(docs, size=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +62,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as outer:  # a stage's own tables go once its result is written
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}", under=outer)
+    return STAGES[-1][1](spark, docs, sf_dir)
