@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from ._runtime import tune
 from .tokens import BatchEncoder, byte_table, spread
 
 FRAME = "doc_id long, ids array<int>, byte_start array<int>, char_start array<int>, decoded binary"
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split_tokens long"
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split_tokens long, offsets_crc32 long"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -131,7 +132,11 @@ def encode_frame(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode, decode the ids again and digest both. Columns: ``DIGEST``; n_split_tokens start inside a character."""
+    """Encode, decode the ids again and digest both. Columns: ``DIGEST``.
+
+    n_split_tokens start inside a character; offsets_crc32 is of the tokens' first bytes, then of the characters that hold them, as
+    little-endian unsigned 32-bit integers.
+    """
     tune(docs.sparkSession)
     document = tokenizer_json(read_ranks(ranks_path), pattern)
 
@@ -146,13 +151,17 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             inside = np.concatenate([[0], np.cumsum((data[ends[:-1]] & 0xC0) == 0x80)]) if len(ids) else ends
             edge = np.concatenate([[0], np.cumsum(counts)])
             raw, listed = data.tobytes(), ids.tolist()
-            ids_hash, text_hash = [], []
+            heads = np.cumsum((data & 0xC0) != 0x80)
+            ids_hash, text_hash, places = [], [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 ids_hash.append(hashlib.sha256(b" ".join([decimal[i] for i in listed[a:b]])).hexdigest())
                 text_hash.append(hashlib.sha256(raw[ends[a] : ends[b]]).hexdigest())
+                first = ends[a:b]
+                chars = heads[first] - heads[first[:1]] if b > a else first
+                places.append(zlib.crc32(np.concatenate([first - ends[a], chars]).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), pa.array(np.diff(inside[edge]), pa.int64())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split_tokens"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), pa.array(np.diff(inside[edge]), pa.int64()), pa.array(places, pa.int64())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split_tokens", "offsets_crc32"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST)

@@ -7,7 +7,7 @@ taken out of its host's sum.  The declared language's likelihood is its smoothed
 
 Defined results: a text without words (null or empty) has no evidence of its own, gets language 'und' and is not
 accepted; null host, suffix and declared language are groups of their own or no evidence; equal rows get equal results; other
-columns are ignored; without labelled text every row is 'und'.
+columns are ignored; without labelled text every row is 'und'; of languages with equal posteriors the first by name wins.
 """
 
 from __future__ import annotations
@@ -20,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import materialise, tune
+from ._runtime import LONGEST, materialise, tune
 from .toxicity import words
 
-#: Texts of each language that the trigram model is fitted on at most, and languages at most.
+#: Texts of each language that the trigram model is fitted on: at most, and at least (rarer names are likely errors).
 PER_LANGUAGE = 400
-LANGUAGES = 200
+LEAST_TEXTS = 3
 BUCKETS = 1 << 16
 CACHE_WORDS = 200_000
 #: Trigrams after which further text adds less and less evidence.
 EVIDENCE = 200.0
+#: The language that a document's first tag declares.
+DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})"
 #: Weight of a level's parent, in rows.
 KAPPA = 20.0
 
@@ -91,16 +93,18 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from (doc_id, text, lang); of each language about ``per_language`` texts, those of least hash, reach the driver."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    """A model of every language that (doc_id, text, lang) has ``LEAST_TEXTS`` texts of; the ``per_language`` texts of least hash reach the driver.
+
+    Texts of more than ``LONGEST`` characters aren't learnt from.
+    """
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST)).select("text", "lang", F.xxhash64("doc_id", "text").alias("place"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(f"count >= {LEAST_TEXTS}").collect()}
     if not counts:
         return Model([])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1_000_000, math.ceil(1e6 * per_language / n))))))
-    sample = rows.where(place < F.element_at(share, F.col("lang"))).withColumn("place", F.xxhash64("doc_id"))
+    sample = rows.where(F.pmod("place", F.lit(1_000_000)) < F.element_at(share, F.col("lang"))).distinct()
     got, taken = [], dict.fromkeys(counts, 0)
-    for r in sorted(sample.collect(), key=lambda r: (r["place"], r["doc_id"], r["text"])):
+    for r in sorted(sample.collect(), key=lambda r: (r["place"], r["text"])):
         if taken[r["lang"]] < per_language:
             taken[r["lang"]] += 1
             got.append((r["text"], r["lang"]))
@@ -108,8 +112,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def _softmax(logs: Column) -> Column:
-    powers = F.transform(F.array(logs), lambda x: F.transform(x, lambda v: F.exp(v - F.array_max(x))))[0]
-    return F.transform(F.array(powers), lambda p: F.transform(p, lambda v: v / F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))[0]
+    powers = F.transform(F.array(F.struct(logs.alias("x"), F.array_max(logs).alias("m"))), lambda s: F.transform(s["x"], lambda v: F.exp(v - s["m"])))[0]
+    return F.transform(F.transform(F.array(powers), lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0.0), lambda a, b: a + b).alias("t"))), lambda s: F.transform(s["p"], lambda v: v / s["t"]))[0]
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
@@ -123,7 +127,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", threshold: floa
     if not size:
         return columns.select(key, F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), "declared", F.lit(0.0).alias("host_prior"), F.lit(False).alias("accepted"))
     kind = dict(columns.dtypes)[key]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows by at most LANGUAGES columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, a column for each language that has labelled texts
 
     def run(batches):
         for batch in batches:
@@ -178,13 +182,14 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", threshold: floa
 
 
 def document_columns(docs: DataFrame) -> DataFrame:
-    """Documents: the source stands for the host; there is no address and no markup."""
-    return docs.select("doc_id", "text", F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("string").alias("declared"))
+    """Documents: the source is the host, its last part (after a full stop) the suffix; markup in the text may declare a language."""
+    suffix = F.nullif(F.regexp_extract("source", r"\.([A-Za-z]+)$", 1), F.lit(""))
+    return docs.select("doc_id", "text", F.col("source").alias("host"), F.lower(suffix).alias("suffix"), F.nullif(F.lower(F.regexp_extract("text", DECLARED, 1)), F.lit("")).alias("declared"))
 
 
 def page_columns(pages: DataFrame) -> DataFrame:
     """Pages: host and suffix of the address, language of the html tag, text without scripts, styles and tags."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1))
     bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-zA-Z#0-9]+;", " ")
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract("html", DECLARED, 1))
     return pages.select("page_id", bare.alias("text"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"), F.nullif(declared, F.lit("")).alias("declared"))

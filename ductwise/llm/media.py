@@ -6,8 +6,8 @@ of chunks that is deduplicated by digest; the others stay with their document, s
 fixed size tells the two apart when the payloads are cut: a false alarm only sends a chunk the shared way, as
 does a filter that is too full for a very large corpus.
 
-A document's stored form is its manifest (magic, payload length, and length and digest of each chunk in order) followed by the
-compressed chunks in order.  Reading checks every chunk against its digest and the payload against its own.
+A document's stored form is its manifest (magic, payload length, and length and digest of each chunk in order) followed by its
+compressed chunks, each once, in the order of first use: all that is stored for it.  Reading checks every chunk against its digest and the payload against its own.
 
 Defined results: null text is empty text, whose payload is 64 zero bytes; equal texts have equal values; repeated rows
 stay repeated; other columns are ignored; an empty table gives an empty result.
@@ -169,7 +169,7 @@ def rebuild(manifest: bytes, blobs: dict[bytes, bytes], decompress) -> tuple[byt
     if manifest[:4] != MAGIC:
         raise ValueError("not a chunk manifest")
     total, n = struct.unpack_from("<QI", manifest, 4)
-    at, parts, stored = 4 + struct.calcsize("<QI"), [], [manifest]
+    at, parts, stored, known = 4 + struct.calcsize("<QI"), [], [manifest], set()
     for _ in range(n):
         (size,) = struct.unpack_from("<I", manifest, at)
         name = manifest[at + 4 : at + 20]
@@ -178,7 +178,9 @@ def rebuild(manifest: bytes, blobs: dict[bytes, bytes], decompress) -> tuple[byt
         if len(chunk) != size or digest(chunk) != name:
             raise ValueError("a stored chunk differs from its digest")
         parts.append(chunk)
-        stored.append(blobs[name])
+        if name not in known:
+            known.add(name)
+            stored.append(blobs[name])
     data = b"".join(parts)
     if len(data) != total:
         raise ValueError("a payload differs from its manifest")
@@ -215,7 +217,8 @@ def load(kept: DataFrame, chunks: DataFrame) -> DataFrame:
     columns = ["doc_id", "n_bytes", "payload_sha256", "manifest", "own"]
     alone = kept.where("size(shared) = 0").select(*columns, F.lit(None).cast("array<struct<digest:binary,blob:binary>>").alias("parts"))
     partly = kept.where("size(shared) > 0")
-    # a payload's shared chunks are no more than the payload
-    refs = partly.select("payload_sha256", F.explode("shared").alias("digest")).distinct()
+    # a payload's shared chunks are no more than the payload; once they are a table, copies of one payload can be split among tasks
+    refs = materialise(partly.select("payload_sha256", F.explode("shared").alias("digest")).distinct(), "references")
     parts = refs.join(chunks, "digest").groupBy("payload_sha256").agg(F.collect_list(F.struct("digest", "blob")).alias("parts"))
+    parts = materialise(parts, "parts", codec="none")
     return alone.unionByName(partly.join(parts, "payload_sha256").select(*columns, "parts")).mapInArrow(run, MEDIA)

@@ -40,35 +40,51 @@ def _sums(counts: dict[int, int], most: int) -> int:
     return reach
 
 
+def _second(counts: dict[int, int], room: int) -> int:
+    """The largest y for which another item x >= y has x + y <= room; 0 if no two items fit."""
+    sizes = sorted(counts)
+    for y in reversed(sizes):
+        if 2 * y <= room and (counts[y] > 1 or any(y < x <= room - y for x in sizes)):
+            return y
+    return 0
+
+
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """(fixed sets with how often each is used, what is left).
 
-    For the largest item j, a set {j, k} dominates every feasible set with j if k is at least as large as
-    any sum of other items that fits beside j: whatever such a set holds beside j could take k's place elsewhere.
-    It does so when k fills the sequence, and when no sum of two or more items beats k.  An item
-    beside which nothing fits is fixed alone.
+    Let j be the largest item.  A set dominates the others that hold j if whatever they hold beside j could take the places of the
+    set's own items elsewhere.  Three kinds of sets are fixed as long as one is found: j alone if nothing fits beside it;
+    {j, k} if k fills the sequence or no sum of items that fits beats k; and {j, a, b} if at most two items fit beside
+    j, a is the largest that fits and b the largest beside it, and no pair that fits has a smaller item above b.
     """
     left = {k: n for k, n in counts.items() if n > 0}
     fixed: list[tuple[tuple[int, ...], int]] = []
+
+    def fix(items: tuple[int, ...], times: int) -> None:
+        fixed.append((items, times))
+        for x in items:
+            left[x] -= times
+        for x in set(items):
+            if left[x] <= 0:
+                del left[x]
+
     for j in sorted(left, reverse=True):
         room = capacity - j
         while left.get(j, 0) > 0:
-            others = [k for k, n in left.items() if k <= room and n - (k == j) > 0]
-            if not others:
-                fixed.append(((j,), left.pop(j)))
+            beside = {k: n - (k == j) for k, n in left.items() if k <= room and n - (k == j) > 0}
+            if not beside:
+                fix((j,), left[j])
+                break
+            k = max(beside)
+            if k == room or _sums(beside, room).bit_length() - 1 <= k:
+                fix((j, k), left[j] // 2 if k == j else min(left[j], left[k]))
+                continue
+            least = [x for x in sorted(beside) for _ in range(min(beside[x], 3))][:3]
+            rest = {x: n - (x == k) for x, n in beside.items() if x <= room - k and n - (x == k) > 0}
+            if not rest or (len(least) == 3 and sum(least) <= room) or max(rest) < _second(beside, room):
                 break
-            k = max(others)
-            if k < room:
-                beside = {x: left[x] - (x == j) for x in others}
-                if _sums(beside, room).bit_length() - 1 > k:
-                    break
-            times = left[j] // 2 if k == j else min(left[j], left[k])
-            fixed.append(((j, k), times))
-            for x in (j, k):
-                left[x] -= times
-            for x in {j, k}:
-                if left[x] <= 0:
-                    del left[x]
+            items = (j, k, max(rest))
+            fix(items, min(left[x] // items.count(x) for x in items))
     return fixed, left
 
 

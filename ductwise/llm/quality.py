@@ -120,7 +120,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text isn't rejected; texts of less than ``SHORT`` bytes hold too little evidence to reject."""
+    """The rows of ``docs`` whose text isn't rejected: score below ``threshold`` times n / (n + ``SHORT``) for a text of n bytes.
+
+    The factor is the trust that the features have too: the fewer bytes, the surer the classifier must be of label 0.
+    """
     tune(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -128,7 +131,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             score, _ = model.scores(texts)
-            short = np.array([len((t or "").encode("utf-8", "replace")) < SHORT for t in texts], bool)
-            yield batch.filter(pa.array((score >= threshold) | short, pa.bool_()))
+            n = np.fromiter((len((t or "").encode("utf-8", "replace")) for t in texts), float, len(texts))
+            yield batch.filter(pa.array(score >= threshold * n / (n + SHORT), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

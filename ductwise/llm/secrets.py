@@ -1,14 +1,15 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest; DataFrame operations only.
 
-A candidate is a run of at least 16 characters of keys and tokens that holds a digit.  Its features are its length,
-character classes and transitions between them, entropy, how much of it the words around candidates
-cover, its path, and the words next to it.  The forest is trained from labelled findings: either a table
-(doc_id, start, label) of reviewed findings, or, where there is none, ``weak_labels``.  Half of the training
-rows lose their neighbours' features, so that the forest also learns what a secret itself looks like.
+A candidate is a run of at least 16 characters of keys and tokens that holds a digit, or a quoted value of 6 characters and more that is
+assigned to a secret's name.  Its features are its length, character classes and transitions between them, entropy, how much of
+it words of the corpus' dictionary cover, its path, and the words next to it; a run like ``NAME=value`` is judged by its value, the name counts as
+a neighbour.  The forest is trained from labelled findings: either a table (doc_id, start, label) of reviewed
+findings, or, where there is none, ``weak_labels``, a rule on neighbours and entropy.  Half of the training rows lose
+their neighbours' features, so that the forest also learns what a secret itself looks like.
 
 Defined results: null and empty texts have no candidates; repeated rows have their findings repeated; a null path is
 an empty path; other columns are ignored; without both labels every candidate has the score of the labels' share,
-0 without any; an empty table gives an empty result.
+0 without any; ties in the dictionary and the training sample go by word and candidate; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,48 +27,92 @@ from ._runtime import materialise, tune
 #: Labelled findings that the forest is trained on at most, by hash order, and its size.
 LABELLED = 6000
 TREES, DEPTH = 20, 6
-#: Words around candidates that count as dictionary words: the most frequent ones.
-DICTIONARY_WORDS = 200
+#: Words of the dictionary: the most frequent ones of four letters and more in all documents.
+DICTIONARY_WORDS = 2000
 #: Characters kept on each side of a candidate.
 CONTEXT = 48
+#: Paths are told apart by so many groups of equal hash.
+PATH_GROUPS = 16
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,400}[0-9])[A-Za-z0-9+/_=-]{16,}"
-KEYWORD = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+NAMES = r"token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer"
+KEYWORD = rf"(?i)({NAMES})"
+ASSIGNED_VALUE = rf"(?i)(?:{NAMES})[A-Za-z0-9_]{{0,20}}[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"'][^\"'\s]{{6,200}}[\"']"
 HARMLESS = r"(?i)(commit|sha-?1|sha-?256|md5|checksum|digest|uuid|guid|isbn|phone|card|order|invoice|version)"
 ASSIGNED = r"[:=]\s*[\"'`]?$"
 
 CHARACTER = ["length", "digit_share", "upper_share", "lower_share", "hex", "digits_only", "transitions", "entropy", "coverage"]
-NEIGHBOURS = ["keyword", "harmless", "assigned", "quoted", "path_depth", "path_sample", "path_bucket"]
+NEIGHBOURS = ["keyword", "harmless", "assigned", "quoted", "path_depth", "path_sample"]
+PATHS = [f"path_{k}" for k in range(PATH_GROUPS)]
 
 
-def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """A row for each candidate: doc_id, path, start (characters before it), candidate, before, after."""
+def _matches(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """A row for each match: doc_id, path, text_key (hash of the text), start (characters before it), candidate, before, after."""
     text = F.col("text")
-    rows = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), "text").where(text.rlike(CANDIDATE))
-    rows = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("parts"))
-    # pieces before the candidates, and where each candidate starts
+    rows = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), F.xxhash64("text").alias("text_key"), "text").where(text.rlike(pattern))
+    rows = rows.select("doc_id", "path", "text_key", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), F.split("text", pattern, -1).alias("parts"))
+    # pieces before the matches, and where each match starts
     ends = F.aggregate(
         F.arrays_zip(F.transform("parts", F.length).alias("gap"), F.transform("found", F.length).alias("own")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
         lambda acc, x: F.struct((acc["at"] + x["gap"] + F.coalesce(x["own"], F.lit(0))).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")),
         lambda acc: acc["starts"],
     )
-    rows = rows.withColumn("starts", ends).select("doc_id", "path", "parts", "starts", F.posexplode("found").alias("k", "candidate"))
+    rows = rows.withColumn("starts", ends).select("doc_id", "path", "text_key", "parts", "starts", F.posexplode("found").alias("k", "candidate"))
     return rows.select(
-        "doc_id", "path", F.get("starts", F.col("k")).alias("start"), "candidate",
+        "doc_id", "path", "text_key", F.get("starts", F.col("k")).alias("start"), "candidate",
         F.right(F.get("parts", F.col("k")), F.lit(CONTEXT)).alias("before"), F.left(F.get("parts", F.col("k") + 1), F.lit(CONTEXT)).alias("after"),
     )
 
 
-def dictionary(found: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
-    """The most frequent words of four letters and more around candidates; ``size`` rows reach the driver at most."""
-    words = found.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("word"))
+def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
+    """A row for each run that may be a secret: doc_id, path, text_key, start, candidate, before, after."""
+    return _matches(docs, path, CANDIDATE)
+
+
+def assigned_values(docs: DataFrame, path: str = "source") -> DataFrame:
+    """The same for quoted values of secrets' names that hold no candidate, such as short or digit-free passwords."""
+    rows = _matches(docs, path, ASSIGNED_VALUE)
+    whole, quote = F.col("candidate"), F.right("candidate", F.lit(1))
+    value = F.regexp_extract(whole, r"[\"']([^\"'\s]+)[\"']$", 1)
+    size = F.length(value)
+    return rows.where(~value.rlike(CANDIDATE)).select(
+        "doc_id", "path", "text_key", (F.col("start") + F.length(whole) - 1 - size).alias("start"), value.alias("candidate"),
+        F.right(F.concat("before", F.left(whole, F.length(whole) - 1 - size)), F.lit(CONTEXT)).alias("before"), F.left(F.concat(quote, "after"), F.lit(CONTEXT)).alias("after"),
+    )
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
+    """The most frequent words of four letters and more in all texts; ``size`` rows reach the driver at most."""
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("length(word) BETWEEN 4 AND 30")
     return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).collect()]
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of the longest word that stands at a place, with common beginnings merged."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        ways = [re.escape(c) + pattern(below) for c, below in sorted(at.items()) if c]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)}){'?' if '' in at else ''}"
+
+    return pattern(tree)
+
+
 def features(found: DataFrame, words: list[str]) -> DataFrame:
-    """``found`` with the columns ``CHARACTER`` and ``NEIGHBOURS``, all double."""
-    c, n = F.col("candidate"), F.length("candidate").cast("double")
+    """``found`` with the columns ``CHARACTER``, ``NEIGHBOURS`` and ``PATHS``, all double."""
+    run = F.col("candidate")
+    name = F.regexp_extract(run, "^(.*=)[^=]{8}", 1)  # NAME= of NAME=value
+    c = F.right(run, F.length(run) - F.length(name))
+    before = F.concat("before", name)
+    n = F.length(c).cast("double")
 
     def share(pattern: str) -> Column:
         return F.regexp_count(c, F.lit(pattern)) / n
@@ -77,17 +122,16 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         F.transform(letters, lambda x: (F.length(c) - F.length(F.replace(c, x, F.lit("")))) / n),
         F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0),
     )
-    known = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    known = _any_of(words)
     coverage = 1 - F.length(F.regexp_replace(F.lower(c), known, "")) / n if known else F.lit(0.0)
     columns = {
         "length": n, "digit_share": share("[0-9]"), "upper_share": share("[A-Z]"), "lower_share": share("[a-z]"),
         "hex": c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "digits_only": c.rlike("^[0-9]+$"),
         "transitions": F.regexp_count(c, F.lit("(?<=[0-9])[^0-9]|(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]")) / n, "entropy": entropy, "coverage": coverage,
-        "keyword": F.col("before").rlike(KEYWORD), "harmless": F.col("before").rlike(HARMLESS), "assigned": F.col("before").rlike(ASSIGNED),
+        "keyword": before.rlike(KEYWORD), "harmless": before.rlike(HARMLESS), "assigned": before.rlike(ASSIGNED),
         "quoted": F.col("after").rlike("^[\"'`]"), "path_depth": F.size(F.split("path", "/")), "path_sample": F.col("path").rlike("(?i)(test|example|sample|fixture|mock)"),
-        "path_bucket": F.pmod(F.xxhash64("path"), F.lit(16)),
-    }
-    return found.select("*", *(columns[x].cast("double").alias(x) for x in CHARACTER + NEIGHBOURS))
+    } | {x: F.pmod(F.xxhash64("path"), F.lit(PATH_GROUPS)) == k for k, x in enumerate(PATHS)}
+    return found.select("*", *(columns[x].cast("double").alias(x) for x in CHARACTER + NEIGHBOURS + PATHS))
 
 
 def weak_labels(rows: DataFrame) -> DataFrame:
@@ -104,30 +148,37 @@ def _with_gaps(rows: DataFrame) -> DataFrame:
     return rows.withColumns({x: F.when(hidden, 0.0).otherwise(F.col(x)) for x in ("keyword", "harmless", "assigned", "quoted")})
 
 
-def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """A row for each candidate. Columns: doc_id, start, length, candidate, score, is_secret."""
+def _scored(docs: DataFrame, path: str, labelled: DataFrame | None, threshold: float) -> DataFrame:
     tune(docs.sparkSession)
-    found = materialise(candidates(docs, path), "candidates")
-    rows = features(found, dictionary(found))
+    found = materialise(candidates(docs, path).unionByName(assigned_values(docs, path)), "candidates")
+    rows = features(found, [] if found.isEmpty() else dictionary(docs))
     known = weak_labels(rows) if labelled is None else rows.join(labelled.select("doc_id", "start", F.col("label").cast("double").alias("label")), ["doc_id", "start"])
-    sample = known.select("candidate", "start", "label", *CHARACTER, *NEIGHBOURS).orderBy(F.xxhash64("candidate", "start"), "candidate", "start").limit(LABELLED)
+    inputs = CHARACTER + NEIGHBOURS + PATHS
+    sample = known.select("candidate", "start", "label", *inputs).distinct().orderBy(F.xxhash64("candidate", "start"), "candidate", "start", "label", "path_depth").limit(LABELLED)
     sample = materialise(_with_gaps(sample), "findings")
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    out = rows.select("doc_id", "start", "candidate", *CHARACTER, *NEIGHBOURS)
+    out = rows.select("doc_id", "text_key", "start", F.col("candidate"), F.length("candidate").alias("run_length"), *inputs)
     if len(counts) < 2:
         score = F.lit(float(next(iter(counts), 0.0)))
     else:
-        assembler = VectorAssembler(inputCols=CHARACTER + NEIGHBOURS, outputCol="features_")
+        assembler = VectorAssembler(inputCols=inputs, outputCol="features_")
         forest = RandomForestClassifier(featuresCol="features_", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=17, probabilityCol="probability_", rawPredictionCol="raw_", predictionCol="prediction_")
         out = forest.fit(assembler.transform(sample)).transform(assembler.transform(out))
         score = vector_to_array("probability_")[1]
-    return out.select("doc_id", "start", F.col("length").cast("int").alias("length"), "candidate", F.round(score, 6).alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+    out = out.select("doc_id", "text_key", "start", F.col("run_length").alias("length"), "candidate", F.round(score, 6).alias("score"))
+    return out.withColumn("is_secret", F.col("score") >= threshold)
+
+
+def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """A row for each candidate. Columns: doc_id, start, length, candidate, score, is_secret."""
+    return _scored(docs, path, labelled, threshold).drop("text_key")
 
 
-def redact(docs: DataFrame, path: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret replaced by ``mark``. Documents with the same doc_id share their secrets."""
-    found = scan(docs, path).where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("secrets_"))
-    found = materialise(found.withColumnRenamed("doc_id", "holder_"), "secrets")
-    text = F.aggregate("secrets_", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("holder_")), "left")
+def redact(docs: DataFrame, path: str = "source", mark: str = "[SECRET]", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with every secret of a text replaced by ``mark``, longer ones first, so that none leaves a part of another behind."""
+    found = _scored(docs, path, labelled, threshold).where("is_secret")
+    found = found.groupBy(F.col("text_key").alias("of_")).agg(F.sort_array(F.collect_set(F.struct((-F.length("candidate")).alias("order"), "candidate"))).alias("secrets_"))
+    found = materialise(found, "secrets")  # a text's secrets are no more than the text
+    text = F.aggregate("secrets_", F.col("text"), lambda t, s: F.replace(t, s["candidate"], F.lit(mark)))
+    rows = docs.join(found, F.xxhash64("text") == F.col("of_"), "left")
     return rows.withColumn("text", F.when(F.col("secrets_").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)

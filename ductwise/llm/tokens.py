@@ -22,6 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_UNITS = 700_000
 #: Pattern matches kept apart from their units (punctuation, numbers).
 CACHE_MATCHES = 50_000
+#: Fixed value: the one pattern that the cutting into units holds for.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 _RUNS = _SPACE + _SPACE + r"|\x00"
 #: Full stops and commas that may belong to a longer match; where none are, each is a unit of its own.
@@ -60,6 +62,8 @@ class BatchEncoder:
     def __init__(self, tokenizer, pattern: str, cache_units: int = CACHE_UNITS):
         import regex
 
+        if pattern != PATTERN:
+            raise ValueError("texts are cut into units that only this pattern never matches across: " + PATTERN)
         if isinstance(tokenizer, str):
             from tokenizers import Tokenizer
 

@@ -107,6 +107,82 @@ def test_language(spark, odd_docs, no_docs):
     assert sum(r.lang == r.declared for r in pages) >= 0.97 * len(pages)
 
 
+def test_language_on_rows_it_was_not_fitted_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where("crc32(cast(doc_id AS string)) % 3 <> 1"))
+    got = langid.identify(langid.document_columns(docs), model).join(docs.select("doc_id", docs.lang.alias("want")), "doc_id").where("crc32(cast(doc_id AS string)) % 3 = 1").collect()
+    assert len(got) > 250 and sum(r.lang == r.want for r in got) >= 0.97 * len(got)
+
+
+def test_fusion_equals_a_plain_computation(spark):
+    import math
+
+    texts = ["alpha beta gamma", "delta epsilon zeta", "eta theta iota"]
+    model = langid.Model(list(zip(texts, ("aa", "bb", "cc"))))
+    rows = [(i, texts[i % 3] if i % 5 else "al", ("h1", "h2", None)[i % 3 if i % 4 else 0], ("com", None, "org")[i % 3 if i % 4 else 0], (None, "aa", "bb", "xx")[i % 4]) for i in range(40)] + [(90, None, "h1", "com", "aa"), (91, "", None, None, None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, host string, suffix string, declared string"), model).collect()}
+    import pyarrow as pa
+
+    logs, n = model.evidence(pa.array([r[1] for r in rows], pa.string()))
+    own = [[math.exp(v - max(x)) / sum(math.exp(w - max(x)) for w in x) for v in x] for x in logs.tolist()]
+    total = lambda keep: [sum(p[k] for r, p, m in zip(rows, own, n) if m and keep(r)) for k in range(3)]
+    smooth = lambda c, parent: [(max(x, 0) + langid.KAPPA * p) / (max(sum(c), 0) + langid.KAPPA) for x, p in zip(c, parent)]
+    root = [x + 1 for x in total(lambda r: True)]
+    root = [x / sum(root) for x in root]
+    spoken = total(lambda r: r[4] is not None)
+    for r, x, p, m in zip(rows, logs.tolist(), own, n):
+        if not m:
+            assert got[r[0]].lang == "und" and not got[r[0]].accepted
+            continue
+        suffix = smooth(total(lambda q: q[3] == r[3]), root)
+        prior = smooth([a - b for a, b in zip(total(lambda q: q[2:4] == r[2:4]), p)], suffix)
+        said = [math.log((c + 0.5) / (t + 1.5)) for c, t in zip(total(lambda q: q[4] == r[4]), spoken)] if r[4] else [0.0] * 3
+        logit = [a + b + math.log(c) for a, b, c in zip(x, said, prior)]
+        best = max(range(3), key=lambda k: logit[k])
+        posterior = 1 / sum(math.exp(v - logit[best]) for v in logit)
+        assert got[r[0]].lang == model.languages[best] and abs(got[r[0]].confidence - posterior) < 1e-9 and abs(got[r[0]].host_prior - prior[best]) < 1e-9
+
+
+def test_every_language_with_texts_is_fitted(spark):
+    rows = [(k, f"{chr(0x4E00 + k % 250)}{chr(0x5E00 + k % 250)} wort{k}", f"l{k % 250:03}") for k in range(1000)] + [(5000, "only one", "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{k:03}" for k in range(250)]
+
+
+def test_quality_features_are_differences_of_compressed_sizes():
+    import zstandard
+
+    good, bad = "the sea and the ships of the town ", "buy!! now!! $$$ win### cheap%%% "
+    rows = [(i, (good if i % 4 < 2 else bad) * (3 + i % 5) + f" n{i}", int(i % 4 < 2)) for i in range(80)]
+    model = quality.Model(rows, {0: 0.5, 1: 0.5})
+    size = lambda block, d: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(block))
+    for text in (good * 40, bad * 40, "x", ""):
+        data = text.encode()
+        gaps = [size(data[i : i + quality.BLOCK], model.dictionaries[1]) - size(data[i : i + quality.BLOCK], model.dictionaries[0]) for i in range(0, len(data), quality.BLOCK)]
+        trust = len(data) / (len(data) + quality.SHORT)
+        want = (trust * sum(gaps) / len(data), trust * sum(gaps) / len(data) ** 0.5, trust * min([0, *gaps]) / quality.BLOCK) if data else (0, 0, 0)
+        assert all(abs(a - b) < 1e-12 for a, b in zip(model.features(data), want))
+    scores, _ = model.scores([good * 40, bad * 40])
+    assert scores[0] > 0.9 and scores[1] < 0.1
+
+
+def test_a_score_does_not_depend_on_the_place_of_a_row(spark, labelled):
+    import random
+
+    import pyarrow as pa
+
+    rng, docs = random.Random(4), [r.text for r in labelled[0].collect()]
+    model = toxicity.fit(*labelled, 200)
+    probe, seen = "it was the best of you idiot " * 30, set()
+    for _ in range(60):
+        batch = [rng.choice(docs) for _ in range(rng.randrange(30))]
+        at = rng.randrange(len(batch) + 1)
+        batch.insert(at, probe)
+        x, _ = model.evidence(*toxicity.words(pa.array(batch)))
+        seen.add(float(model.calibrated(x)[at]))
+    assert len(seen) == 1
+
+
 def test_host_prior_decides_where_text_is_weak(spark):
     model = langid.Model([("alpha beta gamma", "aa"), ("delta epsilon zeta", "bb")])
     rows = [(i, "delta epsilon", "h1", "com", None) for i in range(60)] + [(100, "q", "h1", "com", None), (101, "q", None, None, "aa")]
@@ -132,6 +208,20 @@ def test_media(spark, odd_docs, no_docs):
     assert media.load(*media.store(no_docs)).count() == 0
 
 
+def test_stored_form_holds_each_chunk_once():
+    import zstandard
+
+    body = b"0123456789abcdef" * 4096
+    (chunks,) = media.cut([body])
+    assert len(set(chunks)) < len(chunks)
+    import struct
+
+    manifest = media.MAGIC + struct.pack("<QI", len(body), len(chunks)) + b"".join(struct.pack("<I", len(c)) + media.digest(c) for c in chunks)
+    blobs = {media.digest(c): zstandard.compress(c) for c in chunks}
+    data, stored = media.rebuild(manifest, blobs, zstandard.decompress)
+    assert data == body and len(stored) == len(manifest) + sum(map(len, blobs.values()))
+
+
 def test_cuts_follow_content():
     import random
 
@@ -264,6 +354,37 @@ def test_secret_candidates_equal_a_plain_search(spark, odd_docs):
     assert got == want and want
 
 
+def test_secret_candidates_have_no_length_limit(spark):
+    text = "k" * 450 + "=" + SECRET + " and " + "y" * 5000 + "7"
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    assert [(r.start, r.candidate) for r in secrets.candidates(docs).orderBy("start").collect()] == [(0, "k" * 450 + "=" + SECRET), (496, "y" * 5000 + "7")]
+
+
+def test_assigned_values_and_features(spark):
+    text = f"password = 'hunterzwei' API_TOKEN={SECRET} secret: \"abc\" commit {SECRET}"
+    docs = spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")
+    (value,) = secrets.assigned_values(docs).collect()
+    assert (value.candidate, value.start, value.after[:1]) == ("hunterzwei", 12, "'")
+    rows = {r.start: r for r in secrets.features(secrets.candidates(docs), ["hunt", "hunter"]).collect()}
+    inner, plain = rows[text.index("API_TOKEN")], rows[text.rindex(SECRET)]
+    assert (inner.keyword, inner.assigned, inner.harmless, inner.length, inner.hex) == (1, 1, 0, 40, 1)
+    assert (plain.assigned, plain.harmless, plain.digit_share) == (0, 1, sum(map(str.isdigit, SECRET)) / 40)
+    assert secrets.features(secrets.assigned_values(docs), ["hunt", "hunter"]).first().coverage == 0.6
+
+
+def test_secrets_of_odd_rows(spark, odd_docs):
+    doc = f'token = "{SECRET}" then token = "{SECRET}ff01" end'
+    noise = " ".join(f"id {10**15 + i}" for i in range(40))
+    rows = [(None, None, doc, None, None, None)] * 3 + [(None, 1, noise + doc, None, None, None), (None, 2, "A" + doc, None, "p/test.py", None)]
+    docs = odd_docs.unionByName(spark.createDataFrame(rows, odd_docs.schema))
+    found = secrets.scan(docs).where("is_secret").collect()
+    assert Counter((r.doc_id, r.candidate) for r in found) == Counter({(None, SECRET): 3, (None, SECRET + "ff01"): 3, (1, SECRET): 1, (1, SECRET + "ff01"): 1, (2, SECRET): 1, (2, SECRET + "ff01"): 1})
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns
+    want = Counter((i, t and t.replace(SECRET + "ff01", "[SECRET]").replace(SECRET, "[SECRET]")) for i, t in rows_of(docs))
+    assert Counter(rows_of(clean)) == want
+
+
 def test_secrets_are_found_and_redacted(spark, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     text = dict(rows_of(docs))

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline as P
 
 
@@ -27,10 +29,14 @@ def test_pipeline_stages(spark, odd_docs):
 def test_stages_take_odd_rows(spark, odd_docs):
     rows = odd_docs.selectExpr("doc_id", "text", "lang", "source", "cast(null as bigint) AS n_chars")
     sf = "/root/testdata/sf0.001"
+    assert Counter(r.doc_id for r in P.drop_near_duplicates(spark, rows, sf).collect()) == Counter([1, 2, 3, 4, 5, 7, 7, None, 9, 10, 11, 12, 13])
     docs = rows
-    for _, stage in P.STAGES:
-        docs = stage(spark, docs, sf)
-    assert docs.count() >= 0
+    for _, stage in P.STAGES[:-1]:
+        before, docs = Counter(r.doc_id for r in docs.collect()), stage(spark, docs, sf)
+        assert docs.columns == rows.columns and not Counter(r.doc_id for r in docs.collect()) - before
+    kept = docs.collect()
+    packed = P.STAGES[-1][1](spark, docs, sf).collect()
+    assert kept and {r.doc_id for r in kept} == {r.doc_id for r in packed} and sum(r.piece == 0 for r in packed) == len(kept)
     empty = rows.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf).count() == 0

@@ -51,6 +51,22 @@ def test_op4_equals_tiktoken(spark, odd_docs, no_docs, tik):
     assert bpe.digests(no_docs, RANKS, P.PATTERN).count() == 0
 
 
+def test_offsets_of_the_query(spark, odd_docs):
+    rows = odd_docs.where("doc_id IN (10, 13)")
+    want = {r.doc_id: zlib.crc32(np.array([*r.byte_start, *r.char_start], "<u4").tobytes()) for r in bpe.encode_frame(rows, RANKS, P.PATTERN).collect()}
+    assert {r.doc_id: r.offsets_crc32 for r in bpe.digests(rows, RANKS, P.PATTERN).collect()} == want
+
+
+def test_another_pattern_is_an_error():
+    with pytest.raises(ValueError):
+        BatchEncoder(JSON, r"\S+|\s+")
+
+
+def test_reduction_fixes_triples():
+    fixed, left = packing.reduce_instance({12: 1, 5: 1, 3: 1, 4: 1}, 20)
+    assert fixed[0] == ((12, 5, 3), 1) and left == {} or left == {4: 1}
+
+
 def test_offsets_point_at_the_characters(spark, odd_docs):
     for r in bpe.encode_frame(odd_docs.where("doc_id = 10"), RANKS, P.PATTERN).collect():
         text = bytes(r.decoded).decode()
