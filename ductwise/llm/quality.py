@@ -120,9 +120,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text isn't rejected: score below ``threshold`` times n / (n + ``SHORT``) for a text of n bytes.
+    """The rows of ``docs`` whose text isn't rejected: score below ``threshold`` times (n / (n + ``SHORT``))^2 for n bytes.
 
-    The factor is the trust that the features have too: the fewer bytes, the surer the classifier must be of label 0.
+    The factor falls with the trust that the features have too: the fewer bytes, the surer the classifier must be of label 0.
     """
     tune(docs.sparkSession)
     at = docs.columns.index("text")
@@ -132,6 +132,6 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             texts = batch.column(at).to_pylist()
             score, _ = model.scores(texts)
             n = np.fromiter((len((t or "").encode("utf-8", "replace")) for t in texts), float, len(texts))
-            yield batch.filter(pa.array(score >= threshold * n / (n + SHORT), pa.bool_()))
+            yield batch.filter(pa.array(score >= threshold * (n / (n + SHORT)) ** 2, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
