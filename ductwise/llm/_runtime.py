@@ -31,6 +31,29 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def tidy(run):
+    """``run`` over Arrow batches, giving memory that allocators hold back to the system after each batch.
+
+    Workers live on between stages, so what one keeps is missing to the next.
+    """
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pool = pa.default_memory_pool()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        for out in run(batches):
+            yield out
+            del out
+            pool.release_unused()
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._runtime import tune
+from ._runtime import tidy, tune
 from .tokens import BatchEncoder, byte_table, spread
 
 FRAME = "doc_id long, ids array<int>, byte_start array<int>, char_start array<int>, decoded binary"
@@ -128,7 +128,7 @@ def encode_frame(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ["doc_id", "ids", "byte_start", "char_start", "decoded"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, FRAME)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), FRAME)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -164,4 +164,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split_tokens", "offsets_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), DIGEST)

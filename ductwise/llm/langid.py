@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import LONGEST, materialise, tune
+from ._runtime import LONGEST, materialise, tidy, tune
 from .toxicity import words
 
 #: Texts of each language that the trigram model is fitted on: at most, and at least (rarer names are likely errors).
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", threshold: floa
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), lists, pa.array(n > 0)], [key, "host", "suffix", "declared", "logs", "worded"])
         shared.value._clear()  # a worker that goes on to other operators needs the room
 
-    rows = columns.mapInArrow(run, f"`{key}` {kind}, host string, suffix string, declared string, logs array<double>, worded boolean")
+    rows = columns.mapInArrow(tidy(run), f"`{key}` {kind}, host string, suffix string, declared string, logs array<double>, worded boolean")
     rows = materialise(rows.select("*", _softmax(F.col("logs")).alias("own")), "languages")
     heard = rows.where("worded")
     sums = [F.sum(F.col("own")[i]).alias(f"s{i}") for i in range(size)]

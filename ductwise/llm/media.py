@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import materialise, tune
+from ._runtime import materialise, tidy, tune
 
 MAGIC = b"CDC1"
 UNIT = 64
@@ -102,8 +102,8 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
                 bits = _bits(batch.column(0).to_pylist()).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
 
-    often = docs.select("text").mapInArrow(digests, "digest binary").groupBy("digest").count().where("count > 1").select("digest")
-    found = often.mapInArrow(positions, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER_WORDS rows at most
+    often = docs.select("text").mapInArrow(tidy(digests), "digest binary").groupBy("digest").count().where("count > 1").select("digest")
+    found = often.mapInArrow(tidy(positions), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER_WORDS rows at most
     words = np.zeros(FILTER_WORDS, np.int64)
     words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return words
@@ -159,8 +159,8 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             seen.update(names)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([compress(found[d]) for d in names], pa.binary())], ["digest", "blob"])
 
-    kept = materialise(docs.select("doc_id", "text").mapInArrow(documents, STORED), "media", codec="none")
-    once = docs.select("text").mapInArrow(chunks, "digest binary, blob binary").groupBy("digest").agg(F.first("blob").alias("blob"))
+    kept = materialise(docs.select("doc_id", "text").mapInArrow(tidy(documents), STORED), "media", codec="none")
+    once = docs.select("text").mapInArrow(tidy(chunks), "digest binary, blob binary").groupBy("digest").agg(F.first("blob").alias("blob"))
     return kept, materialise(once, "chunks", codec="none")
 
 
@@ -221,4 +221,4 @@ def load(kept: DataFrame, chunks: DataFrame) -> DataFrame:
     refs = materialise(partly.select("payload_sha256", F.explode("shared").alias("digest")).distinct(), "references")
     parts = refs.join(chunks, "digest").groupBy("payload_sha256").agg(F.collect_list(F.struct("digest", "blob")).alias("parts"))
     parts = materialise(parts, "parts", codec="none")
-    return alone.unionByName(partly.join(parts, "payload_sha256").select(*columns, "parts")).mapInArrow(run, MEDIA)
+    return alone.unionByName(partly.join(parts, "payload_sha256").select(*columns, "parts")).mapInArrow(tidy(run), MEDIA)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import materialise, scratch, tune
+from ._runtime import materialise, scratch, tidy, tune
 
 TABLES = 14
 ROWS = 4
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, size: int, tables: int, rows: int) -> DataFrame:
                 ["doc_id", "n_shingles", "set_key", "first", "second"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SIGNATURE)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "grams"]).filter(pa.array(new, pa.bool_()))
 
     rows = docs.select("doc_id", "text").join(materialise(wanted, "wanted"), F.col("doc_id") == F.col("rep"))
-    sets = materialise(rows.select("node", "text", "set_key").mapInArrow(run, "node long, grams binary"), "sets", codec="none")
+    sets = materialise(rows.select("node", "text", "set_key").mapInArrow(tidy(run), "node long, grams binary"), "sets", codec="none")
     if sets.groupBy("node").count().where("count > 1").isEmpty():
         return sets
     return materialise(sets.dropDuplicates(["node"]), "sets", codec="none")  # rows that were repeated in several tasks
@@ -163,7 +163,7 @@ def with_set_key(docs: DataFrame, size: int) -> DataFrame:
                 _, names = _set_bytes(*shingle_sets(batch.column(at), size))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "set_key_"])
 
-    return docs.mapInArrow(run, docs.withColumn("set_key_", F.lit(None).cast("binary")).schema)
+    return docs.mapInArrow(tidy(run), docs.withColumn("set_key_", F.lit(None).cast("binary")).schema)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

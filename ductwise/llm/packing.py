@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import materialise, tune
+from ._runtime import materialise, tidy, tune
 from .tokens import encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, at long"
@@ -167,8 +167,9 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, capacity:
                 [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(at, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "part", "at"],
             )
+        enc._reset()  # a worker that goes on to other stages needs the room of the cache
 
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, PIECES), "pieces")
+    return materialise(docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES), "pieces")
 
 
 def pack(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
@@ -197,4 +198,4 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, capacit
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(run, PACKED)
+    return ranked.mapInArrow(tidy(run), PACKED)

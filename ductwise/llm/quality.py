@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import class_shares, fold, training_rows, tune
+from ._runtime import class_shares, fold, tidy, training_rows, tune
 from .calibration import Logistic, class_weights
 
 #: Labelled texts of each class that are learnt from at most: half for the dictionaries, half for calibration.
@@ -116,7 +116,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             )
 
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", "text", held_out).mapInArrow(run, SCORED)
+    return docs.select("doc_id", "text", held_out).mapInArrow(tidy(run), SCORED)
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -134,4 +134,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             n = np.fromiter((len((t or "").encode("utf-8", "replace")) for t in texts), float, len(texts))
             yield batch.filter(pa.array(score >= threshold * (n / (n + SHORT)) ** 2, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import materialise, tune
+from ._runtime import materialise, tidy, tune
 from .tokens import encoder, with_end
 
 MAGIC = b"S8B1"
@@ -169,7 +169,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0)
                 ["part", "seg", "n_ids", "segment"],
             )
 
-    return materialise(ordered.mapInArrow(run, SEGMENTS), "tokens")
+    return materialise(ordered.mapInArrow(tidy(run), SEGMENTS), "tokens")
 
 
 #: Stands for a null doc_id in a segment.
@@ -194,7 +194,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                     ["part", "seg", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    rows = segments.select("part", "seg", "segment").mapInArrow(run, DOCS)
+    rows = segments.select("part", "seg", "segment").mapInArrow(tidy(run), DOCS)
     counts = segments.select("part", "seg", "n_ids")
     parts = counts.groupBy("part").agg(F.sum("n_ids").alias("total"))
     parts = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))

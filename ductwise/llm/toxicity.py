@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import class_shares, fold, training_rows, tune
+from ._runtime import class_shares, fold, tidy, training_rows, tune
 from .calibration import Logistic, class_weights
 
 #: Labelled texts of each class that are learnt from at most.
@@ -274,4 +274,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             )
 
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", "text", held_out).mapInArrow(run, SCORED)
+    return docs.select("doc_id", "text", held_out).mapInArrow(tidy(run), SCORED)
