@@ -41,10 +41,15 @@ def norm(value: Column) -> Column:
     return F.lower(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
 
 
+#: How a sign before a number, at the start or after a separator, is spelt.
+SIGNS = {r"(^|[_\s])\+(?=\d)": "$1pos_", r"(^|[_\s])-(?=\d)": "$1neg_"}
+
+
 def normalize_label(value: Column) -> Column:
     """Lower case, signs spelt out before digits, every other separator one underscore."""
-    text = F.regexp_replace(norm(value), r"(^|[_\s])\+(?=\d)", "$1pos_")
-    text = F.regexp_replace(text, r"(^|[_\s])-(?=\d)", "$1neg_")
+    text = norm(value)
+    for pattern, name in SIGNS.items():
+        text = F.regexp_replace(text, pattern, name)
     return F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
@@ -127,3 +132,56 @@ def parse_file_name(system: str, name: Column) -> Column:
     level = F.when(free, "none").when(split, level).otherwise(rest)
     label = F.when(free, "Normal").otherwise(F.concat_ws("_", kind, level))
     return F.struct(kind.alias("fault_type"), level.alias("fault_intensity"), free.alias("is_fault_free"), label.alias("label"))
+
+
+#: Other names of scenario types, and the displayed names of systems.
+TYPE_ALIASES = {"na_cross_system": "cross_system"}
+DISPLAY_NAMES = {
+    "chiller_plant": "Chiller Plant", "boiler_plant": "Boiler Plant", "sdahu": "Single-Duct AHU", "ddahu": "Dual-Duct AHU",
+    "rtu": "Rooftop Unit", "fcu": "Fan Coil Unit", "pfpu": "Parallel Fan Powered Unit", "sfpu": "Series Fan Powered Unit",
+}
+
+
+def canonical_type(value: Column) -> Column:
+    """The name under which a scenario type is grouped; 'unknown' for none."""
+    name = norm(value)
+    out = F.when(F.coalesce(value.cast("string"), F.lit("")) == "", "unknown")
+    for alias, kind in TYPE_ALIASES.items():
+        out = out.when(name == alias, kind)
+    return out.otherwise(name)
+
+
+def expand_types(types: list[str]) -> set[str]:
+    """Requested types with their other names."""
+    asked = {t.strip().lower() for t in types if t.strip()}
+    meant = {TYPE_ALIASES.get(t, t) for t in asked}
+    return asked | {x for alias, kind in TYPE_ALIASES.items() if kind in meant for x in (alias, kind)}
+
+
+def named_system(text: Column, names: dict[str, str] = DISPLAY_NAMES) -> Column:
+    """The system whose displayed name stands in brackets at the start of a prompt; null without one."""
+    shown = F.trim(F.regexp_extract(F.trim(F.coalesce(text, F.lit(""))), r"(?s)^\[([^\]]*)\]", 1))
+    out = F.lit(None).cast("string")
+    for system, name in names.items():
+        out = F.when(shown == name, system).otherwise(out)
+    return out
+
+
+def observed_system(text: Column, markers: dict[str, str]) -> Column:
+    """The system of the first marker (marker -> system) that a prompt contains; null without one."""
+    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(None).cast("string")
+    for marker, system in reversed(markers.items()):
+        out = F.when(F.contains(low, F.lit(marker)), system).otherwise(out)
+    return out
+
+
+def or_all(items: Column, fits) -> Column:
+    """The items that fit, or all of them if none does."""
+    kept = F.filter(items, fits)
+    return F.when(F.size(kept) > 0, kept).otherwise(items)
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON text of an object of strings with sorted keys, for comparing objects; null if it is no object."""
+    entries = F.array_sort(F.map_entries(F.from_json(value, "map<string,string>")))
+    return F.to_json(F.map_from_entries(entries))

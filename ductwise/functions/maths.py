@@ -21,8 +21,8 @@ def total(values: Column) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Of an array of doubles."""
-    powers = F.transform(F.array(scores), lambda s: F.transform(s, lambda v: F.exp(v - F.array_max(s))))[0]
-    return F.transform(F.array(powers), lambda p: F.transform(p, lambda v: v / total(p)))[0]
+    powers = F.transform(F.array(F.struct(scores.alias("s"), F.array_max(scores).alias("m"))), lambda x: F.transform(x["s"], lambda v: F.exp(v - x["m"])))
+    return F.transform(F.transform(powers, lambda p: F.struct(p.alias("p"), total(p).alias("t"))), lambda x: F.transform(x["p"], lambda v: v / x["t"]))[0]
 
 
 def entropy(dist: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import first_by_hash, hash_order
+
 
 def largest_remainder(shares: dict[str, float], total: int) -> dict[str, int]:
     """Whole targets that add up to ``total``; what rounding leaves goes to the largest fractions."""
@@ -35,9 +36,8 @@ def sample_by_type(df: DataFrame, kind: str, key: Column, wanted: int, seed: int
     share = proportional(counts, wanted)
     if not share:
         return df.limit(0)
-    limit = F.element_at(F.create_map(*(x for k, n in share.items() for x in (F.lit(k), F.lit(n)))), F.col(kind))
-    rank = F.row_number().over(Window.partitionBy(kind).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return df.withColumn("rank_", rank).where(F.col("rank_") <= limit).drop("rank_")
+    limits = df.sparkSession.createDataFrame([(k, n) for k, n in share.items()], f"`{kind}` {dict(df.dtypes)[kind]}, limit long")
+    return first_by_hash(df, kind, key, limits, seed, "taken_").where("taken_").drop("taken_")
 
 
 def assign_groups(sizes: list[tuple[str, dict[str, int]]], shares: dict[str, float], members: dict[str, int] | None = None) -> dict[str, str]:
@@ -45,32 +45,25 @@ def assign_groups(sizes: list[tuple[str, dict[str, int]]], shares: dict[str, flo
 
     With ``members`` an entry stands for so many groups; entries go by the size of one of their groups.
     """
-    members = members or {}
-    total = sum(sum(t.values()) for _, t in sizes)
-    kinds: dict[str, int] = defaultdict(int)
-    for _, t in sizes:
+    members, names = members or {}, list(shares)
+    place = {k: i + 1 for i, k in enumerate(sorted({k for _, t in sizes for k in t}, key=str))}
+    load = {}  # rows in all and by type, as a vector
+    for group, t in sizes:
+        load[group] = np.zeros(len(place) + 1)
         for k, n in t.items():
-            kinds[k] += n
-    have = {s: 0 for s in shares}
-    have_kind = {s: defaultdict(int) for s in shares}
-
-    def cost(now: float, target: float) -> float:
-        target = max(target, 1.0)
-        return -(target - now) / target if now <= target else 5 * (now - target) / target
-
-    out = {}
-    for group, t in sorted(sizes, key=lambda x: (-sum(x[1].values()) // members.get(x[0], 1), x[0])):
-        n = sum(t.values())
-
-        def score(s: str) -> float:
-            by_kind = [cost(have_kind[s][k] + t.get(k, 0), kinds[k] * shares[s]) for k in kinds]
-            return 0.75 * cost(have[s] + n, total * shares[s]) + 0.25 * sum(by_kind) / max(len(by_kind), 1)
-
-        best = min(shares, key=score)
-        out[group] = best
-        have[best] += n
-        for k, m in t.items():
-            have_kind[best][k] += m
+            load[group][[0, place[k]]] += n
+    if not load:
+        return {}
+    goal = np.maximum(np.outer(list(shares.values()), sum(load.values())), 1.0)
+    filled, out = np.zeros_like(goal), {}
+    for group in sorted(load, key=lambda g: (-int(load[g][0]) // members.get(g, 1), g)):
+        own = load[group]
+        weight = np.where(own > 0, 0.25 / max(np.count_nonzero(own) - 1, 1), 0.0)  # the group's own types share a quarter
+        weight[0] = 0.75
+        distance = (filled + own) / goal - 1
+        best = int(np.argmin(np.where(distance > 0, 5 * distance, distance) @ weight))
+        filled[best] += own
+        out[group] = names[best]
     return out
 
 
@@ -100,9 +93,9 @@ def target_cap(df: DataFrame, kind: str, targets: dict[str, int], order: list[Co
 
 def window_starts(files: DataFrame, k: int, size: int = 15, lowest: int = 1000, seed: int = 42) -> DataFrame:
     """files(file, n_rows): k hash-drawn starts of whole windows for each file that has one, from row ``lowest`` on where possible."""
-    low = F.when(F.col("n_rows") - size >= lowest, lowest).otherwise(0)
+    low = F.least(F.lit(lowest), F.col("n_rows") - size)
     rows = files.where(F.col("n_rows") >= size).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return rows.withColumn("start", (low + F.pmod(F.xxhash64("file", "draw", F.lit(seed)), F.col("n_rows") - size - low + 1)).cast("long"))
+    return rows.withColumn("start", (low + F.pmod(F.conv(F.left(hash_order(F.concat_ws("|", "file", F.col("draw").cast("string")), seed), F.lit(12)), 16, 10).cast("long"), F.col("n_rows") - size - low + 1)).cast("long"))
 
 
 def prompt_repeats(df: DataFrame, text: str, order: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def last_writer_edges(edges: DataFrame) -> DataFrame:
     """One edge for each ordered pair: the one written last."""
@@ -73,26 +75,37 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.where("relation = 'has_part'").select(F.col("src").alias("node_id")), "node_id", "left_anti")
 
 
-def ancestors(edges: DataFrame, start: DataFrame, depth: int = 8) -> DataFrame:
-    """(node_id, ancestor, hops) up the has_part edges from each start node, first parent by seq; cycles end the walk."""
-    parent = edges.where("relation = 'has_part'").groupBy(F.col("dst").alias("at")).agg(F.min_by("src", "seq").alias("parent"))
+def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node_id, ancestor, hops) up the has_part edges from each start node to the top, first parent by seq; cycles end the walk.
+
+    Each level of hops is written once, so the plan of the next doesn't hold it; there are as many levels as the longest chain has hops.
+    """
+    parent = cut(edges.where("relation = 'has_part'").groupBy(F.col("dst").alias("at")).agg(F.min_by("src", "seq").alias("parent")))
     front = start.select("node_id", F.col("node_id").alias("at"), F.array("node_id").alias("seen"))
-    out = None
-    for hops in range(1, depth + 1):
+    levels = []
+    while True:
         front = front.join(parent, "at").where(~F.array_contains("seen", F.col("parent"))).select("node_id", F.col("parent").alias("at"), F.concat("seen", F.array("parent")).alias("seen"))
-        step = front.select("node_id", F.col("at").alias("ancestor"), F.lit(hops).alias("hops"))
-        out = step if out is None else out.unionByName(step)
+        front = cut(front)
+        step = front.select("node_id", F.col("at").alias("ancestor"), F.lit(len(levels) + 1).alias("hops"))
+        if front.isEmpty():
+            return levels[0] if len(levels) == 1 else step if not levels else _union(levels)
+        levels.append(step)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
 def bounded_distance(links: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     """(source, target, distance) of undirected links (a, b), up to ``depth`` hops from the start nodes (source)."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    reached = start.select("source", F.col("source").alias("target"), F.lit(0).alias("distance")).distinct()
-    front = reached
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    reached = front = cut(start.select("source", F.col("source").alias("target"), F.lit(0).alias("distance")).distinct())
     for hop in range(1, depth + 1):
         nxt = front.join(both, front["target"] == both["a"]).select("source", F.col("b").alias("target")).distinct()
-        front = nxt.join(reached.select("source", "target"), ["source", "target"], "left_anti").withColumn("distance", F.lit(hop))
+        front = cut(nxt.join(reached.select("source", "target"), ["source", "target"], "left_anti").withColumn("distance", F.lit(hop)))
         reached = reached.unionByName(front)
     return reached
 

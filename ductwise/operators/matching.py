@@ -56,9 +56,52 @@ def match_scenarios(samples: DataFrame, scenarios: DataFrame, fallback: bool = T
     return out.select("sample_id", F.coalesce("matched_id", "by_truth", F.lit("")).alias("matched_id"), strategy.alias("strategy"))
 
 
+#: Characters of the anchor of a needle that has no two whole words inside.
+GRAM = 4
+
+
+def _word_pairs(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _anchor(needle: Column) -> Column:
+    """What every text that contains the needle must hold: the longest pair of whole words inside of it, or else its first characters."""
+    words = F.filter(F.split(needle, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    inner = _word_pairs(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))  # the outermost words may be cut off
+    best = F.array_max(F.transform(inner, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))
+    return F.when(F.size(inner) > 0, F.concat(F.lit("w"), best["p"])).otherwise(F.concat(F.least(F.length(needle), F.lit(GRAM)).cast("string"), F.left(needle, F.lit(GRAM))))
+
+
+def _anchors(text: Column, kinds: list[str]) -> Column:
+    """All anchors of the kinds ('w', or a number of characters) that a text holds."""
+    parts = []
+    for k in kinds:
+        if k == "w":
+            words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+            parts.append(F.transform(_word_pairs(words), lambda p: F.concat(F.lit("w"), p)))
+        else:
+            last = F.length(text) - int(k) + 1
+            grams = F.transform(F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(k), F.substring(text, i, F.lit(int(k)))))
+            parts.append(grams)
+    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
+
+
+def substring_pairs(needles: DataFrame, needle: str, texts: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``texts`` (key, text) with each needle that they contain.
+
+    Needles are joined by an anchor, a stretch that any text with the needle must hold; what meets is confirmed with the whole needle.
+    """
+    own = needles.select(needle).where(F.col(needle) != "").distinct().withColumn("anchor_", _anchor(F.col(needle)))
+    kinds = sorted(r["k"] for r in own.select(F.left("anchor_", F.lit(1)).alias("k")).distinct().collect())  # at most GRAM + 1
+    held = texts.select(key, F.explode(_anchors(F.col(text), kinds)).alias("anchor_"))
+    met = held.join(own, "anchor_").select(key, needle).distinct()
+    return texts.join(met, key).where(F.contains(F.col(text), F.col(needle)))
+
+
 def substring_links(left: DataFrame, needle: str, right: DataFrame, text: str, order: str) -> DataFrame:
-    """The first ``right`` row by ``order`` whose text contains the needle; the needles are the small side."""
-    found = right.join(left.select(needle).distinct(), F.contains(F.col(text), F.col(needle)) & (F.col(needle) != ""))
+    """The first ``right`` row by ``order`` whose text contains the needle, and how many do."""
+    found = substring_pairs(left, needle, right.select(order, text), text, order)
     return found.groupBy(needle).agg(F.min(order).alias(order), F.count("*").alias("n_matches"))
 
 
@@ -71,7 +114,7 @@ def resolve_globs(patterns: DataFrame, nodes: DataFrame) -> DataFrame:
     """(pattern, node_id): the first node by id whose name matches, else one whose name contains the pattern's bare text."""
     bare = F.lower(F.regexp_replace("pattern", r"[*?]", ""))
     kind = F.when(F.regexp_like(F.col("name"), glob_pattern(F.col("pattern"))), 0).when((bare != "") & F.contains(F.lower("name"), bare), 1)
-    hit = nodes.join(F.broadcast(patterns.select("pattern").distinct()), kind.isNotNull())  # a fixed list of templates
+    hit = nodes.join(patterns.select("pattern").distinct(), kind.isNotNull())  # a short list of templates; Spark broadcasts it if its size allows
     return hit.groupBy("pattern").agg(F.min(F.struct(kind.alias("k"), "node_id")).alias("b")).select("pattern", F.col("b.node_id").alias("node_id"), F.col("b.k").alias("kind"))
 
 
@@ -90,7 +133,7 @@ def longest_prefix(labels: DataFrame, label: str, templates: DataFrame, key: str
 
 def keyword_component(faults: DataFrame, components: DataFrame, keywords: DataFrame) -> DataFrame:
     """faults(system_id, fault) to components(system_id, node_id, name, rank) by keywords(keyword, part, rank): first keyword, exact name before substring, then first component."""
-    hit = faults.join(F.broadcast(keywords), F.contains(F.lower("fault"), F.col("keyword"))).withColumnRenamed("rank", "k_rank")  # a fixed list
+    hit = faults.join(keywords, F.contains(F.lower("fault"), F.col("keyword"))).withColumnRenamed("rank", "k_rank")  # a short list
     found = hit.join(components, "system_id")
     kind = F.when(F.lower("name") == F.col("part"), 0).when(F.contains(F.lower("name"), F.col("part")), 1)
     best = found.where(kind.isNotNull()).groupBy("system_id", "fault").agg(F.min(F.struct("k_rank", kind.alias("kind"), "rank", "node_id")).alias("b"))

@@ -1,7 +1,7 @@
 """Episode metrics and rewards.
 
-episodes: episode_id, scenario_type, difficulty, gt_system, gt_node, gt_fault, optimal, ref_nodes array<string>,
-diag_node, diag_fault, diag_system, diag_confidence (null without a diagnosis).
+episodes: episode_id, scenario_type, difficulty, gt_system, gt_node, gt_fault, optimal, ref_nodes array<string>, perhaps ref_edges
+array<struct<src,dst>> (the relations on the way from symptom to cause, which then make up ``tr``), diag_node, diag_fault, diag_system, diag_confidence (null without a diagnosis).
 calls: episode_id, i, tool, node_id, system_id, valid, status, fault_type, confidence, targets array<string>; one row a call with its result.
 Every per-episode measure is a column of ``episode_scores``; empty input gives 0.
 """
@@ -24,23 +24,38 @@ def _flag(x: Column) -> Column:
     return F.coalesce(x.cast("double"), F.lit(0.0))
 
 
+def first_seen(calls: DataFrame, own: bool = True) -> DataFrame:
+    """(episode_id, node, seen): the first step whose result shows a node; with ``own`` a result also shows the node that was asked about."""
+    shown = F.coalesce("targets", F.array().cast("array<string>"))
+    shown = F.concat(shown, F.array("node_id")) if own else shown
+    rows = calls.select("episode_id", "i", F.explode(shown).alias("node"))
+    return rows.where(F.contains("node", F.lit("::"))).groupBy("episode_id", "node").agg(F.min("i").alias("seen"))
+
+
+def undiscovered(calls: DataFrame, own: bool = True) -> DataFrame:
+    """Diagnoses of nodes that no earlier result had shown, once something had been shown: (episode_id, i)."""
+    seen = first_seen(calls, own)
+    began = seen.groupBy("episode_id").agg(F.min("seen").alias("began"))
+    asked = calls.where((F.col("tool") == "diagnose_node") & (F.coalesce("node_id", F.lit("")) != "") & ~F.col("node_id").startswith("system::")).select("episode_id", "i", F.col("node_id").alias("node"))
+    rows = asked.join(began, "episode_id").where("began < i").join(seen, ["episode_id", "node"], "left")
+    return rows.where(F.col("seen").isNull() | (F.col("seen") >= F.col("i"))).select("episode_id", "i")
+
+
 def call_flags(calls: DataFrame) -> DataFrame:
     """Per call: repeated, undiscovered, after a fault, wrong opening, and irrational if any holds or it is invalid."""
     w = Window.partitionBy("episode_id").orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     again = F.row_number().over(Window.partitionBy("episode_id", "tool", "node_id").orderBy("i")) > 1
-    seen = F.flatten(F.collect_list(F.coalesce("targets", F.array().cast("array<string>"))).over(before))  # what one episode has listed
     faulted = F.coalesce(F.max((F.lower("status") == "fault").cast("int")).over(before), F.lit(0)) == 1
-    rows = calls.withColumn("first_", F.row_number().over(w) == 1).withColumn("seen_", seen).withColumn("faulted_", faulted).withColumn("again_", again)
-    system = F.coalesce("node_id", F.lit("")).startswith("system::")
+    rows = calls.withColumn("first_", F.row_number().over(w) == 1).withColumn("faulted_", faulted).withColumn("again_", again)
+    rows = rows.join(undiscovered(calls, own=False).withColumn("ghost_", F.lit(True)), ["episode_id", "i"], "left")
     flags = {
-        "repeated": F.col("again_") & F.col("tool").isin("get_node_children", "diagnose_node"),
-        "undiscovered": (F.col("tool") == "diagnose_node") & ~system & (F.size("seen_") > 0) & ~F.array_contains("seen_", F.coalesce("node_id", F.lit(""))),
+        "repeated": F.col("again_") & F.col("tool").isin("get_node_children", "diagnose_node"), "undiscovered": F.col("ghost_"),
         "after_fault": F.col("faulted_") & F.col("tool").isin("get_system_overview", "get_related_systems", "get_node_children"),
         "wrong_opening": F.col("first_") & ~F.col("tool").isin("get_system_overview", "get_node_children"),
-    }
+    }
     rows = rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
-    return rows.withColumn("irrational", ~F.coalesce("valid", F.lit(False)) | F.col("repeated") | F.col("undiscovered") | F.col("after_fault") | F.col("wrong_opening")).drop("first_", "seen_", "faulted_", "again_")
+    return rows.withColumn("irrational", ~F.coalesce("valid", F.lit(False)) | F.col("repeated") | F.col("undiscovered") | F.col("after_fault") | F.col("wrong_opening")).drop("first_", "ghost_", "faulted_", "again_")
 
 
 def sensor_checks(calls: DataFrame) -> DataFrame:
@@ -54,6 +69,14 @@ def sensor_checks(calls: DataFrame) -> DataFrame:
     return rows.groupBy("episode_id").agg(F.max(F.coalesce("u_", F.lit(False))).alias("eligible"), F.max(F.coalesce("v_", F.lit(False))).alias("verified"), F.count_if("blind_").alias("n_blind"), F.count_if(F.col("tool") == "get_node_sensors").alias("n_sensor"))
 
 
+def edge_coverage(episodes: DataFrame, calls: DataFrame) -> DataFrame:
+    """episode_id, edges: share of the reference relations that results showed, in either direction; null without any."""
+    ends = lambda a, b: (F.least(a, b).alias("a_"), F.greatest(a, b).alias("b_"))
+    refs = episodes.select("episode_id", F.explode("ref_edges").alias("e")).select("episode_id", *ends(norm(F.col("e.src")), norm(F.col("e.dst"))))
+    seen = calls.select("episode_id", norm(F.col("node_id")).alias("n_"), F.explode("targets").alias("t_")).select("episode_id", *ends(F.col("n_"), norm(F.col("t_")))).distinct().withColumn("seen_", F.lit(1.0))
+    return refs.join(seen, ["episode_id", "a_", "b_"], "left").groupBy("episode_id").agg(F.avg(F.coalesce("seen_", F.lit(0.0))).alias("edges"))
+
+
 def episode_scores(episodes: DataFrame, calls: DataFrame) -> DataFrame:
     """One row for each episode with its measures (see the module)."""
     flagged = call_flags(calls).groupBy("episode_id").agg(
@@ -67,12 +90,14 @@ def episode_scores(episodes: DataFrame, calls: DataFrame) -> DataFrame:
     own = belief(fused.select("episode_id", "node_id", "score")).select("episode_id", "node_id", "score", "belief")
     named = calls.where(norm(F.col("status")).isin(*ABNORMAL)).groupBy("episode_id", "node_id").agg(F.max("fault_type").alias("seen_fault"))
     e = episodes.join(flagged, "episode_id", "left").join(masses, "episode_id", "left").join(sensor_checks(calls), "episode_id", "left")
+    e = e.join(edge_coverage(episodes, calls), "episode_id", "left") if "ref_edges" in episodes.columns else e.withColumn("edges", F.lit(None).cast("double"))
     e = e.join(own.withColumnRenamed("node_id", "diag_node"), ["episode_id", "diag_node"], "left").join(named.withColumnRenamed("node_id", "diag_node"), ["episode_id", "diag_node"], "left")
     has = F.col("diag_node").isNotNull() | F.col("diag_fault").isNotNull()
     clean = is_no_fault_label(F.col("gt_fault"))
     says = is_no_fault_label(F.col("diag_fault")) & is_no_fault_node(F.col("diag_node"))
     strict = has & says & ~F.coalesce("any_abnormal", F.lit(False))
-    right = mutual_substring(F.col("gt_node"), F.col("diag_node")) & exact_match(F.col("gt_fault"), F.col("diag_fault"))
+    node, exact = mutual_substring(F.col("gt_node"), F.col("diag_node")), exact_match(F.col("gt_fault"), F.col("diag_fault"))
+    right = node & exact
     n = F.coalesce("n_calls", F.lit(0)).cast("double")
     optimal = F.when(F.col("optimal") > 0, F.col("optimal")).otherwise(3).cast("double")
     system = F.coalesce(F.nullif(norm(F.col("diag_system")), F.lit("")), node_system(F.col("diag_node")))
@@ -83,10 +108,10 @@ def episode_scores(episodes: DataFrame, calls: DataFrame) -> DataFrame:
     filled = sum((_flag(F.coalesce(F.col(c).cast("string"), F.lit("")) != "") for c in ("diag_node", "diag_fault", "diag_confidence")), F.lit(0.0)) / 3
     out = e.select(
         "episode_id", "scenario_type", "difficulty", clean.alias("is_no_fault"),
-        _flag(F.when(clean, strict).otherwise(has & right)).alias("da"), _flag(F.when(has, system == norm(F.col("gt_system")))).alias("root_system"),
-        _flag(F.when(has, mutual_substring(F.col("gt_node"), F.col("diag_node")))).alias("root_node"), _flag(F.when(has, same_family(F.col("gt_fault"), F.col("diag_fault")))).alias("family"),
+        _flag(F.when(clean, strict).otherwise(has & right)).alias("da"), _flag(F.when(clean, strict).otherwise(has & (system != "") & (system == norm(F.col("gt_system"))))).alias("root_system"),
+        _flag(F.when(clean, strict).otherwise(has & node)).alias("root_node"), _flag(F.when(clean, strict).otherwise(has & node & (exact | same_family(F.col("gt_fault"), F.col("diag_fault"))))).alias("family"),
         F.when(has & (n > 0), F.least(F.lit(1.0), optimal / n)).otherwise(0.0).alias("se"), (F.coalesce("n_valid", F.lit(0)) / F.greatest(n, F.lit(1.0))).alias("format"), filled.alias("completeness"),
-        F.when(F.size(refs) > 0, hit / F.size(refs)).otherwise(tir).alias("tr"), tir.alias("tir"), F.when(has, backing).otherwise(0.0).alias("support"), F.coalesce("conflict", F.lit(0.0)).alias("conflict"),
+        F.coalesce("edges", F.when(F.size(refs) > 0, hit / F.size(refs)).otherwise(tir)).alias("tr"), tir.alias("tir"), F.when(has, backing).otherwise(0.0).alias("support"), F.coalesce("conflict", F.lit(0.0)).alias("conflict"),
         _flag(F.col("eligible")).alias("eligible"), _flag(F.col("eligible") & F.col("verified")).alias("verified"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"), n.alias("n_calls"), _flag(~has).alias("no_diagnosis"),
         _flag(F.col("related_") == 1).alias("cross_trace"),
     )
@@ -119,30 +144,3 @@ def accuracy_reward(has: Column, gt_no_fault: Column, says_no_fault: Column, nod
 
 def efficiency_reward(n_calls: Column, optimal: Column, max_steps: int = 15) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.greatest(n_calls - optimal, F.lit(0)) / F.lit(float(max_steps)))
-
-
-def process_reward(calls: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Start 1, less penalties for no answer, excess, repeats, errors, undiscovered nodes and calls after a fault; in buckets."""
-    f = call_flags(calls)
-    again = F.row_number().over(Window.partitionBy("episode_id", "tool", "node_id").orderBy("i")) > 2
-    g = f.withColumn("r_", again).groupBy("episode_id").agg(F.count("*").alias("n"), F.count_if("r_").alias("repeats"), F.count_if(norm(F.col("status")) == "error").alias("errors"), F.count_if("undiscovered").alias("ghosts"), F.min(F.when(norm(F.col("status")) == "fault", F.col("i"))).alias("hit"), F.max("i").alias("last"))
-    e = episodes.select("episode_id", F.coalesce("optimal", F.lit(3)).alias("optimal"), (F.col("diag_node").isNotNull() | F.col("diag_fault").isNotNull()).alias("has")).join(g, "episode_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    later = F.greatest(F.coalesce(F.col("last") - F.col("hit"), F.lit(0)) - 3, F.lit(0))
-    raw = 1.0 - F.when(F.col("has"), 0.0).when(zero("n") >= 15, 1.2).otherwise(0.6) - F.least(F.lit(0.5), 0.08 * F.greatest(zero("n") - F.col("optimal"), F.lit(0))) - F.least(F.lit(0.5), 0.12 * zero("repeats")) - F.least(F.lit(0.8), 0.30 * zero("errors")) - F.least(F.lit(0.7), 0.25 * zero("ghosts")) - F.least(F.lit(0.4), 0.08 * later)
-    return e.select("episode_id", F.when(raw >= 0.8, 1.0).when(raw >= 0.4, 0.5).when(raw >= 0, 0.0).otherwise(F.greatest(F.lit(-1.0), raw)).alias("process_reward"))
-
-
-def rewards(scores: DataFrame, episodes: DataFrame) -> DataFrame:
-    """accuracy, efficiency and their gated total for each episode."""
-    has = F.col("diag_node").isNotNull() | F.col("diag_fault").isNotNull()
-    says = is_no_fault_label(F.col("diag_fault")) & is_no_fault_node(F.col("diag_node"))
-    system = F.coalesce(F.nullif(norm(F.col("diag_system")), F.lit("")), node_system(F.col("diag_node"))) == norm(F.col("gt_system"))
-    acc = accuracy_reward(has, is_no_fault_label(F.col("gt_fault")), has & says, mutual_substring(F.col("gt_node"), F.col("diag_node")), exact_match(F.col("gt_fault"), F.col("diag_fault")), same_family(F.col("gt_fault"), F.col("diag_fault")), system, (F.coalesce("diag_node", F.lit("")) != "") & (F.coalesce("diag_fault", F.lit("")) != ""))
-    e = episodes.select("episode_id", F.coalesce("optimal", F.lit(3)).alias("optimal"), has.alias("has"), acc.alias("accuracy_reward"))
-    j = e.join(scores.select("episode_id", "n_calls", "completeness", "format", "support", "conflict"), "episode_id")
-    eff = F.when(F.col("accuracy_reward") < 0.3, 0.0).otherwise(efficiency_reward(F.col("n_calls"), F.col("optimal")))
-    total = 0.5 * F.col("accuracy_reward") + 0.15 * F.col("eff_") + 0.1 * F.col("format") + 0.1 * F.when(F.col("accuracy_reward") < 0.3, 0.0).otherwise(F.col("completeness")) + 0.15 * F.when(F.col("accuracy_reward") <= 0, F.least(F.lit(0.2), F.col("support"))).otherwise(F.col("support")) - F.when(F.col("has"), 0.0).otherwise(0.30) - F.when(F.col("accuracy_reward") <= 0, 0.12).otherwise(0.0) - 0.05 * F.col("conflict") - 0.001 * F.col("n_calls")
-    return j.withColumn("eff_", eff).select("episode_id", "accuracy_reward", F.col("eff_").alias("efficiency_reward"), total.alias("total_reward"))
-
-

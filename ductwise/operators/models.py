@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import clip, softmax
-from .statistics import class_cap, class_weights, dense_labels, stratified_split
+from .statistics import class_weights, dense_labels, first_by_hash, stratified_split
 
 
 def wide_features(stats: DataFrame, by: list[str], sensor: str, sensors: list[str], measures: tuple[str, ...] = ("mean", "std", "min", "max", "range", "slope")) -> DataFrame:
@@ -17,6 +17,11 @@ def wide_features(stats: DataFrame, by: list[str], sensor: str, sensors: list[st
     return stats.groupBy(*by).pivot(sensor, sensors).agg(*(F.first(m).alias(m) for m in measures))
 
 
+def _capped(rows: DataFrame, label: str, key: Column, cap: int, seed: int) -> DataFrame:
+    limits = rows.select(label).distinct().withColumn("limit", F.lit(cap))
+    return first_by_hash(rows, label, key, limits, seed, "taken_").where("taken_").drop("taken_")
+
+
 def train(features: DataFrame, columns: list[str], label: str, key: Column, cap: int = 2500, val_share: float = 0.15, trees: int = 40, depth: int = 8, seed: int = 42) -> dict:
     """Renumber labels, split by class, cap the classes of the part to fit, weight classes, fit a forest. Returns the model, its labels and all rows with predictions.
 
@@ -26,10 +31,10 @@ def train(features: DataFrame, columns: list[str], label: str, key: Column, cap:
     rows = Imputer(inputCols=columns, outputCols=columns, strategy="median").fit(rows.where("class_id IS NOT NULL")).transform(rows)
     rows = stratified_split(rows, label, key, val_share, seed).withColumn("is_val", F.when(F.col("class_id").isNotNull(), F.col("is_val")))
     rows = VectorAssembler(inputCols=columns, outputCol="features_", handleInvalid="keep").transform(rows)
-    fitted = class_cap(rows.where("NOT is_val"), label, [F.xxhash64(key, F.lit(seed)), key], cap)
+    fitted = _capped(rows.where("NOT is_val"), label, key, cap, seed)
     weights = class_weights(fitted, label).select(label, "weight")
     forest = RandomForestClassifier(featuresCol="features_", labelCol="class_id", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="probability_", rawPredictionCol="raw_", predictionCol="prediction_")
-    model = forest.fit(fitted.join(F.broadcast(weights), label))  # a row for each class
+    model = forest.fit(fitted.join(weights, label))
     scored = model.transform(rows)
     names = [r[label] for r in rows.where("class_id IS NOT NULL").select("class_id", label).distinct().orderBy("class_id").collect()]
     return {"model": model, "labels": names, "feature_cols": columns, "scored": scored.select(*[c for c in rows.columns if c != "features_"], vector_to_array("probability_").alias("probabilities"))}
@@ -84,3 +89,18 @@ def window_readings(rows: DataFrame, by: list[str], sensors: list[str]) -> DataF
 def tempered(confidence: Column, temperature: float) -> Column:
     odds = F.log(clip(confidence, 1e-12, 1 - 1e-12) / (1 - clip(confidence, 1e-12, 1 - 1e-12)))
     return 1 / (1 + F.exp(-odds / F.lit(temperature)))
+
+
+def train_systems(features: DataFrame, systems: list[str], columns: list[str], label: str, key: Column, **options) -> dict[str, dict]:
+    """A model for each system of features(system_id, …); one with less than two labels has none. Systems are few, so they are trained in turn."""
+    out = {}
+    for system in systems:
+        rows = features.where(F.col("system_id") == system)
+        if rows.groupBy(label).count().where("count >= 2").count() >= 2:
+            out[system] = train(rows, columns, label, key, **options)
+    return out
+
+
+def registry(models: dict[str, dict]) -> dict[str, dict]:
+    """What is known of each trained model without loading it: labels, columns, and whether it can answer."""
+    return {k: {"labels": m["labels"], "feature_cols": m["feature_cols"], "ready": bool(m["labels"])} for k, m in models.items()}

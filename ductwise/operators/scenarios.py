@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import difficulty
 from .datasets import window_starts
+from .statistics import hash_order
+
+
+def hash_number(key: Column, seed: int = 42) -> Column:
+    """A number below 2^48 from the key's md5."""
+    return F.conv(F.left(hash_order(key, seed), F.lit(12)), 16, 10).cast("long")
 
 
 def draw(key: Column, values: list[str], seed: int = 42) -> Column:
     """One of the values by hash of the key."""
-    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(hash_number(key, seed), F.lit(len(values))) + 1).cast("int"))
 
 
 def single_system(files: DataFrame, per_fault: int = 5, clean_most: int = 3, size: int = 15, seed: int = 42) -> DataFrame:
@@ -29,8 +35,9 @@ def single_system(files: DataFrame, per_fault: int = 5, clean_most: int = 3, siz
 def cross_system(single: DataFrame, links: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Faults of upstream systems with a reachable downstream system: the n pairs of least hash. links(system_id, downstream)."""
     pairs = single.where("scenario_type = 'single_system'").join(links, F.col("root_cause_system") == F.col("system_id"))
-    rank = F.row_number().over(Window.orderBy(F.xxhash64("scenario_id", "downstream", F.lit(seed)), "scenario_id", "downstream"))
-    picked = pairs.orderBy(F.xxhash64("scenario_id", "downstream", F.lit(seed)), "scenario_id", "downstream").limit(n)  # the feature: n scenarios
+    order = [hash_order(F.concat_ws("|", "scenario_id", "downstream"), seed), "scenario_id", "downstream"]
+    rank = F.row_number().over(Window.orderBy(*order))
+    picked = pairs.orderBy(*order).limit(n)  # the feature: n scenarios
     return picked.withColumn("k_", rank).select(F.concat(F.lit("cross_"), F.col("k_").cast("string"), F.lit("_"), F.col("scenario_id")).alias("scenario_id"), F.lit("cross_system").alias("scenario_type"), "root_cause_system", "root_cause_node", "fault_type", "fault_intensity", F.array("root_cause_system", "downstream").alias("affected_systems"), "source_file", "time_window_start", "time_window_end", "difficulty")
 
 
@@ -82,3 +89,62 @@ def prompt(kind: Column, system: Column, symptom: Column, key: Column, seed: int
 def leaks(text: Column, aliases: list[str]) -> Column:
     """Does a prompt name a system: a leading tag or any alias."""
     return text.rlike(r"^\s*\[[^\]]+\]") | F.exists(F.array(*map(F.lit, aliases)), lambda a: F.contains(F.lower(text), a))
+
+
+def sample(scenarios: DataFrame, shares: dict[str, float], n_total: int, seed: int = 42) -> DataFrame:
+    """int(n_total * share) scenarios of each type in hash order, taken in turn again where a type has too few; ids get the type and a number.
+
+    A type without scenarios gives none.
+    """
+    targets = scenarios.sparkSession.createDataFrame([(k, int(n_total * v)) for k, v in shares.items()], "scenario_type string, target_ long")
+    w = Window.partitionBy("scenario_type")
+    pool = scenarios.join(targets, "scenario_type").withColumn("k_", F.row_number().over(w.orderBy(hash_order(F.col("scenario_id"), seed), "scenario_id")) - 1).withColumn("n_", F.count("*").over(w))
+    pool = pool.where("k_ < target_")
+    turns = F.sequence(F.lit(0), F.floor((F.col("target_") - 1 - F.col("k_")) / F.col("n_")))
+    rows = pool.withColumn("t_", F.explode(turns)).withColumn("i_", F.col("k_") + F.col("t_") * F.col("n_"))
+    return rows.withColumn("scenario_id", F.concat_ws("_", "scenario_id", "scenario_type", F.col("i_").cast("string"))).select(*scenarios.columns)
+
+
+def no_fault_paths(scenarios: DataFrame, components: DataFrame, seed: int = 42) -> DataFrame:
+    """scenario_id and two or three components of its system, in hash order: what a routine check looks at. components(system_id, node_id)."""
+    ranked = components.withColumn("k_", F.row_number().over(Window.partitionBy("system_id").orderBy(hash_order(F.col("node_id"), seed), "node_id")) - 1).withColumn("n_", F.count("*").over(Window.partitionBy("system_id")))
+    sizes = ranked.groupBy("system_id").agg(F.max("n_").alias("n_"))
+    h = hash_number(F.col("scenario_id"), seed)
+    wanted = scenarios.join(sizes, F.col("root_cause_system") == F.col("system_id")).withColumn("t_", F.explode(F.sequence(F.lit(0), F.least(1 + F.pmod(h, F.lit(2)), F.col("n_") - 1))))
+    picks = wanted.withColumn("k_", F.pmod(h + F.col("t_"), F.col("n_"))).select("scenario_id", "system_id", "t_", "k_")
+    rows = picks.join(ranked.select("system_id", "k_", "node_id"), ["system_id", "k_"])
+    return rows.groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t_", "node_id"))), lambda x: x["node_id"]).alias("path"))
+
+
+def node_role(path: Column, node: Column) -> Column:
+    """symptom, intermediate or root_cause of a node on a path; null beside it."""
+    at = F.array_position(path, node)
+    return F.when((at > 0) & (at == F.size(path)), "root_cause").when(at == 1, "symptom").when(at > 1, "intermediate")
+
+
+def path_facts(path: Column) -> Column:
+    """struct(symptom_node, path_length, edges) of a path."""
+    n = F.size(path)
+    edges = F.zip_with(F.slice(path, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(path, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
+    return F.struct(F.coalesce(F.get(path, F.lit(0)), F.lit("")).alias("symptom_node"), n.alias("path_length"), edges.alias("edges"))
+
+
+def training_records(scenarios: DataFrame, prompt: str, version: str) -> DataFrame:
+    """Prompts for learning by reward: id, messages, ground_truth, metadata. scenarios may lack a path (null), then its optimal length is 3."""
+    free = F.contains("scenario_type", F.lit("no_fault")) | F.lower("fault_type").isin("normal", "no_fault") | F.lower(F.coalesce("root_cause_node", F.lit("none"))).isin("none", "")
+    facts = path_facts(F.coalesce("path", F.array().cast("array<string>")))
+    group = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    key = F.concat_ws("|", group("root_cause_system"), F.when(free, "none").otherwise(group("root_cause_node")), F.when(free, "normal").otherwise(group("fault_type")), group("source_file"))
+    nodes = F.coalesce("path", F.array().cast("array<string>"))
+    truth = F.struct(
+        "root_cause_system", F.when(free, "none").otherwise(F.col("root_cause_node")).alias("root_cause_node"), F.when(free, "Normal").otherwise(F.col("fault_type")).alias("fault_type"), F.when(free, "none").otherwise(F.col("fault_intensity")).alias("fault_intensity"), "affected_systems",
+        F.when(F.col("path").isNull(), 3).otherwise(facts["path_length"]).alias("optimal_path_length"), nodes.alias("diagnostic_path_nodes"), facts["symptom_node"].alias("symptom_node"), F.when(free, nodes).otherwise(F.array().cast("array<string>")).alias("reference_review_nodes"), facts["edges"].alias("reference_propagation_edges"),
+    )
+    messages = F.array(F.struct(F.lit("system").alias("role"), F.lit(prompt).alias("content")), F.struct(F.lit("user").alias("role"), F.col("description").alias("content")))
+    meta = F.struct(F.lit(version).alias("design_version"), F.sha2(F.lit(prompt), 256).alias("system_prompt_sha256"), "scenario_id", "scenario_type", "difficulty", "source_file", key.alias("split_group_key"), "time_window_start", "time_window_end")
+    return scenarios.select(F.col("scenario_id").alias("id"), messages.alias("messages"), truth.alias("ground_truth"), meta.alias("metadata"))
+
+
+def limited(rows: DataFrame, order: list[Column], most: int | None) -> DataFrame:
+    """The first ``most`` rows by ``order``; all of them for none or 0. The limit is the feature."""
+    return rows.orderBy(*order).limit(most) if most and most > 0 else rows

@@ -107,11 +107,33 @@ def report_averages(report: DataFrame) -> DataFrame:
     return report.agg(*(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")), *((F.sum(F.col(c) * F.col("support")) / s).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")), (F.sum(F.col("recall") * F.col("support")) / s).alias("accuracy"))
 
 
+def hash_order(key: Column, seed: int = 42) -> Column:
+    """32 hexadecimal digits that put keys in a random but repeatable order."""
+    return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
+
+
+def first_by_hash(df: DataFrame, kind: str, key: Column, limits: DataFrame, seed: int = 42, name: str = "taken") -> DataFrame:
+    """Marks the first ``limit`` rows of each kind in hash order of ``key``: limits(kind, limit).
+
+    Rows are counted by the first three digits of the hash; only those with the digits at which a kind's limit is met are ranked, so
+    a kind with a third of all rows is no single task.
+    """
+    rows = df.withColumn("h_", hash_order(key, seed)).withColumn("d_", F.left("h_", F.lit(3)))
+    counts = rows.groupBy(F.col(kind).alias("k_"), F.col("d_").alias("e_")).agg(F.count("*").alias("c_"))  # 4096 rows a kind at most
+    upto = F.sum("c_").over(Window.partitionBy("k_").orderBy("e_"))
+    counts = counts.withColumn("upto_", upto).join(limits.select(F.col(kind).alias("l_"), F.col("limit").alias("limit_")), F.col("k_").eqNullSafe(F.col("l_")))
+    counts = counts.select("k_", "e_", (F.col("limit_") - (F.col("upto_") - F.col("c_"))).alias("room_"), (F.col("upto_") <= F.col("limit_")).alias("all_"))
+    rows = rows.join(counts, F.col(kind).eqNullSafe(F.col("k_")) & (F.col("d_") == F.col("e_")), "left")
+    border = ~F.col("all_") & (F.col("room_") > 0)
+    w = Window.partitionBy(kind, F.when(border, F.col("d_")).otherwise(F.col("h_"))).orderBy("h_", key)  # other rows are partitions of their own
+    taken = F.coalesce(F.col("all_") | (border & (F.row_number().over(w) <= F.col("room_"))), F.lit(False))
+    return rows.withColumn(name, taken).drop("h_", "d_", "k_", "e_", "room_", "all_")
+
+
 def stratified_split(df: DataFrame, label: str, key: Column, share: float, seed: int = 42) -> DataFrame:
     """is_val for floor(share * n) rows of each class, at least one, by hash order."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return df.withColumn("is_val", rank <= F.greatest(F.lit(1), F.floor(F.count("*").over(w) * F.lit(share))))
+    limits = df.groupBy(label).agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(share))).alias("limit"))
+    return first_by_hash(df, label, key, limits, seed, "is_val")
 
 
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -131,29 +153,28 @@ def drop_empty_columns(df: DataFrame, least_share: float = 0.0, keep: tuple[str,
 
 
 def median_impute(df: DataFrame, value: str, by: list[str] | None = None, name: str = "imputed") -> DataFrame:
-    """Nulls take the exact median of the column, or of their group."""
-    medians = df.groupBy(*(by or [])).agg(F.median(value).alias("median_"))
-    joined = df.join(medians, by) if by else df.crossJoin(F.broadcast(medians))  # without groups: one row
+    """Nulls take the exact median of the column, or of their group, from counts of distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*(by or []), F.col(value).alias("v_")).agg(F.count("*").alias("c_"))
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    ranked = counts.withColumn("upto_", F.sum("c_").over(w.orderBy("v_"))).withColumn("n_", F.sum("c_").over(w))
+    at = lambda k: F.min(F.when(F.col("upto_") > k, F.col("v_")))
+    medians = ranked.groupBy(*(by or [])).agg(((at(F.floor((F.col("n_") - 1) / 2)) + at(F.floor(F.col("n_") / 2))) / 2).alias("median_"))
+    joined = df.join(medians, by, "left") if by else df.join(F.broadcast(medians), how="left")  # without groups: one row
     return joined.withColumn(name, F.coalesce(F.col(value), F.col("median_"))).drop("median_")
 
 
+#: Parts of sensor names that tell their role.
+SENSOR_ROLES = {"supply": ("SW_TEMP", "Supply"), "return": ("RW_TEMP", "Return"), "setpoint": ("SPT", "Setpoint", "Set_Point")}
+
+
 def cross_sensor_features(columns: list[str]) -> dict[str, Column]:
     """Supply less return and value less setpoint for the mean columns of a wide feature table."""
-    means = [c for c in columns if c.endswith("_mean")]
-    out: dict[str, Column] = {}
-    for c in means:
-        base = c.replace("_mean", "")
-        prefix = base.split("_")[0]
-        if "SW_TEMP" in base or "Supply" in base:
-            for o in means:
-                if o != c and prefix in o and ("RW_TEMP" in o or "Return" in o):
-                    out[f"{base}_minus_{o.replace('_mean', '')}"] = F.col(c) - F.col(o)
-        if not ("SPT" in base or "Setpoint" in base):
-            for o in means:
-                other = o.replace("_mean", "")
-                if any(x in other for x in ("SPT", "Setpoint", "Set_Point")) and prefix in other:
-                    out[f"{base}_spt_deviation_{other}"] = F.col(c) - F.col(o)  # a name for each pair
-    return out
+    sensors = [c[: -len("_mean")] for c in columns if c.endswith("_mean")]
+    roles = {role: {s for s in sensors if any(mark in s for mark in marks)} for role, marks in SENSOR_ROLES.items()}
+    plain = set(sensors) - {s for s in sensors if any(mark in s for mark in ("SPT", "Setpoint"))}
+    wanted = [("minus", roles["supply"], roles["return"]), ("spt_deviation", plain, roles["setpoint"])]
+    pairs = [(a, name, b) for name, left, right in wanted for a in sensors if a in left for b in sensors if b in right and a != b and a.split("_")[0] in b]
+    return {f"{a}_{name}_{b}": F.col(f"{a}_mean") - F.col(f"{b}_mean") for a, name, b in pairs}
 
 
 def grouping_report(df: DataFrame, dims: list[str], aggs: list[Column]) -> DataFrame:

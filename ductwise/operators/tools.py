@@ -77,10 +77,11 @@ def execute(calls: DataFrame, nodes: DataFrame, edges: DataFrame, predictions: D
         answers = part if answers is None else answers.unionByName(part)
     related = graph.related_systems(nodes, edges).select("system_id", item(F.col("other_system"), F.concat_ws(" ", "direction", "connected_via", "target_component")).alias("x"))
     answers = answers.unionByName(related.groupBy(F.lit("get_related_systems").alias("tool"), F.col("system_id").alias("about_")).agg(F.array_sort(F.collect_list("x")).alias("items")))
-    systems = nodes.where("level = 1").agg(F.array_sort(F.collect_list(item(F.col("node_id"), F.col("name")))).alias("systems_"))
-    about = F.when(F.col("tool") == "get_related_systems", F.col("system_id")).when(F.col("tool").isin(*lists), F.col("node_id"))
-    out = c.withColumn("about_", about).join(answers, ["tool", "about_"], "left").join(F.broadcast(systems))  # one row, as long as there are systems
+    overview = nodes.where("level = 1").select(item(F.col("node_id"), F.col("name")).alias("x"))
+    answers = answers.unionByName(overview.groupBy(F.lit("get_system_overview").alias("tool"), F.lit("").alias("about_")).agg(F.array_sort(F.collect_list("x")).alias("items")))
+    about = F.when(F.col("tool") == "get_related_systems", F.col("system_id")).when(F.col("tool").isin(*lists), F.col("node_id")).when(F.col("tool") == "get_system_overview", "")
+    out = c.withColumn("about_", about).join(answers, ["tool", "about_"], "left")
     needs_node = F.col("tool").isin(*lists)
     error = F.when(~F.col("tool").isin(*allowed), F.concat(F.lit("unknown tool: "), F.col("tool"))).when(needs_node & F.col("known_").isNull(), F.concat(F.lit("node not found: "), F.coalesce("node_id", F.lit(""))))
-    items = F.when(F.col("tool") == "get_system_overview", F.col("systems_")).otherwise(F.coalesce("items", F.array().cast("array<struct<id:string,info:string>>")))
+    items = F.coalesce("items", F.array().cast("array<struct<id:string,info:string>>"))
     return out.select("call_id", "tool", F.when(error.isNotNull(), "error").otherwise("success").alias("status"), error.alias("error"), F.when(error.isNull(), items).alias("items"))

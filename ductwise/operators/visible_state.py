@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,41 +24,42 @@ def action(tool: Column) -> Column:
     return out.otherwise("other")
 
 
-def _last(items: list[str], n: int) -> list[str]:
-    """The last n, each once, in order of first appearance."""
-    return list(dict.fromkeys(items[-n:]))
-
-
 def fold(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, tool, node_id, status, fault_type, targets array<string>) to the state after each turn. Columns: ``STATE``."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, edges, candidates, frontier, checked, rows = [], [], [], [], [], []
+    names = [c.split()[0] for c in STATE.split(", ")]
+    lists = {"nodes": 8, "edges": 8, "candidates": 4, "frontier": 4, "checked": 8}
 
-        def add(to: list, item: str) -> None:
-            if item and item not in to:
-                to.append(item)
+    def add(to: dict, item: str) -> None:
+        if item:
+            to.setdefault(item)  # in order of first appearance
 
-        for r in group.sort_values("turn", kind="stable").to_dict("records"):
-            tool, node = r["tool"], r["node_id"] or ""
-            targets = list(r["targets"]) if r["targets"] is not None else []
-            status = str(r["status"] or "").lower()
-            if status != "error":
-                for t in [node, *targets]:
-                    add(nodes, t)
-                if tool in ("get_node_children", "get_downstream_nodes", "get_upstream_nodes", "get_related_systems"):
-                    for t in targets:
-                        add(edges, f"{t}>{node}" if tool == "get_upstream_nodes" else f"{node}>{t}")
-                        add(frontier, t)
-                elif tool == "diagnose_node":
-                    add(checked, node)
-                    if node in frontier:
-                        frontier.remove(node)
-                    if status in ABNORMAL:
-                        add(candidates, f"{node}:{r['fault_type'] or ''}")
-                elif tool == "get_node_sensors":
-                    add(checked, node)
-            rows.append((r["conv_id"], r["turn"], "conclude" if tool is None else ACTIONS.get(tool, "other"), len(nodes), len(edges), _last(nodes, 8), _last(edges, 8), _last(candidates, 4), _last(frontier, 4), _last(checked, 8)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
+    def run(batches):
+        current, seen = None, {}
+        for batch in batches:
+            rows: dict[str, list] = {n: [] for n in names}
+            for r in batch.to_pylist():
+                if r["conv_id"] != current:
+                    current, seen = r["conv_id"], {n: {} for n in lists}
+                tool, node, targets, status = r["tool"], r["node_id"] or "", r["targets"] or [], (r["status"] or "").lower()
+                if status != "error":
+                    for t in [node, *targets]:
+                        add(seen["nodes"], t)
+                    if ACTIONS.get(tool) in ("expand", "trace"):
+                        for t in targets:
+                            add(seen["edges"], f"{t}>{node}" if tool == "get_upstream_nodes" else f"{node}>{t}")
+                            add(seen["frontier"], t)
+                    elif ACTIONS.get(tool) == "verify":
+                        add(seen["checked"], node)
+                        if tool == "diagnose_node":
+                            seen["frontier"].pop(node, None)
+                            if status in ABNORMAL:
+                                add(seen["candidates"], f"{node}:{r['fault_type'] or ''}")
+                kind = "conclude" if tool is None else ACTIONS.get(tool, "other")
+                for n, v in (("conv_id", current), ("turn", r["turn"]), ("action", kind), ("n_nodes", len(seen["nodes"])), ("n_edges", len(seen["edges"])), *((n, list(seen[n])[-k:]) for n, k in lists.items())):
+                    rows[n].append(v)
+            kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+            yield pa.RecordBatch.from_arrays([pa.array(rows[n], kinds[c.split()[1]]) for n, c in zip(names, STATE.split(", "))], names)
 
-    return turns.groupBy("conv_id").applyInPandas(run, STATE)
+    rows = turns.select("conv_id", "turn", "tool", "node_id", "status", "fault_type", "targets")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInArrow(run, STATE)

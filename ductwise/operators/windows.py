@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,14 +63,24 @@ def forward_fill(df: DataFrame, by: list[str], order: list[str], value: str, lim
 
 
 def returns_to_go(df: DataFrame, by: list[str], order: list[str], reward: str, discount: float, name: str = "ret") -> DataFrame:
-    """G_t = r_t + discount * G_{t+1}; an array fold from the end, so long episodes stay exact."""
-    packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(reward).alias("r_")))).alias("steps_"))
-    fold = F.aggregate(
-        F.reverse("steps_"), F.array().cast("array<double>"),
-        lambda acc, s: F.concat(F.array(s["r_"].cast("double") + F.lit(discount) * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))), acc),
-    )
-    rows = packed.withColumn("g_", fold).select(*by, F.posexplode(F.arrays_zip("steps_", "g_")).alias("step", "z_"))
-    return rows.select(*by, "step", *(F.col(f"z_.steps_.{o}").alias(o) for o in order), F.col("z_.g_").alias(name))
+    """G_t = r_t + discount * G_{t+1}, for discounts from 0 to 1, by window sums.
+
+    Steps go to blocks so long that a reward more than a block away weighs less than 1e-17: a step's return is the
+    discounted sum of the rest of its block and of the whole next one.  Columns: by, step, order, name.
+    """
+    rows = numbered(df, by, order, "step").withColumn("r_", F.col(reward).cast("double"))
+    if discount >= 1:
+        w = Window.partitionBy(*by).orderBy(F.desc("step"))
+        return rows.select(*by, "step", *order, F.sum("r_").over(w).alias(name))
+    if discount <= 0:
+        return rows.select(*by, "step", *order, F.col("r_").alias(name))
+    size = math.ceil(math.log(1e-17) / math.log(discount))
+    rows = rows.withColumn("block_", F.floor(F.col("step") / size)).withColumn("at_", F.col("step") % size)
+    rows = rows.withColumn("p_", F.col("r_") * F.pow(F.lit(float(discount)), F.col("at_")))
+    nxt = rows.groupBy(*by, (F.col("block_") - 1).alias("block_")).agg(F.sum("p_").alias("next_"))
+    w = Window.partitionBy(*by, "block_").orderBy(F.desc("at_"))
+    whole = (F.sum("p_").over(w) + F.coalesce("next_", F.lit(0.0)) * F.lit(float(discount) ** size)) / F.pow(F.lit(float(discount)), F.col("at_"))
+    return rows.join(nxt, [*by, "block_"], "left").select(*by, "step", *order, whole.alias(name))
 
 
 def step_advantage(df: DataFrame, group: list[str], step: str, ret: str, clip: float = 2.0, leave_one_out: bool = False) -> DataFrame:

@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import maths as M
 from ..operators import datasets, evidence, graph, matching, metrics, models, potential, scenarios, statistics, tools, visible_state
 from ..operators import windows as W
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+from .registry import QUERIES, SQL, query, rounded, table  # noqa: F401
 
 
 # --- windows -----------------------------------------------------------------------------------------------------
@@ -263,11 +240,11 @@ def graph_leaves(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE e AS ({_PARTS}), p AS (SELECT dst AS at, arg_min(src, seq) AS parent FROM e GROUP BY dst),
-a AS (SELECT n.node_id, p.parent AS ancestor, 1 AS hops FROM (SELECT node_id FROM ({_NODES}) WHERE level = 2) n JOIN p ON p.at = n.node_id UNION ALL SELECT a.node_id, p.parent, hops + 1 FROM a JOIN p ON p.at = a.ancestor WHERE hops < 8)
+a AS (SELECT n.node_id, p.parent AS ancestor, 1 AS hops FROM ({_NODES}) n JOIN p ON p.at = n.node_id UNION ALL SELECT a.node_id, p.parent, hops + 1 FROM a JOIN p ON p.at = a.ancestor)
 SELECT node_id, ancestor, hops FROM a""")
 def graph_ancestor_chain(spark, sf_dir):
     nodes, edges = graph.order_graph(spark, sf_dir)
-    return graph.ancestors(edges, nodes.where("level = 2").select("node_id"))
+    return graph.ancestors(edges, nodes.select("node_id"))
 
 
 @query(f"""WITH l AS (SELECT src AS a, dst AS b FROM ({_PARTS}) UNION SELECT dst, src FROM ({_PARTS})), s AS (SELECT 'nation::' || n_nationkey AS source FROM nation),
@@ -300,42 +277,43 @@ def normalize_label(spark, sf_dir):
 
 
 _FAMILY = "CASE WHEN s IN ('', 'normal', 'none', 'no_fault', 'no_fault_detected') THEN 'normal' " + " ".join(f"WHEN regexp_matches(s, '{'|'.join(t)}') THEN '{n}'" for n, t in L.FAMILIES)
+#: A label for each part that marks a family, and some that mark none.
+_LABELS = [f"{k}{part}{tail}" for k, (_, parts) in enumerate(L.FAMILIES) for part in parts for tail in ("", "_50")] + ["misc_thing_30", "other_minor", "x", "normal", "none", ""]
 
 
-@query(f"""WITH n AS (SELECT event_id, list_value('fan_stuck_50', 'vlvstuck_cooling_10', 'oa_bias_2', 'misc_thing_30', 'normal')[1 + event_id % 5] AS s FROM events),
+@query(f"""WITH n AS (SELECT event_id, {_LABELS}[1 + event_id % {len(_LABELS)}] AS s FROM events),
 k AS (SELECT *, list_filter(string_split(s, '_'), lambda p: p NOT IN ('default', 'minor', 'moderate', 'severe') AND NOT regexp_full_match(p, '\\d+c?')) AS p FROM n)
 SELECT event_id, {_FAMILY} ELSE CASE WHEN len(p) >= 2 THEN array_to_string(p[1:2], '_') ELSE s END END AS family FROM k""")
 def fault_family_rules(spark, sf_dir):
-    names = F.array(*map(F.lit, ("Fan_stuck_50", "VLVStuck_Cooling-10", "OA_bias_2", "misc thing 30", "Normal")))
-    return table(spark, sf_dir, "events").select("event_id", L.family(F.get(names, (F.col("event_id") % 5).cast("int"))).alias("family"))
+    names = F.array(*(F.lit(x.replace("_", " ").title()) for x in _LABELS))
+    return table(spark, sf_dir, "events").select("event_id", L.family(F.get(names, (F.col("event_id") % len(_LABELS)).cast("int"))).alias("family"))
 
 
-@query("WITH s AS (SELECT DISTINCT source FROM documents), l AS (SELECT DISTINCT source FROM documents WHERE doc_id < 40) SELECT l.source AS part, s.source AS whole FROM l, s WHERE contains(s.source, l.source) OR contains(l.source, s.source)")
+@query("WITH s AS (SELECT DISTINCT source FROM documents), l AS (SELECT DISTINCT source FROM documents) SELECT l.source AS part, s.source AS whole FROM l, s WHERE contains(s.source, l.source) OR contains(l.source, s.source)")
 def mutual_substring(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    part = docs.select(F.upper("source").alias("p")).distinct()
-    found = docs.select("source").distinct().join(part, L.mutual_substring(F.col("source"), F.col("p")))
-    return found.select(F.lower("p").alias("part"), F.col("source").alias("whole"))
+    names = table(spark, sf_dir, "documents").select(F.lower(F.trim("source")).alias("whole")).where("whole <> ''").distinct()
+    within = matching.substring_pairs(names.select(F.col("whole").alias("part")), "part", names.withColumn("key", F.col("whole")), "whole", "key").select("part", "whole")
+    return within.unionByName(within.select(F.col("whole").alias("part"), F.col("part").alias("whole"))).distinct()
 
 
-@query("""WITH b AS (SELECT DISTINCT substr(text, 1, 40) AS needle FROM benchmark WHERE text <> '')
-SELECT needle, min(doc_id) AS doc_id, count(*) AS n_matches FROM documents JOIN b ON contains(text, needle) GROUP BY needle""")
+@query("""WITH b AS (SELECT DISTINCT text AS whole FROM benchmark WHERE text <> '')
+SELECT substr(whole, 1, 40) AS needle, min(doc_id) AS doc_id, count(*) AS n_matches FROM documents JOIN b ON contains(text, whole) GROUP BY whole""")
 def theta_substring_link(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("text").alias("whole"))  # the whole passage is matched; its first 40 characters only name it
     found = matching.substring_links(b, "whole", table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
     return found.select(F.substring("whole", 1, 40).alias("needle"), "doc_id", "n_matches")
 
 
-@query("""WITH l AS (SELECT p_partkey, replace(lower(p_type), ' ', '_') AS label FROM part), t AS (SELECT DISTINCT split_part(lower(p_type), ' ', 1) AS template FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT replace(lower(p_type), ' ', '_') FROM part WHERE p_partkey % 50 = 0)
+@query("""WITH l AS (SELECT p_partkey, replace(lower(p_type), ' ', '_') AS label FROM part), t AS (SELECT DISTINCT split_part(lower(p_type), ' ', 1) AS template FROM part WHERE lower(p_type) NOT LIKE 'e%' UNION SELECT DISTINCT replace(lower(p_type), ' ', '_') FROM part WHERE p_type LIKE '%STEEL')
 SELECT p_partkey, label, (SELECT arg_max(template, length(template)) FROM t WHERE l.label = template OR starts_with(l.label, template || '_')) AS template FROM l""")
 def longest_prefix_template(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")).alias("label"))
-    short = p.where("p_partkey % 2 = 0").select(F.substring_index("label", "_", 1).alias("template"))
-    t = short.unionByName(p.where("p_partkey % 50 = 0").select(F.col("label").alias("template"))).distinct()
+    short = p.where("label NOT LIKE 'e%'").select(F.substring_index("label", "_", 1).alias("template"))  # types on e have no short template
+    t = short.unionByName(p.where("label LIKE '%steel'").select(F.col("label").alias("template"))).distinct()
     return matching.longest_prefix(p, "label", t, "template").select("p_partkey", "label", "template")
 
 
-_SCEN = "SELECT 'S' || o_orderkey AS scenario_id, CASE WHEN o_orderstatus = 'F' THEN 'na_no_fault' ELSE 'na_single_system' END AS scenario_type, 'sys' || (o_custkey % 5) AS root_cause_system, 'n' || (o_custkey % 7) AS root_cause_node, CASE WHEN o_orderstatus = 'F' THEN 'normal' ELSE o_orderpriority END AS fault_type FROM orders WHERE o_orderkey % 3 <> 0"
+_SCEN = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'T' ELSE 'S' END || o_orderkey AS scenario_id, CASE WHEN o_orderstatus = 'F' THEN 'na_no_fault' ELSE 'na_single_system' END AS scenario_type, 'sys' || (o_custkey % 5) AS root_cause_system, 'n' || (o_custkey % 7) AS root_cause_node, CASE WHEN o_orderstatus = 'F' THEN 'normal' ELSE o_orderpriority END AS fault_type FROM orders"
 _SAMP = "SELECT CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a_' WHEN 2 THEN 'na_lc_' ELSE 'nf_' END || 'S' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '_na_no_fault_3' ELSE '' END AS sample_id, 'S' || o_orderkey AS base, CASE WHEN o_orderstatus = 'F' THEN 'na_no_fault' ELSE 'na_single_system' END AS scenario_type, 'sys' || (o_custkey % 5) AS root_cause_system, 'n' || (o_custkey % 7) AS root_cause_node, CASE WHEN o_orderstatus = 'F' THEN 'normal' ELSE o_orderpriority END AS fault_type FROM orders"
 
 
@@ -349,7 +327,7 @@ def scenario_cascade_match(spark, sf_dir):
     clean = F.col("o_orderstatus") == "F"
     fields = [F.when(clean, "na_no_fault").otherwise("na_single_system").alias("scenario_type"), F.concat(F.lit("sys"), (F.col("o_custkey") % 5).cast("string")).alias("root_cause_system"), F.concat(F.lit("n"), (F.col("o_custkey") % 7).cast("string")).alias("root_cause_node"), F.when(clean, "normal").otherwise(F.col("o_orderpriority")).alias("fault_type")]
     sid, k = F.concat(F.lit("S"), F.col("o_orderkey").cast("string")), F.col("o_orderkey") % 4
-    scenarios = o.where("o_orderkey % 3 <> 0").select(sid.alias("scenario_id"), *fields)
+    scenarios = o.select(F.when(F.col("o_orderkey") % 3 == 0, F.replace(sid, F.lit("S"), F.lit("T"))).otherwise(sid).alias("scenario_id"), *fields)  # samples know other ids of a third
     prefix = F.when(k == 0, "").when(k == 1, "a_").when(k == 2, "na_lc_").otherwise("nf_")
     samples = o.select(F.concat(prefix, sid, F.when(F.col("o_orderkey") % 2 == 0, "_na_no_fault_3").otherwise("")).alias("sample_id"), *fields)
     return matching.match_scenarios(samples, scenarios)
@@ -422,14 +400,14 @@ def topk_candidates(spark, sf_dir):
 TOOLS = ("get_system_overview", "get_node_children", "diagnose_node", "get_node_sensors", "get_upstream_nodes")
 
 
-def episodes(spark, sf_dir):
+def episodes(spark, sf_dir, with_step=False):
     """(episodes, calls) made of events: blocks of eight events of a user are an episode."""
     o = observations(spark, sf_dir)
     rn = W.numbered(o, ["episode_id"], ["step"])
     tools = F.array(*map(F.lit, TOOLS))
     calls = rn.select(
         F.concat_ws("-", "episode_id", F.floor(F.col("rn") / 8).cast("string")).alias("episode_id"), (F.col("rn") % 8).cast("int").alias("i"), F.get(tools, F.when(F.col("rn") % 8 == 0, 0).otherwise(F.col("step") % 5).cast("int")).alias("tool"),
-        "node_id", "system_id", (F.col("step") % 11 != 0).alias("valid"), F.when(F.col("step") % 5 != 2, "success").otherwise(F.col("status")).alias("status"), "fault_type", "confidence",
+        "node_id", "system_id", (F.col("step") % 11 != 0).alias("valid"), F.when(F.col("step") % 11 == 0, "error").when(F.col("step") % 5 != 2, "success").otherwise(F.col("status")).alias("status"), "fault_type", "confidence",
         F.when(F.col("step") % 5 == 1, F.array(F.concat("system_id", F.lit("::n0")), F.concat("system_id", F.lit("::n1")), F.concat("system_id", F.lit("::n3")))).alias("targets"), "step",
     )
     last = calls.groupBy("episode_id").agg(F.max_by(F.struct("node_id", "fault_type", "confidence", "system_id", "step"), "i").alias("d"), F.max_by(F.struct("node_id", "fault_type"), F.struct("confidence", "i")).alias("t"))
@@ -440,7 +418,7 @@ def episodes(spark, sf_dir):
         F.array(F.col("t.node_id")).alias("ref_nodes"), F.when(said, F.when(clean & (F.col("d.step") % 2 == 0), "none").otherwise(F.col("d.node_id"))).alias("diag_node"), F.when(said, F.when(clean & (F.col("d.step") % 2 == 0), "no_fault").otherwise(F.col("d.fault_type"))).alias("diag_fault"),
         F.when(said, F.col("d.system_id")).alias("diag_system"), F.when(said, F.col("d.confidence")).alias("diag_confidence"),
     )
-    return eps, calls.drop("step")
+    return eps, calls if with_step else calls.drop("step")
 
 
 @query()
@@ -448,12 +426,6 @@ def episode_metrics(spark, sf_dir):
     return metrics.report(metrics.episode_scores(*episodes(spark, sf_dir)))
 
 
-@query()
-def episode_rewards(spark, sf_dir):
-    eps, calls = episodes(spark, sf_dir)
-    return metrics.rewards(metrics.episode_scores(eps, calls), eps).join(metrics.process_reward(calls, eps), "episode_id")
-
-
 @query()
 def sensor_verification(spark, sf_dir):
     return metrics.sensor_checks(episodes(spark, sf_dir)[1])
@@ -471,17 +443,27 @@ def leakage_group_split(spark, sf_dir):
     return datasets.grouped_split(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "source", "lang")
 
 
-@query()
+_HASH = "md5({0} || '|42')"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT lang, count(*) AS c FROM documents GROUP BY lang), t AS (SELECT sum(c) AS total, least(100, sum(c)) AS wanted, count(*) AS k FROM n),
+a AS (SELECT (SELECT map_from_entries(list((lang, CASE WHEN wanted >= k THEN 1 ELSE 0 END))) FROM n, t) AS got, (SELECT CASE WHEN wanted >= k THEN k ELSE 0 END FROM t) AS given
+ UNION ALL SELECT (SELECT map_from_entries(list((n.lang, got[n.lang] + CASE WHEN n.lang = (SELECT m.lang FROM n m, t WHERE got[m.lang] < m.c ORDER BY wanted * m.c / total - got[m.lang] DESC, m.c DESC, m.lang DESC LIMIT 1) THEN 1 ELSE 0 END))) FROM n), given + 1 FROM a, t WHERE given < wanted),
+s AS (SELECT got FROM a ORDER BY given DESC LIMIT 1)
+SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_HASH.format("doc_id")}, doc_id) AS r FROM documents), s WHERE r <= got[lang]""")
 def proportional_allocation(spark, sf_dir):
     return datasets.sample_by_type(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", F.col("doc_id"), 100)
 
 
-@query()
+@query(f"""SELECT doc_id, quality, toxic, r <= greatest(1, floor(n * 0.15::DOUBLE)) AS is_val FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_HASH.format("doc_id")}, doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels)""")
 def stratified_split(spark, sf_dir):
     return statistics.stratified_split(table(spark, sf_dir, "labels"), "quality", F.col("doc_id"), 0.15)
 
 
-@query()
+_STARTS = """SELECT file, n_rows, draw, low + ('0x' || left(md5(file || '|' || draw || '|42'), 12))::BIGINT % (n_rows - 15 - low + 1) AS start FROM (SELECT *, least(1000, n_rows - 15) AS low, unnest(range({k}))::INT AS draw FROM ({files})) WHERE n_rows >= 15"""
+
+
+@query(_STARTS.format(k=5, files="SELECT event_type AS file, count(*) AS n_rows FROM events GROUP BY 1"))
 def scenario_window_starts(spark, sf_dir):
     files = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("file")).agg(F.count("*").alias("n_rows"))
     return datasets.window_starts(files, 5)
@@ -586,7 +568,14 @@ def tool_calls(spark, sf_dir):
     return tools.execute(calls, nodes, edges, seen)
 
 
-@query()
+_FILES = "SELECT event_type || '.csv' AS file, event_type, count(*) AS n_rows FROM events GROUP BY 2"
+
+
+@query(f"""WITH w AS (SELECT *, CASE WHEN event_type = 'view' THEN 'normal' ELSE 'fan_stuck' END AS fault_type FROM ({_STARTS.format(k=5, files=_FILES).replace("SELECT file,", "SELECT event_type, file,", 1)})),
+b AS (SELECT event_type || '_' || fault_type || '_50_' || draw AS scenario_id, CASE WHEN fault_type = 'normal' THEN 'no_fault' ELSE 'single_system' END AS scenario_type, event_type AS root_cause_system, event_type || '::n0' AS root_cause_node, fault_type, '50' AS fault_intensity, [event_type] AS affected_systems,
+ file AS source_file, start AS time_window_start, start + 15 AS time_window_end, 'easy' AS difficulty FROM w WHERE fault_type <> 'normal' OR draw < 3),
+f AS (SELECT * FROM b WHERE scenario_type = 'single_system')
+SELECT * FROM b UNION ALL SELECT * REPLACE ('a_' || scenario_id AS scenario_id, 'a_single_system' AS scenario_type) FROM f UNION ALL SELECT * REPLACE ('na_lc_' || scenario_id AS scenario_id, 'na_low_confidence' AS scenario_type) FROM f UNION ALL SELECT * REPLACE ('a_lc_' || scenario_id AS scenario_id, 'a_low_confidence' AS scenario_type) FROM f""")
 def scenario_generation(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     files = e.groupBy("event_type").agg(F.count("*").cast("int").alias("n_rows")).select(F.col("event_type").alias("system_id"), F.concat("event_type", F.lit(".csv")).alias("file"), F.when(F.col("event_type") == "view", "normal").otherwise("fan_stuck").alias("fault_type"), F.lit("50").alias("fault_intensity"), F.concat("event_type", F.lit("::n0")).alias("node_id"), "n_rows")

@@ -105,8 +105,10 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, title: str, limit: int = 500) -> str:
-    """A small table of metrics as Markdown."""
-    got = rows.limit(limit).collect()
+    """A small table of metrics as Markdown; more rows than ``limit`` are an error, not a shorter report."""
+    got = rows.limit(limit + 1).collect()
+    if len(got) > limit:
+        raise ValueError(f"a report of more than {limit} rows: aggregate further or write a table")
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     show = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in got]) + "\n"
@@ -200,3 +202,55 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame([(sid, local_name(s), local_name(p), local_name(o)) for sid, text in zip(pdf["system_id"], pdf["value"]) for s, p, o in statements(text)], columns=["system_id", "s", "p", "o"])
 
     return files.mapInPandas(parse, TRIPLES)
+
+
+def list_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """path, name and modification time of the files that a glob finds, from the file system's listing alone."""
+    rows = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"))
+
+
+def discover(files: DataFrame, cached: DataFrame) -> DataFrame:
+    """The sensor files of a system by name: its CSV files, or, where there are none, those that the cache stands for. files and cached: name, modified."""
+    raw = files.where(F.lower("name").endswith(".csv")).select("name")
+    stubs = cached.where(F.lower("name").endswith(".parquet")).select(F.regexp_replace("name", r"(?i)\.parquet$", ".csv").alias("name"))
+    return (raw if not raw.isEmpty() else stubs).distinct().orderBy("name")
+
+
+def choose_source(files: DataFrame, cached: DataFrame, use_cache: bool = True, trust_cache: bool = False) -> DataFrame:
+    """name, source ('parquet' or 'csv') of files(name, modified): the cache where it is trusted, not older than its file, or all there is."""
+    stem = lambda c: F.regexp_replace(c, r"(?i)\.(csv|parquet)$", "")
+    a = files.select(stem("name").alias("stem"), "name", F.col("modified").alias("raw_"))
+    b = cached.select(stem("name").alias("stem"), F.col("modified").alias("made_"))
+    j = a.join(b, "stem", "full")
+    fresh = F.col("made_").isNotNull() & (F.lit(trust_cache) | F.col("raw_").isNull() | (F.col("made_") >= F.col("raw_")))
+    return j.select(F.coalesce("name", F.concat("stem", F.lit(".csv"))).alias("name"), F.when(F.lit(use_cache) & fresh, "parquet").otherwise("csv").alias("source"))
+
+
+#: Scenarios as JSON lines, with the nodes of their path nested.
+SCENARIO = (
+    "scenario_id string, scenario_type string, description string, root_cause_system string, root_cause_node string, fault_type string, fault_intensity string, affected_systems array<string>, optimal_path array<string>, source_file string, "
+    "time_window_start long, time_window_end long, difficulty string, symptom_description string, diagnostic_path struct<nodes:array<struct<node_id:string,role:string,system_id:string,component_name:string,abnormal_hint:string,direction:string>>,root_cause_node:string,fault_type:string,path_length:int>"
+)
+
+
+def write_scenarios(scenarios: DataFrame, path: str) -> None:
+    """All columns of ``SCENARIO``; those that are missing are null."""
+    columns = [f.name for f in scenarios.sparkSession.createDataFrame([], SCENARIO).schema]
+    scenarios.select(*(F.col(c) if c in scenarios.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.mode("overwrite").json(path)
+
+
+def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
+    return read_jsonl(spark, path, SCENARIO)
+
+
+def read_topology(spark: SparkSession, path: str) -> DataFrame:
+    """node_id and fields of an exported graph's nodes, each id once."""
+    return spark.read.json(f"{path}/nodes").dropDuplicates(["node_id"])
+
+
+def count_broken(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """n_rows and n_broken of JSON lines: what ``read_jsonl`` keeps and leaves out."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    whole = F.from_json("value", f"{schema}, broken_ string", {"columnNameOfCorruptRecord": "broken_"})
+    return lines.select(whole.alias("x")).agg(F.count_if(F.col("x.broken_").isNull()).alias("n_rows"), F.count_if(F.col("x.broken_").isNotNull()).alias("n_broken"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.potential import TRACE, start, step
+from ..operators.potential import STEP, TRACE, start, state_json, step, trust
 
 
 def time_windows(events: DataFrame, by: list[str], ts: str = "ts", value: str = "value", size: str = "15 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -26,17 +27,30 @@ def sessions(events: DataFrame, by: list[str], ts: str = "ts", gap: str = "30 mi
     return g.select(*by, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
 
 
-def potential_trace(steps: DataFrame) -> DataFrame:
-    """The batch fold as a stateful stream: state is one JSON string an episode, steps of a batch are taken in order."""
+def potential_trace(steps: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+    """The batch fold as a stateful stream: state is one JSON string an episode, steps of a batch are taken in order.
+
+    A step that comes after a later one of its episode was folded isn't folded any more: its row has the mode 'late' and no values.
+    An episode without steps for ``idle_ms`` of processing time loses its state.
+    """
+    names = [x.split()[0] for x in TRACE.split(", ")]
+    plain = lambda v: None if isinstance(v, float) and math.isnan(v) else v
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = json.loads(state.get[0]) if state.exists else start()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own, last = (json.loads(state.get[0]), state.get[1]) if state.exists else (start(), -(2**31))
         rows = []
         for r in pd.concat(list(frames)).sort_values("step", kind="stable").to_dict("records"):
-            targets = r["targets"]
-            own, row = step(own, r["tool"], r | {"targets": list(targets) if targets is not None else []})
-            rows.append({"episode_id": r["episode_id"], "step": r["step"]} | row)
-        state.update((json.dumps(own),))
-        yield pd.DataFrame(rows)
-
-    return steps.groupBy("episode_id").applyInPandasWithState(fold, TRACE, "state string", "append", GroupStateTimeout.NoTimeout)
+            row = {"mode": "late"}
+            if r["step"] > last:
+                targets, last = r["targets"], r["step"]
+                own, row = step(own, r["tool"], {k: plain(v) for k, v in r.items() if k != "targets"} | {"targets": list(targets) if targets is not None else []})
+            rows.append({n: (row | {"episode_id": r["episode_id"], "step": r["step"]}).get(n) for n in names})
+        state.update((state_json(own), int(last)))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(rows, columns=names)
+
+    rows = steps.withColumn("trust", trust(steps.columns)).select(*STEP)
+    return rows.groupBy("episode_id").applyInPandasWithState(fold, TRACE, "state string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
