@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import exact_match, is_no_fault_label, is_no_fault_node, mutual_substring, node_system, norm, same_family
-from ..functions.maths import ABNORMAL
+from ..functions.maths import ABNORMAL, reliability
 from .evidence import belief, episode_masses, fuse, support
 
-#: Weights of the composites.
+#: Weights of the composites, and the reliability from which a normal result reviews a node.
+REVIEWED = 0.20
 AGGREGATE = {"da": 0.25, "format": 0.15, "completeness": 0.15, "se": 0.15, "tir": 0.15, "tr": 0.15}
 NAVIGATION = ("get_system_overview", "get_node_children", "get_downstream_nodes", "get_upstream_nodes", "get_related_systems")
 
@@ -83,6 +84,7 @@ def episode_scores(episodes: DataFrame, calls: DataFrame) -> DataFrame:
         F.count("*").alias("n_calls"), F.count_if("valid").alias("n_valid"), F.count_if("irrational").alias("n_irrational"),
         F.count_if(norm(F.col("status")) == "error").alias("n_errors"), F.max(norm(F.col("status")).isin(*ABNORMAL)).alias("any_abnormal"),
         F.count_if(F.col("tool") == "diagnose_node").alias("n_diagnosed"), F.max((F.col("tool") == "get_related_systems").cast("int")).alias("related_"),
+        F.collect_set(F.when((norm(F.col("status")) == "normal") & (reliability(F.col("status"), F.col("node_id"), F.col("confidence")) >= REVIEWED), F.col("node_id"))).alias("calm"),
         F.array_distinct(F.flatten(F.collect_list(F.concat(F.array(F.coalesce("node_id", F.lit(""))), F.coalesce("targets", F.array().cast("array<string>")))))).alias("visited"),
     )
     fused = fuse(calls)
@@ -101,7 +103,7 @@ def episode_scores(episodes: DataFrame, calls: DataFrame) -> DataFrame:
     n = F.coalesce("n_calls", F.lit(0)).cast("double")
     optimal = F.when(F.col("optimal") > 0, F.col("optimal")).otherwise(3).cast("double")
     system = F.coalesce(F.nullif(norm(F.col("diag_system")), F.lit("")), node_system(F.col("diag_node")))
-    refs = F.coalesce("ref_nodes", F.array().cast("array<string>"))
+    refs, calm = (F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in ("ref_nodes", "calm"))
     hit = F.size(F.array_intersect(refs, F.coalesce("visited", F.array().cast("array<string>")))).cast("double")
     backing = support(has & says, F.coalesce("any_abnormal", F.lit(False)), F.coalesce("n_diagnosed", F.lit(0)), F.coalesce("negative_mass", F.lit(0.0)), F.col("seen_fault").isNotNull(), F.col("score"), F.col("belief"), F.col("diag_fault"), F.col("seen_fault"), F.col("conflict"))
     tir = F.when(n > 0, 1 - (F.coalesce("n_irrational", F.lit(0)) + F.when(has, 0).otherwise(1)) / (n + F.when(has, 0).otherwise(1))).otherwise(0.0)
@@ -113,10 +115,11 @@ def episode_scores(episodes: DataFrame, calls: DataFrame) -> DataFrame:
         F.when(has & (n > 0), F.least(F.lit(1.0), optimal / n)).otherwise(0.0).alias("se"), (F.coalesce("n_valid", F.lit(0)) / F.greatest(n, F.lit(1.0))).alias("format"), filled.alias("completeness"),
         F.coalesce("edges", F.when(F.size(refs) > 0, hit / F.size(refs)).otherwise(tir)).alias("tr"), tir.alias("tir"), F.when(has, backing).otherwise(0.0).alias("support"), F.coalesce("conflict", F.lit(0.0)).alias("conflict"),
         _flag(F.col("eligible")).alias("eligible"), _flag(F.col("eligible") & F.col("verified")).alias("verified"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"), n.alias("n_calls"), _flag(~has).alias("no_diagnosis"),
-        _flag(F.col("related_") == 1).alias("cross_trace"),
+        _flag(F.col("related_") == 1).alias("cross_trace"), F.when(~clean, 0.0).when(F.size(refs) == 0, _flag(strict)).otherwise(F.size(F.array_intersect(refs, calm)) / F.size(refs)).alias("review"),
+        (strict & F.when(F.size(refs) == 0, F.size(calm) > 0).otherwise(F.size(F.array_except(refs, calm)) == 0)).alias("reviewed_"),
     )
-    closed = F.when(F.col("is_no_fault"), (F.col("tr") >= 1) & (F.col("conflict") <= 0.05)).otherwise((F.col("support") >= 0.55) & (F.col("conflict") <= 0.35))
-    return out.withColumn("ecr", _flag(closed))
+    closed = F.when(F.col("is_no_fault"), F.col("reviewed_") & (F.col("conflict") <= 0.05)).otherwise((F.col("no_diagnosis") == 0) & (F.col("support") >= 0.55) & (F.col("conflict") <= 0.35))
+    return out.withColumn("ecr", _flag(closed)).drop("reviewed_")
 
 
 def _mean(c: Column) -> Column:
@@ -128,7 +131,7 @@ def report(scores: DataFrame) -> DataFrame:
     cols = ["da", "root_system", "root_node", "family", "se", "format", "completeness", "tr", "tir", "ecr", "support", "conflict", "no_diagnosis"]
     aggs = [F.count("*").alias("n"), *(_mean(F.col(c)).alias(c) for c in cols)]
     aggs += [(F.sum("verified") / F.greatest(F.sum("eligible"), F.lit(1.0))).alias("sensor_verification"), (F.sum("n_errors") / F.greatest(F.sum("n_calls"), F.lit(1.0))).alias("tool_error_rate")]
-    aggs += [F.coalesce(F.avg(F.when(F.col("is_no_fault"), F.col("da"))), F.lit(0.0)).alias("no_fault_da"), F.coalesce(F.avg(F.when(~F.col("is_no_fault"), F.col("da"))), F.lit(0.0)).alias("fault_da")]
+    aggs += [F.coalesce(F.avg(F.when(F.col("is_no_fault"), F.col("review"))), F.lit(0.0)).alias("no_fault_review"), F.coalesce(F.avg(F.when(F.col("is_no_fault"), F.col("da"))), F.lit(0.0)).alias("no_fault_da"), F.coalesce(F.avg(F.when(~F.col("is_no_fault"), F.col("da"))), F.lit(0.0)).alias("fault_da")]
     out = scores.groupingSets([[], ["scenario_type"], ["difficulty"]], "scenario_type", "difficulty").agg(*aggs, F.grouping_id().cast("long").alias("gid"))
     out = out.withColumn("balanced_da", (F.col("no_fault_da") + F.col("fault_da")) / 2)
     return out.withColumn("aggregate", sum((F.col(k) * w for k, w in AGGREGATE.items()), F.lit(0.0)))

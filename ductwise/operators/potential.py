@@ -92,7 +92,7 @@ def step(state: dict, tool: str, result: dict) -> tuple[dict, dict]:
         if n not in names and len(names) < LIMIT:
             names.append(n)
     out = {"reliability": 0.0, "gap": 0.0, "entropy": 0.0, "conflict": 0.0}
-    belief = _normal({n: max(state["belief"].get(n, c["smooth"]), c["smooth"]) for n in names}) if names else {}
+    belief = _normal({n: state["belief"].get(n, c["smooth"]) for n in names}) if names else {}
     if names:
         rho = (_plain_trust(result) if result.get("trust") is None else result["trust"]) * (1.0 if tool == "diagnose_node" else c["other_tool"])
         seen = node if tool in ("diagnose_node", "get_node_sensors") else ""
@@ -165,7 +165,7 @@ def terminal_reward(stopped: Column, correct: Column, closed: Column, no_fault:
 def rewards(episodes: DataFrame, calls: DataFrame, max_steps: int = 15) -> DataFrame:
     """The trajectory reward of each episode from its trace. Episodes and calls are those of ``metrics``."""
     c = CONFIG
-    steps = calls.withColumnRenamed("i", "step")
+    steps = calls.drop("step").withColumnRenamed("i", "step")
     t = trace(steps)
     per = t.groupBy("episode_id").agg(
         F.sum("shaping_reward").alias("shaped"), F.count("*").alias("n"), F.count_if(F.col("mode") == "closed").alias("closed_"), F.count_if(F.col("mode") == "conflict").alias("conflict_"),

@@ -81,8 +81,8 @@ def action_first(text: Column, most: int = THOUGHT) -> Column:
     t = strip_labels(text)
     block = r"(?s)<tool_call>\s*\{.*?\}\s*</tool_call>|<diagnosis>\s*\{.*?\}\s*</diagnosis>"
     action = F.regexp_extract(t, f"({block})", 1)
-    before = F.substring_index(t, action, 1)
-    after = F.substring(t, F.length(before) + F.length(action) + 1, F.length(t))
+    before = F.left(t, F.position(action, t) - 1)
+    after = F.right(t, F.length(t) - F.length(before) - F.length(action))
     think = F.regexp_extract(before, r"(?s)(<think>.*?</think>)", 1)
     idea = F.trim(F.regexp_replace(F.regexp_extract(think, r"(?s)<think>(.*)</think>", 1), r"\s+", " "))
     sentences = F.filter(F.split(idea, r"(?<=[.!?])\s+"), lambda s: s != "")

@@ -421,16 +421,6 @@ def episodes(spark, sf_dir, with_step=False):
     return eps, calls if with_step else calls.drop("step")
 
 
-@query()
-def episode_metrics(spark, sf_dir):
-    return metrics.report(metrics.episode_scores(*episodes(spark, sf_dir)))
-
-
-@query()
-def sensor_verification(spark, sf_dir):
-    return metrics.sensor_checks(episodes(spark, sf_dir)[1])
-
-
 @query()
 def epo_trace(spark, sf_dir):
     _, calls = episodes(spark, sf_dir)
@@ -568,11 +558,29 @@ def tool_calls(spark, sf_dir):
     return tools.execute(calls, nodes, edges, seen)
 
 
+_SEEN = "('nation::' || (user_id % 25))"
+_LISTS = f"""l AS (SELECT 'get_node_children' AS tool, e.src AS about, e.dst AS id, n.name AS info FROM ({_PARTS}) e JOIN ({_NODES}) n ON n.node_id = e.dst
+ UNION ALL SELECT DISTINCT 'get_node_sensors', {_SEEN}, {_SEEN} || '::' || event_type, event_type FROM events UNION ALL SELECT 'get_downstream_nodes', src, dst, 'feeds' FROM ({_FEEDS}) UNION ALL SELECT 'get_upstream_nodes', dst, src, 'feeds' FROM ({_FEEDS})
+ UNION ALL SELECT 'get_downstream_nodes', src, dst, 'cross_system' FROM x UNION ALL SELECT 'get_upstream_nodes', dst, src, 'cross_system' FROM x UNION ALL SELECT 'get_related_systems', 'supplier', 'customer', 'downstream ' || src || ' ' || dst FROM x UNION ALL SELECT 'get_related_systems', 'customer', 'supplier', 'upstream ' || src || ' ' || dst FROM x
+ UNION ALL SELECT 'get_system_overview', '', node_id, name FROM ({_NODES}) WHERE level = 1 UNION ALL SELECT 'diagnose_node', {_SEEN}, arg_max(event_type, event_id), arg_max(CASE event_type WHEN 'error' THEN 'fault' WHEN 'signup' THEN 'warning' WHEN 'purchase' THEN 'abnormal' ELSE 'normal' END || ' ' || (floor(value / 50) / 10)::DOUBLE, event_id) FROM events GROUP BY 2)"""
+
+
+@query(f"""WITH x AS (SELECT 'supplier::' || a AS src, 'customer::' || b AS dst FROM (SELECT s_nationkey AS n, min(s_suppkey) AS a FROM supplier GROUP BY 1) JOIN (SELECT c_nationkey AS n, min(c_custkey) AS b FROM customer GROUP BY 1) USING (n)), {_LISTS},
+g AS (SELECT tool, about, count(*) AS n, md5(string_agg(id || '=' || info, ';' ORDER BY id, info)) AS listing FROM l GROUP BY 1, 2),
+c AS (SELECT o_orderkey AS call_id, {[*tools.AGENT_TOOLS, "no_such_tool"]}[1 + o_orderkey % 8] AS tool, o_custkey % 30 AS k, ['region', 'nation', 'supplier', 'customer', 'part'][1 + o_custkey % 5] AS system_id FROM orders),
+e AS (SELECT *, CASE WHEN tool = 'no_such_tool' THEN 'unknown tool: no_such_tool' WHEN tool NOT IN ('get_system_overview', 'get_related_systems') AND k >= 25 THEN 'node not found: nation::' || k END AS error, CASE tool WHEN 'get_related_systems' THEN system_id WHEN 'get_system_overview' THEN '' ELSE 'nation::' || k END AS about FROM c)
+SELECT call_id, e.tool, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error, CASE WHEN error IS NULL THEN coalesce(n, 0) END AS n_items, CASE WHEN error IS NULL THEN coalesce(listing, md5('')) END AS listing FROM e LEFT JOIN g ON g.tool = e.tool AND g.about = e.about""")
+def tool_answers(spark, sf_dir):
+    out = tool_calls(spark, sf_dir)
+    listing = F.md5(F.array_join(F.transform("items", lambda x: F.concat(x["id"], F.lit("="), x["info"])), ";"))
+    return out.select("call_id", "tool", "status", "error", F.when(F.col("items").isNotNull(), F.size("items")).cast("long").alias("n_items"), listing.alias("listing"))
+
+
 _FILES = "SELECT event_type || '.csv' AS file, event_type, count(*) AS n_rows FROM events GROUP BY 2"
 
 
 @query(f"""WITH w AS (SELECT *, CASE WHEN event_type = 'view' THEN 'normal' ELSE 'fan_stuck' END AS fault_type FROM ({_STARTS.format(k=5, files=_FILES).replace("SELECT file,", "SELECT event_type, file,", 1)})),
-b AS (SELECT event_type || '_' || fault_type || '_50_' || draw AS scenario_id, CASE WHEN fault_type = 'normal' THEN 'no_fault' ELSE 'single_system' END AS scenario_type, event_type AS root_cause_system, event_type || '::n0' AS root_cause_node, fault_type, '50' AS fault_intensity, [event_type] AS affected_systems,
+b AS (SELECT event_type || '_' || fault_type || '_50_' || draw AS scenario_id, CASE WHEN fault_type = 'normal' THEN 'no_fault' ELSE 'single_system' END AS scenario_type, event_type AS root_cause_system, event_type || '::n0' AS root_cause_node, fault_type, '50' AS fault_intensity, event_type AS affected_systems,
  file AS source_file, start AS time_window_start, start + 15 AS time_window_end, 'easy' AS difficulty FROM w WHERE fault_type <> 'normal' OR draw < 3),
 f AS (SELECT * FROM b WHERE scenario_type = 'single_system')
 SELECT * FROM b UNION ALL SELECT * REPLACE ('a_' || scenario_id AS scenario_id, 'a_single_system' AS scenario_type) FROM f UNION ALL SELECT * REPLACE ('na_lc_' || scenario_id AS scenario_id, 'na_low_confidence' AS scenario_type) FROM f UNION ALL SELECT * REPLACE ('a_lc_' || scenario_id AS scenario_id, 'a_low_confidence' AS scenario_type) FROM f""")
@@ -580,7 +588,7 @@ def scenario_generation(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     files = e.groupBy("event_type").agg(F.count("*").cast("int").alias("n_rows")).select(F.col("event_type").alias("system_id"), F.concat("event_type", F.lit(".csv")).alias("file"), F.when(F.col("event_type") == "view", "normal").otherwise("fan_stuck").alias("fault_type"), F.lit("50").alias("fault_intensity"), F.concat("event_type", F.lit("::n0")).alias("node_id"), "n_rows")
     base = scenarios.single_system(files)
-    return base.unionByName(scenarios.derived(base))
+    return base.unionByName(scenarios.derived(base)).withColumn("affected_systems", F.array_join("affected_systems", "|"))
 
 
 @query()

@@ -212,6 +212,37 @@ def evidence_support(spark, sf_dir):
     return s.select("episode_id", F.round("support", 3).alias("support"), F.round("conflict", 6).alias("conflict"))
 
 
+_FLAGS = """q0 AS (SELECT *, row_number() OVER (PARTITION BY episode_id, tool, node_id ORDER BY i) AS rr, coalesce(max((status = 'fault')::INT) OVER (PARTITION BY episode_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS af FROM calls),
+sh AS (SELECT episode_id, i, unnest(targets) AS node FROM calls),
+fl AS (SELECT q0.*, NOT valid OR (rr > 1 AND tool IN ('get_node_children', 'diagnose_node')) OR (tool = 'diagnose_node' AND EXISTS (SELECT 1 FROM sh WHERE sh.episode_id = q0.episode_id AND sh.i < q0.i) AND NOT EXISTS (SELECT 1 FROM sh WHERE sh.episode_id = q0.episode_id AND sh.node = q0.node_id AND sh.i < q0.i))
+ OR (af = 1 AND tool IN ('get_system_overview', 'get_related_systems', 'get_node_children')) OR (i = 0 AND tool NOT IN ('get_system_overview', 'get_node_children')) AS irr FROM q0),
+ag AS (SELECT episode_id, count(*) FILTER (valid) AS n_valid, count(*) FILTER (irr) AS n_irr, count(*) FILTER (status = 'error') AS n_err, list(DISTINCT node_id) FILTER (status = 'normal' AND round(0.4::DOUBLE * (0.35::DOUBLE + 0.65::DOUBLE * least(confidence, 1::DOUBLE)), 4) >= 0.2) AS calm FROM fl GROUP BY 1),
+vi AS (SELECT DISTINCT episode_id, node_id AS node FROM calls UNION SELECT episode_id, node FROM sh)"""
+_CHECKS = """u AS (SELECT *, tool = 'diagnose_node' AND (status IN ('unknown', 'warning', 'indeterminate') OR confidence < 0.6) AS unc FROM calls),
+pe AS (SELECT u.*, EXISTS (SELECT 1 FROM u x WHERE x.episode_id = u.episode_id AND x.node_id = u.node_id AND x.unc AND x.i < u.i) AS pend FROM u),
+sc AS (SELECT episode_id, bool_or(unc) AS eligible, bool_or(tool = 'get_node_sensors' AND status = 'success' AND pend) AS verified, count(*) FILTER (tool = 'get_node_sensors' AND NOT pend) AS n_blind, count(*) FILTER (tool = 'get_node_sensors') AS n_sensor FROM pe GROUP BY 1)"""
+_MEANS = ("da", "root_system", "root_node", "family", "se", "format", "completeness", "tr", "tir", "ecr", "support", "conflict", "no_diagnosis")
+
+
+@query(f"WITH {BASE}, {_CHECKS} SELECT * FROM sc")
+def sensor_verification(spark, sf_dir):
+    return metrics.sensor_checks(episodes(spark, sf_dir)[1])
+
+
+@query(f"""WITH {BASE}, {EVID}, {_FLAGS}, {_CHECKS},
+m AS (SELECT e.episode_id, e.scenario_type, CASE WHEN step % 3 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, clean, n, n_err, CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_node = diag_node AND gt_fault = diag_fault END::INT AS da, CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_system = diag_system END::INT AS root_system,
+ CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_node = diag_node END::INT AS root_node, CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_node = diag_node AND gt_fault = diag_fault END::INT AS family, CASE WHEN said THEN least(1, 4.0::DOUBLE / n) ELSE 0 END AS se, n_valid::DOUBLE / n AS format, said::INT AS completeness,
+ (EXISTS (SELECT 1 FROM vi WHERE vi.episode_id = e.episode_id AND vi.node = e.t_node))::INT AS tr, 1 - (n_irr + (NOT said)::INT)::DOUBLE / (n + (NOT said)::INT) AS tir, evidence AS support, conflict, (NOT said)::INT AS no_diagnosis, (eligible)::INT AS eligible, (eligible AND verified)::INT AS verified,
+ CASE WHEN clean THEN list_contains(coalesce(calm, []), t_node) ELSE false END::INT AS review, CASE WHEN clean THEN free AND NOT ab AND list_contains(coalesce(calm, []), t_node) AND conflict <= 0.05 ELSE said AND evidence >= 0.55 AND conflict <= 0.35 END::INT AS ecr
+ FROM eps e JOIN n USING (episode_id) JOIN ag USING (episode_id) JOIN anyb USING (episode_id) JOIN evid USING (episode_id) JOIN sc USING (episode_id)),
+r AS (SELECT scenario_type, difficulty, grouping_id(scenario_type, difficulty)::BIGINT AS gid, count(*) AS n, {", ".join(f"avg({c}) AS {c}" for c in _MEANS)}, sum(verified) / greatest(sum(eligible), 1) AS sensor_verification, sum(n_err) / greatest(sum(n), 1) AS tool_error_rate,
+ coalesce(avg(review) FILTER (clean), 0) AS no_fault_review, coalesce(avg(da) FILTER (clean), 0) AS no_fault_da, coalesce(avg(da) FILTER (NOT clean), 0) AS fault_da FROM m GROUP BY GROUPING SETS ((), (scenario_type), (difficulty)))
+SELECT scenario_type, difficulty, gid, n, {", ".join(f"round({c}, 5) AS {c}" for c in (*_MEANS, "sensor_verification", "tool_error_rate", "no_fault_review", "no_fault_da", "fault_da"))}, round((no_fault_da + fault_da) / 2, 5) AS balanced_da, round(0.25 * da + 0.15 * (format + completeness + se + tir + tr), 5) AS aggregate FROM r""")
+def episode_metrics(spark, sf_dir):
+    out = metrics.report(metrics.episode_scores(*episodes(spark, sf_dir)))
+    return out.withColumns({c: F.round(c, 5) for c, t in out.dtypes if t == "double"})
+
+
 # --- transcripts -----------------------------------------------------------------------------------------------------
 #: Turns made of conversations: assistant texts with thoughts, calls, diagnoses and labels, some of them broken.
 TURN = """CASE WHEN role <> 'assistant' THEN text ELSE CASE WHEN turn % 7 = 3 THEN '' ELSE '<think>a ' || conv_id || '</think>' END || CASE WHEN turn % 11 = 5 THEN '<think>b</think>' ELSE '' END ||

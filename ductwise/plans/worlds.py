@@ -55,10 +55,10 @@ def scenario_readings(spark, sf_dir):
 
 
 @query(f"""WITH {_ROWS}, m AS (SELECT scenario_id, system_id, sensor, avg(value) AS mean, max(value) - min(value) AS range, CASE WHEN count(*) > 2 THEN regr_slope(value, x::DOUBLE) ELSE 0 END AS slope FROM w GROUP BY ALL)
-SELECT scenario_id, system_id, round(coalesce(max(mean) FILTER (sensor = 'a'), 0), 6) AS f0, round(coalesce(max(slope) FILTER (sensor = 'b'), 0), 6) AS f1, 0.0::DOUBLE AS f2, round(coalesce(max(range) FILTER (sensor = 'b'), 0), 6) AS f3 FROM m GROUP BY ALL""")
+SELECT scenario_id, system_id, round(coalesce(max(mean) FILTER (sensor = 'a'), 0), 5) AS f0, round(coalesce(max(slope) FILTER (sensor = 'b'), 0), 5) AS f1, 0.0::DOUBLE AS f2, round(coalesce(max(range) FILTER (sensor = 'b'), 0), 5) AS f3 FROM m GROUP BY ALL""")
 def scenario_features(spark, sf_dir):
     f = oracle.features(oracle.slices(scenario_table(spark, sf_dir), files(spark, sf_dir)), ["a_mean", "b_slope", "c_max", "b_range"])
-    return f.select("scenario_id", "system_id", *(F.round(F.get("features", F.lit(i)), 6).alias(f"f{i}") for i in range(4)))
+    return f.select("scenario_id", "system_id", *(F.round(F.get("features", F.lit(i)), 5).alias(f"f{i}") for i in range(4)))
 
 
 @query("SELECT o_orderkey, greatest(CASE WHEN b > a THEN b ELSE a + 15 END, 20) AS n_rows FROM (SELECT o_orderkey, o_orderkey % 40 AS a, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 40 + 15 END AS b FROM orders)")
@@ -157,9 +157,10 @@ _COMP = "cm AS (SELECT s AS system_id, s || '::n' || k AS node_id FROM (SELECT u
 
 
 @query(f"""WITH {_SCEN}, {_COMP}, r AS (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY md5(node_id || '|42'), node_id) - 1 AS k FROM cm), w AS (SELECT scenario_id, root_cause_system, ('0x' || left(md5(scenario_id || '|42'), 12))::BIGINT AS h FROM s),
-q AS (SELECT *, unnest(range(2 + h % 2)) AS t FROM w) SELECT scenario_id, list(node_id ORDER BY t) AS path FROM q JOIN r ON r.system_id = root_cause_system AND r.k = (h + t) % 6 GROUP BY 1""")
+q AS (SELECT *, unnest(range(2 + h % 2)) AS t FROM w) SELECT scenario_id, string_agg(node_id, '|' ORDER BY t) AS path FROM q JOIN r ON r.system_id = root_cause_system AND r.k = (h + t) % 6 GROUP BY 1""")
 def no_fault_paths(spark, sf_dir):
-    return scenarios.no_fault_paths(scenario_table(spark, sf_dir), components(spark))
+    p = scenarios.no_fault_paths(scenario_table(spark, sf_dir), components(spark))
+    return p.select("scenario_id", F.array_join("path", "|").alias("path"))
 
 
 _PATH = "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE list_transform(range(1 + o_orderkey % 4), lambda k: 'x::n' || k) END"
