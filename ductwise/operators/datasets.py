@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .statistics import first_by_hash, hash_order
 
 
@@ -121,3 +122,31 @@ def dataset_summary(turns: DataFrame, conv: str, kind: str) -> DataFrame:
     """Conversations and mean turns by kind."""
     per = turns.groupBy(conv).agg(F.count("*").alias("n"), F.max(kind).alias("kind"))
     return per.groupBy("kind").agg(F.count("*").alias("n_examples"), F.avg("n").alias("avg_turns"))
+
+
+def fill_targets(batch, targets: dict[str, int], kind: str, key: str, rounds: int = 20) -> DataFrame:
+    """Rows of ``batch(round)`` until each type has its target or the rounds are over; a row each key, earlier rounds first.
+
+    A round's rows are written before the next is made, so a lost executor doesn't repeat what was generated.
+    """
+    taken, got = None, dict.fromkeys(targets, 0)
+    for k in range(rounds):
+        open_ = {t: n - got[t] for t, n in targets.items() if n > got[t]}
+        if not open_:
+            break
+        new = batch(k)
+        if taken is not None:
+            new = new.join(taken.select(key), key, "left_anti")
+        new = cut(target_cap(new.dropDuplicates([key]), kind, open_, [hash_order(F.col(key)), F.col(key)]))
+        got |= {r[kind]: got[r[kind]] + r["count"] for r in new.groupBy(kind).count().collect()}
+        taken = new if taken is None else taken.unionByName(new)
+    return taken
+
+
+def curriculum(df: DataFrame, kind: str, key: str, pools: dict[str, float], clean: str = "no_fault", clean_most: int = 100) -> DataFrame:
+    """Rows of a training stage: each type with its probability, by a hash threshold of the key, and at most ``clean_most`` without a fault."""
+    place = F.conv(F.left(hash_order(F.col(key)), F.lit(8)), 16, 10).cast("long") / float(16**8)
+    share = F.element_at(F.create_map(*(x for k, p in pools.items() for x in (F.lit(k), F.lit(float(p))))), F.col(kind))
+    rows = df.where(place < share)
+    free = rows.where(F.contains(F.col(kind), F.lit(clean))).orderBy(hash_order(F.col(key)), key).limit(clean_most)  # the cap is the feature
+    return rows.where(~F.contains(F.col(kind), F.lit(clean))).unionByName(free)

@@ -76,3 +76,24 @@ def support(no_fault: Column, any_abnormal: Column, n_observed: Column, negative
     named = clip(0.25 + 0.35 * clip(F.coalesce(score, F.lit(0.0))) + 0.25 * F.coalesce(belief_, F.lit(0.0)) + bonus - 0.25 * F.coalesce(conflict, F.lit(0.0)))
     clean = F.when(any_abnormal, 0.0).when(n_observed == 0, 0.3).otherwise(clip(0.45 + 0.45 * clip(negative_mass)))
     return F.round(F.when(no_fault, clean).when(has_abnormal, named).otherwise(0.0), 4)
+
+
+def gap(beliefs: DataFrame, by: str = "episode_id") -> DataFrame:
+    """How far the strongest belief of each episode leads the next; a single one leads by all of it."""
+    top = F.slice(F.sort_array(F.collect_list("belief"), asc=False), 1, 2)  # an episode's nodes
+    return beliefs.groupBy(by).agg(top.alias("t_")).select(by, (F.get("t_", F.lit(0)) - F.coalesce(F.get("t_", F.lit(1)), F.lit(0.0))).alias("gap"))
+
+
+def flatten_results(results: DataFrame, by: list[str]) -> DataFrame:
+    """Results as single observations: by, node_id, status.
+
+    results(by, node_id, status, node_statuses, candidate_nodes): a result itself if it names a node or a diagnostic status, what it lists of
+    node statuses, and candidates that it has not named already.
+    """
+    s = F.lower(F.trim(F.coalesce("status", F.lit(""))))
+    own = (F.coalesce("node_id", F.lit("")) != "") | s.isin(*ABNORMAL, "normal", "unknown")
+    one = F.struct("node_id", "status")
+    none = F.array().cast("array<struct<node_id:string,status:string>>")
+    listed = F.concat(F.when(own, F.array(one)).otherwise(none), F.coalesce("node_statuses", none))
+    more = F.filter(F.array_distinct(F.coalesce("candidate_nodes", none)), lambda c: ~F.array_contains(listed, c))
+    return results.select(*by, F.explode(F.concat(listed, more)).alias("x_")).select(*by, "x_.node_id", "x_.status")

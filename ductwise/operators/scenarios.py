@@ -148,3 +148,32 @@ def training_records(scenarios: DataFrame, prompt: str, version: str) -> DataFra
 def limited(rows: DataFrame, order: list[Column], most: int | None) -> DataFrame:
     """The first ``most`` rows by ``order``; all of them for none or 0. The limit is the feature."""
     return rows.orderBy(*order).limit(most) if most and most > 0 else rows
+
+
+#: Sensors of the weather alone, which are no evidence of a fault.
+OUTDOORS = r"^(OA_|OUTDOOR|WEATHER)"
+
+
+def sensor_evidence(readings: Column, first: list[str], most: int = 3) -> Column:
+    """Text of at most ``most`` readings (a map), sensors that matter for the fault first, then by name; without evidence, 'no readings'."""
+    wanted = F.array(*map(F.lit, first))
+    own = F.filter(F.map_entries(readings), lambda e: ~F.upper(e["key"]).rlike(OUTDOORS))
+    ranked = F.array_sort(F.transform(own, lambda e: F.struct(F.when(F.array_contains(wanted, e["key"]), 0).otherwise(1).alias("r"), e["key"].alias("k"), e["value"].alias("v"))))
+    shown = F.transform(F.slice(ranked, 1, most), lambda e: F.concat(e["k"], F.lit(" = "), F.round(e["v"], 1).cast("string")))
+    return F.when(F.size(own) == 0, "no readings").otherwise(F.array_join(shown, ", "))
+
+
+#: Wordings of what is noticed, by a part of the fault's name; {system} is filled in.
+SYMPTOMS = {
+    "fouling": ["{system} needs more energy for the same output", "heat transfer at {system} has slowly declined"], "leak": ["{system} loses capacity without a command to do so"],
+    "stuck": ["{system} doesn't follow its commands", "a position at {system} never changes"], "bias": ["a reading at {system} disagrees with its neighbours"], "": ["{system} behaves differently from last week"],
+}
+
+
+def symptom(fault: Column, system: Column, key: Column, seed: int = 42) -> Column:
+    """A wording of the fault's kind by hash of the key."""
+    name, out = F.lower(fault), draw(key, SYMPTOMS[""], seed)
+    for part, texts in reversed(SYMPTOMS.items()):
+        if part:
+            out = F.when(F.contains(name, F.lit(part)), draw(key, texts, seed)).otherwise(out)
+    return F.replace(out, F.lit("{system}"), system)

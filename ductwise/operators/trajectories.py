@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import exact_match, norm, normalize_label
+from .graph import ancestors
 from .scenarios import hash_number
 from .tools import teacher_route
 
@@ -156,3 +157,13 @@ def generate(scenarios: DataFrame, components: DataFrame, systems: list[str]) ->
     final = diagnoses(scenarios, outcome)
     passed = gates(final, scenarios, outcome)
     return dialogue(scenarios, outcome, final.join(passed.where("admitted").select("scenario_id"), "scenario_id", "left_semi")), passed
+
+
+def discovery(edges: DataFrame, targets: DataFrame, seen: DataFrame) -> DataFrame:
+    """The questions that make each target visible: node_id, ask (whose parts to list), step, from the nearest seen ancestor down.
+
+    targets(node_id), seen(node_id); a target without a seen ancestor is reached from its topmost one.
+    """
+    up = ancestors(edges, targets).join(seen.select(F.col("node_id").alias("ancestor"), F.lit(True).alias("seen_")).distinct(), "ancestor", "left")
+    nearest = up.groupBy("node_id").agg(F.coalesce(F.min(F.when(F.col("seen_"), F.col("hops"))), F.max("hops")).alias("from_"))
+    return up.join(nearest, "node_id").where("hops <= from_").select("node_id", F.col("ancestor").alias("ask"), (F.col("from_") - F.col("hops")).alias("step"))

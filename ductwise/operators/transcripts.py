@@ -275,3 +275,20 @@ def first_prompts(turns: DataFrame, kinds: DataFrame, share: float = 0.1) -> Dat
     taken = ranked.where(F.col("k_") <= F.greatest(F.lit(1), F.floor(F.col("n_") * share)))
     first = turns.where("role = 'human'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
     return taken.join(first, "conv_id").select("conv_id", "scenario_type", "prompt")
+
+
+def environment(turns: DataFrame, max_calls: int = 15, max_texts: int = 30) -> DataFrame:
+    """What an episode's environment makes of agent texts, turns(episode_id, turn, text): episode_id, turn, kind, done, reason.
+
+    An episode ends with a diagnosis, with ``max_calls`` tool calls, or with ``max_texts`` texts without an action; what comes later is not taken.
+    """
+    t = F.col("text")
+    kind = F.when(first_block(t, "diagnosis").isNotNull(), "diagnosis").when(F.size(tool_calls(t)) > 0, "tool").otherwise("text")
+    w = Window.partitionBy("episode_id").orderBy("turn")
+    rows = turns.select("episode_id", "turn", kind.alias("kind"))
+    upto = lambda k: F.sum((F.col("kind") == k).cast("int")).over(w)
+    rows = rows.withColumns({"d_": upto("diagnosis"), "c_": upto("tool"), "x_": upto("text")})
+    reason = F.when(F.col("d_") > 0, "diagnosis").when(F.col("c_") >= max_calls, "max_calls").when(F.col("x_") >= max_texts, "text_only").otherwise("")
+    rows = rows.withColumn("reason", reason).withColumn("done", F.col("reason") != "")
+    rows = rows.withColumn("before_", F.coalesce(F.lag("done").over(w), F.lit(False)))
+    return rows.where("NOT before_").select("episode_id", "turn", "kind", "done", "reason")

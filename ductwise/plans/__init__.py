@@ -1,3 +1,3 @@
 """Registered queries over the driver tables; importing the package registers all of them."""
 
-from . import catalog, training, worlds  # noqa: F401
+from . import catalog, surface, training, worlds  # noqa: F401

@@ -27,11 +27,12 @@ def sessions(events: DataFrame, by: list[str], ts: str = "ts", gap: str = "30 mi
     return g.select(*by, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
 
 
-def potential_trace(steps: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def potential_trace(steps: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """The batch fold as a stateful stream: state is one JSON string an episode, steps of a batch are taken in order.
 
     A step that comes after a later one of its episode was folded isn't folded any more: its row has the mode 'late' and no values.
-    An episode without steps for ``idle_ms`` of processing time loses its state.
+    With ``idle_ms`` an episode without steps for so long (processing time) loses its state: set it for streams that never end. A run
+    over what is available now must leave it out, because Spark makes batches for such timeouts without end.
     """
     names = [x.split()[0] for x in TRACE.split(", ")]
     plain = lambda v: None if isinstance(v, float) and math.isnan(v) else v
@@ -49,8 +50,9 @@ def potential_trace(steps: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
                 own, row = step(own, r["tool"], {k: plain(v) for k, v in r.items() if k != "targets"} | {"targets": list(targets) if targets is not None else []})
             rows.append({n: (row | {"episode_id": r["episode_id"], "step": r["step"]}).get(n) for n in names})
         state.update((state_json(own), int(last)))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=names)
 
     rows = steps.withColumn("trust", trust(steps.columns)).select(*STEP)
-    return rows.groupBy("episode_id").applyInPandasWithState(fold, TRACE, "state string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("episode_id").applyInPandasWithState(fold, TRACE, "state string, last long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
