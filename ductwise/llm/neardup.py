@@ -146,7 +146,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     seen.add(node)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "grams"]).filter(pa.array(new, pa.bool_()))
 
-    rows = docs.select("doc_id", "text").join(materialise(wanted, "wanted"), F.col("doc_id") == F.col("rep"))
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep"))
     sets = materialise(rows.select("node", "text", "set_key").mapInArrow(tidy(run), "node long, grams binary"), "sets", codec="none")
     if sets.groupBy("node").count().where("count > 1").isEmpty():
         return sets
@@ -342,9 +342,9 @@ def _groups(docs: DataFrame, size: int, percent: int, tables: int, rows: int, jo
         if join_ids:
             links = links.unionByName(_same_ids(signs, classes))
         found = components(links)
-        labelled = materialise(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+        labelled = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         first = labelled.groupBy("component").agg(F.min("rep").alias("component_id"), F.min_by("node", F.struct("rep", "node")).alias("head"))
-        whole = labelled.join(materialise(first, "first"), "component").select("set_key", "component_id", (F.col("node") == F.col("head")).alias("head"))
+        whole = labelled.join(first, "component").select("set_key", "component_id", (F.col("node") == F.col("head")).alias("head"))
         whole = materialise(whole, "classes", under=outer)
     return signs.select("doc_id", "n_shingles", "set_key"), whole
 
