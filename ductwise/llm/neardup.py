@@ -344,7 +344,8 @@ def _groups(docs: DataFrame, size: int, percent: int, tables: int, rows: int, jo
         found = components(links)
         labelled = materialise(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
         first = labelled.groupBy("component").agg(F.min("rep").alias("component_id"), F.min_by("node", F.struct("rep", "node")).alias("head"))
-        whole = labelled.join(materialise(first, "first"), "component")  # two tables, so that a large component can be split among tasks.select("set_key", "component_id", (F.col("node") == F.col("head")).alias("head"))
+        # two tables are joined, so that a large component can be split among tasks
+        whole = labelled.join(materialise(first, "first"), "component").select("set_key", "component_id", (F.col("node") == F.col("head")).alias("head"))
         whole = materialise(whole, "classes", under=outer)
     return signs.select("doc_id", "n_shingles", "set_key"), whole
 
