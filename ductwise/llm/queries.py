@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, neardup, packing, quality, rules, secrets, tokenbin, toxicity
+from . import bpe, langid, media, neardup, packing, quality, rules, secrets, tokenbin, toxicity, trie, whitening
 
 
 def _tokenizer(name: str) -> tuple[str, str]:
@@ -72,8 +72,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir), threshold=0.5).withColumn("candidate", F.sha2("candidate", 256))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(*whitening.fit(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_byte_bpe, op5_media_chunks, op6_token_binary, op7_quality_rules, op8_best_fit_packing, op9_minhash_near_dedup, op10_secret_scan, language_id_pages)}
+    numbered = (
+        op1_language_id, op2_toxicity, op3_quality, op4_byte_bpe, op5_media_chunks, op6_token_binary, op7_quality_rules, op8_best_fit_packing, op9_minhash_near_dedup,
+        op10_secret_scan, op11_embedding_whitening, op13_conversation_trie,
+    )
+    return {f.__name__: f for f in (*numbered, language_id_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
