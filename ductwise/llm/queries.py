@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, neardup, packing, quality, rules, secrets, tokenbin, toxicity, trie, whitening
+from . import bpe, langid, media, neardup, packing, quality, rules, secrets, suffixes, tokenbin, toxicity, trie, whitening
 
 
 def _tokenizer(name: str) -> tuple[str, str]:
@@ -76,6 +76,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(*whitening.fit(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = suffixes.remove_repeats(_documents(spark, sf_dir), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return clean.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -83,7 +89,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (
         op1_language_id, op2_toxicity, op3_quality, op4_byte_bpe, op5_media_chunks, op6_token_binary, op7_quality_rules, op8_best_fit_packing, op9_minhash_near_dedup,
-        op10_secret_scan, op11_embedding_whitening, op13_conversation_trie,
+        op10_secret_scan, op11_embedding_whitening, op12_suffix_dedup, op13_conversation_trie,
     )
     return {f.__name__: f for f in (*numbered, language_id_pages)}
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from ductwise.llm import trie, whitening
+from ductwise.llm import suffixes, trie, whitening
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,3 +107,98 @@ def test_trie_of_odd_conversations(spark, seed):
     assert trie.trie(df.limit(0)).count() == 0
     lone = trie.trie(df.where("conv_id = 77")).collect()  # crc32 decides what is left of it
     assert lone[0].n_convs == 1 and [tuple(r)[:8] for r in sorted(lone, key=lambda r: r.depth)] == sorted(plain_trie([(77, 1, "u", "a")]), key=lambda r: r[1])
+
+
+def plain_repeats(rows, length):
+    """(doc_id, spans, kept) of each row, from a table of all windows."""
+    least = {}
+    for i, text in rows:
+        b = (text or "").encode()
+        if i is not None:
+            for s in range(len(b) - length + 1):
+                w = b[s : s + length]
+                least[w] = min(i, least.get(w, i))
+    out = []
+    for i, text in rows:
+        b = (text or "").encode()
+        gone = np.zeros(len(b) + 2, bool)
+        if i is not None:
+            for s in range(len(b) - length + 1):
+                if least[b[s : s + length]] < i:
+                    gone[s + 1 : s + length + 1] = True
+        edge = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2).tolist()
+        out.append((i, len(b), tuple(map(tuple, edge)), bytes(c for c, g in zip(b, gone[1:]) if not g)))
+    return sorted(out, key=str)
+
+
+def cleaned(df, length=50, **sizes):
+    return sorted(((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in suffixes.remove_repeats(df, length, **sizes).collect()), key=str)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_repeats_equal_a_plain_search(spark, seed):
+    rng = np.random.default_rng(seed)
+    text = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    passages = [text(n) for n in (50, 51, 63, 80, 120, 49, 500)] + ["a" * 130, "ab" * 60]
+    rows = []
+    for i in range(160):
+        parts = [text(int(rng.integers(0, 60)))]
+        for _ in range(int(rng.integers(0, 4))):
+            p = str(rng.choice(passages))
+            cut = int(rng.integers(0, 8))
+            parts += [p[cut:] if rng.random() < 0.5 else p, text(int(rng.integers(0, 40)))]
+        rows.append((int(rng.permutation(1000)[0]), "".join(parts)))
+    for _ in range(20):  # near copies
+        t = list(rows[int(rng.integers(160))][1])
+        for k in rng.integers(0, max(len(t), 1), 3 if t else 0):
+            t[k] = "x"
+        rows.append((int(rng.integers(1000, 1100)), "".join(t)))
+    rows += [(int(k), passages[4]) for k in range(2000, 2060)]  # one passage in a third of all rows
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = plain_repeats(rows, 50)
+    assert sum(len(r[2]) for r in want) > 100
+    assert cleaned(df) == want
+    assert cleaned(df, bucket_bytes=2000, bucket_windows=100) == want  # many buckets, runs over several of them
+
+
+def test_repeats_of_other_lengths_and_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(list("abc "), 900))) for i in range(12)]
+    rows += [(i + 20, t[100:400] + "-" + t[500:590]) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (48, 77, 130):
+        assert cleaned(df, length, bucket_bytes=3000) == plain_repeats(rows, length)
+    data = "".join(t for _, t in rows).encode()
+    edges = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
+    whole = suffixes.units(np.frombuffer(data, np.uint8), edges, 50)
+    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    parts = suffixes.units(np.frombuffer(data, np.uint8), edges, 50)
+    windows = lambda x: {(u["d"], o) for u in x for o in range(u["o"], u["o"] + u["n"] + 1)}
+    assert windows(whole) == windows(parts) == {(d, o) for d, (_, t) in enumerate(rows) for o in range(len(t) - 49)}
+    with pytest.raises(ValueError):
+        suffixes.repeats(df, 20)
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(0)
+    words = [rng.integers(0, k, 30_000).astype(np.uint64) for k in (3, 50, 2**62)]
+    order = suffixes.multikey_quicksort(words, few=16)
+    assert (np.diff([words[0][order].astype(float), words[1][order].astype(float)]) >= 0)[0].all()
+    rows = list(zip(*(w[order].tolist() for w in words)))
+    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(30_000))
+
+
+def test_repeats_take_odd_rows(spark, odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    assert cleaned(odd_docs) == plain_repeats(rows, 50)
+    assert cleaned(no_docs) == []
+    same = "a passage that is long enough to be found in several of the documents here"
+    rows = [(1, same), (1, same + "!"), (2, same), (2, "-" + same), (2, same), (None, same), (3, None), (0, "short")]
+    df = spark.createDataFrame([(None, i, t) for i, t in rows], "h string, doc_id long, text string")
+    assert cleaned(df) == plain_repeats(rows, 50)
+
+
+def test_repeats_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert cleaned(docs, bucket_bytes=50_000, bucket_windows=5000) == plain_repeats(rows, 50)
