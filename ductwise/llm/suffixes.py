@@ -6,10 +6,9 @@ have equal anchors; the windows in a row that share an anchor are a *unit*.
 
 1. Suffixes at anchors, one for each unit, are range-partitioned by sampled splitters over (leading token: the hash of the leading gram, then the
    hash of the unit's bytes, then doc_id), sorted in their bucket by multikey quicksort and compared with their neighbours.  Units equal
-   to one of a smaller document are wholly repeated.  A unit stays in question only if another unit with the same leading token
-   also shares the bytes before or behind it that each of its windows must hold.
-2. The windows of the units in question, one of each class of equal units, are suffixes of their own: range-partitioned by their
-   leading bytes, sorted and compared on all of their bytes.
+   to one of a smaller document are wholly repeated.  Of the others, one of each class of equal units, a quarter of the windows stays in question
+   only if another unit with the same leading token also shares the bytes around it that all windows of the quarter hold.
+2. The windows in question are suffixes of their own: range-partitioned by their leading bytes, sorted and compared on all of their bytes.
 
 The sort order ends with doc_id, so a run of equal suffixes, however long, may be cut by a splitter; then the run's smallest doc_id
 comes from the bucket before, by a table with one row for each bucket.  A run equals on 96 hashed bits in step 1, on all bytes in step 2.
@@ -37,7 +36,10 @@ BUCKET_BYTES, BUCKET_WINDOWS, MOST_BUCKETS = 16 << 20, 300_000, 200_000
 #: Bytes of text that splitters are sampled from, in all and more for each bucket.
 SAMPLE, SAMPLE_EACH = 4 << 20, 300
 
-UNIT = np.dtype([("g", "<u4"), ("u", "<u8"), ("l", "<u2"), ("r", "<u2"), ("d", "<u4"), ("o", "<u4"), ("n", "u1")])
+#: Windows of an anchor are told apart by so many ranges of their distance to it.
+QUARTERS = 4
+#: Hash of the leading gram, hash of the unit, a hash for each quarter (0: no window), document, first window, further windows, bytes from the first window to the anchor.
+UNIT = np.dtype([("g", "<u4"), ("u", "<u8"), ("s", "<u2", (QUARTERS,)), ("d", "<u4"), ("o", "<u4"), ("n", "u1"), ("a", "u1")])
 BLOB = "bucket int, docs binary, data binary"
 SWEPT = "bucket int, doc_id long, h long, lo long, n int, least long, state int, first binary, last binary"
 WHOLE, OPEN, PENDING, EDGE = 0, 1, 2, 3
@@ -58,11 +60,17 @@ def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8), edges - edges[0]
 
 
+def _quarters(length: int) -> list[tuple[int, int]]:
+    """(nearest, farthest) distances to the anchor of the windows of each quarter."""
+    span = length - GRAM + 1
+    wide = -(-span // QUARTERS)
+    return [(t * wide, min((t + 1) * wide, span) - 1) for t in range(QUARTERS)]
+
+
 def units(data: np.ndarray, edges: np.ndarray, length: int) -> np.ndarray:
     """The units of texts that lie one after the other; ``d`` is the text's number and ``o`` the first window's place in it."""
     out = []
     span = length - GRAM + 1  # grams of a window
-    side = span // 2
     padded = np.concatenate([np.zeros(64, np.uint8), data, np.zeros(2 * length + 64, np.uint8)])
     valid = np.zeros(len(data) + 1, np.int8)
     long = np.diff(edges) >= length
@@ -98,15 +106,17 @@ def units(data: np.ndarray, edges: np.ndarray, length: int) -> np.ndarray:
             u = n.astype(np.uint64) * _ODD[0] + (at - first).astype(np.uint64)
             for t in range(0, length + span - 1, 8):
                 u = _mix(u ^ words[np.minimum(first + t, end - 8) + 64]) * _ODD[0]
-            left = _mix(_mix(words[at - side + 64] ^ words[np.minimum(at - side + 8, at - 8) + 64] * _ODD[2]) ^ words[at - 8 + 64] * _ODD[0])
-            right = _mix(_mix(words[at + GRAM + 64] ^ words[at + span - 1 - side + 8 + 64 - 8] * _ODD[2]) ^ words[at + GRAM + (length - GRAM - side) - 8 + 64] * _ODD[0])
             unit = np.zeros(len(first), UNIT)
             unit["g"], unit["u"] = (h[at] >> np.uint64(32)).astype(np.uint32), u
-            # windows from ``side`` bytes before the anchor on hold the left side, all others the right one
-            unit["l"] = np.where(first <= at - side, (left >> np.uint64(48)) | np.uint64(1), 0)
-            unit["r"] = np.where(last > at - side, (right >> np.uint64(48)) | np.uint64(1), 0)
+            for t, (near, far) in enumerate(_quarters(length)):
+                # windows that start ``near`` to ``far`` bytes before the anchor all hold these bytes
+                s, end = np.zeros(len(first), np.uint64), at - far + length
+                for k in range(0, length - (far - near), 8):
+                    s = _mix(s ^ words[np.minimum(at - near + k, end - 8) + 64]) * _ODD[0]
+                some = (at - last <= far) & (at - first >= near)
+                unit["s"][:, t] = np.where(some, (s >> np.uint64(48)) | np.uint64(1), 0)
             d = np.searchsorted(edges, first + begin, side="right") - 1
-            unit["d"], unit["o"], unit["n"] = d, first + begin - edges[d], n
+            unit["d"], unit["o"], unit["n"], unit["a"] = d, first + begin - edges[d], n, at - first
             out.append(unit)
     return np.concatenate(out) if out else np.zeros(0, UNIT)
 
@@ -190,7 +200,7 @@ class _Dealer:
         self.records, self.docs, self.size = [], [], 0
 
 
-def _sweep(kind: np.dtype, windows: int):
+def _sweep(kind: np.dtype, length: int):
     """Sort a bucket and judge each record by the smallest doc_id of its run."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -214,25 +224,35 @@ def _sweep(kind: np.dtype, windows: int):
         number = np.cumsum(change) - 1  # of the run
         least = ids[start][number]
         state = np.where(ids > least, WHOLE, -1)
+        lo, more = records["o"].astype(np.int64), np.zeros(len(records), np.int64)
         if "g" in kind.names:
+            more = records["n"].astype(np.int64)
             g = words[0]
             head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(g))))
             mine = state < 0
             several = (number[np.append(head[1:], len(g)) - 1] > number[head])[group] & mine
             rows = np.flatnonzero(several)
-            for side in ("l", "r"):
-                # a side in question is shared with another run of the same leading token
-                rest = rows[records[side][rows] > 0]
-                key = group[rest].astype(np.uint64) << np.uint64(16) | records[side][rest].astype(np.uint64)
+            nearest, farthest = np.full(len(g), 1 << 20), np.full(len(g), -1)
+            for t, (near, far) in enumerate(_quarters(length)):
+                # a quarter in question is shared with another run of the same leading token
+                side = records["s"][:, t]
+                rest = rows[side[rows] > 0]
+                key = group[rest].astype(np.uint64) << np.uint64(16) | side[rest].astype(np.uint64)
                 by = np.lexsort([number[rest], key])
                 rest, key = rest[by], key[by]
                 edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(rest) else np.zeros(0, int)
                 size = np.diff(np.append(edge, len(rest)))
                 shared = number[rest[edge]] != number[rest[edge + size - 1]]
-                state[rest[np.repeat(shared, size)]] = OPEN
+                hit = rest[np.repeat(shared, size)]
+                nearest[hit], farthest[hit] = np.minimum(nearest[hit], near), far
             # what lies at the bucket's ends may share its token with the next bucket
-            state[mine & ((group == 0) | (group == group[-1]))] = OPEN
+            ends = mine & ((group == 0) | (group == group[-1]))
+            some = np.flatnonzero((farthest >= 0) & ~ends)
+            state[ends], state[some] = OPEN, OPEN
+            anchor, last = lo[some] + records["a"][some], lo[some] + more[some]
+            lo[some] = np.maximum(lo[some], anchor - farthest[some])
+            more[some] = np.minimum(last, anchor - nearest[some]) - lo[some]
         state[number == 0] = PENDING
         keys = _keys([w[[0, -1]] for w in words]).tolist()
         keep = np.flatnonzero(state >= 0)
@@ -240,8 +260,8 @@ def _sweep(kind: np.dtype, windows: int):
         fill = lambda values, edge, of: pa.array(np.append(values[keep], edge), of)
         return pa.Table.from_arrays(
             [
-                pa.array(np.full(m, table.column("bucket")[0].as_py(), np.int32)), fill(ids, 0, pa.int64()), fill(hashes, 0, pa.int64()), fill(records["o"].astype(np.int64), 0, pa.int64()),
-                fill(records["n"].astype(np.int32) if windows else np.zeros(len(records), np.int32), 0, pa.int32()), fill(least, least[-1], pa.int64()), fill(state, EDGE, pa.int32()),
+                pa.array(np.full(m, table.column("bucket")[0].as_py(), np.int32)), fill(ids, 0, pa.int64()), fill(hashes, 0, pa.int64()), fill(lo, 0, pa.int64()),
+                fill(more.astype(np.int32), 0, pa.int32()), fill(least, least[-1], pa.int64()), fill(state, EDGE, pa.int32()),
                 pa.array([None] * (m - 1) + [keys[0]], pa.binary()), pa.array([None] * (m - 1) + [keys[1]], pa.binary()),
             ],
             [f.split()[0] for f in SWEPT.split(", ")],
@@ -273,7 +293,7 @@ def _splitters(sample: DataFrame, buckets: int) -> np.ndarray:
     return np.unique(keys[np.arange(1, buckets) * len(keys) // buckets]) if len(keys) else keys
 
 
-def _array_sort(rows: DataFrame, records, kind: np.dtype, buckets: int, share: float) -> DataFrame:
+def _array_sort(rows: DataFrame, records, kind: np.dtype, length: int, buckets: int, share: float) -> DataFrame:
     """Columns ``SWEPT``: the suffixes that ``records`` makes of a batch of ``rows``, dealt to buckets, sorted and compared. Written."""
 
     def sampled(batches):
@@ -295,13 +315,13 @@ def _array_sort(rows: DataFrame, records, kind: np.dtype, buckets: int, share: f
         yield from dealer.flush()
 
     dealt = rows.mapInArrow(tidy(deal), BLOB)
-    return materialise(dealt.groupBy("bucket").applyInArrow(_sweep(kind, "n" in kind.names), SWEPT), "swept")
+    return materialise(dealt.groupBy("bucket").applyInArrow(_sweep(kind, length), SWEPT), "swept")
 
 
 def repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = BUCKET_BYTES, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """doc_id, h (hash of the text) and ranges: unsorted places [lo, hi) of repeated windows and units."""
-    if length < 3 * GRAM:
-        raise ValueError(f"a window has {3 * GRAM} bytes at least")
+    if not 3 * GRAM <= length < 256:
+        raise ValueError(f"a window has {3 * GRAM} to 255 bytes")
     rows = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", F.xxhash64("text").alias("h"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, min(MOST_BUCKETS, total // bucket_bytes))
@@ -310,7 +330,7 @@ def repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = BUCKET_BYTES,
         data, edges = _bytes(batch.column(2))
         return units(data, edges, length), batch.column(0).to_numpy(), batch.column(1).to_numpy()
 
-    swept = _array_sort(rows, of_texts, UNIT, buckets, (SAMPLE + SAMPLE_EACH * buckets) / max(total, 1))
+    swept = _array_sort(rows, of_texts, UNIT, length, buckets, (SAMPLE + SAMPLE_EACH * buckets) / max(total, 1))
     settled = _settled(swept)
     open_ = settled.where(F.col("state") == OPEN).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("units"))  # units of one text
 
@@ -344,7 +364,7 @@ def repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = BUCKET_BYTES,
         return out, batch.column(0).to_numpy(), batch.column(1).to_numpy()
 
     buckets = max(1, min(MOST_BUCKETS, windows // bucket_windows))
-    found = _settled(_array_sort(pieces, of_pieces, kind, buckets, (SAMPLE + SAMPLE_EACH * buckets) / max(windows, 1) / 16))
+    found = _settled(_array_sort(pieces, of_pieces, kind, length, buckets, (SAMPLE + SAMPLE_EACH * buckets) / max(windows, 1) / 16))
     hits = settled.where(F.col("state") == WHOLE).unionByName(found.where(F.col("state") == WHOLE))
     return hits.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("n") + length).alias("hi"))).alias("ranges"))
 
