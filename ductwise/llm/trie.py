@@ -3,10 +3,10 @@
 A node is a distinct sequence of first turns.  Nodes are ranked lexicographically, so a subtree is an interval of ranks; its end is
 the largest rank of a member's last turn, and leaves and savings of the subtree are differences of running sums over the ranks.
 
-Ranks come by doubling: after step k a turn knows the rank of the turns from the start of its aligned block of 2**k turns up to itself.
-A block of twice the size is a pair of such ranks (the one of the first half's last turn, then the own one), and the distinct pairs are
-sorted again.  So neither a prefix nor a conversation is ever one row, and log2 of the longest conversation steps suffice.  Every number
-comes from range partitions; the order among siblings is that of the digests of role and text.
+Ranks come by doubling: after step k a turn behind the first 2**k ones knows the rank of the turns from the start of its aligned block of
+2**k turns up to itself.  A block of twice the size is a pair of such ranks (the one of the first half's last turn, then the own one), and the
+distinct pairs are sorted again.  A prefix's key is the ranks of its first turn and of the blocks 2, 3-4, 5-8 and so on: log2 of its length.
+So neither a prefix nor a conversation is ever one row, and a turn goes only through the steps that its depth needs.  Every number comes from range partitions; the order among siblings is that of the digests of role and text.
 
 Defined results: rows without a conv_id are no conversation and are left out; null role or text is empty; turns go by ``turn``, null
 first, equal ones by role and digest; repeated rows are turns of their own; a conversation that loses all turns stays as a member of the
@@ -87,18 +87,29 @@ def rebuilt(conversations: DataFrame, every: int = 20, most: int = 4) -> tuple[D
 def prefix_ranks(rows: DataFrame) -> DataFrame:
     """``rows`` (conv_id, d, rank, words) with rank made that of the whole prefix: equal for equal prefixes, growing lexicographically."""
     longest = rows.agg(F.max("d")).first()[0] or 0
+    word = lambda rank: F.unhex(F.lpad(F.hex(rank), 16, "0"))
+    settled = [rows.where("d = 1").select("conv_id", "d", "words", word("rank").alias("key"))]
     half = 1
     while half < longest:
-        start = F.expr(f"(d - 1) div {half}")
-        first = rows.where(start % 2 == 0).select("conv_id", "d", "words", F.col("rank").alias("high"), F.lit(-1).cast("long").alias("low"))
-        second = rows.where(start % 2 == 1).select("conv_id", "d", "words", "rank", (start * half).alias("to"))
-        ends = rows.where(f"d % {half} = 0").select("conv_id", F.col("d").alias("to"), F.col("rank").alias("high"))
-        second = second.join(ends, ["conv_id", "to"]).select("conv_id", "d", "words", "high", F.col("rank").alias("low"))
-        pairs = materialise(first.unionByName(second), "pairs")
-        ranks = _ranked(pairs.select("high", "low").distinct(), ["high", "low"], "rank")
-        rows = materialise(pairs.join(ranks, ["high", "low"]).select("conv_id", "d", "rank", "words"), "prefixes")
+        # turns of the second half of the first 2 * half: the key of the first half, then their own block's rank
+        before = settled[-1].where(F.col("d") == half).select("conv_id", F.col("key").alias("before"))
+        part = rows.where((F.col("d") > half) & (F.col("d") <= 2 * half)).join(before, "conv_id")
+        settled.append(materialise(part.select("conv_id", "d", "words", F.concat("before", word("rank")).alias("key")), "keys"))
+        rest = rows.where(F.col("d") > 2 * half)
         half *= 2
-    return rows
+        if half < longest:  # later turns learn the ranks of blocks of twice the size
+            block = F.expr(f"(d - 1) div {half // 2}")
+            first = rest.where(block % 2 == 0).select("conv_id", "d", "words", F.col("rank").alias("high"), F.lit(-1).cast("long").alias("low"))
+            second = rest.where(block % 2 == 1).select("conv_id", "d", "words", "rank", (block * (half // 2)).alias("to"))
+            ends = rest.select("conv_id", F.col("d").alias("to"), F.col("rank").alias("high"))
+            second = second.join(ends, ["conv_id", "to"]).select("conv_id", "d", "words", "high", F.col("rank").alias("low"))
+            pairs = materialise(first.unionByName(second), "pairs")
+            ranks = _ranked(pairs.select("high", "low").distinct(), ["high", "low"], "rank")
+            rows = materialise(pairs.join(ranks, ["high", "low"]).select("conv_id", "d", "rank", "words"), "blocks")
+    keyed = settled[0]
+    for part in settled[1:]:
+        keyed = keyed.unionByName(part)
+    return materialise(keyed.join(_ranked(keyed.select("key").distinct(), ["key"], "rank"), "key").select("conv_id", "d", "rank", "words"), "prefixes")
 
 
 def _ends(last: DataFrame) -> DataFrame:
