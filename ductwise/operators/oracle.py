@@ -16,6 +16,8 @@ from .tools import route
 VISIBLE = ("status", "fault_type", "confidence", "node_id", "node_name", "system_id", "message", "abnormal_indicators", "suggested_direction", "node_info", "error")
 MEASURES = ("mean", "std", "min", "max", "range", "slope")
 LOW_CONFIDENCE = 0.48
+#: Rows of a file that windows are joined with at a time.
+BLOCK_ROWS = 16
 ABNORMAL = ("fault", "warning", "abnormal")
 
 
@@ -25,6 +27,11 @@ def rows_needed(start: Column, end: Column, least: int = 0, window: int = 15) ->
     return F.greatest(F.when(b > a, b).otherwise(a + max(1, window)), F.lit(least))
 
 
+def _block(row: Column) -> Column:
+    """The block of ``BLOCK_ROWS`` rows that a row of a file is in."""
+    return F.floor(row / BLOCK_ROWS).cast("long")
+
+
 def slices(scenarios: DataFrame, data: DataFrame, normal_files: DataFrame | None = None) -> DataFrame:
     """The rows of each scenario's window: scenario_id, system_id, row_idx, sensor, value, complete.
 
@@ -38,7 +45,10 @@ def slices(scenarios: DataFrame, data: DataFrame, normal_files: DataFrame | None
     sizes = data.groupBy("system_id", "source_file").agg((F.max("row_idx") + 1).alias("n_rows"))
     fits = (F.col("time_window_end") > F.col("time_window_start")) & (F.col("time_window_end") <= F.coalesce("n_rows", F.lit(0)))
     wanted = root.join(sizes, ["system_id", "source_file"], "left").withColumn("complete", fits)
-    rows = wanted.join(data, ["system_id", "source_file"]).where((F.col("row_idx") >= F.col("time_window_start")) & (F.col("row_idx") < F.col("time_window_end")))
+    # a window meets the blocks of rows that it touches, so files are joined by equal keys of bounded size and not by a range of all their rows
+    low, high = F.greatest("time_window_start", F.lit(0)), F.least("time_window_end", "n_rows")
+    touched = wanted.where(low < high).withColumn("block_", F.explode(F.sequence(_block(low), _block(high - 1))))
+    rows = data.withColumn("block_", _block(F.col("row_idx"))).join(touched, ["system_id", "source_file", "block_"]).where((F.col("row_idx") >= F.col("time_window_start")) & (F.col("row_idx") < F.col("time_window_end")))
     return rows.select("scenario_id", "system_id", "row_idx", "sensor", "value", "complete")
 
 
@@ -161,28 +171,45 @@ def rebind_baseline(scenarios: DataFrame, normal_files: DataFrame) -> DataFrame:
     return out.select(*scenarios.columns)
 
 
-def squeeze(name: str) -> str:
+def letters(name: Column) -> Column:
     """Letters and digits of a name in lower case."""
-    return "".join(c for c in name.lower() if c.isascii() and c.isalnum())
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
-def resolve_columns(columns: list[str], wanted: list[str], aliases: dict[str, list[str]] | None = None) -> list[str]:
-    """The columns that sensor names stand for, each once, in the order of the names; schemas alone are read.
+def column_candidates(columns: DataFrame, wanted: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """What each wanted name of a file may stand for: file, k, name, column, at, rank (the best of each pair).
 
-    Tried in turn: the name, its last part, the same letters and digits, aliases, and, for names of six letters and more, one name within the other.
+    columns(file, at, column), wanted(file, k, name) in order of at and k; aliases(name, alias) of names or their last parts.  Ranks: 0 the name itself, 1 its last part
+    (behind ``::``), 2 the same letters and digits, 3 an alias, 4 one within the other where the last part has six letters and digits or more.
+    Equal names are joined by key; only what has no such column meets all columns of its own file, a schema.
+    """
+    has = columns.select("file", "at", "column", letters(F.col("column")).alias("of"))
+    asks = wanted.withColumn("local", F.element_at(F.split("name", "::"), -1)).withColumn("part", letters(F.col("local")))
+    ways = [(0, asks.select("file", "k", "name", F.col("name").alias("x")), "column"), (1, asks.select("file", "k", "name", F.col("local").alias("x")), "column"), (2, asks.select("file", "k", "name", F.col("part").alias("x")).where("x <> ''"), "of")]
+    if aliases is not None:
+        called = asks.select("file", "k", "name", F.explode(F.array_distinct(F.array("name", "local"))).alias("of_")).join(aliases.select(F.col("name").alias("of_"), "alias"), "of_")
+        ways += [(3, called.select("file", "k", "name", F.col("alias").alias("x")), "column"), (3, called.select("file", "k", "name", letters(F.col("alias")).alias("x")).where("x <> ''"), "of")]
+    found = None
+    for rank, side, by in ways:
+        part = side.join(has.select("file", "at", "column", F.col(by).alias("x")), ["file", "x"]).select("file", "k", "name", "column", "at", F.lit(rank).alias("rank"))
+        found = part if found is None else found.unionByName(part)
+    long = asks.where("length(part) >= 6").select("file", "k", "name", "part")
+    within = long.join(has, "file").where((F.col("of") != "") & (F.contains(F.col("part"), F.col("of")) | F.contains(F.col("of"), F.col("part"))))
+    found = found.unionByName(within.select("file", "k", "name", "column", "at", F.lit(4).alias("rank")))
+    return found.groupBy("file", "k", "name", "column", "at").agg(F.min("rank").alias("rank"))
+
+
+def resolve_columns(columns: DataFrame, wanted: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """file, k, name, column: the best candidate of each wanted name, in their order, that no earlier one has taken.
+
+    A file's candidates, no more than its schema gives, are one ordered list that is folded once.
     """
-    aliases, taken = aliases or {}, []
-    by_letters = {squeeze(c): c for c in columns}
-    for name in wanted:
-        local = name.split("::")[-1]
-        known = [*aliases.get(local, []), *aliases.get(name, [])]
-        tried = [name, local, by_letters.get(squeeze(local)), *(x for a in known for x in (a, by_letters.get(squeeze(a))))]
-        if len(squeeze(local)) >= 6:
-            tried += [c for c in columns if squeeze(local) in squeeze(c) or squeeze(c) in squeeze(local)]
-        found = next((c for c in tried if c in columns and c not in taken), None)
-        if found is not None:
-            taken.append(found)
-    return taken
+    found = column_candidates(columns, wanted, aliases)
+    order = F.struct("k", "rank", "at", "name", "column")
+    lists = found.groupBy("file").agg(F.array_sort(F.collect_list(order)).alias("ways"))
+    pick = lambda got, way: F.when(F.exists(got, lambda g: (g["k"] == way["k"]) | (g["column"] == way["column"])), got).otherwise(F.concat(got, F.array(way)))
+    none = F.slice("ways", 1, 0)
+    return lists.select("file", F.explode(F.aggregate("ways", none, pick)).alias("w")).select("file", "w.k", "w.name", "w.column")
 
 
 def best_anchor(connections: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Teacher trajectories: a plan of calls for each scenario, their results, the turns of the dialogue, and the gates that admit it.
 
 scenarios: scenario_id, scenario_type, root_cause_system, root_cause_node, fault_type, symptom_system, description, path array<string> (symptom first, root
-last); components: system_id, node_id.  Choices go by hashes of the scenario's id, so a plan is the same in every run.  Everything is joins and expressions.
+last); nodes and edges: the graph (``graph``), with a node ``system::<id>`` of level 1 for each system.  Choices go by hashes of the scenario's id, so a plan is
+the same in every run.  Everything is joins and expressions; plan, results and verdicts are written once each, for they are read several times.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import exact_match, norm, normalize_label
+from . import tools
 from .graph import ancestors
+from .lineage import cut
 from .scenarios import hash_number
 from .tools import teacher_route
 
@@ -26,71 +29,117 @@ def flow(kind: Column) -> Column:
     return F.when(F.contains(k, F.lit("low_confidence")), "low_confidence").when(F.contains(k, F.lit("no_fault")), "no_fault").when(F.contains(k, F.lit("cross")), "cross").when(k.isin("a_single_system", "ambiguous"), "ambiguous").otherwise("single")
 
 
-def _pick(key: Column, n: Column, turn: Column) -> Column:
-    return F.pmod(hash_number(key) + turn, n)
+def traces(edges: DataFrame, pairs: DataFrame, hops: int = 6) -> DataFrame:
+    """pairs(symptom, root) to trace array<string>: the shortest way against the flow, over feeds and cross-system edges, of at most ``hops``; of several the least.
 
-
-def plan(scenarios: DataFrame, components: DataFrame, systems: list[str]) -> DataFrame:
-    """The calls of each scenario in order: scenario_id, i, phase, tool, node_id."""
-    ranked = components.select(F.col("system_id").alias("in_"), "node_id", (F.row_number().over(Window.partitionBy("system_id").orderBy("node_id")) - 1).alias("at_"))
-    sizes = ranked.groupBy("in_").agg(F.count("*").alias("n_"))
-    key = F.col("scenario_id")
-    s = scenarios.withColumns({"flow_": flow(F.col("scenario_type")), "start_": F.coalesce("symptom_system", "root_cause_system"), "h_": F.pmod(hash_number(key), F.lit(100))})
-
-    def calls(rows: DataFrame, phase: int, k: Column, tool: str, node: Column) -> DataFrame:
-        return rows.select("scenario_id", F.lit(phase).alias("phase"), k.cast("int").alias("k"), F.lit(tool).alias("tool"), node.cast("string").alias("node_id"))
-
-    def component(rows: DataFrame, system: str, turn: str) -> DataFrame:
-        """With the component (node_) that a scenario's hash picks from a system in a turn."""
-        rows = rows.join(sizes, F.col(system) == F.col("in_")).drop("in_").withColumn("pick_", _pick(key, F.col("n_"), F.col(turn)))
-        return rows.join(ranked.withColumnRenamed("node_id", "node_"), (F.col(system) == F.col("in_")) & (F.col("pick_") == F.col("at_")))
-
-    zero, inside = F.lit(0), lambda c: F.concat(F.lit("system::"), c)
-    parts = [calls(s, 0, zero, "get_system_overview", F.lit(None)), calls(s, 2, zero, "get_node_children", inside(F.col("start_")))]
+    All pairs go a level at a time, each written once; a pair without a way has no row.
+    """
+    up = cut(edges.where(F.col("relation").isin("feeds", "cross_system")).select(F.col("dst").alias("at"), F.col("src").alias("next")).distinct())
+    front = cut(pairs.select("symptom", "root").where("symptom IS NOT NULL AND root IS NOT NULL").distinct().withColumns({"at": F.col("symptom"), "trace": F.array("symptom")}))
+    reached, found = front.select("symptom", "root", "at"), front.where("at = root")
+    for _ in range(hops):
+        # a pair that has arrived goes no further
+        going = front.join(found.select("symptom", "root"), ["symptom", "root"], "left_anti")
+        step = going.join(up, "at").groupBy("symptom", "root", F.col("next").alias("at")).agg(F.min(F.concat("trace", F.array("next"))).alias("trace"))
+        front = cut(step.join(reached, ["symptom", "root", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        reached, found = reached.unionByName(front.select(*reached.columns)), found.unionByName(front.where("at = root"))
+    return found.select("symptom", "root", "trace")
+
+
+#: What a plan wishes for: an order, a tool, and a node or else a component that the hash picks from a system.
+_WISH = "struct<phase:int,k:int,tool:string,node:string,of:string,turn:int>"
+
+
+def _wishes(s: DataFrame, systems: list[str]) -> Column:
+    """array of ``_WISH`` of scenarios with flow_, start_, h_, way_ and traced_."""
+
+    def wish(phase: int, k, tool: str, node=None, of=None, turn=None) -> Column:
+        column = lambda x, kind: (x if isinstance(x, Column) else F.lit(x)).cast(kind)
+        return F.struct(F.lit(phase).alias("phase"), column(k, "int").alias("k"), F.lit(tool).alias("tool"), column(node, "string").alias("node"), column(of, "string").alias("of"), column(turn, "int").alias("turn"))
+
+    none = F.array().cast(f"array<{_WISH}>")
+    some = lambda test, *wishes: F.when(F.coalesce(test, F.lit(False)), F.array(*wishes)).otherwise(none)
+    inside = lambda c: F.concat(F.lit("system::"), c)
+    kind, start, root, h = F.col("flow_"), F.col("start_"), F.col("root_cause_system"), F.col("h_")
+    parts = [some(F.lit(True), wish(0, 0, "get_system_overview"), wish(2, 0, "get_node_children", inside(start)))]
     # ambiguous prompts look at up to two other systems first
-    others = F.filter(F.array(*map(F.lit, systems)), lambda x: (x != F.col("root_cause_system")) & (x != F.col("start_")))
-    others = F.array_sort(F.transform(others, lambda x: F.struct(F.md5(F.concat_ws("|", key, x)).alias("o"), x.alias("x"))))
-    n_wrong = F.when(F.col("h_") < WRONG_SHARES[0], 0).when(F.col("h_") < WRONG_SHARES[1], 1).otherwise(2)
-    wrong = s.where("flow_ = 'ambiguous'").select("scenario_id", F.posexplode(F.slice(others, F.lit(1), n_wrong)).alias("w_", "o_")).select("scenario_id", "w_", F.col("o_.x").alias("sys_"))
-    parts += [calls(wrong, 1, F.col("w_") * 2, "get_node_children", inside(F.col("sys_"))), calls(component(wrong, "sys_", "w_"), 1, F.col("w_") * 2 + 1, "diagnose_node", F.col("node_"))]
+    others = F.filter(F.array(*map(F.lit, systems)), lambda x: (x != root) & (x != start))
+    others = F.array_sort(F.transform(others, lambda x: F.struct(F.md5(F.concat_ws("|", "scenario_id", x)).alias("o"), x.alias("x"))))
+    n_wrong = F.when(h < WRONG_SHARES[0], 0).when(h < WRONG_SHARES[1], 1).otherwise(2)
+    visit = lambda x, w: F.array(wish(1, w * 2, "get_node_children", inside(x["x"])), wish(1, w * 2 + 1, "diagnose_node", None, x["x"], w))
+    parts.append(F.when(kind == "ambiguous", F.flatten(F.transform(F.slice(others, F.lit(1), n_wrong), visit))).otherwise(none))
     # one or two components off the path, before it is followed; without a fault, two or three of the system
-    off = s.where("flow_ IN ('single', 'ambiguous')").withColumn("t_", F.explode(F.sequence(F.lit(0), F.col("h_") % 2)))
-    off = component(off, "start_", "t_").where(~F.array_contains("path", F.col("node_")))
-    parts.append(calls(off, 3, F.col("t_"), "diagnose_node", F.col("node_")))
-    clean = s.where("flow_ = 'no_fault'").withColumn("t_", F.explode(F.sequence(F.lit(0), 1 + F.col("h_") % 2)))
-    parts.append(calls(component(clean, "root_cause_system", "t_").where("t_ < n_"), 4, F.col("t_"), "diagnose_node", F.col("node_")))
-    # the path, with a change of system made visible
-    steps = s.where("flow_ IN ('single', 'ambiguous', 'cross')").select("scenario_id", "start_", F.posexplode("path").alias("p_", "node_")).withColumn("sys_", F.substring_index("node_", "::", 1))
-    before = F.coalesce(F.lag("sys_").over(Window.partitionBy("scenario_id").orderBy("p_")), F.col("start_"))
-    steps = steps.withColumn("before_", before)
-    moved = steps.where("sys_ <> before_")
-    parts += [calls(moved, 5, F.col("p_") * 4, "get_related_systems", inside(F.col("before_"))), calls(moved, 5, F.col("p_") * 4 + 1, "get_node_children", inside(F.col("sys_"))), calls(steps, 5, F.col("p_") * 4 + 2, "diagnose_node", F.col("node_"))]
-    low = s.where("flow_ = 'low_confidence'")
-    parts += [calls(low, 5, zero, "diagnose_node", F.col("root_cause_node")), calls(low, 6, zero, "get_node_sensors", F.col("root_cause_node"))]
-    parts.append(calls(s.where(F.col("flow_").isin("single", "ambiguous") & (F.col("h_") < DOWNSTREAM_SHARE)), 7, zero, "get_downstream_nodes", F.col("root_cause_node")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    order = Window.partitionBy("scenario_id").orderBy("phase", "k", "tool")
-    return out.withColumn("i", F.row_number().over(order) - 1).select("scenario_id", "i", "phase", "tool", "node_id")
-
-
-def results(calls: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """The plan with the teacher's verdict of each diagnosis: status, fault_type and confidence."""
+    parts.append(F.when(kind.isin("single", "ambiguous"), F.transform(F.sequence(F.lit(0), h % 2), lambda t: wish(3, t, "diagnose_node", None, start, t))).otherwise(none))
+    parts.append(F.when(kind == "no_fault", F.transform(F.sequence(F.lit(0), 1 + h % 2), lambda t: wish(4, t, "diagnose_node", None, root, t))).otherwise(none))
+
+    # the way from symptom to root: a traced one asks for what feeds each node, a change of system is made visible
+    def follow(node: Column, p: Column) -> Column:
+        last = F.get("way_", p - 1)
+        here, before = F.substring_index(node, "::", 1), F.coalesce(F.substring_index(last, "::", 1), start)
+        moves = here != before
+        return F.concat(
+            some(moves, wish(5, p * 5, "get_related_systems", inside(before))), some(F.col("traced_") & (p > 0), wish(5, p * 5 + 1, "get_upstream_nodes", last)),
+            some(moves, wish(5, p * 5 + 2, "get_node_children", inside(here))), some(F.lit(True), wish(5, p * 5 + 3, "diagnose_node", node)),
+        )
+
+    parts.append(F.when(kind.isin("single", "ambiguous", "cross"), F.flatten(F.transform("way_", follow))).otherwise(none))
+    node = F.col("root_cause_node")
+    parts.append(some(kind == "low_confidence", wish(5, 0, "diagnose_node", node), wish(6, 0, "get_node_sensors", node)))
+    parts.append(some(kind.isin("single", "ambiguous", "cross") & (h < DOWNSTREAM_SHARE), wish(7, 0, "get_downstream_nodes", node)))
+    return F.concat(*parts)
+
+
+def plan(scenarios: DataFrame, nodes: DataFrame, edges: DataFrame, systems: list[str]) -> DataFrame:
+    """The calls of each scenario in order: scenario_id, i, phase, tool, node_id. Written.
+
+    Whatever a call is about has been listed by an earlier one: the parents of a node are asked for their parts, topmost first.  The way from
+    symptom to root is that of the graph where it has one, else the scenario's own.
+    """
+    s = scenarios.withColumns({"flow_": flow(F.col("scenario_type")), "start_": F.coalesce("symptom_system", "root_cause_system"), "h_": F.pmod(hash_number(F.col("scenario_id")), F.lit(100)), "symptom": F.get("path", F.lit(0))})
+    ways = traces(edges, s.where("flow_ IN ('single', 'ambiguous', 'cross')").select("symptom", F.col("root_cause_node").alias("root")))
+    s = s.join(ways.withColumnRenamed("root", "root_cause_node"), ["symptom", "root_cause_node"], "left").withColumns({"way_": F.coalesce("trace", "path", F.array().cast("array<string>")), "traced_": F.col("trace").isNotNull()})
+    rows = cut(s.select("scenario_id", "way_", F.explode(_wishes(s, systems)).alias("w")).select("scenario_id", "way_", "w.*"))
+    ranked = nodes.where("level = 2").select(F.col("system_id").alias("of"), F.col("node_id").alias("picked"), (F.row_number().over(Window.partitionBy("system_id").orderBy("node_id")) - 1).alias("nth"))
+    sizes = ranked.groupBy("of").agg(F.count("*").alias("size"))
+    drawn = rows.where("of IS NOT NULL").join(sizes, "of").where("turn < size").withColumn("nth", F.pmod(hash_number(F.col("scenario_id")) + F.col("turn"), F.col("size")))
+    drawn = drawn.join(ranked, ["of", "nth"]).where(~((F.col("phase") == 3) & F.array_contains("way_", F.col("picked")))).withColumn("node", F.col("picked"))
+    names = ["scenario_id", "phase", "k", "tool", "node"]
+    calls = cut(rows.where("of IS NULL").select(*names).unionByName(drawn.select(*names)).withColumn("sub", F.lit(0)))
+    about = calls.where(F.col("tool").isin("diagnose_node", "get_node_sensors", "get_upstream_nodes", "get_downstream_nodes"))
+    above = ancestors(edges, about.select(F.col("node").alias("node_id")).distinct()).withColumnRenamed("node_id", "node")
+    asked = about.join(above, "node").select("scenario_id", "phase", "k", F.lit("get_node_children").alias("tool"), F.col("ancestor").alias("node"), (-F.col("hops")).cast("int").alias("sub"))
+    # a question is put once; both steps keep the scenarios where they are
+    once = calls.unionByName(asked).repartition("scenario_id").groupBy("scenario_id", "tool", "node").agg(F.min(F.struct("phase", "k", "sub")).alias("o"))
+    order = Window.partitionBy("scenario_id").orderBy("o", "tool")
+    return cut(once.select("scenario_id", (F.row_number().over(order) - 1).alias("i"), "o.phase", "tool", F.col("node").alias("node_id")))
+
+
+def results(calls: DataFrame, scenarios: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The plan with its answers: status, the nodes that it lists (targets), and of a diagnosis the teacher's fault_type and confidence. Written.
+
+    A question is answered once, however many scenarios ask it.
+    """
+    asked = calls.where("tool <> 'diagnose_node'").select("tool", F.coalesce("node_id", F.lit("")).alias("about")).distinct()
+    asked = asked.select(F.concat_ws("|", "tool", "about").alias("call_id"), "tool", F.col("about").alias("node_id"), F.substring_index("about", "::", -1).alias("system_id"))
+    nothing = nodes.sparkSession.createDataFrame([], "node_id string, status string, fault_type string, confidence double")
+    answers = tools.execute(asked, nodes, edges, nothing).select("call_id", F.col("status").alias("said_"), F.transform("items", lambda x: x["id"]).alias("targets"), F.col("error").alias("error_"))
     s = scenarios.select("scenario_id", "path", F.col("root_cause_node").alias("root_"), F.col("fault_type").alias("fault_"), flow(F.col("scenario_type")).alias("flow_"))
-    j = calls.join(s, "scenario_id")
-    on_path = (F.col("flow_") != "no_fault") & (F.coalesce(F.array_contains("path", F.col("node_id")), F.lit(False)) | (F.col("node_id") == F.col("root_")))
-    said = F.when(F.col("tool") == "diagnose_node", teacher_route(on_path, F.col("node_id") == F.col("root_"), F.col("flow_") == "low_confidence"))
-    j = j.withColumn("x_", said)
+    on_path = calls.where("tool = 'get_upstream_nodes'").groupBy("scenario_id").agg(F.collect_set("node_id").alias("traced"))  # at most the hops of a trace
+    j = calls.join(s, "scenario_id").join(on_path, "scenario_id", "left").withColumn("call_id", F.concat_ws("|", "tool", F.coalesce("node_id", F.lit("")))).join(answers, "call_id", "left")
+    way = F.concat(F.coalesce("path", F.array().cast("array<string>")), F.coalesce("traced", F.array().cast("array<string>")))
+    hit = (F.col("flow_") != "no_fault") & (F.coalesce(F.array_contains(way, F.col("node_id")), F.lit(False)) | (F.col("node_id") == F.col("root_")))
+    j = j.withColumn("x_", F.when(F.col("tool") == "diagnose_node", teacher_route(hit, F.col("node_id") == F.col("root_"), F.col("flow_") == "low_confidence")))
     named = F.when(F.col("x_.status").isin("Fault", "Warning"), F.col("fault_")).when(F.col("x_").isNotNull(), "None")
-    return j.select("scenario_id", "i", "phase", "tool", "node_id", F.coalesce("x_.status", F.lit("success")).alias("status"), named.alias("fault_type"), F.col("x_.confidence").alias("confidence"))
+    return cut(j.select("scenario_id", "i", "phase", "tool", "node_id", F.coalesce("x_.status", "said_", F.lit("success")).alias("status"), named.alias("fault_type"), F.col("x_.confidence").alias("confidence"), "targets", F.col("error_").alias("error")))
 
 
 #: A thought for each kind of call; {node} is filled in.
 THOUGHTS = {
     "get_system_overview": "First I need to know which systems the building has.", "get_node_children": "I look at what belongs to {node} before I test any component.", "diagnose_node": "The next thing to check is the state of {node}.",
     "get_related_systems": "The trail leaves {node}, so I ask which systems it is connected with.", "get_node_sensors": "The verdict on {node} is uncertain; its sensor readings must confirm it.",
-    "get_downstream_nodes": "To know how far it reaches, I list what lies downstream of {node}.",
+    "get_upstream_nodes": "{node} may only suffer from what feeds it, so I look for its source.", "get_downstream_nodes": "To know how far it reaches, I list what lies downstream of {node}.",
 }
 
 
@@ -107,24 +156,35 @@ def diagnoses(scenarios: DataFrame, outcome: DataFrame) -> DataFrame:
 
 
 def dialogue(scenarios: DataFrame, outcome: DataFrame, final: DataFrame) -> DataFrame:
-    """Turns of the dialogues: scenario_id, turn, role ('human', 'gpt', 'observation'), text."""
+    """Turns of the dialogues: scenario_id, turn, role ('human', 'gpt', 'observation'), text.
+
+    An agent's turn is a thought, its call or diagnosis, the state that it knows and a label of its action; an observation lists the nodes of its result.
+    """
     def tagged(tag: str, body: Column) -> Column:
         return F.concat(F.lit(f"<{tag}>"), body, F.lit(f"</{tag}>"))
 
+    def turn(thought: Column, tag: str, body: Column, step: Column, label: Column) -> Column:
+        state = F.to_json(F.struct(step.cast("int").alias("step"), F.lit("conclude" if tag == "diagnosis" else "explore").alias("stage")))
+        return F.concat_ws("\n", tagged("think", thought), tagged(tag, body), tagged("topoitl_state", state), tagged("topoitl_action", label))
+
     idea = F.lit("")
     for tool, text in THOUGHTS.items():
         idea = F.when(F.col("tool") == tool, F.replace(F.lit(text), F.lit("{node}"), F.coalesce(F.element_at(F.split("node_id", "::"), -1), F.lit("")))).otherwise(idea)
-    call = F.to_json(F.struct(F.col("tool").alias("name"), F.struct("node_id").alias("arguments")))
-    shown = F.to_json(F.struct("status", "node_id", "fault_type", "confidence"))
+    arguments = F.struct(F.when(F.col("tool") != "get_related_systems", F.col("node_id")).alias("node_id"), F.when(F.col("tool") == "get_related_systems", F.substring_index("node_id", "::", -1)).alias("system_id")).alias("arguments")
+    call = F.to_json(F.struct(F.col("tool").alias("name"), arguments))
+    label = F.to_json(F.struct(F.lit("tool_call").alias("type"), F.when(F.col("tool") == "diagnose_node", "verify").otherwise("expand").alias("primitive"), "tool", arguments))
+    shown = F.to_json(F.struct("status", "node_id", "fault_type", "confidence", F.col("targets").alias("nodes"), "error"))
     rows = outcome.join(final.select("scenario_id"), "scenario_id", "left_semi")
     ask = scenarios.join(final.select("scenario_id"), "scenario_id", "left_semi").select("scenario_id", F.lit(0).alias("turn"), F.lit("human").alias("role"), F.col("description").alias("text"))
-    said = rows.select("scenario_id", (2 * F.col("i") + 1).alias("turn"), F.lit("gpt").alias("role"), F.concat(tagged("think", idea), F.lit("\n"), tagged("tool_call", call)).alias("text"))
-    got = rows.select("scenario_id", (2 * F.col("i") + 2).alias("turn"), F.lit("observation").alias("role"), shown.alias("text"))
+    said = F.struct((2 * F.col("i") + 1).alias("turn"), F.lit("gpt").alias("role"), turn(idea, "tool_call", call, F.col("i"), label).alias("text"))
+    got = F.struct((2 * F.col("i") + 2).alias("turn"), F.lit("observation").alias("role"), shown.alias("text"))
+    both = rows.select("scenario_id", F.explode(F.array(said, got)).alias("x")).select("scenario_id", "x.*")
     n = rows.groupBy("scenario_id").agg(F.count("*").alias("n_"))
     why = F.when(F.col("free"), "Every component that I tested works as it should.").otherwise(F.concat(F.lit("The evidence closes at "), F.element_at(F.split("node", "::"), -1), F.lit(".")))
-    body = F.to_json(F.struct(F.col("node").alias("root_cause_node"), F.col("fault").alias("fault_type"), "confidence", "status"))
-    end = final.join(n, "scenario_id").select("scenario_id", (2 * F.col("n_") + 1).alias("turn"), F.lit("gpt").alias("role"), F.concat(tagged("think", why), F.lit("\n"), tagged("diagnosis", body)).alias("text"))
-    return ask.unionByName(said).unionByName(got).unionByName(end)
+    verdict = F.struct(F.col("node").alias("root_cause_node"), F.col("fault").alias("fault_type"), "confidence", "status")
+    closing = F.to_json(F.struct(F.lit("final_diagnosis").alias("type"), F.lit("conclude").alias("primitive"), verdict.alias("diagnosis")))
+    end = final.join(n, "scenario_id").select("scenario_id", (2 * F.col("n_") + 1).alias("turn"), F.lit("gpt").alias("role"), turn(why, "diagnosis", F.to_json(verdict), F.col("n_"), closing).alias("text"))
+    return ask.unionByName(both).unionByName(end)
 
 
 def gates(final: DataFrame, scenarios: DataFrame, outcome: DataFrame, least: float = LEAST_FINAL) -> DataFrame:
@@ -151,12 +211,32 @@ def gates(final: DataFrame, scenarios: DataFrame, outcome: DataFrame, least: flo
     return out.withColumn("admitted", F.col("label_consistent") & F.col("tool_faithful"))
 
 
-def generate(scenarios: DataFrame, components: DataFrame, systems: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(turns of the admitted dialogues, gates of all scenarios)."""
-    outcome = results(plan(scenarios, components, systems), scenarios)
-    final = diagnoses(scenarios, outcome)
-    passed = gates(final, scenarios, outcome)
-    return dialogue(scenarios, outcome, final.join(passed.where("admitted").select("scenario_id"), "scenario_id", "left_semi")), passed
+#: Failures that a batch may have, in number and as a share.
+MOST_FAILURES, FAILURE_SHARE = 50, 0.35
+
+
+def failures(scenarios: DataFrame, final: DataFrame, passed: DataFrame) -> DataFrame:
+    """scenario_id and error of scenarios without an admitted dialogue: no_diagnosis, label or evidence."""
+    j = scenarios.select("scenario_id").join(final.select("scenario_id", F.lit(True).alias("said_")), "scenario_id", "left").join(passed, "scenario_id", "left")
+    error = F.when(F.col("said_").isNull(), "no_diagnosis").when(~F.coalesce("label_consistent", F.lit(False)), "label").when(~F.coalesce("tool_faithful", F.lit(False)), "evidence")
+    return j.select("scenario_id", error.alias("error")).where("error IS NOT NULL")
+
+
+def check_budget(scenarios: DataFrame, failed: DataFrame, most: int = MOST_FAILURES, share: float = FAILURE_SHARE) -> dict[str, int]:
+    """Failures by kind; raises where they are more than ``most`` and more than ``share`` of the batch. A row for each kind reaches the driver."""
+    counts = {r["error"]: r["n"] for r in failed.groupBy("error").agg(F.count("*").alias("n")).collect()}
+    if sum(counts.values()) > max(most, share * scenarios.count()):
+        raise ValueError(f"too many scenarios without a dialogue: {counts}")
+    return counts
+
+
+def generate(scenarios: DataFrame, nodes: DataFrame, edges: DataFrame, systems: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(turns of the admitted dialogues, gates of all scenarios, calls with their results); an error where too many scenarios fail."""
+    outcome = results(plan(scenarios, nodes, edges, systems), scenarios, nodes, edges)
+    final = cut(diagnoses(scenarios, outcome))
+    passed = cut(gates(final, scenarios, outcome))
+    check_budget(scenarios, failures(scenarios, final, passed))
+    return dialogue(scenarios, outcome, final.join(passed.where("admitted").select("scenario_id"), "scenario_id", "left_semi")), passed, outcome
 
 
 def discovery(edges: DataFrame, targets: DataFrame, seen: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import oracle, scenarios, statistics, trajectories
+from ..operators import oracle, scenarios, statistics, trajectories, transcripts
 from ..operators import windows as W
 from .catalog import _PRED, _predictions
 from .registry import query, rounded, table
@@ -210,15 +210,56 @@ def flow_scenarios(spark, sf_dir):
     return s.withColumns({"symptom_system": start, "path": path, "description": F.concat(F.lit("Something is wrong near "), start)})
 
 
+def flow_graph(spark):
+    """nodes and edges of the systems: each feeds its components in a row, its last one the fifth of the next system; every component has a sensor."""
+    c = components(spark)
+    at, after = F.element_at(F.split("node_id", "::n"), -1).cast("int"), F.create_map(*(F.lit(x) for s, t in zip(SYSTEMS, SYSTEMS[1:] + SYSTEMS[:1]) for x in (s, t)))
+    name = F.element_at(F.split("node_id", "::"), -1)
+    row = lambda df, node, level, kind, label: df.select(node.alias("node_id"), F.lit(level).alias("level"), F.lit(kind).alias("node_type"), "system_id", label.alias("name"))
+    top, sensor = F.concat(F.lit("system::"), F.col("system_id")), F.concat("node_id", F.lit("::t"))
+    nodes = row(c.select("system_id").distinct(), top, 1, "system", F.col("system_id")).unionByName(row(c, F.col("node_id"), 2, "component", name)).unionByName(row(c, sensor, 3, "sensor", F.lit("t")))
+    edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("relation"), F.lit("").alias("medium"), F.lit(0).cast("long").alias("seq"))
+    nth = lambda system, k: F.concat(system, F.lit("::n"), k.cast("string"))
+    edges = edge(c, top, F.col("node_id"), "has_part").unionByName(edge(c, F.col("node_id"), sensor, "has_sensor")).unionByName(edge(c.where(at < 5), F.col("node_id"), nth(F.col("system_id"), at + 1), "feeds"))
+    return nodes, edges.unionByName(edge(c.where(at == 5), F.col("node_id"), nth(after[F.col("system_id")], F.lit(4)), "cross_system"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s || '::n' || (k + 1) AS at, s || '::n' || k AS up FROM (SELECT unnest(['view', 'click', 'error', 'signup', 'purchase']) AS s), (SELECT unnest(range(5)) AS k)
+ UNION ALL SELECT t || '::n4', s || '::n5' FROM (SELECT unnest(['view', 'click', 'error', 'signup', 'purchase']) AS s, unnest(['click', 'error', 'signup', 'purchase', 'view']) AS t)),
+p AS (SELECT DISTINCT ['view', 'click', 'error', 'signup', 'purchase'][1 + o_orderkey % 5] || '::n5' AS symptom, ['view', 'click', 'error', 'signup', 'purchase'][1 + o_custkey % 5] || '::n' || (o_orderkey % 4) AS root FROM orders),
+w AS (SELECT symptom, root, symptom AS at, [symptom] AS trace FROM p UNION ALL SELECT symptom, root, up, list_append(trace, up) FROM w JOIN e USING (at) WHERE at <> root AND len(trace) < 7 AND NOT list_contains(trace, up)),
+f AS (SELECT *, row_number() OVER (PARTITION BY symptom, root ORDER BY len(trace), trace) AS k FROM w WHERE at = root) SELECT symptom, root, array_to_string(trace, ' ') AS trace FROM f WHERE k = 1""")
+def trace_paths(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    pairs = o.select(F.concat(_nth(SYSTEMS, F.col("o_orderkey") % 5), F.lit("::n5")).alias("symptom"), F.concat(_nth(SYSTEMS, F.col("o_custkey") % 5), F.lit("::n"), (F.col("o_orderkey") % 4).cast("string")).alias("root"))
+    return trajectories.traces(flow_graph(spark)[1], pairs).withColumn("trace", F.concat_ws(" ", "trace"))
+
+
 @query()
 def trajectory_plan(spark, sf_dir):
-    s = flow_scenarios(spark, sf_dir)
-    return trajectories.results(trajectories.plan(s, components(spark), list(SYSTEMS)), s)
+    s, graph = flow_scenarios(spark, sf_dir), flow_graph(spark)
+    return trajectories.results(trajectories.plan(s, *graph, list(SYSTEMS)), s, *graph).withColumn("targets", F.concat_ws(" ", "targets"))
 
 
 @query()
 def trajectory_turns(spark, sf_dir):
-    return trajectories.generate(flow_scenarios(spark, sf_dir), components(spark), list(SYSTEMS))[0]
+    return trajectories.generate(flow_scenarios(spark, sf_dir), *flow_graph(spark), list(SYSTEMS))[0]
+
+
+#: Every scenario has one admitted dialogue that breaks none of the validators' rules; SQL knows so from the scenarios alone.
+@query("SELECT count(*) AS dialogues, 0::BIGINT AS broken_rules, 0::BIGINT AS skipped_steps, 0::BIGINT AS wrong_conclusions FROM orders")
+def trajectory_checks(spark, sf_dir):
+    s, graph = flow_scenarios(spark, sf_dir), flow_graph(spark)
+    turns, _, outcome = trajectories.generate(s, *graph, list(SYSTEMS))
+    turns = turns.withColumnRenamed("scenario_id", "conv_id")
+    rules = transcripts.turn_errors(turns, graph[0])
+    broken = rules.agg(F.sum(sum(F.col(c).cast("long") for c in rules.columns if c not in ("conv_id", "turn"))).alias("broken_rules"))
+    calls = outcome.select(F.col("scenario_id").alias("conv_id"), F.col("i").alias("turn"), "tool", "node_id", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
+    skipped = transcripts.skipped_steps(calls).agg(F.count("*").alias("skipped_steps"))
+    said = s.select(F.col("scenario_id").alias("conv_id"), F.when(F.col("scenario_type") == "no_fault", "none").otherwise(F.col("root_cause_node")).alias("node"), F.col("fault_type").alias("fault")).join(transcripts.final_diagnosis(turns).withColumnRenamed("fault_type", "said"), "conv_id")
+    wrong = said.agg(F.count("*").alias("dialogues"), F.count_if(transcripts.wrong_conclusion(F.col("node"), F.col("fault"), F.col("root_cause_node"), F.col("said"))).alias("wrong_conclusions"))
+    one = lambda df: df.withColumn("one_", F.lit(1))  # noqa: E731  three single rows side by side
+    return one(wrong).join(one(broken), "one_").join(one(skipped), "one_").drop("one_")
 
 
 @query("""WITH p AS (SELECT 's' || o_custkey AS scenario_id, 'n' || (o_orderkey % 4) AS connected_via, 't' || (o_orderkey % 3) AS target_component, 'n' || (o_custkey % 4) AS wanted_via, 't' || (o_custkey % 3) AS wanted_component FROM orders WHERE o_orderkey % 5 = o_custkey % 5)

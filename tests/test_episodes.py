@@ -209,17 +209,24 @@ def test_gates_stop_a_load(spark):
         transcripts.check_load(good.withColumn("missing_system", F.lit(2)))
 
 
-def test_columns_are_resolved():
-    columns = ["OA_TEMP", "DMPR", "SupplyAirTempC", "x", "Fan Speed"]
-    wanted = ["sys::OA_TEMP", "oa temp", "Damper_Command", "SupplyAirTemp", "temp", "fan_speed", "OA_TEMP"]
-    assert oracle.resolve_columns(columns, wanted, {"Damper_Command": ["dmpr"]}) == ["OA_TEMP", "DMPR", "SupplyAirTempC", "Fan Speed"]
+def test_columns_are_resolved(spark):
+    columns = ["OA_TEMP", "DMPR", "SupplyAirTempC", "x", "Fan Speed", "ReturnTemp", "Return_Temp2"]
+    wanted = ["sys::OA_TEMP", "oa temp", "Damper_Command", "SupplyAirTemp", "temp", "fan_speed", "OA_TEMP", "b::ReturnTemperature", "ReturnTemp", "ReturnTemp2"]
+    cols = [("f", i, c) for i, c in enumerate(columns)] + [("g", 0, "x"), ("h", 0, "oa-temp")]
+    asks = [("f", i, w) for i, w in enumerate(wanted)] + [("g", 0, "OA_TEMP"), ("h", 0, "a::OA_TEMP"), ("i", 0, "x")]
+    got = oracle.resolve_columns(
+        spark.createDataFrame(cols, "file string, at int, column string"), spark.createDataFrame(asks, "file string, k int, name string"), spark.createDataFrame([("Damper_Command", "dmpr")], "name string, alias string"),
+    )
+    rows = sorted((r.file, r.k, r.column) for r in got.collect())
+    # the seventh name takes ReturnTemp as what it holds, so the eighth falls to the column that holds it
+    assert rows == [("f", 0, "OA_TEMP"), ("f", 2, "DMPR"), ("f", 3, "SupplyAirTempC"), ("f", 5, "Fan Speed"), ("f", 7, "ReturnTemp"), ("f", 8, "Return_Temp2"), ("h", 0, "oa-temp")]
 
 
 def test_trajectories(spark):
     s = worlds.flow_scenarios(spark, SF).cache()
-    parts, systems = worlds.components(spark), list(worlds.SYSTEMS)
-    plan = trajectories.plan(s, parts, systems)
-    outcome = trajectories.results(plan, s).cache()
+    graph, systems = worlds.flow_graph(spark), list(worlds.SYSTEMS)
+    outcome = trajectories.results(trajectories.plan(s, *graph, systems), s, *graph).cache()
+    ways = {(r.symptom, r.root): r.trace for r in trajectories.traces(graph[1], s.selectExpr("path[0] AS symptom", "root_cause_node AS root")).collect()}
     truth = {r.scenario_id: r for r in s.collect()}
     runs = defaultdict(list)
     for r in outcome.collect():
@@ -237,15 +244,25 @@ def test_trajectories(spark):
             for r in rows:
                 if r.tool == "diagnose_node":
                     low = "low_confidence" in t.scenario_type
-                    want = ("Warning" if low else "Fault") if r.node_id == t.root_cause_node else "Abnormal" if r.node_id in t.path else "Normal"
+                    way = [] if low else ways.get((t.path[0], t.root_cause_node), [])
+                    want = ("Warning" if low else "Fault") if r.node_id == t.root_cause_node else "Abnormal" if r.node_id in t.path or r.node_id in way else "Normal"
                     assert r.status == want
         if t.symptom_system != t.root_cause_system and "cross" in t.scenario_type:
             assert [r.tool for r in rows].index("get_related_systems") < [r.node_id for r in rows].index(t.root_cause_node)
         if "low_confidence" in t.scenario_type:
             assert rows[-1].tool == "get_node_sensors" and rows[-1].node_id == t.root_cause_node
-        wrong = {r.node_id for r in rows if r.tool == "get_node_children"} - {f"system::{t.symptom_system}", f"system::{t.root_cause_system}"}
+        way = ways.get((t.path[0], t.root_cause_node)) if t.scenario_type in ("single_system", "a_single_system", "cross_system", "na_cross_system") else None
+        if way:
+            assert [r.node_id for r in rows if r.tool == "get_upstream_nodes"] == way[:-1] and [n for n in asked if n in way] == way
+        shown = set()
+        for r in rows:  # whatever is asked about was listed before
+            assert r.node_id is None or r.node_id.startswith("system::") or r.node_id in shown
+            shown |= set(r.targets or [])
+        assert all(r.error is None and r.status != "error" for r in rows)
+        passing = {f"system::{n.split('::')[0]}" for n in way or []}
+        wrong = {r.node_id for r in rows if r.tool == "get_node_children"} - passing - {f"system::{t.symptom_system}", f"system::{t.root_cause_system}"}
         assert len(wrong) <= (2 if t.scenario_type == "a_single_system" else 0)
-    turns, passed = trajectories.generate(s, parts, systems)
+    turns, passed, _ = trajectories.generate(s, *graph, systems)
     flags = {r.scenario_id: r for r in passed.collect()}
     assert flags.keys() == truth.keys() and all(r.admitted == (r.label_consistent and r.tool_faithful) for r in flags.values()) and sum(r.admitted for r in flags.values()) > 0.9 * len(flags)
     talks = defaultdict(list)
@@ -257,9 +274,29 @@ def test_trajectories(spark):
         assert [r.turn for r in rows] == list(range(len(rows))) and [r.role for r in rows] == ["human"] + ["gpt", "observation"] * (len(rows) // 2 - 1) + ["gpt"]
         said = json.loads(re.search(r"(?s)<diagnosis>(.*)</diagnosis>", rows[-1].text)[1])
         assert said["root_cause_node"] == ("none" if truth[k].scenario_type == "no_fault" else truth[k].root_cause_node)
+        assert all(json.loads(r.text)["nodes"] for r in rows if r.role == "observation" and '"nodes"' in r.text and "n5" not in r.text)
         assert all(json.loads(re.search(r"(?s)<tool_call>(.*)</tool_call>", r.text)[1])["name"] for r in rows[1:-1] if r.role == "gpt")
 
 
+def test_a_batch_with_many_failures_stops(spark):
+    s = spark.range(200).select(F.concat(F.lit("s"), "id").alias("scenario_id"))
+    final = s.where("scenario_id <> 's0'")
+    flags = lambda bad: final.select("scenario_id", (F.substring("scenario_id", 2, 9).cast("int") > bad).alias("label_consistent"), (F.col("scenario_id") != "s199").alias("tool_faithful"))
+    failed = trajectories.failures(s, final, flags(40))
+    assert trajectories.check_budget(s, failed) == {"no_diagnosis": 1, "label": 40, "evidence": 1}
+    with pytest.raises(ValueError, match="'label': 80"):
+        trajectories.check_budget(s, trajectories.failures(s, final, flags(80)))
+    assert trajectories.check_budget(s, trajectories.failures(s, final, flags(68))) == {"no_diagnosis": 1, "label": 68, "evidence": 1}  # 70 of 200 are allowed
+
+
+def test_traces_take_the_shortest_way(spark):
+    edges = spark.createDataFrame([("a", "b", "feeds"), ("b", "c", "feeds"), ("a", "x", "cross_system"), ("x", "c", "feeds"), ("c", "a", "feeds"), ("q", "c", "has_part"), ("r", "a", "feeds"), ("a", "b", "feeds")], "src string, dst string, relation string")
+    pairs = spark.createDataFrame([("c", "a"), ("c", "r"), ("c", "q"), ("c", "c"), ("b", "x"), (None, "a"), ("c", "a")], "symptom string, root string")
+    got = {(r.symptom, r.root): r.trace for r in trajectories.traces(edges, pairs).collect()}
+    assert got == {("c", "a"): ["c", "b", "a"], ("c", "r"): ["c", "b", "a", "r"], ("c", "c"): ["c"], ("b", "x"): ["b", "a", "c", "x"]}
+    assert {(r.symptom, r.root) for r in trajectories.traces(edges, pairs, hops=2).collect()} == {("c", "a"), ("c", "c")}
+
+
 def test_gates_reject_what_tools_contradict(spark):
     truth = spark.createDataFrame([(i, "single_system", "a::n1", "fan_stuck") for i in "abcde"] + [("f", "no_fault", "none", "normal")], "scenario_id string, scenario_type string, root_cause_node string, fault_type string")
     final = spark.createDataFrame([("a", "a::n1", "fan_stuck", 0.9, "Fault"), ("b", "a::n1", "fan_stuck", 0.5, "Fault"), ("c", "a::n2", "fan_stuck", 0.9, "Fault"), ("d", "a::n1", "fan_stuck", 0.9, "Fault"), ("f", "none", "no_fault", 0.9, "Normal")], "scenario_id string, node string, fault string, confidence double, status string")
