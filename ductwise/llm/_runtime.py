@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ ARROW_ROWS = 500
 LONGEST = 100_000
 
 _own_dirs: list[tempfile.TemporaryDirectory] = []
-_scratch: list[str] = []
+#: Folders of the open ``scratch`` blocks; each thread and each asynchronous task of a driver has its own.
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("ductwise_scratch", default=())
 
 
 def tune(spark: SparkSession) -> None:
@@ -73,21 +75,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _folder(spark: SparkSession) -> str:
     """The folder of the innermost ``scratch``, or else that of this package."""
-    return _scratch[-1] if _scratch else f"{shared_dir(spark)}/ductwise"
+    return _scratch.get()[-1] if _scratch.get() else f"{shared_dir(spark)}/ductwise"
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables written within are deleted at the end, once what outlives them is written ``under`` the folder that this gives."""
     outer = _folder(spark)
-    _scratch.append(f"{outer}/scratch-{uuid.uuid4().hex}")
+    own = f"{outer}/scratch-{uuid.uuid4().hex}"
+    before = _scratch.set((*_scratch.get(), own))
     try:
         yield outer
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        _scratch.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this package keeps in the shared folder, once a job has read its results."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd", tasks: int | None = None, under: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 

@@ -31,13 +31,15 @@ TREES, DEPTH = 20, 6
 DICTIONARY_WORDS = 2000
 #: Characters kept on each side of a candidate.
 CONTEXT = 48
+#: Matches whose places are summed in one go.
+SUMMED = 256
 #: Paths are told apart by so many groups of equal hash.
 PATH_GROUPS = 16
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 NAMES = r"token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer"
 KEYWORD = rf"(?i)({NAMES})"
-ASSIGNED_VALUE = rf"(?i)(?:{NAMES})[A-Za-z0-9_]{{0,20}}[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"'][^\"'\s]{{6,200}}[\"']"
+ASSIGNED_VALUE = rf"(?i)(?:{NAMES})[A-Za-z0-9_]*+[\"']?[ \t]*+[:=][ \t]*+[\"'][^\"'\s]{{6,}}+[\"']"
 HARMLESS = r"(?i)(commit|sha-?1|sha-?256|md5|checksum|digest|uuid|guid|isbn|phone|card|order|invoice|version)"
 ASSIGNED = r"[:=]\s*[\"'`]?$"
 
@@ -46,19 +48,25 @@ NEIGHBOURS = ["keyword", "harmless", "assigned", "quoted", "path_depth", "path_s
 PATHS = [f"path_{k}" for k in range(PATH_GROUPS)]
 
 
+def _starts(gaps: Column, sizes: Column) -> Column:
+    """Where each of the pieces of ``sizes`` starts that lie between ``gaps``: sums within blocks, then of blocks, so an array is never copied for each of its entries."""
+    none = F.array().cast("array<int>")
+    pairs = F.arrays_zip(gaps.alias("gap"), sizes.alias("own"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / SUMMED).cast("int")), lambda b: F.slice(pairs, b * SUMMED + 1, SUMMED))
+    inner = F.transform(blocks, lambda block: F.aggregate(
+        block, F.struct(F.lit(0).alias("at"), none.alias("starts")),
+        lambda acc, x: F.struct((acc["at"] + x["gap"] + F.coalesce(x["own"], F.lit(0))).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")),
+    ))
+    bases = F.aggregate(inner, F.struct(F.lit(0).alias("at"), none.alias("bases")), lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")), lambda acc: acc["bases"])
+    return F.flatten(F.zip_with(inner, bases, lambda block, base: F.transform(block["starts"], lambda at: at + base)))
+
+
 def _matches(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """A row for each match: doc_id, path, text_key (hash of the text), start (characters before it), candidate, before, after."""
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), F.xxhash64("text").alias("text_key"), "text").where(text.rlike(pattern))
     rows = rows.select("doc_id", "path", "text_key", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), F.split("text", pattern, -1).alias("parts"))
-    # pieces before the matches, and where each match starts
-    ends = F.aggregate(
-        F.arrays_zip(F.transform("parts", F.length).alias("gap"), F.transform("found", F.length).alias("own")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + F.coalesce(x["own"], F.lit(0))).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    rows = rows.withColumn("starts", ends).select("doc_id", "path", "text_key", "parts", "starts", F.posexplode("found").alias("k", "candidate"))
+    rows = rows.withColumn("starts", _starts(F.transform("parts", F.length), F.transform("found", F.length))).select("doc_id", "path", "text_key", "parts", "starts", F.posexplode("found").alias("k", "candidate"))
     return rows.select(
         "doc_id", "path", "text_key", F.get("starts", F.col("k")).alias("start"), "candidate",
         F.right(F.get("parts", F.col("k")), F.lit(CONTEXT)).alias("before"), F.left(F.get("parts", F.col("k") + 1), F.lit(CONTEXT)).alias("after"),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import materialise, tune
+from ._runtime import materialise, tidy, tune
 from .tokens import encoder, with_end
 
 MAGIC = b"S8B1"
@@ -150,18 +150,32 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0) -> DataFrame:
-    """Encode all texts and write them as segments in ascending doc_id order; the written table. Columns: ``SEGMENTS``."""
+    """Encode all texts and write them as segments in ascending doc_id order; the written table. Columns: ``SEGMENTS``.
+
+    Texts are encoded where they lie; only ids are dealt to ranges, by doc_id and text, so many rows of one doc_id aren't one range.
+    """
     tune(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+
+    def encode(batches):
+        enc = encoder(tokenizer, pattern)
+        for batch in batches:
+            ids, counts = with_end(*enc.encode(batch.column(2)), end_id)
+            data, edge = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()
+            own = pa.array([data[a:b] for a, b in zip(edge[:-1], edge[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["doc_id", "h", "ids"])
+
+    encoded = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(encode), "doc_id long, h long, ids binary")
+    ordered = materialise(encoded, "encoded").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, enc = TaskContext.get().partitionId(), encoder(tokenizer, pattern)
+        part = TaskContext.get().partitionId()
         for seg, batch in enumerate(batches):
             if not len(batch):
                 continue
-            ids, counts = with_end(*enc.encode(batch.column(1)), end_id)
+            texts = batch.column(2).to_pylist()
+            ids, counts = np.frombuffer(b"".join(texts), "<u4"), np.fromiter(map(len, texts), np.int64, len(texts)) // 4
             keys = batch.column(0).fill_null(NULL_ID).to_numpy()
             blob = write_segment(keys, counts, ids)
             yield pa.RecordBatch.from_arrays(
@@ -169,7 +183,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0)
                 ["part", "seg", "n_ids", "segment"],
             )
 
-    return materialise(ordered.mapInArrow(run, SEGMENTS), "tokens")
+    return materialise(ordered.select("doc_id", "h", "ids").mapInArrow(tidy(run), SEGMENTS), "tokens")
 
 
 #: Stands for a null doc_id in a segment.

@@ -36,7 +36,7 @@ BUCKETS = 1 << 18
 EVIDENCE, PRECISION = 25.0, 0.95
 CACHE_WORDS = 300_000
 BLOCK = 64
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN_CHARACTER = r"[\p{L}\p{N}]"
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_toxic_tokens long, spans array<struct<start:int,end:int>>"
 
 
@@ -231,17 +231,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return Model(training_rows(docs, labels, "toxic", per_class), class_shares(labels, "toxic"))
 
 
-def _spans(text: str, toxic: np.ndarray) -> list[dict]:
-    """Character ranges of runs of toxic tokens."""
-    import regex
-
+def _spans(text: pa.Array, toxic: np.ndarray) -> list[dict]:
+    """Character ranges of runs of toxic tokens of the one text in ``text``, whose tokens are those of ``words``."""
+    marked = pc.replace_substring_regex(pc.replace_substring(pc.utf8_lower(text), "\x01", " "), TOKEN_CHARACTER, "\x01")  # a character for each character
+    inside = np.frombuffer(marked[0].as_py().encode("utf-32-le", "replace"), "<u4") == 1
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2).tolist()
     found, last = [], -2
-    for k, m in enumerate(regex.finditer(TOKEN, text)):
+    for k, (start, end) in enumerate(edges):
         if toxic[k]:
             if last == k - 1:
-                found[-1]["end"] = m.end()
+                found[-1]["end"] = end
             else:
-                found.append({"start": m.start(), "end": m.end()})
+                found.append({"start": start, "end": end})
             last = k
     return found
 
@@ -267,7 +268,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                 toxic = np.add.reduceat((p > 0.5).astype(np.int64), starts)
                 spans = [[] for _ in range(n)]
                 for i in np.flatnonzero(toxic).tolist():
-                    spans[i] = _spans(batch.column(1)[i].as_py(), p[starts[i] : starts[i] + counts[i]] > 0.5)
+                    spans[i] = _spans(batch.column(1).slice(i, 1), p[starts[i] : starts[i] + counts[i]] > 0.5)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(toxic), pa.array(spans, spans_type)],
                 ["doc_id", "held_out", "score", "predicted", "n_toxic_tokens", "spans"],

@@ -401,3 +401,29 @@ def test_scan_with_reviewed_findings(spark):
     truth = secrets.candidates(docs).selectExpr("doc_id", "start", "CASE WHEN length(candidate) > 20 THEN 1 ELSE 0 END AS label")
     out = secrets.scan(docs, labelled=truth).collect()
     assert len(out) == 120 and sum(r.is_secret == (r.length > 20) for r in out) >= 114
+
+
+def test_values_of_any_length_are_found(spark):
+    texts = [f"password = '{'q' * n}'" for n in (5, 6, 199, 200, 201, 5000)] + [f"my_token{'_x' * 40} {' ' * 9}=  'abcdef'", "api_key:'short1'"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'' AS source")
+    got = {r.doc_id: (r.start, r.candidate) for r in secrets.assigned_values(docs).collect()}
+    assert got == {i: (t.index("'") + 1, t.split("'")[1]) for i, t in enumerate(texts) if len(t.split("'")[1]) >= 6}
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 700])
+def test_places_of_many_candidates(spark, n):
+    text = "".join(f"ü{'.' * (k % 5)} key{k:016d}" for k in range(n))
+    docs = spark.createDataFrame([(1, text, "s"), (1, text, "s")], "doc_id long, text string, source string")
+    want = sorted(2 * [(m.start(), m.group()) for m in re.finditer(r"key\d{16}", text)])
+    assert sorted((r.start, r.candidate) for r in secrets.candidates(docs).collect()) == want
+
+
+def test_spans_behind_letters_that_engines_know_unlike(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels, 200)
+    odd = [chr(0x1C89), chr(0x88F), "İ ǅ ẞ", "\x01 a\x01b", "𐐀𐐨 x", "é́"]
+    texts = [f"{x} the quick {x}here by the river of the town utter scum by the sea {x} in the town of ships you idiot" for x in odd]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(rows, model).collect():
+        found = " ".join(texts[r.doc_id][s.start : s.end] for s in r.spans)
+        assert found and set(re.findall(r"[a-z]+", found)) <= {"you", "idiot", "utter", "scum"} and r.n_toxic_tokens == len(found.split())

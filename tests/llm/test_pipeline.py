@@ -54,3 +54,24 @@ def test_run(spark):
             assert o == at
             at += n
         assert at <= 1024
+
+
+def test_language_stage_judges_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = docs.orderBy("doc_id").first()
+    more = [(999999, good.text, good.lang, good.source, 1), (999999, "", good.lang, good.source, 0), (999999, None, good.lang, None, 0), (None, good.text, None, good.source, 1), (None, "", None, None, 0)]
+    rows = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    kept = P.keep_identified(spark, rows, sf)
+    assert sorted((r.doc_id or 0, r.text == good.text) for r in kept.where("doc_id = 999999 OR doc_id IS NULL").collect()) == [(0, True), (999999, True)]
+    assert kept.count() == docs.count() + 2
+
+
+def test_stages_keep_both_texts_of_an_id(spark, odd_docs):
+    rows = odd_docs.selectExpr("doc_id", "text", "lang", "source", "cast(null as bigint) AS n_chars")
+    sf = "/root/testdata/sf0.001"
+    alone = rows.selectExpr("row_number() OVER (ORDER BY doc_id, text) AS doc_id", "doc_id AS was", "text", "lang", "source", "n_chars")
+    for name, stage in P.STAGES[:-1]:
+        if name != "near_duplicates":  # each row is judged as if it had an id of its own
+            want = Counter(r.was for r in stage(spark, alone.drop("was"), sf).join(alone.select("doc_id", "was"), "doc_id").collect())
+            assert Counter(r.doc_id for r in stage(spark, rows, sf).collect()) == want and want[7] == 2
