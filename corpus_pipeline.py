@@ -1,8 +1,10 @@
 """The corpus pipeline: quality, language, near duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is
-written as Parquet and read again for the next.  All but the last return the columns of documents.  Decisions reach the texts by anti joins with
-the rejected ids, so rows with a null doc_id stay and a short list needs no shuffle of the texts.
+written as Parquet and read again for the next.  All but the last return the columns of documents.  Every stage judges rows by their texts, whole
+however long, and never by doc_id: rows whose doc_id is null or repeated are judged like any other, and equal rows alike.  Null and empty texts pass the quality stage
+(its threshold is 0 for no bytes), are rejected by the language stage (no language can be told; without any labelled text the stage rejects nothing), and have no near duplicates, no secrets and one piece.  An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,20 +19,19 @@ from ductwise.llm._runtime import materialise, scratch
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    ids = materialise(rejected.select(F.col("doc_id").alias("rejected_")).where("rejected_ IS NOT NULL").distinct(), name)
-    return docs.join(ids, F.col("doc_id") == F.col("rejected_"), "left_anti")
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject."""
     return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a posterior of at least one half."""
-    found = langid.identify(langid.document_columns(docs), langid.fit(docs))
-    return _without(docs, found.where("NOT accepted"), "unidentified")
+    """Documents whose language is told with a posterior of at least one half; rows are judged by text and source, whatever their ids."""
+    key = F.concat(F.hex(F.xxhash64("text", "source")), F.hex(F.xxhash64("source", F.lit(1), "text")))
+    model = langid.fit(docs)
+    if not model.languages:  # nothing can be told, so nothing is rejected
+        return docs
+    rejected = langid.identify(langid.document_columns(docs.withColumn("doc_id", key)), model).where("NOT accepted").select(F.col("doc_id").alias("rejected_")).distinct()
+    return docs.join(materialise(rejected, "unidentified"), key == F.col("rejected_"), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
