@@ -224,11 +224,11 @@ def flow_graph(spark):
     return nodes, edges.unionByName(edge(c.where(at == 5), F.col("node_id"), nth(after[F.col("system_id")], F.lit(4)), "cross_system"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT s || '::n' || (k + 1) AS at, s || '::n' || k AS up FROM (SELECT unnest(['view', 'click', 'error', 'signup', 'purchase']) AS s), (SELECT unnest(range(5)) AS k)
+@query("""WITH RECURSIVE e AS (SELECT s || '::n' || (k + 1) AS here, s || '::n' || k AS up FROM (SELECT unnest(['view', 'click', 'error', 'signup', 'purchase']) AS s), (SELECT unnest(range(5)) AS k)
  UNION ALL SELECT t || '::n4', s || '::n5' FROM (SELECT unnest(['view', 'click', 'error', 'signup', 'purchase']) AS s, unnest(['click', 'error', 'signup', 'purchase', 'view']) AS t)),
 p AS (SELECT DISTINCT ['view', 'click', 'error', 'signup', 'purchase'][1 + o_orderkey % 5] || '::n5' AS symptom, ['view', 'click', 'error', 'signup', 'purchase'][1 + o_custkey % 5] || '::n' || (o_orderkey % 4) AS root FROM orders),
-w AS (SELECT symptom, root, symptom AS at, [symptom] AS trace FROM p UNION ALL SELECT symptom, root, up, list_append(trace, up) FROM w JOIN e USING (at) WHERE at <> root AND len(trace) < 7 AND NOT list_contains(trace, up)),
-f AS (SELECT *, row_number() OVER (PARTITION BY symptom, root ORDER BY len(trace), trace) AS k FROM w WHERE at = root) SELECT symptom, root, array_to_string(trace, ' ') AS trace FROM f WHERE k = 1""")
+w AS (SELECT symptom, root, symptom AS here, [symptom] AS trace FROM p UNION ALL SELECT symptom, root, up, list_append(trace, up) FROM w JOIN e USING (here) WHERE here <> root AND len(trace) < 7 AND NOT list_contains(trace, up)),
+f AS (SELECT *, row_number() OVER (PARTITION BY symptom, root ORDER BY len(trace), trace) AS k FROM w WHERE here = root) SELECT symptom, root, array_to_string(trace, ' ') AS trace FROM f WHERE k = 1""")
 def trace_paths(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     pairs = o.select(F.concat(_nth(SYSTEMS, F.col("o_orderkey") % 5), F.lit("::n5")).alias("symptom"), F.concat(_nth(SYSTEMS, F.col("o_custkey") % 5), F.lit("::n"), (F.col("o_orderkey") % 4).cast("string")).alias("root"))
