@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .labels import NO_FAULT_LABELS, NO_FAULT_NODES, SIGNS
 
@@ -44,3 +44,37 @@ def register(spark: SparkSession, prefix: str = "") -> list[str]:
     for name, (parameters, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS {kind} RETURN {body}")
     return [prefix + name for name in FUNCTIONS]
+
+
+#: Views that the tools read, without their prefix.
+VIEWS = ("nodes", "edges", "diagnoses", "readings", "health")
+#: tool -> (parameters, columns, query over the views {nodes}, {edges}, {diagnoses}, {readings}, {health}).
+TABLE_FUNCTIONS = {
+    "get_system_overview": ("", "id STRING, name STRING, score DOUBLE, health STRING", "SELECT n.node_id, n.name, h.score, h.health FROM {nodes} n LEFT JOIN {health} h ON h.system_id = n.system_id WHERE n.level = 1"),
+    "get_node_children": ("node STRING", "id STRING, name STRING, level INT", "SELECT n.node_id, n.name, n.level FROM {edges} e JOIN {nodes} n ON n.node_id = e.dst WHERE e.src = get_node_children.node AND e.relation = 'has_part'"),
+    "get_node_sensors": ("node STRING", "id STRING, name STRING, reading DOUBLE, available BOOLEAN", "SELECT n.node_id, n.name, r.value, r.value IS NOT NULL FROM {edges} e JOIN {nodes} n ON n.node_id = e.dst LEFT JOIN {readings} r ON r.node_id = n.node_id WHERE e.src = get_node_sensors.node AND e.relation = 'has_sensor'"),
+    "get_downstream_nodes": ("node STRING", "id STRING, relation STRING, system_id STRING", "SELECT n.node_id, e.relation, n.system_id FROM {edges} e JOIN {nodes} n ON n.node_id = e.dst WHERE e.src = get_downstream_nodes.node AND e.relation IN ('feeds', 'cross_system')"),
+    "get_upstream_nodes": ("node STRING", "id STRING, relation STRING", "SELECT e.src, e.relation FROM {edges} e WHERE e.dst = get_upstream_nodes.node AND e.relation IN ('feeds', 'cross_system') UNION ALL SELECT e.src, 'parent_assembly' FROM {edges} e JOIN {nodes} n ON n.node_id = e.src WHERE e.dst = get_upstream_nodes.node AND e.relation = 'has_part' AND n.level = 2"),
+    "get_related_systems": ("system STRING", "other_system STRING, direction STRING, connected_via STRING, target_component STRING, medium STRING", "SELECT d.system_id, 'downstream', e.src, e.dst, e.medium FROM {edges} e JOIN {nodes} s ON s.node_id = e.src JOIN {nodes} d ON d.node_id = e.dst WHERE e.relation = 'cross_system' AND s.system_id = get_related_systems.system UNION ALL SELECT s.system_id, 'upstream', e.src, e.dst, e.medium FROM {edges} e JOIN {nodes} s ON s.node_id = e.src JOIN {nodes} d ON d.node_id = e.dst WHERE e.relation = 'cross_system' AND d.system_id = get_related_systems.system"),
+    "diagnose_node": ("node STRING", "status STRING, fault_type STRING, confidence DOUBLE, model_source STRING, error STRING", "SELECT CASE WHEN n.node_id IS NULL THEN 'error' ELSE coalesce(d.status, 'unknown') END, d.fault_type, d.confidence, d.model_source, CASE WHEN n.node_id IS NULL THEN concat('node not found: ', coalesce(a.node, '')) ELSE d.error END FROM (SELECT diagnose_node.node AS node) a LEFT JOIN (SELECT DISTINCT node_id FROM {nodes}) n ON n.node_id = a.node LEFT JOIN {diagnoses} d ON d.node_id = n.node_id"),
+}
+
+
+def register_tools(spark: SparkSession, nodes: DataFrame, edges: DataFrame, diagnoses: DataFrame | None = None, readings: DataFrame | None = None, health: DataFrame | None = None, prefix: str = "") -> list[str]:
+    """Define the seven tools as SQL table functions over a graph: ``SELECT * FROM get_node_children('x')``, or beside a table by LATERAL.
+
+    diagnoses(node_id, status, fault_type, confidence, model_source, error): the answers of ``oracle.diagnose`` in one scenario; readings(node_id, value) of sensor nodes;
+    health(system_id, score, health) from ``tools.anomaly``.  The optimizer inlines the functions, so a call is a join on the views' sources.
+    """
+    empty = lambda schema: spark.createDataFrame([], schema)
+    frames = {
+        "nodes": nodes, "edges": edges, "diagnoses": empty("node_id string, status string, fault_type string, confidence double, model_source string, error string") if diagnoses is None else diagnoses,
+        "readings": empty("node_id string, value double") if readings is None else readings, "health": empty("system_id string, score double, health string") if health is None else health,
+    }
+    views = {k: f"{prefix}tool_{k}" for k in VIEWS}
+    for k, view in views.items():
+        frames[k].createOrReplaceTempView(view)
+    for name, (parameters, columns, body) in TABLE_FUNCTIONS.items():
+        query = body.format(**views).replace(f"{name}.", f"{prefix}{name}.")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS TABLE({columns}) RETURN {query}")
+    return [prefix + name for name in TABLE_FUNCTIONS]

@@ -68,21 +68,85 @@ def assign_groups(sizes: list[tuple[str, dict[str, int]]], shares: dict[str, flo
     return out
 
 
-def grouped_split(df: DataFrame, group: str, kind: str, shares: dict[str, float] | None = None, hot: int = 1024) -> DataFrame:
+#: Least cross-system rows of each root in a held-out split, in number and as a share, and exchanges for each such split.
+LEAST_CROSS, CROSS_SHARE, EXCHANGES = 20, 0.20, 12
+
+
+def exchange(entries: dict[str, dict[str, int]], sizes: dict[str, int], placed: dict[str, str], split: str, roots: list[str], goal: float, least: int = LEAST_CROSS, share: float = CROSS_SHARE, rounds: int = EXCHANGES, source: str = "train") -> dict[str, str]:
+    """``placed`` after at most ``rounds`` exchanges of entries of ``split`` with entries of ``source``.
+
+    entries: cross-system rows by root; sizes: rows; goal: rows that the split should have.  A root lacks what it is short of
+    ``least`` and of ``share`` of the split's cross-system rows.  Of all exchanges (one entry comes, one or none goes) the one with the least lack afterwards is
+    made, of equal ones that with the size nearest to the goal, then the first by name; none where no exchange lessens the lack.
+    """
+    out = dict(placed)
+    matrix = {k: np.array([entries.get(k, {}).get(r, 0) for r in roots], float) for k in placed}
+
+    def lack(rows: np.ndarray) -> np.ndarray:
+        wanted = np.maximum(least, np.round(share * rows.sum(axis=-1, keepdims=True)))
+        return np.where(rows.sum(axis=-1) > 0, np.maximum(wanted - rows, 0).sum(axis=-1), 0.0)
+
+    for _ in range(rounds if roots else 0):
+        inside, outside = (sorted(k for k, s in out.items() if s == name) for name in (split, source))
+        have, size = sum((matrix[k] for k in inside), np.zeros(len(roots))), sum(sizes[k] for k in inside)
+        now = float(lack(have))
+        if not now:
+            break
+        comes = [k for k in outside if matrix[k].any()]
+        if not comes:
+            break
+        gains, more = np.array([matrix[k] for k in comes]), np.array([sizes[k] for k in comes], float)
+        best = None
+        for goes in [None, *inside]:
+            off, less = (matrix[goes], sizes[goes]) if goes is not None else (0.0, 0)
+            left, error = lack(have - off + gains), np.abs(size - less + more - goal)
+            i = int(np.lexsort([error, left])[0])
+            option = (float(left[i]), float(error[i]), comes[i], goes or "")
+            best = option if best is None or option < best else best
+        if best[0] >= now:
+            break
+        out[best[2]] = split
+        if best[3]:
+            out[best[3]] = source
+    return out
+
+
+def grouped_split(df: DataFrame, group: str, kind: str, shares: dict[str, float] | None = None, hot: int = 1024, root: str | None = None, cross: Column | None = None) -> DataFrame:
     """Adds ``split``; no group is in two splits.
 
-    Groups with the same counts by type are dealt by hash to at most ``hot`` blocks, which are placed greedily, whatever their number.
+    The ``hot`` largest groups are placed one by one; all others are dealt by their commonest type and md5 to about ``hot`` blocks, which are placed like groups,
+    so the driver holds at most 2 * ``hot`` entries and one for each type, with a number for each type, whatever the groups look like.  Against placing every group by
+    itself a split's rows of a type are off by about half a block: the small groups' rows over ``hot``.  With ``root`` and ``cross`` (which rows count), entries are then
+    exchanged so that every root has its part of the cross-system rows in the splits besides the first (``exchange``).
     """
     shares = shares or {"train": 0.8, "val": 0.1, "test": 0.1}
-    counts = df.groupBy(group, kind).agg(F.count("*").alias("n"))
-    groups = counts.groupBy(F.col(group).alias("g_")).agg(F.array_sort(F.collect_list(F.struct(F.col(kind).alias("kind"), "n"))).alias("shape_"))
-    groups = groups.withColumn("block_", F.concat_ws("/", F.pmod(F.xxhash64("g_"), F.lit(hot)).cast("string"), F.sha2(F.to_json("shape_", {"ignoreNullFields": "false"}), 256)))
-    blocks = groups.groupBy("block_").agg(F.first("shape_").alias("shape"), F.count("*").alias("m")).collect()  # at most `hot` for each different shape
-    placed = assign_groups([(r.block_, {x.kind: x.n * r.m for x in r["shape"]}) for r in blocks], shares, {r.block_: r.m for r in blocks})
+    rooted = F.col(root) if root else F.lit(None).cast("string")
+    crossed = F.count_if(cross) if cross is not None else F.lit(0).cast("long")
+    counts = cut(df.groupBy(F.col(group).alias("g_"), F.col(kind).alias("kind_"), rooted.alias("root_")).agg(F.count("*").alias("n"), crossed.alias("x")))
+    digest = F.md5(F.coalesce(F.col("g_").cast("string"), F.lit("")))
+    by_kind = counts.groupBy("g_", "kind_").agg(F.sum("n").alias("n"))
+    groups = by_kind.groupBy("g_").agg(F.sum("n").alias("n"), F.max_by("kind_", F.struct("n", "kind_")).alias("most_"))
+    per_kind = max(1, hot // max(1, counts.select("kind_").distinct().count()))
+    large = groups.orderBy(F.desc("n"), digest, "g_").limit(hot).select(F.col("g_").alias("same_"), F.concat_ws(":", F.lit("g"), digest, F.col("g_").cast("string")).alias("large_"))
+    of = groups.join(F.broadcast(large), F.col("g_").eqNullSafe(F.col("same_")), "left").select("g_", F.coalesce("large_", F.concat_ws(":", F.lit("b"), F.pmod(F.conv(F.left(digest, F.lit(12)), 16, 10).cast("long"), F.lit(per_kind)).cast("string"), F.to_json(F.struct(F.col("most_").alias("k"))))).alias("entry_"))
+    of = cut(of)  # large is ``hot`` rows at most
+    per = counts.join(of.withColumnRenamed("g_", "of_"), F.col("g_").eqNullSafe(F.col("of_"))).groupBy("entry_", "kind_", "root_").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
+    kinds, roots = {}, {}
+    for r in per:
+        own = kinds.setdefault(r["entry_"], {})
+        own[r["kind_"]] = own.get(r["kind_"], 0) + r["n"]
+        if r["root_"] is not None and r["x"]:
+            own = roots.setdefault(r["entry_"], {})
+            own[r["root_"]] = own.get(r["root_"], 0) + r["x"]
+    placed = assign_groups(list(kinds.items()), shares)
     if not placed:
         return df.withColumn("split", F.lit(None).cast("string"))
-    table = df.sparkSession.createDataFrame(list(placed.items()), "block_ string, split string")
-    table = groups.join(table, "block_").select("g_", "split")
+    sizes = {k: sum(v.values()) for k, v in kinds.items()}
+    names = list(shares)
+    for name in names[1:]:
+        placed = exchange(roots, sizes, placed, name, sorted({r for v in roots.values() for r in v}), shares[name] * sum(sizes.values()), source=names[0])
+    table = F.broadcast(df.sparkSession.createDataFrame(list(placed.items()), "entry_ string, split string"))  # at most 2 * hot rows
+    table = of.join(table, "entry_").select("g_", "split")
     return df.join(table, F.col(group).eqNullSafe(F.col("g_")), "left").drop("g_")
 
 

@@ -433,6 +433,21 @@ def leakage_group_split(spark, sf_dir):
     return datasets.grouped_split(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "source", "lang")
 
 
+#: What holds for a split of all orders by customer, whatever the placement: every row once, no customer in two splits, shares near their goal, roots balanced.
+@query("""SELECT count(*) AS n_rows, 0::BIGINT AS torn_groups, true AS shares_held, true AS roots_held FROM orders""")
+def group_split_checks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", F.get(F.array(*map(F.lit, ("chiller", "boiler", "tower"))), (F.col("o_custkey") % 11 / 5).cast("int")).alias("plant"), (F.col("o_orderkey") % 3 == 0).alias("crosses"))
+    out = datasets.grouped_split(o, "o_custkey", "o_orderstatus", root="plant", cross=F.col("crosses"))
+    torn = out.groupBy("o_custkey").agg((F.min("split") != F.max("split")).cast("long").alias("torn")).agg(F.sum("torn").alias("torn_groups"))
+    per = out.groupBy("split", "plant").agg(F.count("*").alias("n"), F.count_if("crosses").alias("x"))
+    per = per.groupBy("split").agg(F.sum("n").alias("n"), F.min("x").alias("least"), F.sum("x").alias("x"))
+    goal = F.when(F.col("split") == "train", 0.8).otherwise(0.1)
+    all_ = per.agg(F.sum("n").alias("n_rows"))
+    one = lambda df: df.withColumn("one_", F.lit(1))
+    held = one(per).join(one(all_), "one_").agg(F.max("n_rows").alias("n_rows"), F.min(F.abs(F.col("n") - goal * F.col("n_rows")) <= 0.02 * F.col("n_rows") + 40).alias("shares_held"), F.min((F.col("split") == "train") | (F.col("least") >= F.round(0.2 * F.col("x")) - 2)).alias("roots_held"))
+    return one(held).join(one(torn), "one_").select("n_rows", "torn_groups", "shares_held", "roots_held")
+
+
 _HASH = "md5({0} || '|42')"
 
 

@@ -95,3 +95,105 @@ def test_models_of_systems(spark):
     rows = spark.createDataFrame([(i, s, f"c{i % 2}", float(i % 2), float(i)) for s in ("x", "y") for i in range(40)] + [(99, "z", "only", 0.0, 0.0)], "id int, system_id string, label string, a double, b double")
     got = models.train_systems(rows, ["x", "y", "z"], ["a", "b"], "label", F.col("id"), trees=3, depth=3)
     assert set(got) == {"x", "y"} and models.registry(got)["x"] == {"labels": ["c0", "c1"], "feature_cols": ["a", "b"], "ready": True}
+
+
+def test_tools_as_table_functions(spark):
+    from ductwise.functions import sql
+    from ductwise.operators import tools
+    from ductwise.plans import worlds
+
+    nodes, edges = (df.cache() for df in worlds.flow_graph(spark))
+    said = spark.createDataFrame([("view::n1", "Fault", "fan_stuck", 0.9, "per_node", None), ("view::n2", "Normal", "None", 0.8, "per_node", None)], "node_id string, status string, fault_type string, confidence double, model_source string, error string")
+    shown = spark.createDataFrame([("view::n1::t", 21.5)], "node_id string, value double")
+    score = tools.anomaly(F.create_map(F.lit("Normal"), F.col("p")))
+    health = spark.createDataFrame([("view", 0.3), ("click", 0.9)], "system_id string, p double").select("system_id", score.alias("a")).select("system_id", "a.*")
+    names = sql.register_tools(spark, nodes, edges, said, shown, health, prefix="t_")
+    assert names == ["t_" + t for t in tools.AGENT_TOOLS] or set(names) == {"t_" + t for t in tools.AGENT_TOOLS}
+    about = [r.node_id for r in nodes.collect()] + ["nowhere"]
+    listing = ("get_node_children", "get_node_sensors", "get_downstream_nodes", "get_upstream_nodes")
+    calls = spark.createDataFrame([(f"{t}|{n}", t, n, None) for t in listing for n in about] + [("o|", "get_system_overview", None, None)] + [(f"r|{s}", "get_related_systems", None, s) for s in worlds.SYSTEMS], "call_id string, tool string, node_id string, system_id string")
+    want = {r.call_id: sorted(x.id for x in r["items"] or []) for r in tools.execute(calls, nodes, edges, said).collect()}
+    asked = spark.createDataFrame([(n,) for n in about], "q string")
+    asked.createOrReplaceTempView("t_asked")
+    for t in listing:  # beside a table, and one call
+        got = {n: [] for n in about}
+        for r in spark.sql(f"SELECT q, id FROM t_asked, LATERAL t_{t}(q)").collect():
+            got[r.q].append(r.id)
+        assert {n: sorted(x) for n, x in got.items()} == {n: want[f"{t}|{n}"] for n in about}
+    assert sorted(r.id for r in spark.sql("SELECT * FROM t_get_node_children('system::view')").collect()) == want["get_node_children|system::view"] != []
+    overview = {r.id: (r.score, r.health) for r in spark.sql("SELECT * FROM t_get_system_overview()").collect()}
+    assert sorted(overview) == want["o|"] and overview["system::view"] == (pytest.approx(0.7), "alert") and overview["system::click"][1] == "normal" and overview["system::error"] == (None, None)
+    for s in worlds.SYSTEMS:
+        assert sorted(r.other_system for r in spark.sql(f"SELECT * FROM t_get_related_systems('{s}')").collect()) == want[f"r|{s}"]
+    sensors = spark.sql("SELECT * FROM t_get_node_sensors('view::n1')").collect() + spark.sql("SELECT * FROM t_get_node_sensors('view::n0')").collect()
+    assert [(r.reading, r.available) for r in sensors] == [(21.5, True), (None, False)]
+    one = lambda n: tuple(spark.sql(f"SELECT status, fault_type, error FROM t_diagnose_node('{n}')").first())
+    assert one("view::n1") == ("Fault", "fan_stuck", None) and one("view::n3") == ("unknown", None, None) and one("nowhere") == ("error", None, "node not found: nowhere")
+
+
+STEPS = "episode_id string, step int, tool string, node_id string, status string, confidence double, targets array<string>, ts timestamp"
+
+
+def test_state_machine_with_timers(spark, tmp_path):
+    import datetime
+
+    from ductwise.operators import potential
+    from ductwise.plans import catalog
+
+    spark.conf.set(*S.STATE_STORE)
+    try:
+        at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+        _, calls = catalog.episodes(spark, "/root/testdata/sf0.001")
+        own = calls.select("episode_id", F.col("i").alias("step"), "tool", "node_id", "status", "confidence", "targets").where("episode_id LIKE '1%'")
+        rows = [(*tuple(r), at(r.step)) for r in own.collect()]
+        parts = [[r for r in rows if r[1] < 4], [r for r in rows if r[1] >= 4], [("clock", 0, "get_system_overview", None, "success", None, None, at(600))], [("clock", 1, "get_system_overview", None, "success", None, None, at(601))]]
+        out = []
+        for k, part in enumerate(parts):  # the query starts anew from its checkpoint for each part
+            spark.createDataFrame(part, STEPS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(STEPS).parquet(str(tmp_path / "in"))
+            q = S.timed_trace(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination()
+            out.append({(r.episode_id, r.step, r.final) for r in spark.read.parquet(str(tmp_path / "out")).collect()})
+        got = spark.read.parquet(str(tmp_path / "out")).where("episode_id <> 'clock'").collect()
+        key = lambda r: (r.episode_id, r.step, round(r.potential, 9), r.mode, r.top_candidate, r.n_candidates)
+        want = {key(r) for r in potential.trace(own).collect()}
+        assert {key(r) for r in got if not r.final} == want and sum(not r.final for r in got) == len(rows)
+        last = {e: max(s for e2, s, *_ in rows if e2 == e) for e, *_ in rows}
+        final = [key(r) for r in got if r.final]
+        assert len(final) == len(last) and {k[0] for k in final} == set(last)  # once each
+        assert all(k in want and k[1] == last[k[0]] for k in final)
+        assert not any(f for _, _, f in out[1])
+    finally:
+        spark.conf.unset(S.STATE_STORE[0])
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    import datetime
+    import random
+
+    rng, at = random.Random(4), lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    parts = [[(k * 100 + i, at(30 * k + rng.randint(-40, 30)) if i % 17 else None) for i in range(60)] for k in range(4)] + [[]]
+    want, newest = [], None
+    for part in parts:
+        want.append(sum(t is not None and newest is not None and t < newest - datetime.timedelta(minutes=10) for _, t in part))
+        newest = max([t for _, t in part if t is not None] + [newest] if newest else [t for _, t in part if t is not None], default=None)
+    run = S.late_splitter(str(tmp_path / "late"), late="10 minutes")
+    for k, part in enumerate(parts):
+        for _ in range(2 if k == 2 else 1):  # a batch that is run again counts once
+            run(spark.createDataFrame(part, "id int, ts timestamp"), k)
+    marks = spark.read.parquet(str(tmp_path / "late" / "marks"))
+    assert [r.n_late for r in marks.orderBy("batch_id").collect()] == want and sum(want) > 0
+    total = S.late_counts(marks).first()
+    rows = spark.read.parquet(str(tmp_path / "late" / "rows"))
+    assert (total.n_rows, total.n_late) == (240, sum(want)) == (rows.count(), rows.where("late").count())
+    src = tmp_path / "in"
+    spark.createDataFrame(parts[0], "id int, ts timestamp").coalesce(1).write.parquet(str(src))
+    q = spark.readStream.schema("id int, ts timestamp").parquet(str(src)).writeStream.foreachBatch(S.late_splitter(str(tmp_path / "own"))).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert S.late_counts(spark.read.parquet(str(tmp_path / "own" / "marks"))).first().n_rows == 60
+
+
+def test_sessions(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP'2024-01-01 00:00:00'), ('a', TIMESTAMP'2024-01-01 00:20:00'), ('a', TIMESTAMP'2024-01-01 01:00:00'), ('b', TIMESTAMP'2024-01-01 00:05:00') t(k, ts)")
+    got = sorted((r.k, r.start.minute + 60 * r.start.hour, r.n) for r in S.sessions(rows, ["k"]).collect())
+    assert got == [("a", 0, 2), ("a", 60, 1), ("b", 5, 1)]
