@@ -137,6 +137,60 @@ def report(scores: DataFrame) -> DataFrame:
     return out.withColumn("aggregate", sum((F.col(k) * w for k, w in AGGREGATE.items()), F.lit(0.0)))
 
 
+def behaviour(episodes: DataFrame, calls: DataFrame, max_steps: int = 15) -> DataFrame:
+    """Per episode what the rates of ``selection`` count: wrong_system (null without a fault), root_belief, n_blind, n_sensor, and flags, null where they don't apply.
+
+    root_belief is the share of belief that the fused evidence gives the true root; without a fault, how well it backs that there is none.
+    """
+    used = lambda *names: F.max(F.col("tool").isin(*names))
+    seen = calls.groupBy("episode_id").agg(
+        F.count("*").alias("n_"), used("get_node_sensors").alias("read_"), used("get_related_systems", "get_upstream_nodes").alias("traced_"), F.max(norm(F.col("status")).isin(*ABNORMAL)).alias("bad_"), F.count_if(F.col("tool") == "diagnose_node").alias("asked_"),
+    )
+    fused = fuse(calls)
+    of_root = belief(fused.select("episode_id", "node_id", "score")).select("episode_id", F.col("node_id").alias("gt_node"), "belief")
+    e = episodes.join(seen, "episode_id", "left").join(episode_masses(fused), "episode_id", "left").join(of_root, ["episode_id", "gt_node"], "left").join(sensor_checks(calls).select("episode_id", "n_blind", "n_sensor"), "episode_id", "left")
+    clean = is_no_fault_node(F.col("gt_node")) | is_no_fault_label(F.col("gt_fault"))
+    has = F.col("diag_node").isNotNull() | F.col("diag_fault").isNotNull()
+    system = F.coalesce(F.nullif(norm(F.col("diag_system")), F.lit("")), node_system(F.col("diag_node")), F.lit(""))
+    no = F.lit(None).cast("string")
+    calm = support(F.lit(True), F.coalesce("bad_", F.lit(False)), F.coalesce("asked_", F.lit(0)), F.coalesce("negative_mass", F.lit(0.0)), F.lit(False), F.lit(0.0), F.lit(0.0), no, no, F.lit(0.0))
+    kind = norm(F.col("scenario_type"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    return e.select(
+        "episode_id", F.when(~clean, flag(~has | (system == "") | (system != norm(F.col("gt_system"))))).alias("wrong_system"), F.when(clean, calm).otherwise(F.round(F.coalesce("belief", F.lit(0.0)), 4)).alias("root_belief"),
+        F.coalesce("n_blind", F.lit(0)).alias("n_blind"), F.coalesce("n_sensor", F.lit(0)).alias("n_sensor"), F.when(F.contains(kind, F.lit("low_confidence")), flag(F.col("read_"))).alias("low_confidence_read"),
+        F.when(F.contains(kind, F.lit("cross_system")), flag(F.col("traced_"))).alias("cross_traced"), flag(~has & (F.coalesce("n_", F.lit(0)) >= max_steps)).alias("ran_out"),
+    )
+
+
+def output_rates(outputs: DataFrame) -> DataFrame:
+    """One row of rates of outputs(episode_id, event, truncated, timeout), one row an agent's text: without action, truncated, over time, and with action."""
+    rate = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("double")), F.lit(0.0))
+    out = outputs.agg(F.count("*").alias("n_outputs"), rate(F.col("event") == "no_action").alias("no_action"), rate(F.col("truncated")).alias("truncated"), rate(F.col("timeout")).alias("timeout"))
+    return out.withColumn("action_completion", 1 - F.col("no_action"))
+
+
+def selection(scores: DataFrame, acts: DataFrame, backed: DataFrame, rates: DataFrame) -> DataFrame:
+    """One row of what a model is selected by: means of ``episode_scores``, of ``behaviour`` and of ``rewards.tool_support``, with the row of ``output_rates``.
+
+    Accuracies with and without a fault, and of plain and ambiguous cross-system scenarios, are balanced; a kind that isn't there doesn't count.
+    """
+    from .rewards import balanced
+
+    j = scores.join(acts, "episode_id").join(backed, "episode_id", "left")
+    part = lambda c: F.avg(F.when(c, F.col("da")))
+    kind, clean = norm(F.col("scenario_type")), F.col("is_no_fault")
+    share = lambda a, b: F.sum(a) / F.greatest(F.sum(b), F.lit(1.0))
+    one = j.agg(
+        F.count("*").alias("n"), *(_mean(F.col(c)).alias(c) for c in ("da", "root_system", "root_node", "family", "se", "tr", "tir", "ecr", "support", "conflict", "wrong_system", "root_belief", "ran_out")),
+        _mean(F.col("consistency")).alias("oracle_consistency"), _mean(F.col("unsupported")).alias("unsupported"), _mean(F.col("low_confidence_read")).alias("low_confidence_read"), _mean(F.col("cross_traced")).alias("cross_trace"),
+        _mean(F.when(F.contains(kind, F.lit("cross_system")), F.col("root_system"))).alias("cross_root_system"), share("n_blind", "n_sensor").alias("blind_rate"), share("verified", "eligible").alias("sensor_verification"), share("n_errors", "n_calls").alias("tool_error"),
+        balanced(part(clean), part(~clean)).alias("balanced_da"), balanced(part(kind == "cross_system"), part(kind == "a_cross_system")).alias("cross_balanced_da"),
+    )
+    single = lambda df: df.withColumn("one_", F.lit(1))  # noqa: E731  two single rows side by side
+    return single(one).join(single(rates), "one_").drop("one_")
+
+
 def accuracy_reward(has: Column, gt_no_fault: Column, says_no_fault: Column, node: Column, exact: Column, fam: Column, system: Column, complete: Column) -> Column:
     """The first rule that holds: see the ladder below."""
     return (

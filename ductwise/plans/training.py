@@ -221,6 +221,11 @@ vi AS (SELECT DISTINCT episode_id, node_id AS node FROM calls UNION SELECT episo
 _CHECKS = """u AS (SELECT *, tool = 'diagnose_node' AND (status IN ('unknown', 'warning', 'indeterminate') OR confidence < 0.6) AS unc FROM calls),
 pe AS (SELECT u.*, EXISTS (SELECT 1 FROM u x WHERE x.episode_id = u.episode_id AND x.node_id = u.node_id AND x.unc AND x.i < u.i) AS pend FROM u),
 sc AS (SELECT episode_id, bool_or(unc) AS eligible, bool_or(tool = 'get_node_sensors' AND status = 'success' AND pend) AS verified, count(*) FILTER (tool = 'get_node_sensors' AND NOT pend) AS n_blind, count(*) FILTER (tool = 'get_node_sensors') AS n_sensor FROM pe GROUP BY 1)"""
+_SCORES = """m AS (SELECT e.episode_id, e.scenario_type, CASE WHEN step % 3 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, clean, n, n_err, CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_node = diag_node AND gt_fault = diag_fault END::INT AS da, CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_system = diag_system END::INT AS root_system,
+ CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_node = diag_node END::INT AS root_node, CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_node = diag_node AND gt_fault = diag_fault END::INT AS family, CASE WHEN said THEN least(1, 4.0::DOUBLE / n) ELSE 0 END AS se, n_valid::DOUBLE / n AS format, said::INT AS completeness,
+ (EXISTS (SELECT 1 FROM vi WHERE vi.episode_id = e.episode_id AND vi.node = e.t_node))::INT AS tr, 1 - (n_irr + (NOT said)::INT)::DOUBLE / (n + (NOT said)::INT) AS tir, evidence AS support, conflict, (NOT said)::INT AS no_diagnosis, (eligible)::INT AS eligible, (eligible AND verified)::INT AS verified,
+ CASE WHEN clean THEN list_contains(coalesce(calm, []), t_node) ELSE false END::INT AS review, CASE WHEN clean THEN free AND NOT ab AND list_contains(coalesce(calm, []), t_node) AND conflict <= 0.05 ELSE said AND evidence >= 0.55 AND conflict <= 0.35 END::INT AS ecr
+ FROM eps e JOIN n USING (episode_id) JOIN ag USING (episode_id) JOIN anyb USING (episode_id) JOIN evid USING (episode_id) JOIN sc USING (episode_id))"""
 _MEANS = ("da", "root_system", "root_node", "family", "se", "format", "completeness", "tr", "tir", "ecr", "support", "conflict", "no_diagnosis")
 
 
@@ -230,11 +235,7 @@ def sensor_verification(spark, sf_dir):
 
 
 @query(f"""WITH {BASE}, {EVID}, {_FLAGS}, {_CHECKS},
-m AS (SELECT e.episode_id, e.scenario_type, CASE WHEN step % 3 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, clean, n, n_err, CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_node = diag_node AND gt_fault = diag_fault END::INT AS da, CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_system = diag_system END::INT AS root_system,
- CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_node = diag_node END::INT AS root_node, CASE WHEN clean THEN free AND NOT ab ELSE said AND gt_node = diag_node AND gt_fault = diag_fault END::INT AS family, CASE WHEN said THEN least(1, 4.0::DOUBLE / n) ELSE 0 END AS se, n_valid::DOUBLE / n AS format, said::INT AS completeness,
- (EXISTS (SELECT 1 FROM vi WHERE vi.episode_id = e.episode_id AND vi.node = e.t_node))::INT AS tr, 1 - (n_irr + (NOT said)::INT)::DOUBLE / (n + (NOT said)::INT) AS tir, evidence AS support, conflict, (NOT said)::INT AS no_diagnosis, (eligible)::INT AS eligible, (eligible AND verified)::INT AS verified,
- CASE WHEN clean THEN list_contains(coalesce(calm, []), t_node) ELSE false END::INT AS review, CASE WHEN clean THEN free AND NOT ab AND list_contains(coalesce(calm, []), t_node) AND conflict <= 0.05 ELSE said AND evidence >= 0.55 AND conflict <= 0.35 END::INT AS ecr
- FROM eps e JOIN n USING (episode_id) JOIN ag USING (episode_id) JOIN anyb USING (episode_id) JOIN evid USING (episode_id) JOIN sc USING (episode_id)),
+{_SCORES},
 r AS (SELECT scenario_type, difficulty, grouping_id(scenario_type, difficulty)::BIGINT AS gid, count(*) AS n, {", ".join(f"avg({c}) AS {c}" for c in _MEANS)}, sum(verified) / greatest(sum(eligible), 1) AS sensor_verification, sum(n_err) / greatest(sum(n), 1) AS tool_error_rate,
  coalesce(avg(review) FILTER (clean), 0) AS no_fault_review, coalesce(avg(da) FILTER (clean), 0) AS no_fault_da, coalesce(avg(da) FILTER (NOT clean), 0) AS fault_da FROM m GROUP BY GROUPING SETS ((), (scenario_type), (difficulty)))
 SELECT scenario_type, difficulty, gid, n, {", ".join(f"round({c}, 5) AS {c}" for c in (*_MEANS, "sensor_verification", "tool_error_rate", "no_fault_review", "no_fault_da", "fault_da"))}, round((no_fault_da + fault_da) / 2, 5) AS balanced_da, round(0.25 * da + 0.15 * (format + completeness + se + tir + tr), 5) AS aggregate FROM r""")
@@ -243,6 +244,33 @@ def episode_metrics(spark, sf_dir):
     return out.withColumns({c: F.round(c, 5) for c, t in out.dtypes if t == "double"})
 
 
+_RATES = ("da", "root_system", "root_node", "family", "se", "tr", "tir", "ecr", "support", "conflict")
+_SUPPORT = f"""SELECT e.episode_id, CASE WHEN NOT said THEN 0 WHEN free THEN (clean AND bad = 0)::INT WHEN own = 0 THEN 0 WHEN backs > 0 THEN 1 ELSE 0.5 END::DOUBLE AS consistency, CASE WHEN said AND NOT free THEN (own = 0)::INT END::DOUBLE AS unsupported FROM (
+ SELECT e.episode_id, said, free, clean, count(*) FILTER ({BAD}) AS bad, count(*) FILTER ({BAD} AND c.node_id = diag_node) AS own, count(*) FILTER ({BAD} AND c.node_id = diag_node AND c.fault_type = diag_fault) AS backs FROM eps e JOIN calls c USING (episode_id) GROUP BY ALL) e"""
+_SELECTED = ("wrong_system", "root_belief", "ran_out", "oracle_consistency", "unsupported", "low_confidence_read", "cross_trace", "cross_root_system", "blind_rate", "sensor_verification", "tool_error", "balanced_da", "cross_balanced_da", "no_action", "truncated", "timeout", "action_completion")
+_CHOICE = {"balanced_da": "balanced_da", "cross_balanced_da": "cross_balanced_da"} | {k: k for k in rewards.SELECTION if k != "authenticity"}
+
+
+@query(f"""WITH {BASE}, {EVID}, {_FLAGS}, {_CHECKS}, {_SCORES}, su AS ({_SUPPORT}),
+u1 AS (SELECT episode_id, bool_or(tool = 'get_node_sensors') AS reads, bool_or(tool IN ('get_related_systems', 'get_upstream_nodes')) AS traces FROM calls GROUP BY 1),
+b1 AS (SELECT e.episode_id, CASE WHEN step % 7 = 0 AND NOT clean THEN 'na_low_confidence' ELSE scenario_type END AS kind, CASE WHEN NOT clean THEN (NOT said OR diag_system <> gt_system)::INT END::DOUBLE AS wrong_system,
+ round(CASE WHEN clean THEN CASE WHEN ab THEN 0 WHEN nd = 0 THEN 0.3 ELSE least(1, 0.45 + 0.45 * least(1, coalesce(conf.neg, 0))) END ELSE coalesce(bel.belief, 0) END, 4)::DOUBLE AS root_belief, n_blind, n_sensor, reads, traces, (NOT said AND n.n >= 8)::INT AS ran_out
+ FROM eps e JOIN n USING (episode_id) JOIN anyb USING (episode_id) JOIN u1 USING (episode_id) JOIN sc USING (episode_id) LEFT JOIN conf USING (episode_id) LEFT JOIN bel ON bel.episode_id = e.episode_id AND bel.node_id = e.gt_node),
+r1 AS (SELECT count(*) AS n, {", ".join(f"avg({c}) AS {c}" for c in _RATES)}, coalesce(avg(wrong_system), 0) AS wrong_system, avg(root_belief) AS root_belief, avg(ran_out) AS ran_out, avg(consistency) AS oracle_consistency, coalesce(avg(unsupported), 0) AS unsupported,
+ coalesce(avg(reads::INT) FILTER (kind = 'na_low_confidence'), 0) AS low_confidence_read, coalesce(avg(traces::INT) FILTER (kind = 'cross_system'), 0) AS cross_trace, coalesce(avg(root_system) FILTER (kind = 'cross_system'), 0) AS cross_root_system, sum(n_blind) / greatest(sum(n_sensor), 1) AS blind_rate,
+ sum(verified) / greatest(sum(eligible), 1) AS sensor_verification, sum(n_err) / greatest(sum(n), 1) AS tool_error, {_BAL.format(a="clean", b="NOT clean")} AS balanced_da, {_BAL.format(a="kind = 'cross_system'", b="kind = 'a_cross_system'")} AS cross_balanced_da FROM m JOIN b1 USING (episode_id) JOIN su USING (episode_id)),
+o1 AS (SELECT count(*) AS n_outputs, avg((step % 6 = 5)::INT) AS no_action, avg((step % 13 = 0)::INT) AS truncated, avg((step % 29 = 0)::INT) AS timeout, 1 - avg((step % 6 = 5)::INT) AS action_completion FROM calls)
+SELECT n, n_outputs, {", ".join(f"round({c}, 5) AS {c}" for c in (*_RATES, *_SELECTED))}, round({" + ".join(f"({rewards.SELECTION[k]}) * {c}" for k, c in _CHOICE.items())} - 0.05 * greatest(0, 0.40 - cross_balanced_da), 5) AS selection_score, round((da + tr + ecr + se) / 4, 5) AS paper_mean FROM r1, o1""")
+def selection_report(spark, sf_dir):
+    eps, calls = world(spark, sf_dir)
+    eps = eps.withColumn("scenario_type", F.when((F.col("step") % 7 == 0) & (F.col("gt_fault") != "normal"), "na_low_confidence").otherwise(F.col("scenario_type")))
+    outputs = calls.select("episode_id", F.when(F.col("step") % 6 == 5, "no_action").otherwise("tool").alias("event"), (F.col("step") % 13 == 0).alias("truncated"), (F.col("step") % 29 == 0).alias("timeout"))
+    scores = metrics.episode_scores(eps.drop("ref_edges"), calls)
+    one = metrics.selection(scores, metrics.behaviour(eps, calls, max_steps=8), rewards.tool_support(eps, calls), metrics.output_rates(outputs))
+    out = rewards.selection_score(one.withColumn("authenticity", F.lit(0.0))).drop("authenticity")
+    return out.withColumns({c: F.round(c, 5) for c, t in out.dtypes if t == "double"})
+
+
 # --- transcripts -----------------------------------------------------------------------------------------------------
 #: Turns made of conversations: assistant texts with thoughts, calls, diagnoses and labels, some of them broken.
 TURN = """CASE WHEN role <> 'assistant' THEN text ELSE CASE WHEN turn % 7 = 3 THEN '' ELSE '<think>a ' || conv_id || '</think>' END || CASE WHEN turn % 11 = 5 THEN '<think>b</think>' ELSE '' END ||
