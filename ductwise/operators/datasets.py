@@ -153,7 +153,7 @@ def grouped_split(df: DataFrame, group: str, kind: str, shares: dict[str, float]
 def target_cap(df: DataFrame, kind: str, targets: dict[str, int], order: list[Column]) -> DataFrame:
     """At most the target of each type; types without a target are dropped."""
     limit = F.element_at(F.create_map(*(x for k, n in targets.items() for x in (F.lit(k), F.lit(n)))), F.col(kind))
-    return df.withColumn("rank_", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("rank_") <= limit).drop("rank_")
+    return df.withColumn("rank_", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where((F.col("rank_") <= max(targets.values(), default=0)) & (F.col("rank_") <= limit)).drop("rank_")
 
 
 def window_starts(files: DataFrame, k: int, size: int = 15, lowest: int = 1000, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import difficulty
 from .datasets import window_starts
-from .statistics import hash_order
+from .statistics import first_by_hash, hash_order
 
 
 def hash_number(key: Column, seed: int = 42) -> Column:
@@ -97,9 +97,11 @@ def sample(scenarios: DataFrame, shares: dict[str, float], n_total: int, seed: i
     A type without scenarios gives none.
     """
     targets = scenarios.sparkSession.createDataFrame([(k, int(n_total * v)) for k, v in shares.items()], "scenario_type string, target_ long")
-    w = Window.partitionBy("scenario_type")
-    pool = scenarios.join(targets, "scenario_type").withColumn("k_", F.row_number().over(w.orderBy(hash_order(F.col("scenario_id"), seed), "scenario_id")) - 1).withColumn("n_", F.count("*").over(w))
-    pool = pool.where("k_ < target_")
+    sizes = scenarios.groupBy("scenario_type").agg(F.count("*").alias("n_"))
+    taken = first_by_hash(scenarios, "scenario_type", F.col("scenario_id"), targets.withColumnRenamed("target_", "limit"), seed, "taken_").where("taken_").drop("taken_")
+    # only what is taken is ranked: a type's target at most
+    nth = F.row_number().over(Window.partitionBy("scenario_type").orderBy(hash_order(F.col("scenario_id"), seed), "scenario_id")) - 1
+    pool = taken.withColumn("k_", nth).join(targets, "scenario_type").join(sizes, "scenario_type")
     turns = F.sequence(F.lit(0), F.floor((F.col("target_") - 1 - F.col("k_")) / F.col("n_")))
     rows = pool.withColumn("t_", F.explode(turns)).withColumn("i_", F.col("k_") + F.col("t_") * F.col("n_"))
     return rows.withColumn("scenario_id", F.concat_ws("_", "scenario_id", "scenario_type", F.col("i_").cast("string"))).select(*scenarios.columns)

@@ -45,10 +45,15 @@ def nll(df: DataFrame, logits: Column, label: Column, temperature: Column) -> Da
     return df.agg(F.count("*").alias("n"), F.avg(-F.log(p)).alias("nll"))
 
 
+#: Likelihood loss and calibration error below which nothing is fitted.
+CALIBRATED = (0.02, 0.01)
+
+
 def fit_temperature(df: DataFrame, logits: Column, label: Column, low: float = 0.05, high: float = 10.0, rounds: int = 3) -> dict:
     """Temperature of least NLL: a log grid for all rows at once, refined around its minimum.
 
-    Skipped for fewer than 8 rows or 2 classes, identity if already calibrated, at a bound, or without gain.
+    Skipped for fewer than 8 rows or 2 classes; identity if already calibrated (NLL below ``CALIBRATED[0]`` and calibration error below ``CALIBRATED[1]``), at a bound,
+    or without gain.
     """
     k = df.select(F.max(F.size(logits)).alias("k")).first()["k"] or 0
     rows = df.where((label >= 0) & (label < k)).select(F.transform(logits, lambda v: v.cast("double")).alias("z"), label.cast("int").alias("y"))
@@ -65,6 +70,10 @@ def fit_temperature(df: DataFrame, logits: Column, label: Column, low: float = 0
         return {t: got[i] for i, t in enumerate(temps)}
 
     before = curve([1.0])[1.0]
+    p = softmax(F.col("z"))
+    sure = rows.select(F.array_max(p).alias("c"), (F.array_position(p, F.array_max(p)) - 1 == F.col("y")).cast("double").alias("hit"))
+    if before < CALIBRATED[0] and expected_calibration_error(sure, "c", "hit").first()["ece"] < CALIBRATED[1]:
+        return {"temperature": 1.0, "nll_before": round(before, 6), "nll_after": round(before, 6), "n_samples": n, "status": "identity"}
     a, b, best, after = low, high, 1.0, before
     for _ in range(rounds):
         grid = [a * (b / a) ** (i / 24) for i in range(25)]
@@ -112,22 +121,23 @@ def hash_order(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
 
 
-def first_by_hash(df: DataFrame, kind: str, key: Column, limits: DataFrame, seed: int = 42, name: str = "taken") -> DataFrame:
-    """Marks the first ``limit`` rows of each kind in hash order of ``key``: limits(kind, limit).
+def first_by_hash(df: DataFrame, kind: str, key: Column, limits: DataFrame, seed: int = 42, name: str = "taken", digest: Column | None = None) -> DataFrame:
+    """Marks the first ``limit`` rows of each kind in hash order of ``key`` (or of ``digest``, hexadecimal): limits(kind, limit).
 
-    Rows are counted by the first three digits of the hash; only those with the digits at which a kind's limit is met are ranked, so
-    a kind with a third of all rows is no single task.
+    Rows are counted by the first three digits of the hash, which tells for each kind up to which digits all are taken.  Only rows with the digits
+    at which its limit is met are shuffled and ranked, so a kind with a third of all rows is no single task and decided rows stay where they are.
     """
-    rows = df.withColumn("h_", hash_order(key, seed)).withColumn("d_", F.left("h_", F.lit(3)))
+    rows = df.withColumn("h_", hash_order(key, seed) if digest is None else digest).withColumn("d_", F.left("h_", F.lit(3)))
     counts = rows.groupBy(F.col(kind).alias("k_"), F.col("d_").alias("e_")).agg(F.count("*").alias("c_"))  # 4096 rows a kind at most
-    upto = F.sum("c_").over(Window.partitionBy("k_").orderBy("e_"))
-    counts = counts.withColumn("upto_", upto).join(limits.select(F.col(kind).alias("l_"), F.col("limit").alias("limit_")), F.col("k_").eqNullSafe(F.col("l_")))
-    counts = counts.select("k_", "e_", (F.col("limit_") - (F.col("upto_") - F.col("c_"))).alias("room_"), (F.col("upto_") <= F.col("limit_")).alias("all_"))
-    rows = rows.join(counts, F.col(kind).eqNullSafe(F.col("k_")) & (F.col("d_") == F.col("e_")), "left")
-    border = ~F.col("all_") & (F.col("room_") > 0)
-    w = Window.partitionBy(kind, F.when(border, F.col("d_")).otherwise(F.col("h_"))).orderBy("h_", key)  # other rows are partitions of their own
-    taken = F.coalesce(F.col("all_") | (border & (F.row_number().over(w) <= F.col("room_"))), F.lit(False))
-    return rows.withColumn(name, taken).drop("h_", "d_", "k_", "e_", "room_", "all_")
+    counts = counts.withColumn("upto_", F.sum("c_").over(Window.partitionBy("k_").orderBy("e_"))).join(limits.select(F.col(kind).alias("l_"), F.col("limit").alias("limit_")), F.col("k_").eqNullSafe(F.col("l_")))
+    met = F.when(F.col("upto_") > F.col("limit_"), F.struct("e_", (F.col("limit_") - (F.col("upto_") - F.col("c_"))).alias("room_")))
+    marks = counts.groupBy("k_").agg(F.min(met).alias("met_"))  # a row for each kind
+    rows = rows.join(marks.withColumn("has_", F.lit(True)), F.col(kind).eqNullSafe(F.col("k_")), "left")
+    border = F.coalesce(F.col("d_") == F.col("met_.e_"), F.lit(False))
+    sure = F.coalesce(F.col("has_"), F.lit(False)) & F.coalesce(F.col("d_") < F.col("met_.e_"), F.lit(True))
+    nth = F.row_number().over(Window.partitionBy(kind).orderBy("h_", key))
+    own = [*(F.col(f"`{c}`") for c in df.columns)]
+    return rows.where(~border).select(*own, sure.alias(name)).unionByName(rows.where(border).select(*own, (nth <= F.col("met_.room_")).alias(name)))
 
 
 def stratified_split(df: DataFrame, label: str, key: Column, share: float, seed: int = 42) -> DataFrame:

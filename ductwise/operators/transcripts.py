@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import first_by_hash
+
 #: Tags of executable blocks and of auxiliary labels, and claims about health fields that tools don't show.
 BLOCK = r"(?s)<{0}>\s*(\{{.*?\}})\s*</{0}>"
 LOOSE = r"(?s)<{0}>\s*(\{{.*?\}}|\s*)\s*</{0}>"
@@ -269,10 +271,8 @@ def first_prompts(turns: DataFrame, kinds: DataFrame, share: float = 0.1) -> Dat
 
     Conversations are taken in order of the md5 of their id. Columns: conv_id, scenario_type, prompt.
     """
-    order = F.md5(F.col("conv_id").cast("string"))
-    w = Window.partitionBy("scenario_type")
-    ranked = kinds.withColumn("k_", F.row_number().over(w.orderBy(order, "conv_id"))).withColumn("n_", F.count("*").over(w))
-    taken = ranked.where(F.col("k_") <= F.greatest(F.lit(1), F.floor(F.col("n_") * share)))
+    limits = kinds.groupBy("scenario_type").agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("limit"))
+    taken = first_by_hash(kinds, "scenario_type", F.col("conv_id"), limits, name="taken_", digest=F.md5(F.col("conv_id").cast("string"))).where("taken_")
     first = turns.where("role = 'human'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
     return taken.join(first, "conv_id").select("conv_id", "scenario_type", "prompt")
 

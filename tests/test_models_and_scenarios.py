@@ -53,3 +53,57 @@ def test_scenarios(spark):
 def test_paths_keep_both_ends(spark):
     r = spark.sql("SELECT array('s', 'a', 'b', 'c', 'd', 'e', 'f', 'r') AS x").select(scenarios.diagnostic_path(F.col("x"), F.lit("r")).alias("p")).first().p
     assert r[0] == "s" and r[-1] == "r" and len(r) <= 6
+
+
+def _windows(spark, n=1200):
+    """Three classes that single splits tell apart badly: which of three sums of features is largest."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(n):
+        x = [rng.gauss(0, 1) for _ in range(9)]
+        sums = [sum(x[k::3]) for k in range(3)]
+        rows.append((i, ["Normal", "fan_stuck", "valve_leak"][sums.index(max(sums))], *x))
+    columns = [f"x{k}" for k in range(9)]
+    return spark.createDataFrame(rows, "id int, label string, " + ", ".join(f"{c} double" for c in columns)), columns
+
+
+def test_boosting_beats_the_forest_and_stops_early(spark, tmp_path):
+    rows, columns = _windows(spark)
+    share = lambda got: got["scored"].where("is_val").select((F.array_position("probabilities", F.array_max("probabilities")) - 1 == F.col("class_id")).cast("double").alias("hit")).agg(F.avg("hit")).first()[0]
+    forest = share(models.train(rows, columns, "label", F.col("id"), trees=20, depth=4))
+    got = models.train_boosted(rows, columns, "label", F.col("id"), rounds=40, depth=3, step=0.3)
+    boosted = share(got)
+    assert boosted > forest + 0.02 and boosted > 0.8, (boosted, forest)
+    assert got["labels"] == ["Normal", "fan_stuck", "valve_leak"] and len(got["rounds_used"]) == 3 and all(1 <= n <= 40 for n in got["rounds_used"])
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in got["scored"].collect()) and got["scored"].count() == rows.count()
+    flat = models.train_boosted(rows.withColumn("label", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, "a").otherwise("b")), columns, "label", F.col("id"), rounds=40, depth=3, step=0.3)
+    assert max(flat["rounds_used"]) < 40  # nothing to learn: held-out loss stops it
+    models.save_models(spark, {"sys::ahu": got}, str(tmp_path / "m"))
+    row = models.manifest(spark, str(tmp_path / "m")).first()
+    assert (row.name, row.labels, row.n_models, row.ready) == ("sys::ahu", got["labels"], 3, True)
+    from pyspark.ml.feature import VectorAssembler
+
+    again = models.boosted_scores(models.load_models(spark, str(tmp_path / "m"), "sys::ahu"), VectorAssembler(inputCols=columns, outputCol="features_").transform(rows))
+    want = {r.id: r.probabilities for r in got["scored"].collect()}
+    assert all(max(abs(a - b) for a, b in zip(r.probabilities, want[r.id])) < 1e-9 for r in again.collect())
+
+
+def test_responsible_nodes(spark, tmp_path):
+    rows, columns = _windows(spark, 400)
+    rare = spark.createDataFrame([(1000 + i, "rare_fault", *([0.0] * 9)) for i in range(3)], rows.schema)
+    got = models.train_responsible(rows.unionByName(rare), columns, "label", F.col("id"), {"fan_stuck": "a::fan", "valve_leak": "a::valve", "rare_fault": "a::pump", "Normal": "a::none"}, rounds=15, depth=3, step=0.3)
+    assert {k: t["status"] for k, t in got.items()} == {"a::fan": "trained", "a::valve": "trained", "a::pump": "skipped", "a::none": "skipped"} and got["a::pump"]["positive"] == 3
+    answers = models.responsible_answers(got, rows, columns, "id").join(rows.select("id", "label"), "id").collect()
+    assert len(answers) == 800 and {r.status for r in answers} == {"Fault", "Normal"}
+    own = {"a::fan": "fan_stuck", "a::valve": "valve_leak"}
+    assert sum((r.status == "Fault") == (r.label == own[r.node_id]) for r in answers) > 0.85 * len(answers)
+    assert all(r.confidence >= 0.60 if r.status == "Fault" else r.confidence > 0.40 for r in answers)
+    models.save_models(spark, got, str(tmp_path / "m"))
+    assert {r.name: r.ready for r in models.manifest(spark, str(tmp_path / "m")).collect()} == {"a::fan": True, "a::valve": True, "a::pump": False, "a::none": False}
+    assert models.responsible_answers({}, rows, columns, "id").count() == 0
+
+
+def test_calibrated_logits_are_left_alone(spark):
+    rows = [([12.0, 0.0, 0.0] if i % 2 else [0.0, 12.0, 0.0], 0 if i % 2 else 1) for i in range(40)]
+    got = statistics.fit_temperature(spark.createDataFrame(rows, "z array<double>, y int"), F.col("z"), F.col("y"))
+    assert got["status"] == "identity" and got["temperature"] == 1.0 and got["nll_before"] == got["nll_after"] < 0.02
