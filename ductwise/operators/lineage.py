@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame
 _own: list[tempfile.TemporaryDirectory] = []
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` and written: what groups, joins or windows it by them, with another table dealt so, needs no further exchange."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartition(n, *keys))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back; in local mode without one, to a temporary folder."""
     spark = df.sparkSession

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
+from .lineage import cut
 from ..functions.labels import is_no_fault_label
 
 #: Tools that agents may call, and the audit tool.
@@ -59,7 +60,8 @@ def status_summary(predictions: DataFrame) -> DataFrame:
 
 
 def execute(calls: DataFrame, nodes: DataFrame, edges: DataFrame, predictions: DataFrame, audit: bool = False) -> DataFrame:
-    """Results of a table of calls: call_id, tool, status, error and the listed items in order of id."""
+    """Results of a table of calls: call_id, tool, status, error and the listed items in order of id. The graph is written once for all tools."""
+    nodes, edges = cut(nodes), cut(edges)
     known = nodes.select("node_id").distinct().withColumn("known_", F.lit(True))
     c = calls.join(known, "node_id", "left")
     allowed = AGENT_TOOLS + (AUDIT_TOOLS if audit else ())

@@ -12,33 +12,33 @@ from .registry import QUERIES, SQL, query, rounded, table  # noqa: F401
 
 
 # --- windows -----------------------------------------------------------------------------------------------------
-BY, ORDER = ["event_type"], ["ts", "event_id"]
+BY, FILE, ORDER = ["event_type"], ["user_id"], ["ts", "event_id"]  # a file holds the readings of one user
 _STATS = """
-SELECT event_type, window_id, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std,
+SELECT user_id, window_id, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std,
        round(min(value), 6) AS min, round(max(value), 6) AS max, round(max(value) - min(value), 6) AS range,
        round(CASE WHEN count(value) > 2 THEN regr_slope(value, o::DOUBLE) ELSE 0 END, 6) AS slope
-FROM ({rows}) GROUP BY event_type, window_id HAVING count(*) = 15"""
-_NUMBERED = "SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS rn FROM events"
+FROM ({rows}) GROUP BY user_id, window_id HAVING count(*) = 15"""
+_NUMBERED = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events"
 
 
 @query(_STATS.format(rows=f"SELECT *, rn // 15 AS window_id, rn % 15 AS o FROM ({_NUMBERED})"))
 def window_stats_15(spark, sf_dir):
-    w = W.count_windows(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value"), BY, ORDER)
-    return rounded(W.window_stats(w, BY), "mean", "std", "min", "max", "range", "slope")
+    w = W.count_windows(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"), FILE, ORDER)
+    return rounded(W.window_stats(w, FILE), "mean", "std", "min", "max", "range", "slope")
 
 
 @query(_STATS.format(rows=f"SELECT *, rn - window_id * 5 AS o FROM (SELECT *, unnest(range(greatest(0, (rn - 10) // 5), rn // 5 + 1)) AS window_id FROM ({_NUMBERED})) WHERE rn - window_id * 5 BETWEEN 0 AND 14"))
 def window_stats_hop_15_5(spark, sf_dir):
-    w = W.count_windows(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value"), BY, ORDER, 15, 5)
-    return rounded(W.window_stats(w, BY), "mean", "std", "min", "max", "range", "slope")
+    w = W.count_windows(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"), FILE, ORDER, 15, 5)
+    return rounded(W.window_stats(w, FILE), "mean", "std", "min", "max", "range", "slope")
 
 
-@query(f"""SELECT event_type, window_id, hour(ts)::INT AS hour_of_day, ((dayofweek(ts) + 6) % 7)::INT AS day_of_week,
+@query(f"""SELECT user_id, window_id, hour(ts)::INT AS hour_of_day, ((dayofweek(ts) + 6) % 7)::INT AS day_of_week,
   CASE WHEN hour(ts) BETWEEN 6 AND 20 AND (dayofweek(ts) + 6) % 7 < 6 THEN 1 ELSE 0 END AS is_occupied
-FROM (SELECT *, rn // 15 AS window_id, count(*) OVER (PARTITION BY event_type, rn // 15) AS c FROM ({_NUMBERED})) WHERE c = 15 AND rn % 15 = 7""")
+FROM (SELECT *, rn // 15 AS window_id, count(*) OVER (PARTITION BY user_id, rn // 15) AS c FROM ({_NUMBERED})) WHERE c = 15 AND rn % 15 = 7""")
 def window_centre_time(spark, sf_dir):
-    w = W.count_windows(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"), BY, ORDER)
-    return W.window_centre_time(w, BY)
+    w = W.count_windows(table(spark, sf_dir, "events").select("event_id", "ts", "user_id"), FILE, ORDER)
+    return W.window_centre_time(w, FILE)
 
 
 _GAPS = "CASE WHEN event_id % 7 < 5 AND value > 2 THEN NULL ELSE value END"
@@ -49,9 +49,9 @@ def _gapped(spark, sf_dir):
     return e.withColumn("value", F.expr(_GAPS))
 
 
-@query(f"SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS filled FROM (SELECT *, {_GAPS} AS v FROM events)")
+@query(f"SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS filled FROM (SELECT *, {_GAPS} AS v FROM events)")
 def ffill_limit_5(spark, sf_dir):
-    return W.forward_fill(_gapped(spark, sf_dir), BY, ORDER, "value", 5, "filled").select("event_id", "filled")
+    return W.forward_fill(_gapped(spark, sf_dir), FILE, ORDER, "value", 5, "filled").select("event_id", "filled")
 
 
 @query(f"SELECT event_id, round(coalesce(v, median(v) OVER (PARTITION BY event_type)), 6) AS imputed FROM (SELECT *, {_GAPS} AS v FROM events)")

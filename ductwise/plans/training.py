@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, potential, rewards, transcripts
+from ..operators.lineage import by_key
 from .catalog import TOOLS, episodes
 from .registry import query, rounded, table
 
@@ -141,8 +142,8 @@ tot AS (SELECT e.episode_id, {_W["accuracy"]} * accuracy + CASE WHEN accuracy <
 
 
 def reward_terms(spark, sf_dir):
-    """All terms of the total for each episode, without the potential's."""
-    eps, calls = world(spark, sf_dir)
+    """All terms of the total for each episode, without the potential's; episodes and calls are written once, dealt by episode."""
+    eps, calls = (by_key(df, "episode_id") for df in world(spark, sf_dir))
     scores = metrics.episode_scores(eps, calls).select("episode_id", "n_calls", F.col("support").alias("evidence"), "conflict", (F.col("no_diagnosis") == 0).alias("has"))
     terms = scores.withColumn("epo_violation", F.lit(0.0))
     for part in (
@@ -240,7 +241,7 @@ r AS (SELECT scenario_type, difficulty, grouping_id(scenario_type, difficulty)::
  coalesce(avg(review) FILTER (clean), 0) AS no_fault_review, coalesce(avg(da) FILTER (clean), 0) AS no_fault_da, coalesce(avg(da) FILTER (NOT clean), 0) AS fault_da FROM m GROUP BY GROUPING SETS ((), (scenario_type), (difficulty)))
 SELECT scenario_type, difficulty, gid, n, {", ".join(f"round({c}, 5) AS {c}" for c in (*_MEANS, "sensor_verification", "tool_error_rate", "no_fault_review", "no_fault_da", "fault_da"))}, round((no_fault_da + fault_da) / 2, 5) AS balanced_da, round(0.25 * da + 0.15 * (format + completeness + se + tir + tr), 5) AS aggregate FROM r""")
 def episode_metrics(spark, sf_dir):
-    out = metrics.report(metrics.episode_scores(*episodes(spark, sf_dir)))
+    out = metrics.report(metrics.episode_scores(*(by_key(df, "episode_id") for df in episodes(spark, sf_dir))))
     return out.withColumns({c: F.round(c, 5) for c, t in out.dtypes if t == "double"})
 
 
