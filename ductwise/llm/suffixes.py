@@ -314,7 +314,7 @@ def _array_sort(rows: DataFrame, records, kind: np.dtype, length: int, buckets:
             yield from dealer.add(*records(batch))
         yield from dealer.flush()
 
-    dealt = rows.mapInArrow(tidy(deal), BLOB)
+    dealt = rows.mapInArrow(tidy(deal), BLOB).repartition(buckets, "bucket")  # so many tasks that each has a bucket or two at any size
     return materialise(dealt.groupBy("bucket").applyInArrow(_sweep(kind, length), SWEPT), "swept")
 
 
