@@ -302,17 +302,19 @@ def _links(docs: DataFrame, signs: DataFrame, classes: DataFrame, size: int, per
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    # tables that still hold several components: each entry meets the smallest of another component
+    # tables that still hold several components: each entry outside the table's largest component meets the smallest node of that one
     placed = materialise(labelled(entries), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("b")).where("low <> high")
-    centre = mixed.join(placed.select("key", F.col("node").alias("b"), F.col("component").alias("of_b")), ["key", "b"]).select("key", "b", "of_b")
-    apart = materialise(placed.join(centre, "key").where("component <> of_b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    mixed = materialise(placed.join(several, "key"), "mixed")
+    shares = mixed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("node").alias("b"))
+    centre = shares.groupBy("key").agg(F.max_by(F.struct("b", "component"), F.struct("c", "component")).alias("m")).select("key", "m.b", F.col("m.component").alias("of_b"))
+    apart = materialise(mixed.join(centre, "key").where("component <> of_b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     links = links.unionByName(materialise(_confirm(apart, sets, percent), "links"))
     found = components(links)
 
     # what is left: in buckets of one half key that hold several components, the nodes outside of the
     # bucket's largest component against all of its nodes; any other pair is in one component already
-    open_ = mixed.select("key").join(placed, "key").select("node").distinct()
+    open_ = mixed.select("node").distinct()
     rows = materialise(labelled(sides.join(open_, "node")).select("node", "n", "component", "vs", F.explode("us").alias("u")), "rest")
     parts = rows.groupBy("u", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     buckets = parts.groupBy("u").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("largest"), F.sum("c").alias("size"), F.sum("n").alias("weight"))
