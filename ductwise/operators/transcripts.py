@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import norm
 from .statistics import first_by_hash
 
 #: Tags of executable blocks and of auxiliary labels, and claims about health fields that tools don't show.
@@ -261,6 +262,103 @@ def span_weights(spans: DataFrame, state: float = 1.0, action: float = 1.0, base
     return spans.withColumn("weight", weight)
 
 
+#: Weights of tokens by what they belong to; a state block after a conversation's first one is a transition as well.
+TOKEN_WEIGHTS = {"state": 1.0, "action": 1.0, "transition": 0.5, "base": 1.0}
+_EXECUTABLE = r"(?s)<tool_call>.*?</tool_call>|<diagnosis>.*?</diagnosis>"
+
+
+def block_places(text: Column, pattern: str) -> Column:
+    """array<struct<start, end>>: where the matches of a pattern lie in a text, in characters; a turn has few."""
+    found, gaps = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length), F.transform(F.split(text, pattern, -1), F.length)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("end")))).alias("out"))
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, own: F.struct(gap.alias("gap"), own.alias("own")))
+    return F.coalesce(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]), none)
+
+
+def token_weights(tokens: DataFrame, turns: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """``tokens`` (conv_id, turn, start, end: characters within the turn's text) with trained and weight.
+
+    Only an agent's tokens are trained.  A token belongs to the block that its middle lies in: a state, an action label or an executable block; the
+    conversation's first state counts once, later ones also as transitions; prose has the base weight.  A turn's blocks are one row, so a token meets one row.
+    """
+    w = TOKEN_WEIGHTS | (weights or {})
+    t, own = F.coalesce("text", F.lit("")), F.col("role") == "gpt"
+    places = turns.select(
+        "conv_id", "turn", own.alias("trained"), block_places(t, r"(?s)<topoitl_state>.*?</topoitl_state>").alias("states_"), block_places(t, r"(?s)<topoitl_action>.*?</topoitl_action>").alias("labels_"), block_places(t, _EXECUTABLE).alias("acts_"),
+    )
+    first = places.where("trained AND size(states_) > 0").groupBy("conv_id").agg(F.min(F.struct("turn", F.col("states_")[0]["start"].alias("start"))).alias("first_"))
+    j = tokens.join(places, ["conv_id", "turn"]).join(first, "conv_id", "left")
+    middle = F.when(F.col("end") > F.col("start"), (F.col("start") + F.col("end")) / 2.0).otherwise(F.col("start").cast("double"))
+    inside = lambda spans: F.exists(spans, lambda s: (s["start"] <= middle) & (middle < s["end"]))
+    opening = F.exists("states_", lambda s: (s["start"] <= middle) & (middle < s["end"]) & (F.col("turn") == F.col("first_.turn")) & (s["start"] == F.col("first_.start")))
+    weight = F.when(opening, w["state"]).when(inside("states_"), w["state"] + w["transition"]).when(inside("labels_") | inside("acts_"), w["action"]).otherwise(w["base"])
+    return j.withColumn("weight", F.when(F.col("trained"), weight).otherwise(0.0)).select(*tokens.columns, "trained", "weight")
+
+
+def unique_sentences(text: Column) -> Column:
+    """Sentences of a text in their order, each once: what differs in case and white space alone is the same; joined by blanks."""
+    sentences = F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), r"(?<=[.!?])\s+"), lambda s: s != "")
+    low = F.transform(sentences, F.lower)
+    return F.array_join(F.filter(sentences, lambda s, i: F.array_position(low, F.lower(s)) == i + 1), " ")
+
+
+#: Context that a closing example keeps, by kind of scenario.
+CONTEXT = {"cross_system": 8, "no_fault": 6, "": 5}
+_TOPOLOGY = ("get_system_overview", "get_node_children", "get_related_systems", "get_upstream_nodes", "get_downstream_nodes")
+
+
+def closing_events(events: DataFrame, final: DataFrame) -> DataFrame:
+    """The events that a closing example keeps of each conversation: conv_id, i, part ('context' or 'evidence').
+
+    events(conv_id, i, tool, node_id, status, confidence, has_readings), final(conv_id, scenario_type, node, fault).  The evidence is, by the first rule that
+    applies: without a fault, the last three (or two) normal results of high confidence, none if there are fewer; with low confidence, the root's last
+    diagnosis and its last readings; the root's last diagnosis; the last diagnosis; the last event.  The context before it: the first overview, the first look into a system, and
+    the last events on the graph or of a fault.  A conversation whose evidence begins with a diagnosis but has no context gives nothing.
+    """
+    kind = norm(F.col("scenario_type"))
+    free = F.contains(kind, F.lit("no_fault")) | norm(F.col("node")).isin("", "none", "normal", "no_fault") | norm(F.col("fault")).isin("no_fault", "normal", "none")
+    most = F.when(F.contains(kind, F.lit("no_fault")), CONTEXT["no_fault"]).when(F.contains(kind, F.lit("cross_system")), CONTEXT["cross_system"]).otherwise(CONTEXT[""])
+    f = final.select("conv_id", F.col("node").alias("root_"), free.alias("free_"), F.contains(kind, F.lit("low_confidence")).alias("low_"), most.alias("most_"))
+    s, asks = norm(F.col("status")), F.col("tool") == "diagnose_node"
+    rows = events.join(f, "conv_id").withColumns({
+        "asks_": asks, "calm_": asks & (s == "normal") & (F.coalesce("confidence", F.lit(0.0)) >= 0.85), "own_": asks & F.col("node_id").eqNullSafe(F.col("root_")),
+        "read_": (F.col("tool") == "get_node_sensors") & F.col("node_id").eqNullSafe(F.col("root_")) & F.coalesce("has_readings", F.lit(False)), "bad_": asks & s.isin("abnormal", "warning", "fault"),
+    })
+    whole, back = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy(F.desc("i"))
+    nth = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int")).over(back)  # noqa: E731  of such events from the end
+    has = lambda c: F.coalesce(F.max(c).over(whole), F.lit(False))
+    last = lambda c, n=1: F.coalesce(F.col(c), F.lit(False)) & (nth(c) <= n)
+    n_calm = F.sum(F.coalesce("calm_", F.lit(False)).cast("int")).over(whole)
+    low = F.col("low_") & (has("own_") | has("read_"))
+    chosen = (
+        F.when(F.col("free_"), last("calm_", 3) & (n_calm >= 2)).when(low, last("own_") | last("read_")).when(has("own_"), last("own_")).when(has("asks_"), last("asks_"))
+        .otherwise(F.row_number().over(back) == 1)
+    )
+    rows = rows.withColumn("chosen_", chosen).withColumn("from_", F.min(F.when(F.col("chosen_"), F.col("i"))).over(whole)).where("from_ IS NOT NULL")
+    before = F.col("i") < F.col("from_")
+    overview = F.min(F.when(before & (F.col("tool") == "get_system_overview"), F.col("i"))).over(whole)
+    inside = F.min(F.when(before & (F.col("tool") == "get_node_children") & F.col("node_id").startswith("system::"), F.col("i"))).over(whole)
+    near = before & (F.col("tool").isin(*_TOPOLOGY) | F.coalesce("bad_", F.lit(False)))
+    rows = rows.withColumn("near_", near).withColumns({"o_": overview, "c_": inside, "k_": nth("near_")})
+    context = before & (F.col("i").eqNullSafe(F.col("o_")) | F.col("i").eqNullSafe(F.col("c_")) | (F.col("near_") & (F.col("k_") <= F.col("most_"))))
+    rows = rows.withColumn("context_", context).withColumn("any_", F.max("context_").over(whole)).withColumn("opens_", F.max(F.when(F.col("i") == F.col("from_"), F.col("asks_"))).over(whole))
+    return rows.where((F.col("chosen_") | F.col("context_")) & (F.col("any_") | ~F.col("opens_"))).select("conv_id", "i", F.when(F.col("chosen_"), "evidence").otherwise("context").alias("part"))
+
+
+def closing_examples(turns: DataFrame, kept: DataFrame) -> DataFrame:
+    """Turns of the closing examples: the question, the kept calls with their results, and the diagnosis; conv_id, turn, role, text.
+
+    turns as ``trajectories.dialogue`` makes them: call i is turn 2 i + 1, its result 2 i + 2, the diagnosis the last turn.
+    """
+    calls = kept.select("conv_id", F.explode(F.array(2 * F.col("i") + 1, 2 * F.col("i") + 2)).alias("turn"))
+    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("turn")).join(kept.select("conv_id"), "conv_id", "left_semi")
+    wanted = calls.unionByName(ends).unionByName(ends.select("conv_id", F.lit(0).alias("turn"))).withColumn("turn", F.col("turn").cast("int"))
+    rows = turns.withColumn("turn", F.col("turn").cast("int")).join(wanted.distinct(), ["conv_id", "turn"])
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return rows.select(F.concat("conv_id", F.lit("__terminal_closure")).alias("conv_id"), nth.alias("turn"), "role", "text")
+
+
 def weighted_loss(tokens: DataFrame, weight: str = "weight", loss: str = "loss") -> DataFrame:
     """Sum of weighted losses over the sum of weights, 1 at least."""
     return tokens.agg((F.sum(F.col(weight) * F.col(loss)) / F.greatest(F.sum(weight), F.lit(1.0))).alias("loss"))

@@ -397,3 +397,50 @@ def split_statistics(spark, sf_dir):
     j = eps.join(n, "episode_id")
     groups = F.count_distinct(F.concat_ws("|", "gt_node", "gt_fault"))
     return rounded(j.groupBy("gt_system").agg(F.count("*").alias("n_episodes"), groups.alias("n_groups"), (groups / F.count("*")).alias("unique_rate"), F.avg("n").alias("mean_calls"), F.avg("k").alias("mean_diagnosed")), "unique_rate", "mean_calls", "mean_diagnosed")
+
+
+# --- what a loss sees -------------------------------------------------------------------------------------------------
+_IN = "list_contains(list_transform({0}, lambda s: s[1] <= mid AND mid < s[2]), true)"
+
+
+@query(f"""WITH t AS ({_TURNS}), b AS (SELECT conv_id, turn, role, text, regexp_extract_all(text, '(?s)<tool_call>.*?</tool_call>|<diagnosis>.*?</diagnosis>') AS e,
+ CASE WHEN contains(text, '<topoitl_state>') THEN [[strpos(text, '<topoitl_state>') - 1, strpos(text, '</topoitl_state>') + 15]] ELSE [] END AS st, CASE WHEN contains(text, '<topoitl_action>') THEN [[strpos(text, '<topoitl_action>') - 1, strpos(text, '</topoitl_action>') + 16]] ELSE [] END AS la FROM t),
+p AS (SELECT *, list_transform(e, lambda x: [strpos(text, x) - 1, strpos(text, x) - 1 + length(x)]) AS ex FROM b),
+f AS (SELECT conv_id, min(turn) AS first_turn FROM p WHERE role = 'gpt' AND len(st) > 0 GROUP BY 1),
+k AS (SELECT p.*, first_turn, unnest(range(0, greatest(length(text), 1), 16)) AS a FROM p LEFT JOIN f USING (conv_id)),
+m AS (SELECT *, CASE WHEN least(a + 16, length(text)) > a THEN (a + least(a + 16, length(text))) / 2 ELSE a END AS mid FROM k)
+SELECT conv_id, turn, a::INT AS start, role = 'gpt' AS trained, CASE WHEN role <> 'gpt' THEN 0 WHEN {_IN.format("st")} THEN CASE WHEN turn = first_turn THEN 1 ELSE 1.5 END WHEN {_IN.format("la")} OR {_IN.format("ex")} THEN 0.75 ELSE 0.25 END::DOUBLE AS weight FROM m""")
+def token_weights(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    tokens = t.select("conv_id", "turn", F.length("text").alias("n_"), F.explode(F.sequence(F.lit(0), F.greatest(F.length("text"), F.lit(1)) - 1, F.lit(16))).alias("start"))
+    tokens = tokens.select("conv_id", "turn", "start", F.least(F.col("start") + 16, F.col("n_")).alias("end"))
+    return transcripts.token_weights(tokens, t, {"action": 0.75, "base": 0.25}).drop("end")
+
+
+#: Sentences that differ in case and blanks are made of the conversations' own ones.
+@query(r"""WITH s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(trim(regexp_replace(text || ' ' || lower(text[:40]) || '. ' || text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM conversations),
+w AS (SELECT conv_id, turn, list_filter(list_transform(parts, lambda y: lower(y)), lambda x, i: list_position(list_transform(parts, lambda y: lower(y)), x) = i) AS own FROM s)
+SELECT conv_id, turn, len(own)::INT AS n_sentences, md5(array_to_string(own, '|')) AS digest FROM w""")
+def unique_sentences(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    said = transcripts.unique_sentences(F.concat("text", F.lit(" "), F.lower(F.left("text", F.lit(40))), F.lit(". "), "text"))
+    own = F.transform(F.filter(F.split(said, r"(?<=[.!?])\s+"), lambda x: x != ""), F.lower)
+    return c.select("conv_id", "turn", F.size(own).alias("n_sentences"), F.md5(F.array_join(own, "|")).alias("digest"))
+
+
+@query(f"""WITH {BASE}, k AS (SELECT e.episode_id, e.free AS calm_end, CASE WHEN step % 7 = 0 AND NOT clean THEN 'na_low_confidence' ELSE scenario_type END AS kind, diag_node AS root, e.free OR scenario_type = 'no_fault' AND NOT (step % 7 = 0 AND NOT clean) AS fr FROM eps e WHERE said),
+x AS (SELECT c.episode_id, c.i, c.tool, c.node_id, kind, fr, tool = 'diagnose_node' AS asks, tool = 'diagnose_node' AND status = 'normal' AND confidence >= 0.1 AS calm0, tool = 'diagnose_node' AND status = 'normal' AND 0.85 <= confidence * 3 AS calm, tool = 'diagnose_node' AND c.node_id = root AS own,
+ tool = 'get_node_sensors' AND c.node_id = root AND c.step % 3 <> 1 AS reads, tool = 'diagnose_node' AND status IN ('abnormal', 'warning', 'fault') AS bad FROM calls c JOIN k USING (episode_id)),
+y AS (SELECT *, sum(calm::INT) OVER b AS n_calm, sum(own::INT) OVER b AS n_own, sum(reads::INT) OVER b AS n_read, sum(asks::INT) OVER b AS n_ask, row_number() OVER b AS n_any, sum(calm::INT) OVER w AS all_calm, bool_or(own) OVER w AS any_own, bool_or(reads) OVER w AS any_read, bool_or(asks) OVER w AS any_ask FROM x WINDOW b AS (PARTITION BY episode_id ORDER BY i DESC), w AS (PARTITION BY episode_id)),
+z AS (SELECT *, CASE WHEN fr THEN calm AND n_calm <= 3 AND all_calm >= 2 WHEN kind = 'na_low_confidence' AND (any_own OR any_read) THEN (own AND n_own = 1) OR (reads AND n_read = 1) WHEN any_own THEN own AND n_own = 1 WHEN any_ask THEN asks AND n_ask = 1 ELSE n_any = 1 END AS chosen FROM y),
+u AS (SELECT *, min(i) FILTER (chosen) OVER (PARTITION BY episode_id) AS lo FROM z),
+v AS (SELECT *, i < lo AND (tool IN {transcripts._TOPOLOGY} OR bad) AS near, min(i) FILTER (i < lo AND tool = 'get_system_overview') OVER (PARTITION BY episode_id) AS ov, min(i) FILTER (i < lo AND tool = 'get_node_children' AND starts_with(node_id, 'system::')) OVER (PARTITION BY episode_id) AS ch FROM u WHERE lo IS NOT NULL),
+q AS (SELECT *, i < lo AND (coalesce(i = ov, false) OR coalesce(i = ch, false) OR (near AND sum(near::INT) OVER (PARTITION BY episode_id ORDER BY i DESC) <= CASE WHEN contains(kind, 'no_fault') THEN 6 WHEN contains(kind, 'cross_system') THEN 8 ELSE 5 END)) AS ctx FROM v),
+g AS (SELECT *, bool_or(ctx) OVER (PARTITION BY episode_id) AS kept, bool_or(asks AND i = lo) OVER (PARTITION BY episode_id) AS opens FROM q)
+SELECT episode_id AS conv_id, i, CASE WHEN chosen THEN 'evidence' ELSE 'context' END AS part FROM g WHERE (chosen OR ctx) AND (kept OR NOT opens)""")
+def closing_events(spark, sf_dir):
+    eps, calls = world(spark, sf_dir)
+    low = (F.col("step") % 7 == 0) & (F.col("gt_fault") != "normal")
+    final = eps.where("diag_node IS NOT NULL").select(F.col("episode_id").alias("conv_id"), F.when(low, "na_low_confidence").otherwise(F.col("scenario_type")).alias("scenario_type"), F.col("diag_node").alias("node"), F.col("diag_fault").alias("fault"))
+    events = calls.select(F.col("episode_id").alias("conv_id"), "i", "tool", "node_id", "status", (F.col("confidence") * 3).alias("confidence"), (F.col("step") % 3 != 1).alias("has_readings"))
+    return transcripts.closing_events(events, final)

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -341,3 +342,50 @@ def test_paths_and_types(spark):
     row = spark.range(1).select(F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("p"))
     assert row.select(*(scenarios.node_role(F.col("p"), F.lit(x)).alias(x) for x in "abcz")).first().asDict() == {"a": "symptom", "b": "intermediate", "c": "root_cause", "z": None}
     assert L.expand_types([" Cross_System", ""]) == {"cross_system", "na_cross_system"}
+
+
+def test_closing_examples_pass_the_loader(spark):
+    s, graph = worlds.flow_scenarios(spark, SF).where("substring(scenario_id, 2, 9) % 5 = 0").cache(), worlds.flow_graph(spark)
+    turns, _, outcome = trajectories.generate(s, *graph, list(worlds.SYSTEMS))
+    turns = turns.withColumnRenamed("scenario_id", "conv_id").cache()
+    said = transcripts.final_diagnosis(turns).join(s.selectExpr("scenario_id AS conv_id", "scenario_type"), "conv_id").selectExpr("conv_id", "scenario_type", "root_cause_node AS node", "fault_type AS fault")
+    kept = transcripts.closing_events(outcome.selectExpr("scenario_id AS conv_id", "i", "tool", "node_id", "status", "confidence", "true AS has_readings"), said).cache()
+    out = transcripts.closing_examples(turns, kept)
+    talks = defaultdict(list)
+    for r in out.collect():
+        talks[r.conv_id].append(r)
+    assert len(talks) == s.count()
+    types = {r.scenario_id: r for r in s.collect()}
+    for k, rows in talks.items():
+        rows.sort(key=lambda r: r.turn)
+        t = types[k.split("__")[0]]
+        assert [r.role for r in rows] == ["human"] + ["gpt", "observation"] * (len(rows) // 2 - 1) + ["gpt"] and "<diagnosis>" in rows[-1].text and "get_system_overview" in rows[1].text
+        asked = [json.loads(re.search(r"(?s)<tool_call>(.*?)</tool_call>", r.text)[1]) for r in rows[1:-1:2]]
+        last = [a for a in asked if a["name"] == "diagnose_node"][-1]["arguments"]["node_id"]
+        assert ("low_confidence" in t.scenario_type and asked[-1]["name"] == "get_node_sensors") or "no_fault" in t.scenario_type or last == t.root_cause_node
+        assert len(asked) <= 8 + 2 + 3
+    records = out.select("conv_id").distinct().selectExpr("conv_id", "'s' AS system", "'v' AS design_version", "'h' AS prompt_sha256", "'terminal_closure' AS augmentation")
+    gates = transcripts.loader_gates(records, out, "v", "h")
+    transcripts.check_load(gates)
+    assert gates.first().bad_first_tool == 0
+
+
+def test_token_weights_equal_a_plain_computation(spark):
+    rng = random.Random(9)
+    blocks = {"state": "<topoitl_state>{\"k\": 1}</topoitl_state>", "label": "<topoitl_action>{}</topoitl_action>", "exec": "<tool_call>{\"a\": 1}</tool_call>", "end": "<diagnosis>{}</diagnosis>", "prose": "some words "}
+    turns = [(c, t, ("human", "gpt")[t % 2], "".join(blocks[rng.choice(list(blocks))] for _ in range(rng.randint(0, 6))) if rng.random() < 0.95 else None) for c in range(40) for t in range(5)]
+    tokens = [(c, t, a, min(a + 7, len(x or ""))) for c, t, _, x in turns for a in range(0, max(len(x or ""), 1), 7)]
+    got = {(r.conv_id, r.turn, r.start): (r.trained, r.weight) for r in transcripts.token_weights(spark.createDataFrame(tokens, "conv_id int, turn int, start int, end int"), spark.createDataFrame(turns, "conv_id int, turn int, role string, text string"), {"base": 0.5}).collect()}
+    text = {(c, t): (r, x or "") for c, t, r, x in turns}
+    first = {}
+    for c, t, r, x in turns:
+        for m in re.finditer(r"(?s)<topoitl_state>.*?</topoitl_state>", x or ""):
+            if r == "gpt":
+                first.setdefault(c, (t, m.start()))
+    for c, t, a, b in tokens:
+        role, x = text[c, t]
+        mid = (a + b) / 2 if b > a else a
+        hit = lambda p: [m.start() for m in re.finditer(p, x) if m.start() <= mid < m.end()]  # noqa: E731,B023
+        state, act = hit(r"(?s)<topoitl_state>.*?</topoitl_state>"), hit(r"(?s)<topoitl_action>.*?</topoitl_action>|<tool_call>.*?</tool_call>|<diagnosis>.*?</diagnosis>")
+        want = 0.0 if role != "gpt" else (1.0 if first[c] == (t, state[0]) else 1.5) if state else 1.0 if act else 0.5
+        assert got[c, t, a] == (role == "gpt", want)
