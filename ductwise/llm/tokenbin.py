@@ -39,11 +39,10 @@ DOCS = "part int, seg int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value, 1 at least."""
-    bits = np.ones(len(values), np.uint8)
-    rest = values >> np.uint64(1)
-    while rest.any():
-        bits += rest > 0
-        rest = rest >> np.uint64(1)
+    bits = np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.uint8)
+    large = np.flatnonzero(values >= np.uint64(1 << 53))  # these may be rounded up
+    if len(large):
+        bits[large] = [int(v).bit_length() for v in values[large].tolist()]
     return bits
 
 
@@ -53,33 +52,27 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    widths = _widths(values)
-    spans = [widths]  # spans[k][i]: most bits among the 2**k values from i on
+    # the selector of a word that would begin at each id: the one of most ids that all fit; what is behind a block's end fits
+    blocks = -(-n // block)
+    most = np.zeros((blocks, block + 64), np.uint8)
+    most[:, :block] = np.concatenate([_widths(values), np.zeros(blocks * block - n, np.uint8)]).reshape(blocks, block)
+    spans = [most]  # spans[k][:, i]: most bits among the 2**k values from i on
     for k in range(5):
-        last, step = spans[-1], 1 << k
-        wider = last.copy()
-        wider[:-step] = np.maximum(last[:-step], last[step:])
-        spans.append(wider)
-    spans = np.stack(spans)
+        spans.append(np.maximum(spans[-1][:, : -(1 << k)], spans[-1][:, 1 << k :]))
+    best = np.zeros((blocks, block), np.uint8)
+    for s in range(15, 1, -1):
+        count = int(COUNTS[s])
+        k = count.bit_length() - 1
+        off = count - (1 << k)
+        best[np.maximum(spans[k][:, :block], spans[k][:, off : off + block]) <= BITS[s]] = s
+    best = best.ravel()[:n]
     chosen = np.full(n, 255, np.uint8)
     at = np.arange(0, n, block)
     end = np.minimum(at + block, n)
     while len(at):
-        left = end - at
-        selector = np.zeros(len(at), np.int64)
-        open_ = np.ones(len(at), bool)
-        for s in range(2, 16):
-            rows = np.flatnonzero(open_)
-            if not len(rows):
-                break
-            length = np.minimum(COUNTS[s], left[rows])
-            k = _LOG[length]
-            p = at[rows]
-            fits = np.maximum(spans[k, p], spans[k, p + length - (1 << k)]) <= BITS[s]
-            selector[rows[fits]] = s
-            open_[rows[fits]] = False
+        selector = best[at]
         chosen[at] = selector
-        at = at + np.minimum(COUNTS[selector], left)
+        at = at + COUNTS[selector]
         more = at < end
         at, end = at[more], end[more]
     first = np.flatnonzero(chosen != 255)
@@ -97,9 +90,6 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     return words, offsets
 
 
-_LOG = np.concatenate([[0], np.floor(np.log2(np.arange(1, 64))).astype(np.int64)])
-
-
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
     """The n ids of whole blocks; ``offsets`` are the first words of the blocks."""
     if not n:
@@ -160,11 +150,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0)
         enc = encoder(tokenizer, pattern)
         for batch in batches:
             ids, counts = with_end(*enc.encode(batch.column(2)), end_id)
-            data, edge = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()
+            size = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+            data, edge = ids.astype(f"<u{size}").tobytes(), (size * np.concatenate([[0], np.cumsum(counts)])).tolist()
             own = pa.array([data[a:b] for a, b in zip(edge[:-1], edge[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["doc_id", "h", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(own), size, np.int32)), own], ["doc_id", "h", "size", "ids"])
 
-    encoded = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(encode), "doc_id long, h long, ids binary")
+    encoded = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(encode), "doc_id long, h long, size int, ids binary")
     ordered = materialise(encoded, "encoded").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches):
@@ -174,8 +165,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0)
         for seg, batch in enumerate(batches):
             if not len(batch):
                 continue
-            texts = batch.column(2).to_pylist()
-            ids, counts = np.frombuffer(b"".join(texts), "<u4"), np.fromiter(map(len, texts), np.int64, len(texts)) // 4
+            texts, size = batch.column(3).to_pylist(), batch.column(2).to_numpy()
+            if size.max() == 2:
+                ids = np.frombuffer(b"".join(texts), "<u2")
+            else:
+                ids = np.concatenate([np.frombuffer(x, f"<u{k}").astype(np.uint32) for x, k in zip(texts, size.tolist())])
+            counts = np.fromiter(map(len, texts), np.int64, len(texts)) // size
             keys = batch.column(0).fill_null(NULL_ID).to_numpy()
             blob = write_segment(keys, counts, ids)
             yield pa.RecordBatch.from_arrays(
@@ -183,7 +178,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0)
                 ["part", "seg", "n_ids", "segment"],
             )
 
-    return materialise(ordered.select("doc_id", "h", "ids").mapInArrow(tidy(run), SEGMENTS), "tokens")
+    return materialise(ordered.select("doc_id", "h", "size", "ids").mapInArrow(tidy(run), SEGMENTS), "tokens")
 
 
 #: Stands for a null doc_id in a segment.
