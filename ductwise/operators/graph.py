@@ -29,12 +29,53 @@ def build(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
         part = triples.where(F.col("p") == p).select("system_id", node("s").alias("src"), node("o").alias("dst"), F.lit(relation).alias("relation"), F.lit(None).cast("string").alias("medium"), F.lit(k).cast("long").alias("seq"))
         edges = part if edges is None else edges.unionByName(part)
     points = triples.where("p = 'hasPoint'").select("system_id", F.col("o").alias("s")).distinct().withColumn("point_", F.lit(True))
-    named = types.select("system_id", "s").unionByName(triples.where("p IN ('hasPart', 'feeds')").select("system_id", F.col("o").alias("s"))).distinct()
+    named = types.select("system_id", "s").unionByName(triples.where("p IN ('hasPart', 'feeds', 'hasPoint')").select("system_id", F.col("o").alias("s"))).distinct()
     nodes = named.join(types, ["system_id", "s"], "left").join(points, ["system_id", "s"], "left")
-    nodes = nodes.select(node("s").alias("node_id"), F.when(F.col("point_"), 3).otherwise(2).alias("level"), F.when(F.col("point_"), "sensor").otherwise("component").alias("node_type"), "system_id", F.col("s").alias("name"), F.coalesce("brick_class", F.lit("HVAC_Zone")).alias("brick_class"))
+    nodes = nodes.select(node("s").alias("node_id"), F.when(F.col("point_"), 3).otherwise(2).alias("level"), F.when(F.col("point_"), "sensor").otherwise("component").alias("node_type"), "system_id", F.col("s").alias("name"), F.coalesce("brick_class", F.when(F.col("point_"), "Unknown").otherwise("HVAC_Zone")).alias("brick_class"))
     return nodes, last_writer_edges(edges).drop("system_id")
 
 
+#: Classes that stand at the top of a system whose parts don't tell its roots.
+TOP_CLASSES = ("Water_System", "Hot_Water_System", "AHU", "RTU")
+
+
+def system_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """system_id, node_id of each system's top components: those of ``roots``, or of ``TOP_CLASSES`` where a system has none."""
+    own = nodes.where("level = 2")
+    found = roots(own, edges).select("system_id", "node_id")
+    return found.unionByName(own.where(F.col("brick_class").isin(*TOP_CLASSES)).join(found.select("system_id"), "system_id", "left_anti").select("system_id", "node_id"))
+
+
+def building(triples: DataFrame, systems: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, skipped links) of a whole building: the building, its systems(system_id, name), their described parts, and links between them.
+
+    links(source_system, source_node, target_system, target_node, medium).  An end that no node has is the first node, by id, of its system whose name holds the
+    wanted one; a link without such a node is skipped.  Of several edges between two nodes the last stays: parts, feeds, sensors, then links.
+    """
+    parts, inner = build(triples.join(systems.select("system_id"), "system_id", "left_semi"))
+    parts, inner = cut(parts), cut(inner)
+    top = lambda c: F.concat(F.lit("system::"), c)
+    fixed = lambda df, node, level, kind, system, name: df.select(node.alias("node_id"), F.lit(level).alias("level"), F.lit(kind).alias("node_type"), system.cast("string").alias("system_id"), name.alias("name"), F.lit(None).cast("string").alias("brick_class"))
+    one = systems.sparkSession.range(1)
+    nodes = fixed(one, F.lit("building"), 0, "building", F.lit(None), F.lit("building")).unionByName(fixed(systems, top(F.col("system_id")), 1, "system", F.col("system_id"), F.col("name"))).unionByName(parts)
+    edge = lambda df, src, dst, relation, medium, seq: df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), medium.cast("string").alias("medium"), F.lit(seq).cast("long").alias("seq"))
+    none = F.lit(None)
+    edges = edge(systems, F.lit("building"), top(F.col("system_id")), "has_part", none, -1).unionByName(edge(system_roots(parts, inner), top(F.col("system_id")), F.col("node_id"), "has_part", none, -1)).unionByName(inner.select("src", "dst", "relation", "medium", "seq"))
+    known = parts.select("system_id", "node_id", "name")
+
+    def end(rows: DataFrame, side: str) -> DataFrame:
+        """The node of one end of each link; names are compared within the link's own system."""
+        near = rows.join(known.withColumnRenamed("system_id", f"{side}_system"), f"{side}_system").where(F.contains(F.col("name"), F.col(f"{side}_node")))
+        exact = F.col("name") == F.col(f"{side}_node")
+        return near.groupBy("link_").agg(F.min(F.struct((~exact).alias("off"), "node_id")).alias("best")).select("link_", F.col("best.node_id").alias(side))
+
+    asked = cut(links.withColumn("link_", F.monotonically_increasing_id()))
+    j = asked.join(end(asked, "source"), "link_", "left").join(end(asked, "target"), "link_", "left")
+    made = j.where("source IS NOT NULL AND target IS NOT NULL")
+    edges = edges.unionByName(edge(made, F.col("source"), F.col("target"), "cross_system", F.col("medium"), 9))
+    return nodes, last_writer_edges(edges), j.where("source IS NULL OR target IS NULL").select(*links.columns)
+
+
 def children(nodes: DataFrame, edges: DataFrame, relation: str = "has_part") -> DataFrame:
     return edges.where(F.col("relation") == relation).select(F.col("src").alias("node_id"), F.col("dst").alias("child")).join(nodes.select(F.col("node_id").alias("child"), "name", "level"), "child")
 

@@ -611,3 +611,25 @@ def forest_on_windows(spark, sf_dir):
     w = W.window_stats(W.count_windows(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value"), BY, ORDER), BY)
     got = models.train(w, ["mean", "std", "min", "max", "range", "slope"], "event_type", F.col("window_id"), trees=10, depth=4)
     return got["scored"].select("event_type", "window_id", "is_val", models.verdict(models.calibrated(F.col("probabilities"), 1.5), got["labels"]).alias("verdict"))
+
+
+#: Regions as systems, nations as their assemblies, suppliers as parts; links name nations by their first letters, some of none.
+_LINKS = "l AS (SELECT a.r_name AS ss, left(n.n_name, 3) AS sn, b.r_name AS ts, m.n_name AS tn FROM nation n JOIN region a ON a.r_regionkey = n.n_regionkey JOIN nation m ON m.n_nationkey = (n.n_nationkey + 7) % 25 JOIN region b ON b.r_regionkey = m.n_regionkey WHERE n.n_nationkey % 3 = 0 UNION ALL SELECT a.r_name, 'nowhere', a.r_name, 'nowhere' FROM region a)"
+
+
+@query(f"""WITH {_LINKS}, n AS (SELECT r_name AS s, n_name AS name, r_name || '::' || n_name AS id FROM nation JOIN region ON r_regionkey = n_regionkey),
+p AS (SELECT r_name AS s, s_name AS name, r_name || '::' || s_name AS id, r_name || '::' || n_name AS up FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+k AS (SELECT s, name, id FROM n UNION ALL SELECT s, name, id FROM p),
+x AS (SELECT ss, sn, ts, tn, (SELECT min(struct_pack(off := k.name <> sn, id := k.id)) FROM k WHERE k.s = ss AND contains(k.name, sn)) AS a, (SELECT min(struct_pack(off := k.name <> tn, id := k.id)) FROM k WHERE k.s = ts AND contains(k.name, tn)) AS b FROM l)
+SELECT 'building' AS src, 'system::' || r_name AS dst, 'has_part' AS relation FROM region UNION ALL SELECT 'system::' || s, id, 'has_part' FROM n UNION ALL SELECT up, id, 'has_part' FROM p UNION ALL SELECT DISTINCT a.id, b.id, 'cross_system' FROM x WHERE a IS NOT NULL AND b IS NOT NULL""")
+def building_graph(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    n = t("nation").join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    p = t("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    triple = lambda df, s, p_, o: df.select(F.col("r_name").alias("system_id"), F.col(s).alias("s"), F.lit(p_).alias("p"), (o if isinstance(o, type(F.lit(1))) else F.col(o)).alias("o"))
+    triples = triple(n, "n_name", "type", F.lit("AHU")).unionByName(triple(p, "s_name", "type", F.lit("Fan"))).unionByName(triple(p, "n_name", "hasPart", "s_name"))
+    m = n.select((F.col("n_nationkey")).alias("k"), F.col("n_name").alias("target_node"), F.col("r_name").alias("target_system"))
+    links = n.where("n_nationkey % 3 = 0").withColumn("k", (F.col("n_nationkey") + 7) % 25).join(m, "k").select(F.col("r_name").alias("source_system"), F.left("n_name", F.lit(3)).alias("source_node"), "target_system", "target_node", F.lit("air").alias("medium"))
+    lost = t("region").select(F.col("r_name").alias("source_system"), F.lit("nowhere").alias("source_node"), F.col("r_name").alias("target_system"), F.lit("nowhere").alias("target_node"), F.lit("air").alias("medium"))
+    _, edges, _ = graph.building(triples, t("region").select(F.col("r_name").alias("system_id"), F.col("r_name").alias("name")), links.unionByName(lost))
+    return edges.select("src", "dst", "relation")

@@ -104,6 +104,28 @@ def test_turtle_and_graph(spark, tmp_path):
     assert [r.source for r in graph.upstream(nodes, edges).where("node_id = 'sdahu::Zone'").collect()] == ["sdahu::Coil"]
 
 
+def test_building_of_two_descriptions(spark):
+    t = [("ahu", "AHU", "type", "AHU"), ("ahu", "AHU", "hasPart", "Fan"), ("ahu", "Fan", "type", "Fan"), ("ahu", "Fan", "feeds", "Zone"), ("ahu", "Zone", "type", "HVAC_Zone"), ("ahu", "Fan", "hasPoint", "T1"),
+         ("chw", "Loop", "type", "Water_System"), ("chw", "Pump", "type", "Pump"), ("chw", "Loop", "feeds", "Pump"), ("chw", "Pump", "feeds", "Loop"), ("gone", "X", "type", "AHU")]
+    links = [("chw", "Pump", "ahu", "AHU", "water"), ("chw", "Loo", "ahu", "Fa", "air"), ("chw", "Nothing", "ahu", "AHU", "steam"), ("chw", "Pump", "ahu", "AHU", "later")]
+    nodes, edges, skipped = graph.building(
+        spark.createDataFrame(t, "system_id string, s string, p string, o string"), spark.createDataFrame([("ahu", "Air"), ("chw", "Water")], "system_id string, name string"),
+        spark.createDataFrame(links, "source_system string, source_node string, target_system string, target_node string, medium string"),
+    )
+    assert {(r.node_id, r.level) for r in nodes.collect()} == {("building", 0), ("system::ahu", 1), ("system::chw", 1), ("ahu::AHU", 2), ("ahu::Fan", 2), ("ahu::Zone", 2), ("ahu::T1", 3), ("chw::Loop", 2), ("chw::Pump", 2)}
+    got = {(r.src, r.dst): r.relation for r in edges.collect()}
+    assert got == {
+        ("building", "system::ahu"): "has_part", ("building", "system::chw"): "has_part", ("system::ahu", "ahu::AHU"): "has_part", ("system::chw", "chw::Loop"): "has_part", ("ahu::AHU", "ahu::Fan"): "has_part", ("ahu::Fan", "ahu::Zone"): "feeds",
+        ("ahu::Fan", "ahu::T1"): "has_sensor", ("chw::Loop", "chw::Pump"): "feeds", ("chw::Pump", "chw::Loop"): "feeds", ("chw::Pump", "ahu::AHU"): "cross_system", ("chw::Loop", "ahu::Fan"): "cross_system",
+    }
+    assert [tuple(r) for r in skipped.collect()] == [links[2]]
+
+
+def test_compatibility(spark):
+    row = spark.range(1).select(*(graph.compatibility(F.lit(d), F.lit(n), F.lit(s)).alias(f"c{k}") for k, (d, n, s) in enumerate([(0, True, True), (1, False, False), (2, False, True), (3, False, True), (None, False, False)]))).first()
+    assert tuple(row) == (1.0, 0.55, 0.30, 0.18, 0.0)
+
+
 def test_tools(spark):
     nodes = spark.createDataFrame([("system::a", 1, "a", "A"), ("a::x", 2, "a", "X"), ("a::y", 2, "a", "Y"), ("b::z", 2, "b", "Z")], "node_id string, level int, system_id string, name string")
     edges = spark.createDataFrame([("system::a", "a::x", "has_part", ""), ("a::x", "a::y", "has_part", ""), ("a::x", "b::z", "cross_system", "water")], "src string, dst string, relation string, medium string")

@@ -197,3 +197,25 @@ def test_sessions(spark):
     rows = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP'2024-01-01 00:00:00'), ('a', TIMESTAMP'2024-01-01 00:20:00'), ('a', TIMESTAMP'2024-01-01 01:00:00'), ('b', TIMESTAMP'2024-01-01 00:05:00') t(k, ts)")
     got = sorted((r.k, r.start.minute + 60 * r.start.hour, r.n) for r in S.sessions(rows, ["k"]).collect())
     assert got == [("a", 0, 2), ("a", 60, 1), ("b", 5, 1)]
+
+
+def test_clean_load(spark, tmp_path):
+    nan = "NaN"
+    for name, n in (("RTU_sim_condfouling10.csv", 40), ("RTU_sim_baseline.csv", 50)):
+        lines = [f"2020-01-01 {k // 60:02d}:{k % 60:02d}:00,{nan if 3 <= k < 7 or 20 <= k < 28 else k}.0,".replace("NaN.0", "NaN") for k in range(n)]
+        (tmp_path / name).write_text("Datetime,T,E\n" + "\n".join(lines[::-1]) + "\n")
+    rows = readers.load_clean(spark, str(tmp_path), "rtu", "Datetime string, T double, E double")
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.source_file, {})[r.row_idx] = r
+    assert {k: len(v) for k, v in got.items()} == {"RTU_sim_condfouling10.csv": 40, "RTU_sim_baseline.csv": 50} and "E" not in rows.columns
+    for v in got.values():
+        assert [v[k]["T"] for k in (2, 3, 6, 7, 19, 20, 24, 25, 27, 28)] == [2.0, 2.0, 2.0, 7.0, 19.0, 19.0, 19.0, None, None, 28.0]
+    labels = {r.label: r.label_id for r in rows.select("label", "label_id").distinct().collect()}
+    assert labels == {"condfouling_10": 1, "Normal": 0}
+    some = readers.load_clean(spark, str(tmp_path), "rtu", "Datetime string, T double, E double", share=0.5, size=5).collect()
+    blocks = {}
+    for r in some:
+        blocks.setdefault((r.source_file, r.row_idx // 5), set()).add(r.row_idx % 5)
+    assert 0 < len(some) < 90 and all(b == {0, 1, 2, 3, 4} for b in blocks.values())
+    assert readers.load_clean(spark, str(tmp_path), "rtu", "Datetime string, T double, E double", most_rows=10).count() == 20
