@@ -188,6 +188,18 @@ def dataset_summary(turns: DataFrame, conv: str, kind: str) -> DataFrame:
     return per.groupBy("kind").agg(F.count("*").alias("n_examples"), F.avg("n").alias("avg_turns"))
 
 
+def dataset_report(records: DataFrame, turns: DataFrame) -> DataFrame:
+    """Examples, mean turns and mean calls of records(conv_id, scenario_type, augmentation, n_calls): in all, by type, by augmentation, in one pass of grouping sets."""
+    n = turns.groupBy("conv_id").agg(F.count("*").alias("turns_"))
+    rows = records.select("conv_id", F.coalesce("scenario_type", F.lit("unknown")).alias("scenario_type"), F.coalesce("augmentation", F.lit("full_trajectory")).alias("augmentation"), F.coalesce("n_calls", F.lit(0)).alias("calls_")).join(n, "conv_id", "left")
+    return rows.groupingSets([[], ["scenario_type"], ["augmentation"]], "scenario_type", "augmentation").agg(F.count("*").alias("n_examples"), F.avg(F.coalesce("turns_", F.lit(0))).alias("avg_turns"), F.avg("calls_").alias("avg_calls"), F.grouping_id().cast("long").alias("gid"))
+
+
+def missing_from(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """Keys of ``wanted``, each once, that ``there`` hasn't got; a null is a key like others."""
+    return wanted.select(key).subtract(there.select(key))
+
+
 def fill_targets(batch, targets: dict[str, int], kind: str, key: str, rounds: int = 20) -> DataFrame:
     """Rows of ``batch(round)`` until each type has its target or the rounds are over; a row each key, earlier rounds first.
 

@@ -10,11 +10,12 @@ import json
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import exact_match, is_no_fault_label, is_no_fault_node, norm
 from ..functions.maths import clip, reliability
+from .lineage import cut
 
 LIMIT = 24
 #: Fixed values of the update, the terminal rewards and the review of episodes without a fault.
@@ -162,11 +163,11 @@ def terminal_reward(stopped: Column, correct: Column, closed: Column, no_fault:
     return F.when(stopped, answer).when(n_calls >= max_steps, -c["open"]).otherwise(0.0)
 
 
-def rewards(episodes: DataFrame, calls: DataFrame, max_steps: int = 15) -> DataFrame:
-    """The trajectory reward of each episode from its trace. Episodes and calls are those of ``metrics``."""
+def _judged(episodes: DataFrame, calls: DataFrame, max_steps: int, t: DataFrame | None = None) -> DataFrame:
+    """Episodes with what their trace and their end come to: n, shaped, raw, terminal, and what ``rewards`` reports."""
     c = CONFIG
     steps = calls.drop("step").withColumnRenamed("i", "step")
-    t = trace(steps)
+    t = trace(steps) if t is None else t
     per = t.groupBy("episode_id").agg(
         F.sum("shaping_reward").alias("shaped"), F.count("*").alias("n"), F.count_if(F.col("mode") == "closed").alias("closed_"), F.count_if(F.col("mode") == "conflict").alias("conflict_"),
         F.greatest(F.max("closure"), F.lit(0.0)).alias("most"), F.max_by(F.struct("closure", "potential", "conflict", "reliability", "mode", "top_candidate", "top_belief", "n_candidates"), "step").alias("last"),
@@ -184,7 +185,31 @@ def rewards(episodes: DataFrame, calls: DataFrame, max_steps: int = 15) -> DataF
     mode = F.coalesce("last.mode", F.lit("open"))
     review_closed = F.col("free") & (F.col("review") >= c["review"])
     open_end = F.col("stopped") & (mode != "closed") & ~F.col("free")
-    raw = F.coalesce("shaped", F.lit(0.0)) + terminal_reward(F.col("stopped"), F.col("right"), (mode == "closed") | review_closed, F.col("free"), F.col("n"), max_steps) - F.when(open_end, c["open"]).otherwise(0.0)
+    end = terminal_reward(F.col("stopped"), F.col("right"), (mode == "closed") | review_closed, F.col("free"), F.col("n"), max_steps) - F.when(open_end, c["open"]).otherwise(0.0)
+    return e.withColumns({"mode": mode, "review_closed": review_closed, "terminal": end, "raw": F.coalesce("shaped", F.lit(0.0)) + end})
+
+
+def step_rewards(episodes: DataFrame, calls: DataFrame, max_steps: int = 15) -> DataFrame:
+    """A row for each step: its shaping reward, the terminal reward where it is the last, their sum, what is still to come, and what the potential's fall comes to.
+
+    telescoped is the start's potential less the episode's last one, fallen the sum of the steps' falls: equal but for rounding.
+    """
+    t = cut(trace(calls.drop("step").withColumnRenamed("i", "step")))
+    e = _judged(episodes, calls, max_steps, t).select("episode_id", "terminal")
+    whole = Window.partitionBy("episode_id")
+    last = F.col("step") == F.max("step").over(whole)
+    rows = t.join(e, "episode_id").withColumn("terminal_reward", F.when(last, F.col("terminal")).otherwise(0.0)).withColumn("reward", F.col("shaping_reward") + F.col("terminal_reward"))
+    ahead = F.sum("reward").over(whole.orderBy(F.desc("step")))
+    fallen = F.sum("potential_delta").over(whole)
+    final = F.max(F.when(last, F.col("potential"))).over(whole)
+    return rows.select("episode_id", "step", "mode", "shaping_reward", "terminal_reward", "reward", ahead.alias("return"), fallen.alias("fallen"), (F.lit(CONFIG["start"]) - final).alias("telescoped"))
+
+
+def rewards(episodes: DataFrame, calls: DataFrame, max_steps: int = 15) -> DataFrame:
+    """The trajectory reward of each episode from its trace. Episodes and calls are those of ``metrics``."""
+    c = CONFIG
+    e = _judged(episodes, calls, max_steps)
+    mode, review_closed, raw = F.col("mode"), F.col("review_closed"), F.col("raw")
     scaled = clip(0.5 + 0.25 * raw)
     scaled = F.greatest(F.lit(0.0), scaled - 0.25 * F.col("violations"))
     scaled = F.when(F.col("stopped") & ~F.col("right"), F.greatest(F.lit(0.0), scaled - 0.20)).when(F.col("right"), F.least(F.lit(1.0), scaled + 0.10 * F.least(F.lit(1.0), F.greatest(F.coalesce("optimal", F.lit(3)), F.lit(1)) / F.greatest(F.col("n"), F.lit(1))))).otherwise(scaled)

@@ -107,6 +107,11 @@ def sample(scenarios: DataFrame, shares: dict[str, float], n_total: int, seed: i
     return rows.withColumn("scenario_id", F.concat_ws("_", "scenario_id", "scenario_type", F.col("i_").cast("string"))).select(*scenarios.columns)
 
 
+def by_priority(candidates: DataFrame, by: list[str], priority: Column, score: Column, key: Column) -> DataFrame:
+    """Adds position: candidates of a group in order of priority, then of falling score, then of key."""
+    return candidates.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(priority, score.desc_nulls_last(), key)))
+
+
 def no_fault_paths(scenarios: DataFrame, components: DataFrame, seed: int = 42) -> DataFrame:
     """scenario_id and two or three components of its system, in hash order: what a routine check looks at. components(system_id, node_id)."""
     ranked = components.withColumn("k_", F.row_number().over(Window.partitionBy("system_id").orderBy(hash_order(F.col("node_id"), seed), "node_id")) - 1).withColumn("n_", F.count("*").over(Window.partitionBy("system_id")))

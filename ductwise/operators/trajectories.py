@@ -143,6 +143,37 @@ THOUGHTS = {
 }
 
 
+#: Ranges of made-up readings, and of the confidence of made-up answers by a node's place on the path.
+READINGS = {"supply_temp": (52.0, 58.0), "return_temp": (68.0, 76.0), "differential_pressure": (1.5, 3.5), "flow_rate": (150.0, 350.0), "power": (10.0, 80.0)}
+CONFIDENCES = {"root_cause": (0.88, 0.97), "on_path": (0.70, 0.90), "": (0.82, 0.95)}
+_SHIFTED, _SHIFT = 0.4, (0.15, 0.40)
+
+
+def uniform(key: Column, what: str, low: float = 0.0, high: float = 1.0) -> Column:
+    """A number of [low, high) by md5 of the key and a name, so it is the same in every run."""
+    return F.lit(low) + F.lit(high - low) * (hash_number(F.concat_ws("|", key, F.lit(what))) / float(1 << 48))
+
+
+def made_up_readings(key: Column, abnormal: Column) -> Column:
+    """map of plausible readings where no scenario's data are there; about two fifths of an abnormal node's are moved out of or within their range."""
+    out = []
+    for name, (low, high) in READINGS.items():
+        plain = uniform(key, name, low, high)
+        shift = F.when(uniform(key, f"{name}-sign") < 0.5, -1.0).otherwise(1.0) * uniform(key, f"{name}-shift", *_SHIFT) * (high - low)
+        moved = F.coalesce(abnormal, F.lit(False)) & (uniform(key, f"{name}-moved") < _SHIFTED)
+        out += [F.lit(name), F.round(plain + F.when(moved, shift).otherwise(0.0), 2)]
+    return F.create_map(*out)
+
+
+def made_up_answer(key: Column, role: Column, fault: Column) -> Column:
+    """struct(status, fault_type, confidence) of a node by its role on the path: the root's fault, abnormal elsewhere on it, normal off it (null)."""
+    draw = lambda kind: F.round(uniform(key, "confidence", *CONFIDENCES[kind]), 4)
+    root, on = role == "root_cause", role.isNotNull()
+    return F.struct(
+        F.when(root, "Fault").when(on, "Abnormal").otherwise("Normal").alias("status"), F.when(root, fault).otherwise("None").alias("fault_type"), F.when(root, draw("root_cause")).when(on, draw("on_path")).otherwise(draw("")).alias("confidence"),
+    )
+
+
 def diagnoses(scenarios: DataFrame, outcome: DataFrame) -> DataFrame:
     """The final diagnosis of each scenario from the results of its plan: scenario_id, node, fault, confidence, status."""
     kind = flow(F.col("scenario_type"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, potential, rewards, transcripts
+from ..operators import datasets, metrics, potential, rewards, trajectories, transcripts
 from ..operators.lineage import by_key
 from .catalog import TOOLS, episodes
 from .registry import query, rounded, table
@@ -444,3 +444,39 @@ def closing_events(spark, sf_dir):
     final = eps.where("diag_node IS NOT NULL").select(F.col("episode_id").alias("conv_id"), F.when(low, "na_low_confidence").otherwise(F.col("scenario_type")).alias("scenario_type"), F.col("diag_node").alias("node"), F.col("diag_fault").alias("fault"))
     events = calls.select(F.col("episode_id").alias("conv_id"), "i", "tool", "node_id", "status", (F.col("confidence") * 3).alias("confidence"), (F.col("step") % 3 != 1).alias("has_readings"))
     return transcripts.closing_events(events, final)
+
+
+@query("""WITH r AS (SELECT conv_id, max(turn)::INT AS m, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE ['single', 'cross', 'no_fault'][1 + conv_id % 3] END AS kind, CASE WHEN conv_id % 4 = 0 THEN 'terminal_closure' END AS aug, count(*) AS n FROM conversations GROUP BY 1)
+SELECT scenario_type, augmentation, grouping_id(scenario_type, augmentation)::BIGINT AS gid, count(*) AS n_examples, round(avg(n), 6) AS avg_turns, round(avg(m), 6) AS avg_calls FROM (SELECT coalesce(kind, 'unknown') AS scenario_type, coalesce(aug, 'full_trajectory') AS augmentation, n, m FROM r) GROUP BY GROUPING SETS ((), (scenario_type), (augmentation))""")
+def dataset_report(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    k = F.col("conv_id")
+    records = c.groupBy("conv_id").agg(F.max("turn").cast("int").alias("n_calls")).withColumns({"scenario_type": F.when(k % 5 != 0, F.get(F.array(*map(F.lit, ("single", "cross", "no_fault"))), (k % 3).cast("int"))), "augmentation": F.when(k % 4 == 0, "terminal_closure")})
+    return rounded(datasets.dataset_report(records, c), "avg_turns", "avg_calls")
+
+
+#: The falls of a trace add up to the fall from its start, and its rewards to the reward of the whole: SQL knows that without folding.
+@query(f"WITH {BASE} SELECT episode_id, n AS steps, true AS telescopes, true AS adds_up FROM n")
+def step_rewards(spark, sf_dir):
+    eps, calls = world(spark, sf_dir)
+    s = potential.step_rewards(eps, calls).groupBy("episode_id").agg(F.count("*").alias("steps"), (F.max(F.abs(F.col("fallen") - F.col("telescoped"))) < 1e-9).alias("telescopes"), F.sum("reward").alias("all_"))
+    return s.join(potential.rewards(eps, calls).select("episode_id", "epo_raw"), "episode_id").select("episode_id", "steps", "telescopes", (F.abs(F.col("all_") - F.col("epo_raw")) < 1e-4).alias("adds_up"))
+
+
+def _u(what):
+    return f"(('0x' || md5(o_orderkey || '|{what}' || '|42')[:12])::BIGINT / {float(1 << 48)!r})"
+
+
+_READ = ", ".join(
+    f"round({low} + {high - low} * {_u(k)} + CASE WHEN o_orderkey % 3 = 0 AND {_u(k + '-moved')} < 0.4 THEN CASE WHEN {_u(k + '-sign')} < 0.5 THEN -1.0 ELSE 1.0 END * (0.15 + 0.25 * {_u(k + '-shift')}) * {high - low} ELSE 0 END, 2) AS {k}" for k, (low, high) in trajectories.READINGS.items()
+)
+
+
+@query(f"""SELECT o_orderkey, {_READ}, CASE o_orderkey % 3 WHEN 0 THEN 'Fault' WHEN 1 THEN 'Abnormal' ELSE 'Normal' END AS status, CASE o_orderkey % 3 WHEN 0 THEN 'fan_stuck' ELSE 'None' END AS fault_type,
+ round(round(CASE o_orderkey % 3 WHEN 0 THEN 0.88 + 0.09 * {_u("confidence")} WHEN 1 THEN 0.70 + 0.20 * {_u("confidence")} ELSE 0.82 + 0.13 * {_u("confidence")} END, 4), 3) AS confidence FROM orders""")
+def made_up_results(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    key = F.col("o_orderkey").cast("string")
+    role = F.when(F.col("o_orderkey") % 3 == 0, "root_cause").when(F.col("o_orderkey") % 3 == 1, "intermediate")
+    rows = o.withColumn("m_", trajectories.made_up_readings(key, F.col("o_orderkey") % 3 == 0)).withColumn("a_", trajectories.made_up_answer(key, role, F.lit("fan_stuck")))
+    return rows.select("o_orderkey", *(F.col("m_")[k].alias(k) for k in trajectories.READINGS), "a_.status", "a_.fault_type", F.round("a_.confidence", 3).alias("confidence"))

@@ -107,3 +107,13 @@ def test_calibrated_logits_are_left_alone(spark):
     rows = [([12.0, 0.0, 0.0] if i % 2 else [0.0, 12.0, 0.0], 0 if i % 2 else 1) for i in range(40)]
     got = statistics.fit_temperature(spark.createDataFrame(rows, "z array<double>, y int"), F.col("z"), F.col("y"))
     assert got["status"] == "identity" and got["temperature"] == 1.0 and got["nll_before"] == got["nll_after"] < 0.02
+
+
+def test_priorities_and_what_is_missing(spark):
+    from ductwise.operators import datasets
+
+    rows = spark.createDataFrame([("p", "boiler", 1, 0.9), ("p", "chiller", 0, 0.2), ("p", "tower", 0, None), ("p", "rtu", 0, 0.5), ("q", "boiler", 1, 0.1)], "k string, system string, late int, score double")
+    got = {(r.k, r.position): r.system for r in scenarios.by_priority(rows, ["k"], F.col("late"), F.col("score"), F.col("system")).collect()}
+    assert [got["p", i] for i in (1, 2, 3, 4)] == ["rtu", "chiller", "tower", "boiler"] and got["q", 1] == "boiler"
+    a, b = (spark.createDataFrame([(x,) for x in v], "system string") for v in (["a", "b", "b", None, "c"], ["a", "d"]))
+    assert sorted(r.system or "" for r in datasets.missing_from(a, b, "system").collect()) == ["", "b", "c"]
