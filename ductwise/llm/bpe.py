@@ -8,6 +8,8 @@ character offset is that of the character which holds its first byte.
 
 Defined results: null text counts as empty (no ids); equal rows give equal rows; other columns of the
 input are ignored, so clashing names do no harm; an empty table gives an empty table.
+A text of any length is one row of a batch of at most 8 MB, larger only for
+a single text, and is encoded whole.
 """
 
 from __future__ import annotations

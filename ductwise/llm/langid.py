@@ -8,6 +8,7 @@ taken out of its host's sum.  The declared language's likelihood is its smoothed
 Defined results: a text without words (null or empty) has no evidence of its own, gets language 'und' and is not
 accepted; null host, suffix and declared language are groups of their own or no evidence; equal rows get equal results; other
 columns are ignored; without labelled text every row is 'und'; of languages with equal posteriors the first by name wins.
+A text of any length counts whole; only training leaves texts above ``LONGEST`` characters out.
 """
 
 from __future__ import annotations

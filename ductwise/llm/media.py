@@ -11,6 +11,7 @@ compressed chunks, each once, in the order of first use: all that is stored for
 
 Defined results: null text is empty text, whose payload is 64 zero bytes; equal texts have equal values; repeated rows
 stay repeated; other columns are ignored; an empty table gives an empty result.
+A text of any length is cut whole; a chunk has a largest size, a text has none.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ Defined results: a document without words (null or empty text) has n_shingles 0
 nothing; rows with equal doc_id count as one document, linked, whatever their texts (``near_duplicates``), while
 ``one_of_each`` drops rows for their texts alone; a null doc_id gives a null component and is kept;
 an empty table gives an empty result; other columns are ignored.
+A text of any length gives its whole set; one set is the most that a task holds beside its batch.
 """
 
 from __future__ import annotations

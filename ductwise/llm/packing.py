@@ -8,6 +8,7 @@ from counts by partition, so no length, however common, meets in one task.
 
 Defined results: null text is empty text; every document has its end id, so none is without a piece;
 equal rows and equal doc_ids each get pieces of their own; an empty table gives an empty result; other columns are ignored.
+A text of any length is encoded whole and cut into pieces.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ nothing about a class and are left out of the dictionaries.
 
 Defined results: null and empty texts have difference 0 and so the score of a text without evidence; equal texts
 get equal scores; other columns are ignored; without both labels the score is the share of label 1, 0.5 without any.
+A text of any length is compressed whole, block by block; only training leaves texts above ``LONGEST`` characters out.
 """
 
 from __future__ import annotations

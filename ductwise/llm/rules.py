@@ -6,6 +6,7 @@ words are compared by 64-bit hashes of their words' hashes.
 
 Defined results: null and empty texts have no words, all counts 0 and fail; ratios over nothing are 0;
 repeated rows stay repeated; an empty table gives an empty result; other columns are ignored.
+A text of any length is judged whole, in one expression.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ their neighbours' features, so that the forest also learns what a secret itself
 Defined results: null and empty texts have no candidates; repeated rows have their findings repeated; a null path is
 an empty path; other columns are ignored; without both labels every candidate has the score of the labels' share,
 0 without any; ties in the dictionary and the training sample go by word and candidate; an empty table gives an empty result.
+A text of any length is searched whole and a candidate may have any length.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ Segments are rows of Parquet files in ascending doc_id order, so that Spark's co
 Defined results: null text is empty text; every document ends with ``end_id``, so none is empty; rows
 with equal doc_id stand side by side, by text hash; a null doc_id comes first; an empty
 table gives no segment and an empty result; other columns are ignored.
+A text of any length is encoded whole and lies in one segment.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ transition products, which is exact.  No number of a document depends on its nei
 
 Defined results: null and empty texts have no tokens and get the lowest evidence, so a low score; equal texts get
 equal scores; other columns are ignored; without both labels the score is the share of label 1, 0.5 without any.
+A text of any length is tagged whole, in blocks; only training leaves texts above ``LONGEST`` characters out.
 """
 
 from __future__ import annotations
