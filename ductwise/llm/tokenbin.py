@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import materialise, tidy, tune
+from ._runtime import materialise, tune
 from .tokens import encoder, with_end
 
 MAGIC = b"S8B1"
@@ -156,7 +156,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0)
             own = pa.array([data[a:b] for a, b in zip(edge[:-1], edge[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(own), size, np.int32)), own], ["doc_id", "h", "size", "ids"])
 
-    encoded = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(encode), "doc_id long, h long, size int, ids binary")
+    encoded = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(encode, "doc_id long, h long, size int, ids binary")
     ordered = materialise(encoded, "encoded").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches):
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0)
                 ["part", "seg", "n_ids", "segment"],
             )
 
-    return materialise(ordered.select("doc_id", "h", "size", "ids").mapInArrow(tidy(run), SEGMENTS), "tokens")
+    return materialise(ordered.select("doc_id", "h", "size", "ids").mapInArrow(run, SEGMENTS), "tokens")
 
 
 #: Stands for a null doc_id in a segment.
