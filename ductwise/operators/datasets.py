@@ -72,6 +72,12 @@ def assign_groups(sizes: list[tuple[str, dict[str, int]]], shares: dict[str, flo
 LEAST_CROSS, CROSS_SHARE, EXCHANGES = 20, 0.20, 12
 
 
+def _lack(rows: np.ndarray, least: int, share: float) -> np.ndarray:
+    """What the roots are short of ``least`` and of ``share`` of all their cross-system rows, summed."""
+    wanted = np.maximum(least, np.round(share * rows.sum(axis=-1, keepdims=True)))
+    return np.where(rows.sum(axis=-1) > 0, np.maximum(wanted - rows, 0).sum(axis=-1), 0.0)
+
+
 def exchange(entries: dict[str, dict[str, int]], sizes: dict[str, int], placed: dict[str, str], split: str, roots: list[str], goal: float, least: int = LEAST_CROSS, share: float = CROSS_SHARE, rounds: int = EXCHANGES, source: str = "train") -> dict[str, str]:
     """``placed`` after at most ``rounds`` exchanges of entries of ``split`` with entries of ``source``.
 
@@ -81,11 +87,7 @@ def exchange(entries: dict[str, dict[str, int]], sizes: dict[str, int], placed:
     """
     out = dict(placed)
     matrix = {k: np.array([entries.get(k, {}).get(r, 0) for r in roots], float) for k in placed}
-
-    def lack(rows: np.ndarray) -> np.ndarray:
-        wanted = np.maximum(least, np.round(share * rows.sum(axis=-1, keepdims=True)))
-        return np.where(rows.sum(axis=-1) > 0, np.maximum(wanted - rows, 0).sum(axis=-1), 0.0)
-
+    lack = lambda rows: _lack(rows, least, share)
     for _ in range(rounds if roots else 0):
         inside, outside = (sorted(k for k, s in out.items() if s == name) for name in (split, source))
         have, size = sum((matrix[k] for k in inside), np.zeros(len(roots))), sum(sizes[k] for k in inside)
@@ -111,24 +113,54 @@ def exchange(entries: dict[str, dict[str, int]], sizes: dict[str, int], placed:
     return out
 
 
+def resize(entries: dict[str, dict[str, int]], sizes: dict[str, int], placed: dict[str, str], split: str, roots: list[str], goal: float, least: int = LEAST_CROSS, share: float = CROSS_SHARE, near: float = 0.001, source: str = "train") -> dict[str, str]:
+    """``placed`` with ``split`` brought back within ``near`` of its goal after exchanges for its roots.
+
+    One entry comes from or goes to ``source``, or both; of those that leave the roots' lack no larger the one that ends nearest to the goal is taken, then the first by name.
+    """
+    out = dict(placed)
+    matrix = {k: np.array([entries.get(k, {}).get(r, 0) for r in roots], float) for k in placed}
+    for _ in range(len(placed) if roots else 0):
+        inside, outside = (sorted(k for k, s in out.items() if s == name) for name in (split, source))
+        have, size = sum((matrix[k] for k in inside), np.zeros(len(roots))), sum(sizes[k] for k in inside)
+        now, off = float(_lack(have, least, share)), abs(size - goal)
+        if off <= near * goal:
+            break
+        comes = ["", *outside]
+        gains, more = np.array([matrix.get(k, np.zeros(len(roots))) for k in comes]), np.array([sizes.get(k, 0) for k in comes], float)
+        best = None
+        for goes in ["", *inside]:
+            left = _lack(have - matrix.get(goes, 0.0) + gains, least, share)
+            error = np.where(left <= now, np.abs(size - sizes.get(goes, 0) + more - goal), np.inf)
+            i = int(np.argmin(error))
+            option = (float(error[i]), comes[i], goes)
+            best = option if best is None or option < best else best
+        if best[0] >= off:
+            break
+        for k, to in ((best[1], split), (best[2], source)):
+            if k:
+                out[k] = to
+    return out
+
+
 def grouped_split(df: DataFrame, group: str, kind: str, shares: dict[str, float] | None = None, hot: int = 1024, root: str | None = None, cross: Column | None = None) -> DataFrame:
     """Adds ``split``; no group is in two splits.
 
-    The ``hot`` largest groups are placed one by one; all others are dealt by their commonest type and md5 to about ``hot`` blocks, which are placed like groups,
-    so the driver holds at most 2 * ``hot`` entries and one for each type, with a number for each type, whatever the groups look like.  Against placing every group by
+    The ``hot`` largest groups are placed one by one; all others are dealt by their commonest type and root and by md5 to about ``hot`` blocks, which are placed like groups,
+    so the driver holds at most 2 * ``hot`` entries and one for each type and root, with a number for each of these, whatever the groups look like.  Against placing every group by
     itself a split's rows of a type are off by about half a block: the small groups' rows over ``hot``.  With ``root`` and ``cross`` (which rows count), entries are then
-    exchanged so that every root has its part of the cross-system rows in the splits besides the first (``exchange``).
+    exchanged until every root has its part of the cross-system rows in the splits besides the first, or nothing helps (``exchange``), and the splits are filled up to their share
+    again (``resize``).  A block stands for many groups of one root, so exchanges move as much at any size of the table.
     """
     shares = shares or {"train": 0.8, "val": 0.1, "test": 0.1}
     rooted = F.col(root) if root else F.lit(None).cast("string")
     crossed = F.count_if(cross) if cross is not None else F.lit(0).cast("long")
     counts = cut(df.groupBy(F.col(group).alias("g_"), F.col(kind).alias("kind_"), rooted.alias("root_")).agg(F.count("*").alias("n"), crossed.alias("x")))
     digest = F.md5(F.coalesce(F.col("g_").cast("string"), F.lit("")))
-    by_kind = counts.groupBy("g_", "kind_").agg(F.sum("n").alias("n"))
-    groups = by_kind.groupBy("g_").agg(F.sum("n").alias("n"), F.max_by("kind_", F.struct("n", "kind_")).alias("most_"))
-    per_kind = max(1, hot // max(1, counts.select("kind_").distinct().count()))
+    groups = counts.groupBy("g_").agg(F.sum("n").alias("n"), F.max_by(F.struct(F.col("kind_").alias("k"), F.col("root_").alias("r")), F.struct("n", "kind_", "root_")).alias("most_"))
+    per_kind = max(1, hot // max(1, counts.select("kind_", "root_").distinct().count()))
     large = groups.orderBy(F.desc("n"), digest, "g_").limit(hot).select(F.col("g_").alias("same_"), F.concat_ws(":", F.lit("g"), digest, F.col("g_").cast("string")).alias("large_"))
-    of = groups.join(F.broadcast(large), F.col("g_").eqNullSafe(F.col("same_")), "left").select("g_", F.coalesce("large_", F.concat_ws(":", F.lit("b"), F.pmod(F.conv(F.left(digest, F.lit(12)), 16, 10).cast("long"), F.lit(per_kind)).cast("string"), F.to_json(F.struct(F.col("most_").alias("k"))))).alias("entry_"))
+    of = groups.join(F.broadcast(large), F.col("g_").eqNullSafe(F.col("same_")), "left").select("g_", F.coalesce("large_", F.concat_ws(":", F.lit("b"), F.pmod(F.conv(F.left(digest, F.lit(12)), 16, 10).cast("long"), F.lit(per_kind)).cast("string"), F.to_json("most_"))).alias("entry_"))
     of = cut(of)  # large is ``hot`` rows at most
     per = counts.join(of.withColumnRenamed("g_", "of_"), F.col("g_").eqNullSafe(F.col("of_"))).groupBy("entry_", "kind_", "root_").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
     kinds, roots = {}, {}
@@ -143,8 +175,10 @@ def grouped_split(df: DataFrame, group: str, kind: str, shares: dict[str, float]
         return df.withColumn("split", F.lit(None).cast("string"))
     sizes = {k: sum(v.values()) for k, v in kinds.items()}
     names = list(shares)
+    every, total = sorted({r for v in roots.values() for r in v}), sum(sizes.values())
     for name in names[1:]:
-        placed = exchange(roots, sizes, placed, name, sorted({r for v in roots.values() for r in v}), shares[name] * sum(sizes.values()), source=names[0])
+        placed = exchange(roots, sizes, placed, name, every, shares[name] * total, rounds=len(placed), source=names[0])
+        placed = resize(roots, sizes, placed, name, every, shares[name] * total, source=names[0])
     table = F.broadcast(df.sparkSession.createDataFrame(list(placed.items()), "entry_ string, split string"))  # at most 2 * hot rows
     table = of.join(table, "entry_").select("g_", "split")
     return df.join(table, F.col(group).eqNullSafe(F.col("g_")), "left").drop("g_")
