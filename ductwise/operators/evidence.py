@@ -19,16 +19,32 @@ def signed(observations: DataFrame, audit: bool = False) -> DataFrame:
     return rows.where(useful & ((F.col("reliability") > 0) | (s == "unknown")))
 
 
-def fuse(observations: DataFrame) -> DataFrame:
-    """Signed, positive and negative mass of each (episode, node)."""
-    p = F.col("polarity")
-    return signed(observations).groupBy("episode_id", "node_id").agg(
-        F.sum(p).alias("score"), F.sum(F.greatest(p, F.lit(0.0))).alias("positive"), F.sum(F.greatest(-p, F.lit(0.0))).alias("negative"), F.count("*").alias("n"),
-    )
+def _in_order(rows: DataFrame, by: list[str], values: dict[str, Column], order: str) -> DataFrame:
+    """Sums of ``values`` and the count ``n`` of each group, its rows added one by one by ``order``.
+
+    Sums of doubles that should be zero end a bit above or below it by the order of adding; partial sums of tasks come in any order, these don't.
+    """
+    w = Window.partitionBy(*by).orderBy(order, *values).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(*by, order, *(v.alias(k) for k, v in values.items()))
+    rows = rows.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(order, *values)).alias("n"), *(F.sum(k).over(w).alias(k) for k in values))
+    return rows.groupBy(*by).agg(*(F.max_by(k, "n").alias(k) for k in values), F.max("n").cast("long").alias("n"))
 
 
-def system_scores(observations: DataFrame) -> DataFrame:
-    return signed(observations).where("system_id IS NOT NULL AND system_id <> ''").groupBy("episode_id", "system_id").agg(F.sum(F.col("polarity") * 0.75).alias("score"))
+def fuse(observations: DataFrame, order: str | None = None) -> DataFrame:
+    """Signed, positive and negative mass of each (episode, node); with ``order`` the rows are added in that order, so the sign of a score near zero is the same in every run."""
+    p = F.col("polarity")
+    masses = {"score": p, "positive": F.greatest(p, F.lit(0.0)), "negative": F.greatest(-p, F.lit(0.0))}
+    if order:
+        return _in_order(signed(observations), ["episode_id", "node_id"], masses, order)
+    return signed(observations).groupBy("episode_id", "node_id").agg(*(F.sum(v).alias(k) for k, v in masses.items()), F.count("*").alias("n"))
+
+
+def system_scores(observations: DataFrame, order: str | None = None) -> DataFrame:
+    """score of each (episode, system); ``order`` as in ``fuse``."""
+    rows, by, score = signed(observations).where("system_id IS NOT NULL AND system_id <> ''"), ["episode_id", "system_id"], F.col("polarity") * 0.75
+    if order:
+        return _in_order(rows, by, {"score": score}, order).drop("n")
+    return rows.groupBy(*by).agg(F.sum(score).alias("score"))
 
 
 def votes(observations: DataFrame) -> DataFrame:

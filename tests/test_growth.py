@@ -14,3 +14,26 @@ def test_rare_root_has_its_part_however_many_groups_a_block_holds(spark):
     for split in ("val", "test"):
         size, crossing = (sum(n[split, r][i] for r in ("rare", "one", "two")) for i in (0, 1))
         assert abs(size - 6000) <= 60 and all(n[split, r][1] >= round(0.2 * crossing) - 2 for r in ("rare", "one", "two"))
+
+
+def test_beliefs_do_not_depend_on_how_rows_lie_in_files(spark):
+    from ductwise.operators import evidence
+
+    # confidences and statuses whose signed sum is zero but for the order of adding
+    seen = [(1, "fault", 0.1), (2, "normal", 0.5), (3, "warning", 0.1), (4, "normal", 1.0), (5, "abnormal", 0.1), (6, "normal", 0.0)]
+    rows = [(e, step, "s::n", "s", status, "f", (c * 10 + e % 7) % 11 / 10) for e in range(400) for step, status, c in seen]
+    df = spark.createDataFrame(rows, "episode_id int, step int, node_id string, system_id string, status string, fault_type string, confidence double")
+    want = None
+    for order in ("step", "-step", "hash(step, episode_id)"):
+        got = evidence.fuse(df.repartition(5, F.expr(order)).sortWithinPartitions(F.expr(order)), "step").select("episode_id", "score", "positive", "negative", "n").collect()
+        got = {r.episode_id: tuple(r) for r in got}
+        want = want or got
+        assert got == want and all(r[4] == 6 for r in got.values())
+    p = {r.episode_id: [] for r in df.collect()}
+    for r in evidence.signed(df).orderBy("step").collect():
+        p[r.episode_id].append(r.polarity)
+    for e, values in p.items():
+        total = 0.0
+        for v in values:
+            total += v
+        assert want[e][1] == total
