@@ -275,7 +275,7 @@ def best_anchor(spark, sf_dir):
 SELECT scenario_id, coalesce(min(dst) FILTER (src = root), min(dst)) AS target FROM s JOIN l ON src_system = r AND dst_system = d GROUP BY 1""")
 def connected_target(spark, sf_dir):
     name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
-    links = table(spark, sf_dir, "lineitem").select(name("supplier::", F.col("l_suppkey")).alias("src"), name("x", F.col("l_suppkey") % 3).alias("src_system"), name("part::", F.col("l_partkey")).alias("dst"), name("y", F.col("l_partkey") % 4).alias("dst_system")).distinct()
+    links = table(spark, sf_dir, "lineitem").select(name("supplier::", F.col("l_suppkey")).alias("src"), name("x", F.col("l_suppkey") % 3).alias("src_system"), name("part::", F.col("l_partkey")).alias("dst"), name("y", F.col("l_partkey") % 4).alias("dst_system"))
     s = table(spark, sf_dir, "supplier").select(name("s", F.col("s_suppkey")).alias("scenario_id"), name("y", F.col("s_suppkey") % 4).alias("downstream_system"), name("x", F.col("s_suppkey") % 3).alias("root_system"), name("supplier::", F.col("s_suppkey")).alias("root_node"))
     return oracle.connected_target(s, links)
 

@@ -37,3 +37,14 @@ def test_beliefs_do_not_depend_on_how_rows_lie_in_files(spark):
         for v in values:
             total += v
         assert want[e][1] == total
+
+
+def test_scenarios_meet_one_link_of_a_pair_of_systems(spark):
+    from ductwise.operators import oracle
+
+    links = spark.createDataFrame([("r1", "x", "d2", "y"), ("r1", "x", "d3", "y"), ("r2", "x", "d1", "y"), ("r2", "x", "d1", "y"), (None, "x", "d0", "z")], "src string, src_system string, dst string, dst_system string")
+    s = spark.createDataFrame([("a", "y", "x", "r1"), ("b", "y", "x", "r2"), ("c", "y", "x", "r9"), ("d", "z", "x", None), ("e", "q", "x", "r1")], "scenario_id string, downstream_system string, root_system string, root_node string")
+    out = oracle.connected_target(s, links)
+    assert {r.scenario_id: r.target for r in out.collect()} == {"a": "d2", "b": "d1", "c": "d1", "d": "d0"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 4  # links by root, links by systems (on each side of its join), scenarios
