@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,24 +79,32 @@ def mutual_substring(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def exact_match(a: Column, b: Column) -> Column:
-    x, y = canonical_label(a), canonical_label(b)
-    return (x != "") & (x == y)
+    both = F.struct(canonical_label(a).alias("x"), canonical_label(b).alias("y"))
+    return once(both, lambda p: (p["x"] != "") & (p["x"] == p["y"]))
 
 
 def family(label: Column) -> Column:
     """The first family that a part of the label marks; else its first two parts without intensities."""
-    s = normalize_label(label)
-    out = F.when(s.isin(*NO_FAULT_LABELS), "normal")
-    for name, tokens in FAMILIES:
-        out = out.when(s.rlike("|".join(tokens)), name)
-    parts = F.filter(F.split(s, "_"), lambda p: ~p.isin("default", "minor", "moderate", "severe") & ~p.rlike(r"^\d+c?$"))
-    return out.otherwise(F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, 1, 2), "_")).otherwise(s))
+
+    def of(s: Column) -> Column:
+        out = F.when(s.isin(*NO_FAULT_LABELS), "normal")
+        for name, tokens in FAMILIES:
+            out = out.when(s.rlike("|".join(tokens)), name)
+        parts = F.filter(F.split(s, "_"), lambda p: ~p.isin("default", "minor", "moderate", "severe") & ~p.rlike(r"^\d+c?$"))
+        return out.otherwise(F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, 1, 2), "_")).otherwise(s))
+
+    return once(normalize_label(label), of)
 
 
 def same_family(a: Column, b: Column) -> Column:
-    x, y = family(a), family(b)
-    return (x != "normal") & (x != "") & (x == y)
+    both = F.struct(family(a).alias("x"), family(b).alias("y"))
+    return once(both, lambda p: (p["x"] != "normal") & (p["x"] != "") & (p["x"] == p["y"]))
 
 
 def difficulty(intensity: Column) -> Column:

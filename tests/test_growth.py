@@ -66,3 +66,34 @@ def test_a_list_is_given_once_and_named_by_other_calls(spark):
         assert (r.tool, r.status, r.error, given["items"]) == (full[i].tool, full[i].status, full[i].error, full[i]["items"]) and (r.same_as is None or (r["items"] is None and r.same_as < i))
     asked = {(r.tool, c.system_id if r.tool == "get_related_systems" else c.node_id if r.tool != "get_system_overview" else "") for c in calls.collect() for r in [once[c.call_id]] if r.error is None}
     assert sum(r["items"] is not None for r in once.values()) == len(asked)
+
+
+def test_family_normalizes_a_label_once(spark):
+    from ductwise.functions import labels as L
+
+    df = spark.createDataFrame([("Fan Stuck", "fan_broken"), ("oa bias -2", "OA_Bias_10"), ("x", None), ("", "normal"), ("misc thing 30", "misc-thing")], "a string, b string")
+    out = df.select(L.family(F.col("a")).alias("f"), L.same_family(F.col("a"), F.col("b")).alias("s"), L.exact_match(F.col("a"), F.col("b")).alias("e"))
+    assert [tuple(r) for r in out.collect()] == [("fan", True, False), ("ahu_outdoor_air_sensor", True, False), ("x", False, False), ("normal", False, False), ("misc_thing", True, False)]
+    plan = df.select(L.same_family(F.col("a"), F.col("b")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 4  # 224 where each rule normalized the label again
+
+
+def test_scenarios_of_one_truth_are_one_row_before_they_meet_samples(spark):
+    from ductwise.operators import matching
+
+    names = "scenario_type string, root_cause_system string, root_cause_node string, fault_type string"
+    scenarios = spark.createDataFrame([(f"T{i:05d}", "a_x", "sys", "n", "f") for i in range(3000)] + [("S9", "na", "sys", "n", "f")], "scenario_id string, " + names)
+    samples = spark.createDataFrame([("q1", "na", "sys", "n", "f"), ("q2", "zz", "sys", None, "f"), ("q3", "zz", "sys", "m", "f")], "sample_id string, " + names)
+    out = matching.match_scenarios(samples, scenarios)
+    assert {r.sample_id: (r.matched_id, r.strategy) for r in out.collect()} == {"q1": ("S9", "ground_truth"), "q2": ("", "missing"), "q3": ("", "missing")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("min(scenario_id") == 1
+
+
+def test_windows_that_scenarios_share_are_read_once(spark):
+    from ductwise.operators import oracle
+
+    data = spark.createDataFrame([("a", "a.csv", i, s, float(i * i % 7)) for i in range(60) for s in "ab"], "system_id string, source_file string, row_idx long, sensor string, value double")
+    s = spark.createDataFrame([(f"s{i}", "a", "a.csv", i % 5, i % 5 + (0 if i % 9 == 0 else 15)) for i in range(200)] + [("late", "a", "a.csv", 50, 65)], "scenario_id string, root_cause_system string, source_file string, time_window_start long, time_window_end long")
+    columns = ["a_mean", "b_slope", "c_max", "b_range"]
+    want = {tuple(map(str, r)) for r in oracle.features(oracle.slices(s, data), columns).collect()}
+    assert {tuple(map(str, r)) for r in oracle.scenario_features(s, data, columns).collect()} == want and len(want) == 200 - 23
