@@ -41,7 +41,8 @@ def match_scenarios(samples: DataFrame, scenarios: DataFrame, fallback: bool = T
         return out.select("sample_id", "matched_id", F.when(F.col("matched_id").isNull(), "missing").otherwise("direct_or_suffix").alias("strategy"))
     truth = ["scenario_type", "root_cause_system", "root_cause_node", "fault_type"]
     keys = out.where("matched_id IS NULL").select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in truth)).distinct()
-    s = scenarios.select("scenario_id", *(F.coalesce(F.col(c), F.lit("")).alias(f"s_{c}") for c in truth))
+    # of scenarios with one ground truth only the first can be the best
+    s = scenarios.groupBy(*(F.coalesce(F.col(c), F.lit("")).alias(f"s_{c}") for c in truth)).agg(F.min("scenario_id").alias("scenario_id"))
     clean = norm(F.col("fault_type")).isin("normal", "no_fault", "none", "") | norm(F.col("root_cause_node")).isin("none", "")
     as_clean = F.contains(norm(F.col("s_scenario_type")), F.lit("no_fault")) | norm(F.col("s_fault_type")).isin("normal", "no_fault") | norm(F.col("s_root_cause_node")).isin("none", "")
     as_fault = (F.col("s_fault_type") == F.col("fault_type")) & ((F.col("root_cause_node") == "") | (F.col("s_root_cause_node") == "") | (F.col("s_root_cause_node") == F.col("root_cause_node")))
