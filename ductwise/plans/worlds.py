@@ -57,7 +57,7 @@ def scenario_readings(spark, sf_dir):
 @query(f"""WITH {_ROWS}, m AS (SELECT scenario_id, system_id, sensor, avg(value) AS mean, max(value) - min(value) AS range, CASE WHEN count(*) > 2 THEN regr_slope(value, x::DOUBLE) ELSE 0 END AS slope FROM w GROUP BY ALL)
 SELECT scenario_id, system_id, round(coalesce(max(mean) FILTER (sensor = 'a'), 0), 8) AS f0, round(coalesce(max(slope) FILTER (sensor = 'b'), 0), 8) AS f1, 0.0::DOUBLE AS f2, round(coalesce(max(range) FILTER (sensor = 'b'), 0), 8) AS f3 FROM m GROUP BY ALL""")
 def scenario_features(spark, sf_dir):
-    f = oracle.features(oracle.slices(scenario_table(spark, sf_dir), files(spark, sf_dir)), ["a_mean", "b_slope", "c_max", "b_range"])
+    f = oracle.scenario_features(scenario_table(spark, sf_dir), files(spark, sf_dir), ["a_mean", "b_slope", "c_max", "b_range"])
     return f.select("scenario_id", "system_id", *(F.round(F.get("features", F.lit(i)), 8).alias(f"f{i}") for i in range(4)))
 
 
