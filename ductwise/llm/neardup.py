@@ -292,9 +292,10 @@ def _links(docs: DataFrame, signs: DataFrame, classes: DataFrame, size: int, per
     tensor = sides.select("node", F.explode("us").alias("u"), "vs").select("node", "u", F.explode("vs").alias("v"))
     entries = materialise(tensor.select("node", F.xxhash64("u", "v").alias("key")), "tables")
 
-    # the smallest centre of each node
+    # of each node's centres the one that it shares most tables with, so likely the one most like it
     centres = entries.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b <> high").select("key", "b")
-    met = entries.join(centres, "key").groupBy("node").agg(F.min("b").alias("b"))
+    met = entries.join(centres, "key").groupBy("node", "b").agg(F.count("*").alias("c"))
+    met = met.groupBy("node").agg(F.max_by("b", F.struct(F.col("b") != F.col("node"), "c", -F.col("b"))).alias("b"))
     first = materialise(met.select(F.col("node").alias("a"), "b"), "centres")
     sets = _sets(docs, first.select(F.col("a").alias("node")).join(classes, "node"), size)
     links = materialise(_confirm(first.where("a <> b"), sets, percent), "links")

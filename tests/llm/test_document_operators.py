@@ -427,3 +427,30 @@ def test_spans_behind_letters_that_engines_know_unlike(spark, labelled):
     for r in toxicity.score(rows, model).collect():
         found = " ".join(texts[r.doc_id][s.start : s.end] for s in r.spans)
         assert found and set(re.findall(r"[a-z]+", found)) <= {"you", "idiot", "utter", "scum"} and r.n_toxic_tokens == len(found.split())
+
+
+def test_a_node_meets_the_centre_that_it_shares_most_tables_with(spark, monkeypatch):
+    import random
+
+    rng, written, write = random.Random(4), {}, neardup.materialise
+
+    def keep(df, name, *a, **k):
+        out = write(df, name, *a, **k)
+        if name in ("tables", "centres"):
+            written[name] = out.collect()
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", keep)
+    base = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(w if rng.random() > 0.06 else f"x{rng.randrange(999)}" for w in base)) for i in range(120)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2, percent=80).collect()}
+    assert got == brute_components(docs, 2, 80)[0]
+    tables = defaultdict(list)
+    for r in written["tables"]:
+        tables[r.key].append(r.node)
+    common = Counter((a, min(nodes)) for nodes in tables.values() for a in nodes if a != min(nodes))
+    most = {}
+    for (a, _), n in common.items():
+        most[a] = max(n, most.get(a, 0))
+    met = {r.a: r.b for r in written["centres"] if r.a != r.b}
+    assert len(met) > 60 and all(common[a, b] == most[a] for a, b in met.items()) and set(met) == set(most)
