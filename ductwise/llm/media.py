@@ -215,11 +215,13 @@ def load(kept: DataFrame, chunks: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, kinds)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    columns = ["doc_id", "n_bytes", "payload_sha256", "manifest", "own"]
-    alone = kept.where("size(shared) = 0").select(*columns, F.lit(None).cast("array<struct<digest:binary,blob:binary>>").alias("parts"))
+    alone = kept.where("size(shared) = 0").select("doc_id", "n_bytes", "payload_sha256", "manifest", "own", F.lit(None).cast("array<struct<digest:binary,blob:binary>>").alias("parts")).mapInArrow(tidy(run), MEDIA)
+    # a payload with shared chunks is rebuilt once, whatever the number of its copies; only its short result meets their rows
     partly = kept.where("size(shared) > 0")
-    # a payload's shared chunks are no more than the payload; once they are a table, copies of one payload can be split among tasks
     refs = materialise(partly.select("payload_sha256", F.explode("shared").alias("digest")).distinct(), "references")
     parts = refs.join(chunks, "digest").groupBy("payload_sha256").agg(F.collect_list(F.struct("digest", "blob")).alias("parts"))
-    parts = materialise(parts, "parts", codec="none")
-    return alone.unionByName(partly.join(parts, "payload_sha256").select(*columns, "parts")).mapInArrow(tidy(run), MEDIA)
+    once = partly.groupBy("payload_sha256").agg(F.first(F.struct("manifest", "own")).alias("x"))
+    none = F.lit(None).cast("long")
+    read = once.join(parts, "payload_sha256").select(none.alias("doc_id"), none.alias("n_bytes"), "payload_sha256", "x.manifest", "x.own", "parts").mapInArrow(tidy(run), MEDIA)
+    read = materialise(read.drop("doc_id", "n_bytes"), "read")  # a table, so that copies of one payload can be split among tasks
+    return alone.unionByName(partly.select("doc_id", "n_bytes", "payload_sha256").join(read, "payload_sha256").select(*alone.columns))

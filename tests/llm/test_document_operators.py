@@ -454,3 +454,21 @@ def test_a_node_meets_the_centre_that_it_shares_most_tables_with(spark, monkeypa
         most[a] = max(n, most.get(a, 0))
     met = {r.a: r.b for r in written["centres"] if r.a != r.b}
     assert len(met) > 60 and all(common[a, b] == most[a] for a, b in met.items()) and set(met) == set(most)
+
+
+def test_copies_of_a_payload_are_rebuilt_once(spark, monkeypatch):
+    written, write = {}, media.materialise
+
+    def keep(df, name, *a, **k):
+        out = write(df, name, *a, **k)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(media, "materialise", keep)
+    rows = [(i, "a" if i % 3 else "a\0") for i in range(60)] + [(100, "alone " * 50), (101, None), (102, "")]
+    out = {r.doc_id: r for r in media.load(*media.store(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))).collect()}
+    assert len(out) == 63 and written["media"] == 63 and written["read"] == 2  # all of a; the empty ones
+    for i, text in rows:
+        data = media.payload((text or "").encode())
+        assert (out[i].n_bytes, out[i].payload_bytes, out[i].payload_sha256) == (len(text or ""), len(data), hashlib.sha256(data).hexdigest())
+    assert len({(r.media_sha256, r.feature) for i, r in out.items() if i < 60}) == 1
