@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -16,9 +17,8 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     return cut(df.repartition(n, *keys))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back; in local mode without one, to a temporary folder."""
-    spark = df.sparkSession
+def _folder(spark) -> str:
+    """The context's checkpoint folder, set on first use."""
     if spark.sparkContext.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
@@ -29,4 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
             atexit.register(_own[-1].cleanup)
             path = f"file://{_own[-1].name}"
         spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back; in local mode without one, to a temporary folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` written there as a Parquet table: joins then know its true size and send a small one to all tasks instead of dealing what it meets by key."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

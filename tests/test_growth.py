@@ -97,3 +97,28 @@ def test_windows_that_scenarios_share_are_read_once(spark):
     columns = ["a_mean", "b_slope", "c_max", "b_range"]
     want = {tuple(map(str, r)) for r in oracle.features(oracle.slices(s, data), columns).collect()}
     assert {tuple(map(str, r)) for r in oracle.scenario_features(s, data, columns).collect()} == want and len(want) == 200 - 23
+
+
+def test_calls_of_a_plan_are_written_once(spark, monkeypatch):
+    from ductwise.operators import trajectories
+    from ductwise.plans import worlds
+
+    written, cut = [], trajectories.cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(trajectories, "cut", counted)
+    s, graph = worlds.flow_scenarios(spark, "/root/testdata/sf0.001").limit(300), worlds.flow_graph(spark)
+    s = cut(s)
+    calls = trajectories.plan(s, *graph, list(worlds.SYSTEMS))
+    out = trajectories.results(calls, s, *graph).collect()
+    assert len(out) == calls.count() > 1500 and len({(r.scenario_id, r.i) for r in out}) == len(out)
+    assert sum(n > 1000 for n in written) == 1  # wishes, drawn calls and results as well before
+    order = {(r.scenario_id, r.i): r for r in out}
+    for r in out:  # phases rise, and parents come before their parts
+        assert r.i == 0 or order[r.scenario_id, r.i - 1].phase <= r.phase
+        if r.tool == "diagnose_node":
+            assert any(q.i < r.i for q in out if q.scenario_id == r.scenario_id and q.tool == "get_node_children" and r.node_id in q.targets)
