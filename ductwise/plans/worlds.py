@@ -250,14 +250,19 @@ def trajectory_turns(spark, sf_dir):
 @query("SELECT count(*) AS dialogues, 0::BIGINT AS broken_rules, 0::BIGINT AS skipped_steps, 0::BIGINT AS wrong_conclusions FROM orders")
 def trajectory_checks(spark, sf_dir):
     s, graph = flow_scenarios(spark, sf_dir), flow_graph(spark)
-    turns, _, outcome = trajectories.generate(s, *graph, list(SYSTEMS))
-    turns = turns.withColumnRenamed("scenario_id", "conv_id")
+    b = trajectories.batch(s, *graph, list(SYSTEMS))
+    # the validators read each distinct dialogue once and count it for all scenarios that have it; conclusions meet the truth of every scenario
+    turns = b.talks.withColumnRenamed("scenario_id", "conv_id")
+    n = b.makes.firsts().select(F.col("scenario_id").alias("conv_id"), "n_")
     rules = transcripts.turn_errors(turns, graph[0])
-    broken = rules.agg(F.sum(sum(F.col(c).cast("long") for c in rules.columns if c not in ("conv_id", "turn"))).alias("broken_rules"))
-    calls = outcome.select(F.col("scenario_id").alias("conv_id"), F.col("i").alias("turn"), "tool", "node_id", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
-    skipped = transcripts.skipped_steps(calls).agg(F.count("*").alias("skipped_steps"))
-    said = s.select(F.col("scenario_id").alias("conv_id"), F.when(F.col("scenario_type") == "no_fault", "none").otherwise(F.col("root_cause_node")).alias("node"), F.col("fault_type").alias("fault")).join(transcripts.final_diagnosis(turns).withColumnRenamed("fault_type", "said"), "conv_id")
-    wrong = said.agg(F.count("*").alias("dialogues"), F.count_if(transcripts.wrong_conclusion(F.col("node"), F.col("fault"), F.col("root_cause_node"), F.col("said"))).alias("wrong_conclusions"))
+    names = [c for c in rules.columns if c not in ("conv_id", "turn")]
+    broken = rules.join(n, "conv_id").agg(F.coalesce(F.sum(sum(F.col(c).cast("long") for c in names) * F.col("n_")), F.lit(0)).alias("broken_rules"))
+    calls = b.outcome.select(F.col("scenario_id").alias("conv_id"), F.col("i").alias("turn"), "tool", "node_id", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
+    skipped = transcripts.skipped_steps(calls).join(n, "conv_id").agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("skipped_steps"))
+    last = transcripts.final_diagnosis(turns).select(F.col("conv_id").alias("scenario_id"), F.col("root_cause_node").alias("said_node"), F.col("fault_type").alias("said_fault"))
+    said = b.makes.spread(last, "scenario_type", "root_cause_node", "fault_type")
+    node = F.when(F.col("scenario_type") == "no_fault", "none").otherwise(F.col("root_cause_node"))
+    wrong = said.agg(F.count("*").alias("dialogues"), F.count_if(transcripts.wrong_conclusion(node, F.col("fault_type"), F.col("said_node"), F.col("said_fault"))).alias("wrong_conclusions"))
     one = lambda df: df.withColumn("one_", F.lit(1))  # noqa: E731  three single rows side by side
     return one(wrong).join(one(broken), "one_").join(one(skipped), "one_").drop("one_")
 

@@ -122,3 +122,33 @@ def test_calls_of_a_plan_are_written_once(spark, monkeypatch):
         assert r.i == 0 or order[r.scenario_id, r.i - 1].phase <= r.phase
         if r.tool == "diagnose_node":
             assert any(q.i < r.i for q in out if q.scenario_id == r.scenario_id and q.tool == "get_node_children" and r.node_id in q.targets)
+
+
+def _copies_of_orders(spark, path, n):
+    """sf0.001 with its orders n times, keys shifted."""
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    size = o.agg({"o_orderkey": "max"}).first()[0] + 1
+    o.crossJoin(spark.range(n).withColumnRenamed("id", "r")).withColumn("o_orderkey", F.expr(f"o_orderkey + r * {size}")).drop("r").write.parquet(f"{path}/orders.parquet")
+    return str(path)
+
+
+def test_checks_read_each_distinct_dialogue_once(spark, monkeypatch, tmp_path):
+    from ductwise.operators import trajectories, transcripts
+    from ductwise.plans import worlds
+
+    # a thought with a second block in it breaks a rule in every turn that has it
+    monkeypatch.setitem(trajectories.THOUGHTS, "get_related_systems", "{node}?</think><think>Which systems are connected?")
+    sf, read, turn_errors = _copies_of_orders(spark, tmp_path, 10), [], transcripts.turn_errors
+
+    def counted(turns, known=None):
+        read.append(turns.count())
+        return turn_errors(turns, known)
+
+    monkeypatch.setattr(transcripts, "turn_errors", counted)
+    got = worlds.trajectory_checks(spark, sf).first().asDict()
+    turns = trajectories.generate(worlds.flow_scenarios(spark, sf), *worlds.flow_graph(spark), list(worlds.SYSTEMS))[0].cache()
+    errors = turn_errors(turns.withColumnRenamed("scenario_id", "conv_id"), worlds.flow_graph(spark)[0])
+    broken = errors.select(sum(F.col(c).cast("long") for c in errors.columns[2:]).alias("n")).agg(F.sum("n")).first()[0]
+    assert broken == turns.where("text LIKE '%Which systems are connected?%'").count() > 1000
+    assert got == {"dialogues": 15000, "broken_rules": broken, "skipped_steps": 0, "wrong_conclusions": 0}
+    assert read[0] < turns.count() / 5  # all turns before
