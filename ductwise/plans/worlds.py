@@ -243,7 +243,7 @@ def trajectory_plan(spark, sf_dir):
 
 @query()
 def trajectory_turns(spark, sf_dir):
-    return trajectories.generate(flow_scenarios(spark, sf_dir), *flow_graph(spark), list(SYSTEMS))[0]
+    return trajectories.batch(flow_scenarios(spark, sf_dir), *flow_graph(spark), list(SYSTEMS)).turns()
 
 
 #: Every scenario has one admitted dialogue that breaks none of the validators' rules; SQL knows so from the scenarios alone.

@@ -152,3 +152,40 @@ def test_checks_read_each_distinct_dialogue_once(spark, monkeypatch, tmp_path):
     assert broken == turns.where("text LIKE '%Which systems are connected?%'").count() > 1000
     assert got == {"dialogues": 15000, "broken_rules": broken, "skipped_steps": 0, "wrong_conclusions": 0}
     assert read[0] < turns.count() / 5  # all turns before
+
+
+def test_scenarios_of_one_make_share_a_dialogue(spark, monkeypatch, tmp_path):
+    from ductwise.operators import trajectories
+    from ductwise.plans import worlds
+
+    s = worlds.flow_scenarios(spark, _copies_of_orders(spark, tmp_path, 10)).withColumn("description", F.concat("description", F.lit(" of "), "scenario_id"))
+    # truths that are null in part
+    k = F.substring("scenario_id", 2, 9).cast("int")
+    s = s.withColumns({"symptom_system": F.when(k % 7 > 0, F.col("symptom_system")), "path": F.when(k % 11 > 0, F.col("path"))}).cache()
+    graph, systems = worlds.flow_graph(spark), list(worlds.SYSTEMS)
+    # each scenario planned and judged by itself
+    outcome = trajectories.results(trajectories.plan(s, *graph, systems), s, *graph).cache()
+    final = trajectories.diagnoses(s, outcome).cache()
+    passed = trajectories.gates(final, s, outcome).cache()
+    turns = trajectories.dialogue(s, outcome, final.join(passed.where("admitted"), "scenario_id", "left_semi")).cache()
+    planned, plan = [], trajectories.plan
+
+    def counted(scenarios, *rest):
+        planned.append(scenarios.count())
+        return plan(scenarios, *rest)
+
+    monkeypatch.setattr(trajectories, "plan", counted)
+
+    def same(got, want):
+        got, want = got.select(*want.columns).cache(), want
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+    b = trajectories.batch(s, *graph, systems)
+    same(b.turns(), turns), same(b.gates(), passed), same(b.calls(), outcome)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # makes too many to be sent to all tasks
+    try:
+        same(trajectories.batch(s, *graph, systems).turns(), turns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert max(planned) < s.count() / 4  # all scenarios before
