@@ -238,7 +238,7 @@ def trace_paths(spark, sf_dir):
 @query()
 def trajectory_plan(spark, sf_dir):
     s, graph = flow_scenarios(spark, sf_dir), flow_graph(spark)
-    return trajectories.results(trajectories.plan(s, *graph, list(SYSTEMS)), s, *graph).withColumn("targets", F.concat_ws(" ", "targets"))
+    return trajectories.calls_of_all(s, *graph, list(SYSTEMS)).withColumn("targets", F.concat_ws(" ", "targets"))
 
 
 @query()
